@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabloom.functions.missing import MISSING_TEXT
 from tabloom.functions.text import as_text
-from tabloom.operators.lanes import empty, typed_lanes, union_all
+from tabloom.operators.lanes import empty, local_table, typed_lanes, union_all
 
 FREQUENCY_SCHEMA = "column string, value string, cnt bigint"
 RANKED_SCHEMA = "column string, value string, cnt bigint, rank int"
@@ -89,12 +88,7 @@ def column_counts(freq: DataFrame) -> DataFrame:
 def described_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(position, column, dtype)``: the schema as a table, one row per column."""
     rows = [(i, name, df.schema[name].dataType.simpleString()) for i, name in enumerate(columns)]
-    schema = T.StructType([
-        T.StructField("position", T.IntegerType(), False),
-        T.StructField("column", T.StringType(), False),
-        T.StructField("dtype", T.StringType(), False),
-    ])
-    return df.sparkSession.createDataFrame(rows, schema)
+    return local_table(df.sparkSession, rows, "position int, column string, dtype string")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tabloom.functions.missing import value_or_null
 from tabloom.functions.names import quoted
@@ -19,8 +21,16 @@ from tabloom.functions.names import quoted
 COLUMNS_PER_SCAN = 60
 
 
+def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A small driver-made table as a literal relation: no job, and its size is known."""
+    struct = T.StructType.fromDDL(schema)
+    names = struct.fieldNames()
+    arrow = pa.Table.from_pylist([dict(zip(names, row)) for row in rows], schema=to_arrow_schema(struct))
+    return spark.createDataFrame(arrow, struct)
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    return local_table(spark, [], schema)
 
 
 def batches(items: Sequence, size: int) -> Iterator[Sequence]:

@@ -12,7 +12,7 @@ from tabloom.functions.missing import value_or_null
 from tabloom.functions.names import RISKY_WORDS, normalize_name
 from tabloom.functions.numbers import is_numeric, pearson
 from tabloom.functions.text import as_text
-from tabloom.operators.lanes import empty, per_column, typed_lanes, union_all
+from tabloom.operators.lanes import empty, local_table, per_column, typed_lanes, union_all
 from tabloom.operators.roles import task_type
 
 # Thresholds and scores of the rules.
@@ -92,7 +92,7 @@ def leakage_report(df: DataFrame, target: str, task: str | None = None) -> DataF
         short = normalize_name(name)
         overlap = bool(wanted) and (wanted in short or short in wanted)
         named.append((name, overlap, any(word in short for word in RISKY_WORDS)))
-    facts = spark.createDataFrame(named, "column string, overlap boolean, risky boolean")
+    facts = local_table(spark, named, "column string, overlap boolean, risky boolean")
     # every joined side has one row per column
     facts = facts.join(F.broadcast(equality_ratio(df, target, others)), "column", "left")
     if task == "regression" and is_numeric(df.schema[target].dataType):

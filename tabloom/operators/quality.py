@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.numbers import ratio
 from tabloom.operators.frequencies import distinct_counts
-from tabloom.operators.lanes import empty, numeric_cells
+from tabloom.operators.lanes import empty, local_table, numeric_cells
 from tabloom.operators.profile import missing_ratios
 from tabloom.operators.quantiles import ACCURACY, exact_quantiles
 from tabloom.operators.roles import _value_totals, column_roles, high_cardinality_rule
@@ -35,7 +35,7 @@ def target_gate(df: DataFrame, target: str) -> DataFrame:
     """One row telling whether ``target`` can be modelled; the first failing rule is named."""
     if target not in df.columns:
         row = [(False, "no_such_column", f"target column {target} does not exist", None, None, None)]
-        return df.sparkSession.createDataFrame(row, GATE_SCHEMA)
+        return local_table(df.sparkSession, row, GATE_SCHEMA)
     totals = _value_totals(df, target)
     share = ratio(F.col("n_rows") - F.col("usable_rows"), F.col("n_rows"))
     facts = totals.select(share.alias("missing_ratio"), "unique_count", "usable_rows")

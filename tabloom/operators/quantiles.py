@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.operators.lanes import empty, numeric_cells, per_column
+from tabloom.operators.lanes import empty, local_table, numeric_cells, per_column
 
 ACCURACY = 100_000
 SEGMENTS = 64
@@ -48,7 +48,7 @@ def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float], acc
     rows = fences.select("column", "n", "least", *bounds).collect()
     schema = "column string, n bigint, least double"
     schema += "".join(f", low{j} double, high{j} double" for j in range(len(probs)))
-    return df.sparkSession.createDataFrame([tuple(row) for row in rows], schema)
+    return local_table(df.sparkSession, rows, schema)
 
 
 def _placed(k: int) -> tuple[Column, Column, Column]:

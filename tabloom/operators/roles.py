@@ -13,7 +13,7 @@ from tabloom.functions.missing import value_or_null
 from tabloom.functions.names import looks_like_identifier_name
 from tabloom.functions.numbers import is_numeric, ratio
 from tabloom.operators.frequencies import described_columns, distinct_counts
-from tabloom.operators.lanes import empty, per_column
+from tabloom.operators.lanes import empty, local_table, per_column
 
 # The thresholds of the rules.
 DATETIME_SHARE = 0.75
@@ -63,7 +63,7 @@ def column_roles(df: DataFrame) -> DataFrame:
         for f in fields
     ]
     spark = df.sparkSession
-    by_schema = spark.createDataFrame(kinds, "column string, numeric boolean, native boolean, bool boolean")
+    by_schema = local_table(spark, kinds, "column string, numeric boolean, native boolean, bool boolean")
     dates = (
         datetime_parse_ratio(df, plain) if plain else empty(spark, "column string, parse_ratio double")
     )
@@ -137,8 +137,8 @@ def identifier_check(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     """``(column, unique_ratio, is_identifier)``: an id-like name over mostly unique values."""
     names = list(df.columns if columns is None else columns)
     named = [name for name in names if looks_like_identifier_name(name)]
-    flags = df.sparkSession.createDataFrame(
-        [(name, name in named) for name in names], "column string, id_name boolean"
+    flags = local_table(
+        df.sparkSession, [(name, name in named) for name in names], "column string, id_name boolean"
     )
     rows = F.col("missing_count") + F.col("present_count")
     return distinct_counts(df, names).join(F.broadcast(flags), "column").select(

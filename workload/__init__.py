@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("profile", "quality")
+AREAS = ("profile", "quality", "arrays", "features", "evaluation")
 
 
 def load_all() -> None:
