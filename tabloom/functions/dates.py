@@ -21,13 +21,21 @@ DATE_FORMATS = (
 )
 
 
+MAX_DATE_CHARS = 29
+
+
 def parses_as(text: Column, shape: str, pattern: str) -> Column:
-    """1.0 where ``text`` is a date in the given format, 0.0 elsewhere, NULL on NULL."""
-    parsed = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)).isNotNull())
-    return F.when(text.isNotNull(), F.coalesce(parsed, F.lit(False)).cast("double"))
+    """Whether ``text`` is a date in the given format."""
+    # every format starts with a digit: most text is turned away without a regular expression
+    likely = F.substring(text, 1, 1).between("0", "9") & (F.char_length(text) <= MAX_DATE_CHARS)
+    parsed = F.when(likely, F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)).isNotNull()))
+    return F.coalesce(parsed, F.lit(False))
 
 
-def best_format_share(text: Column) -> Column:
-    """Aggregate: share of non-null cells that parse under the best single format."""
-    shares = [F.avg(parses_as(text, shape, pattern)) for shape, pattern, _ in DATE_FORMATS]
-    return F.coalesce(F.greatest(*shares), F.lit(0.0))
+def best_format_share(text: Column, cnt: Column) -> Column:
+    """Aggregate over ``(value, cnt)``: share of cells that parse under the best single format."""
+    total = F.sum(F.when(text.isNotNull(), cnt)).cast("double")
+    hits = [
+        F.sum(F.when(parses_as(text, shape, pattern), cnt).otherwise(0)) for shape, pattern, _ in DATE_FORMATS
+    ]
+    return F.coalesce(F.try_divide(F.greatest(*hits).cast("double"), total), F.lit(0.0))

@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from tabloom.functions.names import column
 
 HASH_RANGE = 2**32
+SHORT_TEXT = 64
+
+
+def compact(text: Column) -> Column:
+    """Stand-in for ``text`` where only equality matters: long text becomes its SHA-256 digest.
+
+    Keeps whole documents out of shuffles. The mark makes a stand-in longer than any text that is
+    kept as it is, so the two never meet.
+    """
+    digest = F.concat(F.lit("sha256:"), F.sha2(text, 256))
+    return F.when(F.octet_length(text) <= SHORT_TEXT, text).otherwise(digest)
 
 
 def row_key(df: DataFrame, columns: list[str] | None = None) -> Column:

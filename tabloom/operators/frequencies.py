@@ -15,9 +15,11 @@ FREQUENCY_SCHEMA = "column string, value string, cnt bigint"
 RANKED_SCHEMA = "column string, value string, cnt bigint, rank int"
 
 
-def frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def frequencies(df: DataFrame, columns: Sequence[str] | None = None, identity: bool = False) -> DataFrame:
     """``(column, value, cnt)`` for all columns; a NULL value row holds the missing cells.
 
+    With ``identity`` long text shows as a digest, for callers that only count.
+
     Map-side combine collapses frequent values before the shuffle, so a value that fills a
     third of a column costs one row per task.
     """
@@ -25,7 +27,7 @@ def frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     if not names:
         return empty(df.sparkSession, FREQUENCY_SCHEMA)
     frames = []
-    for lane in typed_lanes(df, names):
+    for lane in typed_lanes(df, names, identity=identity):
         counted = lane.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
         dtype = lane.schema["value"].dataType
         frames.append(counted.select("column", as_text(F.col("value"), dtype).alias("value"), "cnt"))
@@ -98,7 +100,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     # both sides have one row per column of the schema
     return (
         described_columns(df, names)
-        .join(F.broadcast(column_counts(frequencies(df, names))), "column", "left")
+        .join(F.broadcast(column_counts(frequencies(df, names, identity=True))), "column", "left")
         .select(
             "position", "column", "dtype",
             *[F.coalesce(c, zero).alias(c) for c in ("missing_count", "present_count", "unique_count")],

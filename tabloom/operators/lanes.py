@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tabloom.functions.hashing import compact
 from tabloom.functions.missing import value_or_null
 from tabloom.functions.names import quoted
 
@@ -89,10 +90,13 @@ def _groupable(ref: Column, dtype: T.DataType) -> Column:
     return ref.cast("string")
 
 
-def typed_lanes(df: DataFrame, columns: Sequence[str], carry: dict[str, Column] | None = None) -> list[DataFrame]:
+def typed_lanes(
+    df: DataFrame, columns: Sequence[str], carry: dict[str, Column] | None = None, identity: bool = False
+) -> list[DataFrame]:
     """Unpivoted ``(column, value, *carry)`` frames, one per value type.
 
     Keeping numbers typed avoids printing every cell; each lane reads only its own columns.
+    ``identity`` is for callers that only compare values: long text shrinks to a digest.
     """
     by_type: dict[str, list[str]] = {}
     for name in columns:
@@ -103,6 +107,8 @@ def typed_lanes(df: DataFrame, columns: Sequence[str], carry: dict[str, Column]
         for name in names:
             ref = value_or_null(df, name)
             ref = _groupable(ref, df.schema[name].dataType) if lane == "string" else ref.cast(lane)
+            if identity and lane == "string":
+                ref = compact(ref)
             refs.append(ref.alias(name))
         carried = [ref.alias(f"__{key}") for key, ref in (carry or {}).items()]
         wide = df.select(*carried, *refs)

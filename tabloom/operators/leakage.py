@@ -64,7 +64,7 @@ def class_purity(df: DataFrame, target: str, columns: Sequence[str]) -> DataFram
     if not columns:
         return empty(df.sparkSession, schema)
     frames = []
-    for lane in typed_lanes(df, columns, carry={"y": value_or_null(df, target)}):
+    for lane in typed_lanes(df, columns, carry={"y": value_or_null(df, target)}, identity=True):
         known = lane.where(F.col("value").isNotNull() & F.col("y").isNotNull())
         frames.append(
             known.groupBy("column", "value")

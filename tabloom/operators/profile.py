@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.functions.hashing import compact
 from tabloom.functions.missing import is_missing, normalize_missing
 from tabloom.functions.names import column
 from tabloom.functions.numbers import is_numeric, ratio
@@ -32,7 +33,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def _comparable(df: DataFrame) -> DataFrame:
-    """Columns in a form that can be grouped; maps become sorted entry lists."""
+    """Columns in a form that can be grouped: maps as sorted entry lists, long text as digests."""
     wide = normalize_missing(df)
     refs = []
     for field in wide.schema.fields:
@@ -41,6 +42,8 @@ def _comparable(df: DataFrame) -> DataFrame:
             ref = F.array_sort(F.map_entries(ref))
         elif isinstance(field.dataType, T.VariantType):
             ref = F.to_json(ref)
+        elif isinstance(field.dataType, T.StringType):
+            ref = compact(ref)
         refs.append(ref.alias(field.name))
     return wide.select(*refs)
 
@@ -167,7 +170,7 @@ def categorical_summary(df: DataFrame, columns: Sequence[str], top_n: int = 5) -
     names = list(columns)
     if not names:
         return empty(df.sparkSession, CATEGORICAL_SCHEMA)
-    freq = frequencies(df, names)
+    freq = frequencies(df, names)  # shown values, so no digests here
     counts = described_columns(df, names).join(F.broadcast(column_counts(freq)), "column", "left")
     # at most top_n rows per column reach this point
     shown = F.concat_ws(": ", F.col("value"), F.col("cnt").cast("string"))

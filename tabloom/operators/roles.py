@@ -12,8 +12,8 @@ from tabloom.functions.dates import best_format_share
 from tabloom.functions.missing import value_or_null
 from tabloom.functions.names import looks_like_identifier_name
 from tabloom.functions.numbers import is_numeric, ratio
-from tabloom.operators.frequencies import described_columns, distinct_counts
-from tabloom.operators.lanes import empty, local_table, per_column
+from tabloom.operators.frequencies import described_columns, distinct_counts, frequencies
+from tabloom.operators.lanes import local_table
 
 # The thresholds of the rules.
 DATETIME_SHARE = 0.75
@@ -37,43 +37,48 @@ def high_cardinality_rule(unique: Column, present: Column) -> Column:
     )
 
 
+def _text_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, parse_ratio, present_count, unique_count)`` of text columns from one grouped pass.
+
+    Dates are parsed once per distinct value, weighted by its count.
+    """
+    freq = frequencies(df, list(columns), identity=True)
+    present = F.col("value").isNotNull()
+    return freq.groupBy("column").agg(
+        best_format_share(F.col("value"), F.col("cnt")).alias("parse_ratio"),
+        F.coalesce(F.sum(F.when(present, F.col("cnt"))), F.lit(0)).cast("bigint").alias("present_count"),
+        F.count("value").alias("unique_count"),
+    )
+
+
 def datetime_parse_ratio(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, parse_ratio)``: share of the non-null cells of text columns that are dates.
 
-    All rows are read, so the answer does not depend on row order.
+    All rows count, so the answer does not depend on row order.
     """
-    def measures(ref: Column, name: str) -> list[Column]:
-        return [best_format_share(ref.cast("string")).alias("parse_ratio")]
-
-    return per_column(df, columns, measures, "column string, parse_ratio double", columns_per_scan=20)
+    return _text_facts(df, columns).select("column", "parse_ratio").orderBy("column")
 
 
 def column_roles(df: DataFrame) -> DataFrame:
     """``(column, dtype, is_numeric, is_categorical, is_datetime, is_boolean, is_high_cardinality)``.
 
     The schema settles numbers, booleans and native dates. Only the remaining text-like columns
-    are read: one scan for the date test and one grouped count for the cardinality test.
+    are read, in one grouped pass that serves the date and the cardinality test.
     """
     fields = df.schema.fields
     texts = [f.name for f in fields if not is_numeric(f.dataType)
              and not _native_datetime(f.dataType) and not isinstance(f.dataType, T.BooleanType)]
-    plain = [f.name for f in fields if f.name in texts and isinstance(f.dataType, T.StringType)]
     kinds = [
         (f.name, is_numeric(f.dataType), _native_datetime(f.dataType), isinstance(f.dataType, T.BooleanType))
         for f in fields
     ]
     spark = df.sparkSession
     by_schema = local_table(spark, kinds, "column string, numeric boolean, native boolean, bool boolean")
-    dates = (
-        datetime_parse_ratio(df, plain) if plain else empty(spark, "column string, parse_ratio double")
-    )
-    counts = distinct_counts(df, texts).select("column", "unique_count", "present_count")
     # every input of these joins has one row per column
     facts = (
         described_columns(df, df.columns)
         .join(F.broadcast(by_schema), "column")
-        .join(F.broadcast(dates), "column", "left")
-        .join(F.broadcast(counts), "column", "left")
+        .join(F.broadcast(_text_facts(df, texts)), "column", "left")
     )
     is_date = F.col("native") | (~F.col("bool") & ~F.col("numeric") & F.coalesce(
         (F.col("parse_ratio") >= DATETIME_SHARE) & (F.col("present_count") > 0), F.lit(False)))
