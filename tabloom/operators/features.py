@@ -285,11 +285,13 @@ class CategoryOneHot(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadab
     def _fit(self, df: DataFrame) -> PipelineModel:
         names = self.getInputCols()
         indexes = [f"__index_{name}" for name in names]
-        indexer = StringIndexerModel.from_arrays_of_labels(
-            self.getOrDefault(self.levels), inputCols=names, outputCols=indexes, handleInvalid="keep")
+        indexers = PipelineModel([
+            StringIndexerModel.from_labels(levels, name, index, handleInvalid="keep")
+            for levels, name, index in zip(self.getOrDefault(self.levels), names, indexes)
+        ])
         # the sizes are in the column metadata: fitting runs no job
         encoder = OneHotEncoder(inputCols=indexes, outputCols=self.getOutputCols(), dropLast=True)
-        return PipelineModel([indexer, encoder.fit(indexer.transform(df)), _Drop(columns=indexes)])
+        return PipelineModel([indexers, encoder.fit(indexers.transform(df)), _Drop(columns=indexes)])
 
 
 class _Drop(Transformer, DefaultParamsReadable, DefaultParamsWritable):

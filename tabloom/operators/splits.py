@@ -37,7 +37,7 @@ def stratified_rank(df: DataFrame, label: str, key: Column, seed: int = 42) -> D
     """
     hashed = df.withColumn("__h", seeded_hash(key, seed)).withColumn("__y", value_or_null(df, label)).withColumn(
         "__slice", F.floor(F.col("__h") / (HASH_RANGE // HASH_SLICES)).cast("int")
-    ).withColumn("__key", key.cast("string"))
+    ).withColumn("__tie", key.cast("string"))
     sizes = hashed.groupBy("__y", "__slice").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__y").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("__y")
@@ -45,13 +45,13 @@ def stratified_rank(df: DataFrame, label: str, key: Column, seed: int = 42) -> D
         F.col("__y").alias("__oy"), F.col("__slice").alias("__oslice"),
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("__size"),
     )
-    within = Window.partitionBy("__y", "__slice").orderBy("__h", "__key")
+    within = Window.partitionBy("__y", "__slice").orderBy("__h", "__tie")
     ranked = hashed.withColumn("__r", F.row_number().over(within)).join(
         offsets, F.col("__y").eqNullSafe(F.col("__oy")) & (F.col("__slice") == F.col("__oslice"))
     )
     return ranked.withColumn("stratum_rank", F.col("__before") + F.col("__r") - 1).withColumn(
         "stratum_size", F.col("__size")
-    ).drop("__h", "__y", "__slice", "__key", "__oy", "__oslice", "__before", "__size", "__r")
+    ).drop("__h", "__y", "__slice", "__tie", "__oy", "__oslice", "__before", "__size", "__r")
 
 
 def stratified_split(df: DataFrame, label: str, key: Column, test_size: float = 0.2, seed: int = 42) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("profile", "quality", "arrays", "features", "evaluation")
+AREAS = ("profile", "quality", "arrays", "features", "evaluation", "modelling")
 
 
 def load_all() -> None:
