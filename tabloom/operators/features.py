@@ -23,7 +23,7 @@ from tabloom.functions.missing import value_or_null
 from tabloom.functions.names import column
 from tabloom.functions.text import as_text
 from tabloom.operators.frequencies import column_counts, frequencies, most_frequent, top_values
-from tabloom.operators.lanes import local_table, per_column
+from tabloom.operators.lanes import local_table
 from tabloom.operators.quantiles import exact_quantiles
 
 # The labels and defaults of rare-category grouping.
@@ -65,17 +65,15 @@ class NumericEncoder(Estimator, _NumericParams):
     def _fit(self, df: DataFrame) -> "NumericEncoderModel":
         names = self.getInputCols()
 
-        def measures(ref: Column, name: str) -> list[Column]:
+        def moments(ref: Column, name: str) -> list[Column]:
             number = ref.try_cast("double")
             return [
-                F.count(F.lit(1)).alias("n_rows"), F.count(number).alias("n"),
-                F.avg(number).alias("mean"), F.var_pop(number).alias("variance"),
+                F.count(F.lit(1)).alias("n_rows"), F.avg(number).alias("mean"), F.var_pop(number).alias("variance"),
             ]
 
-        moments = per_column(
-            df, names, measures, "column string, n_rows bigint, n bigint, mean double, variance double")
-        medians = exact_quantiles(df, names, [0.5]).select("column", F.get("q", F.lit(0)).alias("median"))
-        found = {r["column"]: r for r in moments.join(F.broadcast(medians), "column").collect()}
+        medians = exact_quantiles(
+            df, names, [0.5], extra=moments, extra_schema=", n_rows bigint, mean double, variance double")
+        found = {r["column"]: r for r in medians.withColumn("median", F.get("q", F.lit(0))).collect()}
         fills, means, deviations = [], [], []
         for name in names:
             row = found[name]

@@ -46,6 +46,8 @@ LOGISTIC_GRID = {"C": [0.1, 0.5, 1.0, 2.0, 5.0]}
 RIDGE_GRID = {"alpha": [0.1, 1.0, 5.0, 10.0]}
 
 SPARK_MAX_DEPTH = 30
+MAX_BINS = 256
+NODE_MEMORY_MB = 512
 NORMAL_SOLVER_FEATURES = 4096
 FEATURES, LABEL, WEIGHT = "features", "label", "weight"
 
@@ -128,7 +130,7 @@ class BalancedForest(Estimator, HasSeed, DefaultParamsReadable, DefaultParamsWri
         return RandomForestClassifier(
             featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, numTrees=self.getOrDefault(self.numTrees),
             maxDepth=self.getOrDefault(self.maxDepth), minInstancesPerNode=self.getOrDefault(self.minInstances),
-            featureSubsetStrategy="sqrt", seed=self.getSeed(),
+            featureSubsetStrategy="sqrt", seed=self.getSeed(), maxBins=MAX_BINS, maxMemoryInMB=NODE_MEMORY_MB,
         ).fit(weighted)
 
 
@@ -148,7 +150,8 @@ def _boosting(task: str, n_classes: int, seed: int, settings: dict[str, Any]) ->
     common = dict(
         featuresCol=FEATURES, labelCol=LABEL, maxIter=settings["n_estimators"], stepSize=settings["learning_rate"],
         maxDepth=settings["max_depth"], subsamplingRate=settings.get("subsample", 1.0),
-        featureSubsetStrategy=str(settings.get("colsample", "all")), seed=seed,
+        featureSubsetStrategy=str(settings.get("colsample", "all")), seed=seed, maxBins=MAX_BINS,
+        maxMemoryInMB=NODE_MEMORY_MB,
     )
     if task == "regression":
         return GBTRegressor(**common)
@@ -179,7 +182,7 @@ def make_model(task: str, name: str, seed: int = 42, n_classes: int = 2, **overr
         return RandomForestRegressor(
             featuresCol=FEATURES, labelCol=LABEL, numTrees=settings["n_estimators"],
             maxDepth=_depth(settings["max_depth"]), minInstancesPerNode=settings["min_samples_leaf"],
-            featureSubsetStrategy="all", seed=seed)
+            featureSubsetStrategy="all", seed=seed, maxBins=MAX_BINS, maxMemoryInMB=NODE_MEMORY_MB)
     if name.startswith("Gradient Boosting"):
         return _boosting(task, n_classes, seed, {**BOOSTING, **overrides})
     if name.startswith("XGBoost"):

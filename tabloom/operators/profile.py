@@ -145,21 +145,18 @@ def numeric_summary(
     if not names:
         return empty(df.sparkSession, NUMERIC_SCHEMA)
 
-    def measures(ref: Column, name: str) -> list[Column]:
+    def moments(ref: Column, name: str) -> list[Column]:
         number = ref.cast("double")
         return [
-            F.count(number).alias("count"), F.avg(number).alias("mean"),
-            F.stddev_samp(number).alias("std"), F.min(number).alias("min"), F.max(number).alias("max"),
+            F.avg(number).alias("mean"), F.stddev_samp(number).alias("std"),
+            F.min(number).alias("min"), F.max(number).alias("max"),
         ]
 
-    moments = per_column(
-        df, names, measures, "column string, count bigint, mean double, std double, min double, max double"
-    )
     find = exact_quantiles if quantiles == "exact" else approximate_quantiles
-    marks = find(df, names, [0.25, 0.5, 0.75], accuracy)
-    # one row per column on both sides
-    return moments.join(F.broadcast(marks), "column").select(
-        "column", "count", "mean", "std", "min",
+    found = find(
+        df, names, [0.25, 0.5, 0.75], accuracy, moments, ", mean double, std double, min double, max double")
+    return found.select(
+        "column", F.col("n").alias("count"), "mean", "std", "min",
         F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(1)).alias("p50"), F.get("q", F.lit(2)).alias("p75"),
         "max",
     ).orderBy("column")

@@ -11,18 +11,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tabloom.operators.lanes import empty, local_table, numeric_cells, per_column
+from tabloom.operators.lanes import empty, local_table, numeric_cells, per_column, union_all
 
 ACCURACY = 100_000
 SEGMENTS = 64
+Measures = Callable[[Column, str], list[Column]]
 
 
-def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+def _sketch(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int,
+    extra: Measures | None, extra_schema: str,
+) -> list[Row]:
+    """One row per column: size, range, bracket marks and the extra measures, from one scan."""
     slack = 2.0 / accuracy
     marks = [min(1.0, max(0.0, p + side)) for p in probs for side in (-slack, slack)]
 
@@ -31,24 +36,24 @@ def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float], acc
         return [
             F.count(number).alias("n"),
             F.min(number).alias("least"),
-            F.max(number).alias("most"),
             F.percentile_approx(number, F.array(*[F.lit(m) for m in marks]), F.lit(accuracy)).alias("marks"),
+            *(extra(ref, name) if extra else []),
         ]
 
-    fences = per_column(
-        df, columns, measures, "column string, n bigint, least double, most double, marks array<double>"
-    )
-    # few rows: the whole column is one bracket, and it holds at most `accuracy` values
-    small = F.col("n") <= accuracy
-    bounds = []
-    for j in range(len(probs)):
-        low, high = F.get("marks", F.lit(2 * j)), F.get("marks", F.lit(2 * j + 1))
-        bounds.append(F.when(small, F.col("least")).otherwise(low).alias(f"low{j}"))
-        bounds.append(F.when(small, F.col("most")).otherwise(high).alias(f"high{j}"))
-    rows = fences.select("column", "n", "least", *bounds).collect()
-    schema = "column string, n bigint, least double"
-    schema += "".join(f", low{j} double, high{j} double" for j in range(len(probs)))
-    return local_table(df.sparkSession, rows, schema)
+    return per_column(
+        df, columns, measures, f"column string, n bigint, least double, marks array<double>{extra_schema}"
+    ).collect()
+
+
+def _small(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """``(column, q)`` of columns known to hold few values, which the built-in keeps in memory."""
+    wanted = F.array(*[F.lit(p) for p in probs])
+
+    def measures(ref: Column, name: str) -> list[Column]:
+        number = ref.try_cast("double")
+        return [F.percentile(F.when(~F.isnan(number), number), wanted).alias("q")]
+
+    return per_column(df, columns, measures, "column string, q array<double>")
 
 
 def _placed(k: int) -> tuple[Column, Column, Column]:
@@ -74,20 +79,45 @@ def _placed(k: int) -> tuple[Column, Column, Column]:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY,
+    extra: Measures | None = None, extra_schema: str = "",
 ) -> DataFrame:
-    """``(column, n, q)``: linear-interpolation quantiles, ``q[i]`` for ``probs[i]`` (ascending).
+    """``(column, n, *extra, q)``: linear-interpolation quantiles, ``q[i]`` for ``probs[i]`` (ascending).
 
-    ``q`` holds NULLs for a column without values.
+    ``q`` is NULL for a column without values. ``extra`` adds aggregates to the sketch scan, with
+    ``extra_schema`` as ``", name type"`` pairs. Columns of at most ``accuracy`` values skip the
+    bracket pass.
     """
     probs = [float(p) for p in probs]
     if sorted(probs) != probs:
         raise ValueError("probabilities must ascend")
+    spark = df.sparkSession
     if not columns:
-        return empty(df.sparkSession, "column string, n bigint, q array<double>")
+        return empty(spark, f"column string, n bigint{extra_schema}, q array<double>")
+    rows = _sketch(df, columns, probs, accuracy, extra, extra_schema)
+    facts = local_table(
+        spark, [(r["column"], r["n"], *r[4:]) for r in rows], f"column string, n bigint{extra_schema}")
+    few = [r["column"] for r in rows if 0 < r["n"] <= accuracy]
+    many = [r for r in rows if r["n"] > accuracy]
+    found = []
+    if few:
+        found.append(_small(df, few, probs))
+    if many:
+        found.append(_bracketed(df, many, probs))
+    answers = union_all(found) if found else empty(spark, "column string, q array<double>")
+    # one row per column on both sides
+    return facts.join(F.broadcast(answers), "column", "left")
+
+
+def _bracketed(df: DataFrame, sketched: list[Row], probs: list[float]) -> DataFrame:
+    """``(column, q)`` from one pass over the columns, guided by their brackets."""
+    columns = [r["column"] for r in sketched]
     k = len(probs)
+    bounds = "".join(f", low{j} double, high{j} double" for j in range(k))
     # one row per column of the schema: safe to broadcast whatever the data size
-    fences = F.broadcast(_brackets(df, columns, probs, accuracy))
+    fences = F.broadcast(local_table(
+        df.sparkSession, [(r["column"], r["n"], r["least"], *r["marks"]) for r in sketched],
+        f"column string, n bigint, least double{bounds}"))
     key, gap, segment = _placed(k)
     counted = (
         numeric_cells(df, columns)
@@ -127,22 +157,21 @@ def exact_quantiles(
         value = F.when(high.isNull() | (high == low), low).otherwise(low + fraction * (high - low))
         missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
         values.append(F.when(outside, missed).otherwise(value))
-    # one row per column on both sides
-    return (
-        fences.select("column", "n")
-        .join(F.broadcast(found), "column", "left")
-        .select("column", "n", F.array(*values).alias("q"))
-    )
+    return found.join(fences.select("column", "n"), "column").select("column", F.array(*values).alias("q"))
 
 
 def approximate_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = 10_000
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = 10_000,
+    extra: Measures | None = None, extra_schema: str = "",
 ) -> DataFrame:
     """Same contract from one scan, with rank error ``1 / accuracy``."""
     wanted = F.array(*[F.lit(float(p)) for p in probs])
 
     def measures(ref: Column, name: str) -> list[Column]:
         number = ref.try_cast("double")
-        return [F.count(number).alias("n"), F.percentile_approx(number, wanted, F.lit(accuracy)).alias("q")]
+        return [
+            F.count(number).alias("n"), *(extra(ref, name) if extra else []),
+            F.percentile_approx(number, wanted, F.lit(accuracy)).alias("q"),
+        ]
 
-    return per_column(df, columns, measures, "column string, n bigint, q array<double>")
+    return per_column(df, columns, measures, f"column string, n bigint{extra_schema}, q array<double>")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
@@ -98,6 +98,12 @@ class TrainResult:
     cv_summary: DataFrame | None = None
     search_summary: DataFrame | None = None
     best_params: dict[str, Any] | None = None
+    cached: DataFrame | None = None
+
+    def release(self) -> None:
+        """Free the cached split; the result's tables stay usable and are computed anew."""
+        if self.cached is not None:
+            self.cached.unpersist()
 
     @property
     def used_features(self) -> list[str]:
@@ -265,6 +271,10 @@ def train_model(
     """Prepare, split, fit (with search when asked), score on the test rows, cross-validate."""
     prepared = prepare(df, config, key)
     rows = split(prepared, config, exact_split)
+    small = prepared.usable_rows <= EXACT_SPLIT_ROWS
+    if small:
+        # an exact split has a shuffle behind it; a larger table is simply read again
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = rows.where(~F.col(TEST)), rows.where(F.col(TEST))
     folds = _fold_count(train, config) if config.use_search or config.use_cv else 0
 
@@ -302,9 +312,6 @@ def train_model(
         test_rows=model.stages[0].transform(test).select(KEY, FEATURES, LABEL),
         label_classes=prepared.classes,
         confusion=evaluate.confusion(compared, prepared.classes) if prepared.classes else None,
-        cv_summary=cv_summary, search_summary=search_summary, best_params=best,
+        cv_summary=cv_summary, search_summary=search_summary, best_params=best, cached=rows if small else None,
     )
 
-
-def refit_with(config: ModelConfig, **changes: Any) -> ModelConfig:
-    return replace(config, **changes)
