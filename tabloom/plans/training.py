@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from multiprocessing.pool import ThreadPool
 from typing import Any
@@ -187,12 +188,13 @@ def _as_predictions(scored: DataFrame, classes: Sequence[str], extra: Sequence[s
     return scored.select(*extra, *columns)
 
 
-def _score(predictions: DataFrame, task: str) -> float:
+def _scores(predictions: DataFrame, task: str, by: str) -> dict[int, float]:
+    """The score that ranks candidates, for each value of ``by``."""
     if task == "classification":
-        metrics, wanted = evaluate.classification_metrics(predictions), "f1_weighted"
+        metrics, wanted = evaluate.classification_metrics(predictions, [by]), "f1_weighted"
     else:
-        metrics, wanted = evaluate.regression_metrics(predictions), "r2"
-    return metrics.where(F.col("metric") == wanted).first()["value"]
+        metrics, wanted = evaluate.regression_metrics(predictions, [by]), "r2"
+    return {row[by]: row["value"] for row in metrics.where(F.col("metric") == wanted).collect()}
 
 
 def search(
@@ -213,13 +215,17 @@ def search(
         inside = fitted.transform(fitting).select(FEATURES, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
         outside = fitted.transform(holding).select(FEATURES, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
 
-        def run(params: dict[str, Any]) -> float:
-            model = _estimator(config, prepared.classes, params).fit(inside)
-            return _score(_as_predictions(model.transform(outside), prepared.classes), config.task_type)
-
         with ThreadPool(parallelism) as pool:
-            for i, value in enumerate(pool.map(run, settings)):
-                scores[i].append(value)
+            models = pool.map(lambda params: _estimator(config, prepared.classes, params).fit(inside), settings)
+        # one job scores all candidates of the fold
+        scored = union_all([
+            _as_predictions(model.transform(outside), prepared.classes).select(
+                F.lit(i).alias("candidate"), "y_true", "y_pred")
+            for i, model in enumerate(models)
+        ])
+        found = _scores(scored, config.task_type, "candidate")
+        for i in range(len(settings)):
+            scores[i].append(found[i])
         inside.unpersist()
         outside.unpersist()
     means = [sum(values) / len(values) for values in scores]
@@ -264,6 +270,22 @@ def _fold_count(rows: DataFrame, config: ModelConfig) -> int:
     return splits.safe_folds(rows, LABEL, config.cv_folds, config.task_type).first()["folds"]
 
 
+@contextmanager
+def _folded(
+    rows: DataFrame, prepared: Prepared, config: ModelConfig, folds: int, exact: bool | None
+) -> Iterator[DataFrame]:
+    """Rows with ``fold``, cached while a small table is worked on."""
+    folded = with_folds(rows, prepared, folds, config.random_state, exact)
+    if prepared.usable_rows > EXACT_SPLIT_ROWS:
+        yield folded
+        return
+    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield folded
+    finally:
+        folded.unpersist()
+
+
 def train_model(
     df: DataFrame, config: ModelConfig, key: Column | None = None, exact_split: bool | None = None,
     parallelism: int = 2,
@@ -280,16 +302,17 @@ def train_model(
 
     search_summary, best = None, None
     if config.use_search:
-        folded = with_folds(train, prepared, folds, config.random_state, exact_split)
-        found = search(folded, prepared, config, folds, parallelism)
+        with _folded(train, prepared, config, folds, exact_split) as folded:
+            found = search(folded, prepared, config, folds, parallelism)
         if found:
             search_summary, best = found
     model = _fit(train, prepared, config, best or {})
 
     cv_summary = None
     if config.use_cv:
-        folded = with_folds(rows, prepared, folds, config.random_state, exact_split)
-        cv_summary = cross_validate(folded, prepared, config, folds, best or {})
+        with _folded(rows, prepared, config, folds, exact_split) as folded:
+            summary = cross_validate(folded, prepared, config, folds, best or {})
+            cv_summary = local_table(df.sparkSession, summary.collect(), "metric string, mean double, std double")
 
     features = prepared.numeric + prepared.categorical
     scored = model.transform(test)
