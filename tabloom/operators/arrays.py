@@ -1,7 +1,8 @@
 """Statistics over columns of numeric arrays (image stacks, sequences, embeddings).
 
-A bundle is a table ``(file, position, name, sample_index, shape, dtype, values)`` with one row
-per sample: ``shape`` is the shape of a single sample, ``values`` its flattened numbers.
+A bundle is a table ``(file, position, name, sample_index, shape, dtype, values, text)`` with one
+row per sample: ``shape`` is the shape of a single sample, ``values`` its flattened numbers, and
+``text`` its content where the array does not hold numbers.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from tabloom.functions.hashing import seeded_hash
 
 BUNDLE_SCHEMA = (
     "file string, position int, name string, sample_index bigint, shape array<int>, dtype string, "
-    "values array<double>"
+    "values array<double>, text string"
 )
 # Names that mark an array of labels.
 LABEL_NAMES = ("y", "label", "labels", "target", "targets", "class", "classes")
@@ -106,21 +107,28 @@ def feature_table(bundle: DataFrame, x_name: str, y_name: str | None = None) ->
     Raises when the arrays of a file differ in length.
     """
     keys = ["file", "sample_index"]
-    samples = bundle.where(F.col("name") == x_name)
-    if samples.where(F.size("shape") < 1).limit(1).count():
+    is_x, is_y = F.col("name") == x_name, F.col("name") == (y_name or x_name)
+    # one pass answers every check; it leaves one row, whatever the number of files
+    checks = bundle.where(is_x | is_y).groupBy("file").agg(
+        F.count_if(is_x).alias("x"), F.count_if(is_y).alias("y"),
+        F.min(F.when(is_x, F.size("shape"))).alias("depth"), F.bool_or(is_y & F.col("text").isNotNull()).alias("worded"),
+    ).agg(
+        F.coalesce(F.sum("x"), F.lit(0)).alias("x"), F.coalesce(F.sum("y"), F.lit(0)).alias("y"),
+        F.min("depth").alias("depth"), F.coalesce(F.bool_or("worded"), F.lit(False)).alias("worded"),
+        F.coalesce(F.bool_or(F.col("x") != F.col("y")), F.lit(False)).alias("uneven"),
+    ).first()
+    for name, rows in ((x_name, checks["x"]), (y_name, checks["y"])):
+        if name is not None and not rows:
+            raise ValueError(f"no array named {name}")
+    if checks["depth"] < 1:
         raise ValueError(f"array {x_name} needs at least two dimensions")
-    if samples.limit(1).count() == 0:
-        raise ValueError(f"no array named {x_name}")
-    features = sample_features(samples, keys)
+    features = sample_features(bundle.where(is_x), keys)
     if y_name is None:
         return features
-    labels = bundle.where(F.col("name") == y_name).select(*keys, F.get("values", F.lit(0)).alias("target"))
-    x_size = F.count_if(F.col("name") == x_name)
-    y_size = F.count_if(F.col("name") == y_name)
-    sizes = bundle.where(F.col("name").isin(x_name, y_name)).groupBy("file").agg(x_size.alias("x"), y_size.alias("y"))
-    if sizes.where(F.col("x") != F.col("y")).limit(1).count():
+    if checks["uneven"]:
         raise ValueError(f"arrays {x_name} and {y_name} differ in length")
-    return features.join(labels, keys)
+    target = F.col("text") if checks["worded"] else F.get("values", F.lit(0))
+    return features.join(bundle.where(is_y).select(*keys, target.alias("target")), keys)
 
 
 def global_moments(df: DataFrame, values: str = "values") -> DataFrame:

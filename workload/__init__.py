@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("profile", "quality", "arrays", "features", "evaluation", "modelling")
+AREAS = ("profile", "quality", "arrays", "features", "evaluation", "modelling", "ingest", "reporting")
 
 
 def load_all() -> None:

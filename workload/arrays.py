@@ -8,16 +8,17 @@ from workload.registry import query, rounded, table
 
 def bundle(spark, sf_dir):
     """The embeddings as two arrays of one file: X (n x 64) and y (n)."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull())
+    rows = table(spark, sf_dir, "embeddings")
     values = F.col("embedding").cast("array<double>")
     x = rows.select(
         F.lit("embeddings").alias("file"), F.lit(0).alias("position"), F.lit("X").alias("name"),
         F.col("vec_id").alias("sample_index"), F.array(F.size("embedding")).alias("shape"),
-        F.lit("float32").alias("dtype"), values.alias("values"))
+        F.lit("float32").alias("dtype"), values.alias("values"), F.lit(None).cast("string").alias("text"))
     y = rows.select(
         F.lit("embeddings").alias("file"), F.lit(1).alias("position"), F.lit("label").alias("name"),
         F.col("vec_id").alias("sample_index"), F.array().cast("array<int>").alias("shape"),
-        F.lit("int32").alias("dtype"), F.array(F.col("label").cast("double")).alias("values"))
+        F.lit("int32").alias("dtype"), F.array(F.col("label").cast("double")).alias("values"),
+        F.lit(None).cast("string").alias("text"))
     return x.unionByName(y)
 
 
