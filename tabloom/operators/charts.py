@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.hashing import seeded_hash
 from tabloom.operators.correlation import correlation
 from tabloom.operators.frequencies import top_k
-from tabloom.operators.lanes import empty, numeric_cells, per_column
+from tabloom.operators.lanes import empty, number_cell, numeric_cells, per_column
 from tabloom.operators.profile import missing_ratios, numeric_summary
 from tabloom.operators.quality import iqr_outliers
 
@@ -35,13 +35,9 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = HISTOGRAM_BINS)
     if not columns:
         return empty(df.sparkSession, HISTOGRAM_SCHEMA)
 
-    def measures(ref: Column, name: str) -> list[Column]:
-        number = ref.cast("double")
-        return [F.min(number).alias("least"), F.max(number).alias("most")]
-
-    limits = per_column(df, columns, measures, "column string, least double, most double").where(
-        F.col("least").isNotNull()
-    )
+    limits = per_column(
+        df, columns, number_cell(df), [F.min("value").alias("least"), F.max("value").alias("most")],
+        "column string, least double, most double").where(F.col("least").isNotNull())
     flat = F.col("least") == F.col("most")
     # limits and bins are bounded by the number of columns, not by the data
     slot = F.least(F.width_bucket("value", F.col("least"), F.col("most"), F.lit(bins)), F.lit(bins))

@@ -7,34 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.missing import value_or_null
 from tabloom.functions.numbers import pearson
-from tabloom.operators.lanes import batches, empty, union_all
+from tabloom.operators.lanes import empty, number_cell
 
 CORRELATION_SCHEMA = "x string, y string, corr double"
-PAIRS_PER_SCAN = 100
 
 
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Full matrix as ``(x, y, corr)``, each pair over the rows where both are present.
 
-    Only the upper triangle is computed, up to 100 pairs per scan, and mirrored afterwards.
+    One scan whatever the number of columns: each task lists the column pairs of a row and keeps
+    one running aggregate per pair. Only the upper triangle is computed and mirrored afterwards.
     """
     names = list(columns)
     if len(names) < 2:
         return empty(df.sparkSession, CORRELATION_SCHEMA)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    frames = []
-    for batch in batches(pairs, PAIRS_PER_SCAN):
-        structs = [
-            F.struct(
-                F.lit(a).alias("x"), F.lit(b).alias("y"),
-                pearson(value_or_null(df, a), value_or_null(df, b)).alias("corr"),
-            )
-            for a, b in batch
-        ]
-        frames.append(df.agg(F.array(*structs).alias("pairs")).select(F.inline("pairs")))
-    half = union_all(frames)
+    cell = number_cell(df)
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+                      for i in range(len(names)) for j in range(i, len(names))])
+    labels = F.array(*[F.lit(name) for name in names])
+    x, y = F.get("v", F.col("i")), F.get("v", F.col("j"))
+    half = (
+        df.select(F.array(*[cell(name) for name in names]).alias("v"))
+        .select("v", F.inline(pairs))
+        .groupBy("i", "j").agg(pearson(x, y).alias("corr"))
+        .select(F.get(labels, F.col("i")).alias("x"), F.get(labels, F.col("j")).alias("y"), "corr")
+    )
     mirror = F.when(
         F.col("x") == F.col("y"), F.array(F.struct("x", "y", "corr"))
     ).otherwise(

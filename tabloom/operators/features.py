@@ -65,12 +65,8 @@ class NumericEncoder(Estimator, _NumericParams):
     def _fit(self, df: DataFrame) -> "NumericEncoderModel":
         names = self.getInputCols()
 
-        def moments(ref: Column, name: str) -> list[Column]:
-            number = ref.try_cast("double")
-            return [
-                F.count(F.lit(1)).alias("n_rows"), F.avg(number).alias("mean"), F.var_pop(number).alias("variance"),
-            ]
-
+        moments = [
+            F.count(F.lit(1)).alias("n_rows"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance")]
         medians = exact_quantiles(
             df, names, [0.5], extra=moments, extra_schema=", n_rows bigint, mean double, variance double")
         found = {r["column"]: r for r in medians.withColumn("median", F.get("q", F.lit(0))).collect()}
@@ -78,7 +74,8 @@ class NumericEncoder(Estimator, _NumericParams):
         for name in names:
             row = found[name]
             fill = row["median"] if row["n"] else 0.0
-            gaps, total = row["n_rows"] - row["n"], max(row["n_rows"], 1)
+            n_rows = row["n_rows"] or 0
+            gaps, total = n_rows - row["n"], max(n_rows, 1)
             mean = ((row["mean"] or 0.0) * row["n"] + fill * gaps) / total
             if row["n"]:
                 spread = row["n"] * (row["variance"] + (row["mean"] - mean) ** 2) + gaps * (fill - mean) ** 2

@@ -1,7 +1,8 @@
 """Reshaping a wide table for per-column work.
 
-``per_column`` computes mergeable statistics of many columns in one scan without multiplying
-rows. ``cells`` unpivots typed values for operators that must group by value.
+Cells are unpivoted inside each task, so that one small aggregate serves all columns. A single
+wide aggregate over many columns generates methods too large for the JIT compiler, which is far
+slower.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tabloom.functions.hashing import compact
 from tabloom.functions.missing import value_or_null
 from tabloom.functions.names import quoted
+from tabloom.functions.numbers import to_number
 
-COLUMNS_PER_SCAN = 60
+# Fixed value: above 128 groups Spark sorts instead of hashing where a sketch is aggregated.
+COLUMNS_PER_SCAN = 120
 
 
 def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
@@ -46,27 +49,40 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def per_column(
     df: DataFrame,
     columns: Sequence[str],
-    measures: Callable[[Column, str], list[Column]],
+    cell: Callable[[str], Column],
+    measures: Sequence[Column],
     schema: str,
-    columns_per_scan: int = COLUMNS_PER_SCAN,
+    carry: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """One output row ``(column, *measures)`` per input column.
+    """One row ``(column, *measures)`` per column; ``measures`` aggregate the column ``value``.
 
-    Each batch is one global aggregate: a scan of just those columns with a partial aggregate
-    per task, and a single small row through the shuffle.
+    ``cell`` gives the value of a column, of one type for all. The cells are unpivoted and grouped
+    by column name, so the generated code stays small however many columns there are, each task
+    sends one row per column, and the whole batch is one scan. A table without rows gives none.
     """
     if not columns:
         return empty(df.sparkSession, schema)
     frames = []
-    for batch in batches(list(columns), columns_per_scan):
-        structs = [
-            F.struct(F.lit(name).alias("column"), *measures(value_or_null(df, name), name))
-            for name in batch
-        ]
-        frames.append(df.agg(F.array(*structs).alias("per_column")).select(F.inline("per_column")))
+    for batch in batches(list(columns), COLUMNS_PER_SCAN):
+        long = _unpivot(df, {name: cell(name) for name in batch}, carry or {})
+        frames.append(long.groupBy("column").agg(*measures))
     return union_all(frames)
 
 
+def _unpivot(df: DataFrame, cells: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
+    """``(column, value, *carry)`` with one row per cell."""
+    carried = [ref.alias(f"__{key}") for key, ref in carry.items()]
+    wide = df.select(*carried, *[ref.alias(name) for name, ref in cells.items()])
+    long = wide.unpivot(
+        [f"__{key}" for key in carry], [quoted(name) for name in cells], "column", "value")
+    return long.withColumnsRenamed({f"__{key}": key for key in carry})
+
+
+def number_cell(df: DataFrame) -> Callable[[str], Column]:
+    """Cells as double, NULL where missing or not a number."""
+    return lambda name: to_number(value_or_null(df, name))
+
+
 def _lane_type(dtype: T.DataType) -> str:
     """Grouping type that keeps distinct values distinct and cheap to hash."""
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
@@ -103,26 +119,17 @@ def typed_lanes(
         by_type.setdefault(_lane_type(df.schema[name].dataType), []).append(name)
     lanes = []
     for lane, names in by_type.items():
-        refs = []
+        cells = {}
         for name in names:
             ref = value_or_null(df, name)
             ref = _groupable(ref, df.schema[name].dataType) if lane == "string" else ref.cast(lane)
-            if identity and lane == "string":
-                ref = compact(ref)
-            refs.append(ref.alias(name))
-        carried = [ref.alias(f"__{key}") for key, ref in (carry or {}).items()]
-        wide = df.select(*carried, *refs)
-        long = wide.unpivot(
-            [f"__{key}" for key in (carry or {})], [quoted(name) for name in names], "column", "value"
-        )
-        for key in carry or {}:
-            long = long.withColumnRenamed(f"__{key}", key)
+            cells[name] = compact(ref) if identity and lane == "string" else ref
+        long = _unpivot(df, cells, carry or {})
         lanes.append(long)
     return lanes
 
 
 def numeric_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Non-missing numeric cells ``(column, value double)`` of all ``columns``."""
-    wide = df.select(*[value_or_null(df, name).try_cast("double").alias(name) for name in columns])
-    long = wide.unpivot([], [quoted(name) for name in columns], "column", "value")
-    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    cell = number_cell(df)
+    return _unpivot(df, {name: cell(name) for name in columns}, {}).where(F.col("value").isNotNull())

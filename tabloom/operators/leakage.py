@@ -12,7 +12,7 @@ from tabloom.functions.missing import value_or_null
 from tabloom.functions.names import RISKY_WORDS, normalize_name
 from tabloom.functions.numbers import is_numeric, pearson
 from tabloom.functions.text import as_text
-from tabloom.operators.lanes import empty, local_table, per_column, typed_lanes, union_all
+from tabloom.operators.lanes import empty, local_table, number_cell, per_column, typed_lanes, union_all
 from tabloom.operators.roles import task_type
 
 # Thresholds and scores of the rules.
@@ -31,15 +31,17 @@ def equality_ratio(df: DataFrame, target: str, columns: Sequence[str]) -> DataFr
     """``(column, equal_ratio)``: rows whose cell reads the same as the target; missing equals missing."""
     wanted = df.schema[target].dataType
 
-    def measures(ref: Column, name: str) -> list[Column]:
-        y = value_or_null(df, target)
+    def same(name: str) -> Column:
+        ref, y = value_or_null(df, name), value_or_null(df, target)
         dtype = df.schema[name].dataType
         if dtype != wanted and not (_integral(dtype) and _integral(wanted)):
             # cells of different types are compared as printed
             ref, y = as_text(ref, dtype), as_text(y, wanted)
-        return [F.avg(ref.eqNullSafe(y).cast("double")).alias("equal_ratio")]
+        return ref.eqNullSafe(y)
 
-    return per_column(df, columns, measures, "column string, equal_ratio double")
+    return per_column(
+        df, columns, same, [F.avg(F.col("value").cast("double")).alias("equal_ratio")],
+        "column string, equal_ratio double")
 
 
 def _integral(dtype: T.DataType) -> bool:
@@ -48,10 +50,10 @@ def _integral(dtype: T.DataType) -> bool:
 
 def target_correlation(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """``(column, corr)`` of each numeric column with a numeric target."""
-    def measures(ref: Column, name: str) -> list[Column]:
-        return [pearson(ref, value_or_null(df, target)).alias("corr")]
-
-    return per_column(df, columns, measures, "column string, corr double")
+    cell = number_cell(df)
+    return per_column(
+        df, columns, cell, [pearson(F.col("value"), F.col("y")).alias("corr")],
+        "column string, corr double", carry={"y": cell(target)})
 
 
 def class_purity(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from tabloom.functions.numbers import is_numeric, ratio
 from tabloom.operators.frequencies import (
     column_counts, described_columns, distinct_counts, frequencies, top_values,
 )
-from tabloom.operators.lanes import empty, per_column
+from tabloom.operators.lanes import empty, per_column, typed_lanes, union_all
 from tabloom.operators.quantiles import ACCURACY, approximate_quantiles, exact_quantiles
 from tabloom.operators.roles import high_cardinality_rule
 
@@ -99,17 +99,13 @@ def missing_summary(df: DataFrame, distinct: str = "exact") -> DataFrame:
     sketch in the same single scan.
     """
     if distinct == "approx":
-        def measures(ref: Column, name: str) -> list[Column]:
-            return [
-                F.sum(F.when(ref.isNull(), 1).otherwise(0)).cast("bigint").alias("missing_count"),
-                F.count(ref).alias("present_count"),
-                F.approx_count_distinct(ref, 0.01).alias("unique_count"),
-            ]
-
-        sketched = per_column(
-            df, df.columns, measures,
-            "column string, missing_count bigint, present_count bigint, unique_count bigint",
-        )
+        measures = [
+            F.count_if(F.col("value").isNull()).alias("missing_count"),
+            F.count("value").alias("present_count"),
+            F.approx_count_distinct("value", 0.01).alias("unique_count"),
+        ]
+        sketched = union_all([
+            lane.groupBy("column").agg(*measures) for lane in typed_lanes(df, df.columns, identity=True)])
         zero = F.lit(0).cast("bigint")
         counts = described_columns(df, df.columns).join(F.broadcast(sketched), "column", "left").select(
             "position", "column", "dtype",
@@ -129,12 +125,12 @@ def missing_summary(df: DataFrame, distinct: str = "exact") -> DataFrame:
 
 def missing_ratios(df: DataFrame) -> DataFrame:
     """``(column, missing_ratio)`` from one scan, worst first."""
-    def measures(ref: Column, name: str) -> list[Column]:
-        return [F.coalesce(F.avg(ref.isNull().cast("double")), F.lit(0.0)).alias("missing_ratio")]
-
-    return per_column(df, df.columns, measures, "column string, missing_ratio double").orderBy(
-        F.desc("missing_ratio"), "column"
-    )
+    ratios = per_column(
+        df, df.columns, lambda name: is_missing(df, name), [F.avg(F.col("value").cast("double")).alias("missing_ratio")],
+        "column string, missing_ratio double")
+    return described_columns(df, df.columns).join(F.broadcast(ratios), "column", "left").select(
+        "column", F.coalesce("missing_ratio", F.lit(0.0)).alias("missing_ratio")
+    ).orderBy(F.desc("missing_ratio"), "column")
 
 
 def numeric_summary(
@@ -145,13 +141,10 @@ def numeric_summary(
     if not names:
         return empty(df.sparkSession, NUMERIC_SCHEMA)
 
-    def moments(ref: Column, name: str) -> list[Column]:
-        number = ref.cast("double")
-        return [
-            F.avg(number).alias("mean"), F.stddev_samp(number).alias("std"),
-            F.min(number).alias("min"), F.max(number).alias("max"),
-        ]
-
+    moments = [
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+    ]
     find = exact_quantiles if quantiles == "exact" else approximate_quantiles
     found = find(
         df, names, [0.25, 0.5, 0.75], accuracy, moments, ", mean double, std double, min double, max double")

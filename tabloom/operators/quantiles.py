@@ -11,49 +11,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tabloom.operators.lanes import empty, local_table, numeric_cells, per_column, union_all
+from tabloom.operators.lanes import empty, local_table, number_cell, numeric_cells, per_column, union_all
 
 ACCURACY = 100_000
 SEGMENTS = 64
-Measures = Callable[[Column, str], list[Column]]
 
 
 def _sketch(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int,
-    extra: Measures | None, extra_schema: str,
+    extra: Sequence[Column], extra_schema: str,
 ) -> list[Row]:
     """One row per column: size, range, bracket marks and the extra measures, from one scan."""
     slack = 2.0 / accuracy
     marks = [min(1.0, max(0.0, p + side)) for p in probs for side in (-slack, slack)]
-
-    def measures(ref: Column, name: str) -> list[Column]:
-        number = ref.try_cast("double")
-        return [
-            F.count(number).alias("n"),
-            F.min(number).alias("least"),
-            F.percentile_approx(number, F.array(*[F.lit(m) for m in marks]), F.lit(accuracy)).alias("marks"),
-            *(extra(ref, name) if extra else []),
-        ]
-
+    value = F.col("value")
+    measures = [
+        F.count(value).alias("n"), F.min(value).alias("least"),
+        F.percentile_approx(value, F.array(*[F.lit(m) for m in marks]), F.lit(accuracy)).alias("marks"),
+        *extra,
+    ]
     return per_column(
-        df, columns, measures, f"column string, n bigint, least double, marks array<double>{extra_schema}"
-    ).collect()
+        df, columns, number_cell(df), measures,
+        f"column string, n bigint, least double, marks array<double>{extra_schema}").collect()
 
 
 def _small(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """``(column, q)`` of columns known to hold few values, which the built-in keeps in memory."""
     wanted = F.array(*[F.lit(p) for p in probs])
-
-    def measures(ref: Column, name: str) -> list[Column]:
-        number = ref.try_cast("double")
-        return [F.percentile(F.when(~F.isnan(number), number), wanted).alias("q")]
-
-    return per_column(df, columns, measures, "column string, q array<double>")
+    return per_column(
+        df, columns, number_cell(df), [F.percentile("value", wanted).alias("q")], "column string, q array<double>")
 
 
 def _placed(k: int) -> tuple[Column, Column, Column]:
@@ -80,7 +71,7 @@ def _placed(k: int) -> tuple[Column, Column, Column]:
 
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY,
-    extra: Measures | None = None, extra_schema: str = "",
+    extra: Sequence[Column] = (), extra_schema: str = "",
 ) -> DataFrame:
     """``(column, n, *extra, q)``: linear-interpolation quantiles, ``q[i]`` for ``probs[i]`` (ascending).
 
@@ -95,8 +86,10 @@ def exact_quantiles(
     if not columns:
         return empty(spark, f"column string, n bigint{extra_schema}, q array<double>")
     rows = _sketch(df, columns, probs, accuracy, extra, extra_schema)
+    known = {r["column"]: (r["n"], *r[4:]) for r in rows}
+    nothing = (0, *[None] * len(extra))
     facts = local_table(
-        spark, [(r["column"], r["n"], *r[4:]) for r in rows], f"column string, n bigint{extra_schema}")
+        spark, [(name, *known.get(name, nothing)) for name in columns], f"column string, n bigint{extra_schema}")
     few = [r["column"] for r in rows if 0 < r["n"] <= accuracy]
     many = [r for r in rows if r["n"] > accuracy]
     found = []
@@ -162,16 +155,11 @@ def _bracketed(df: DataFrame, sketched: list[Row], probs: list[float]) -> DataFr
 
 def approximate_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = 10_000,
-    extra: Measures | None = None, extra_schema: str = "",
+    extra: Sequence[Column] = (), extra_schema: str = "",
 ) -> DataFrame:
     """Same contract from one scan, with rank error ``1 / accuracy``."""
     wanted = F.array(*[F.lit(float(p)) for p in probs])
-
-    def measures(ref: Column, name: str) -> list[Column]:
-        number = ref.try_cast("double")
-        return [
-            F.count(number).alias("n"), *(extra(ref, name) if extra else []),
-            F.percentile_approx(number, wanted, F.lit(accuracy)).alias("q"),
-        ]
-
-    return per_column(df, columns, measures, f"column string, n bigint{extra_schema}, q array<double>")
+    measures = [
+        F.count("value").alias("n"), *extra, F.percentile_approx("value", wanted, F.lit(accuracy)).alias("q")]
+    return per_column(
+        df, columns, number_cell(df), measures, f"column string, n bigint{extra_schema}, q array<double>")

@@ -119,22 +119,21 @@ def _null_tokens(df: DataFrame, tokens: Sequence[str]) -> DataFrame:
 
 def infer_types(df: DataFrame) -> dict[str, str]:
     """Type per text column from one scan of all rows: bigint, double, boolean or string."""
-    def measures(ref: Column, name: str) -> list[Column]:
-        def all_cells(test: Column) -> Column:
-            return F.coalesce(F.bool_and(F.when(ref.isNotNull(), F.coalesce(test, F.lit(False)))), F.lit(True))
+    ref = F.col("value")
 
-        return [
-            F.count(ref).alias("n"),
-            all_cells(ref.rlike(INTEGER_SHAPE) & F.trim(ref).try_cast("bigint").isNotNull()).alias("integers"),
-            all_cells(ref.rlike(NUMBER_SHAPE)).alias("numbers"),
-            all_cells(F.lower(ref).isin("true", "false")).alias("booleans"),
-        ]
+    def all_cells(test: Column) -> Column:
+        return F.coalesce(F.bool_and(F.when(ref.isNotNull(), F.coalesce(test, F.lit(False)))), F.lit(True))
 
+    measures = [
+        F.count(ref).alias("n"),
+        all_cells(ref.rlike(INTEGER_SHAPE) & F.trim(ref).try_cast("bigint").isNotNull()).alias("integers"),
+        all_cells(ref.rlike(NUMBER_SHAPE)).alias("numbers"),
+        all_cells(F.lower(ref).isin("true", "false")).alias("booleans"),
+    ]
     rows = per_column(
-        df, df.columns, measures, "column string, n bigint, integers boolean, numbers boolean, booleans boolean",
-        columns_per_scan=200,
+        df, df.columns, column, measures, "column string, n bigint, integers boolean, numbers boolean, booleans boolean"
     ).collect()
-    types = {}
+    types = dict.fromkeys(df.columns, "double")
     for row in rows:
         if row["n"] == 0:
             types[row["column"]] = "double"
