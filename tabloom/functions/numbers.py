@@ -23,7 +23,7 @@ def pearson(x: Column, y: Column) -> Column:
     both_x = F.when(y.isNotNull(), x)
     both_y = F.when(x.isNotNull(), y)
     ratio = F.try_divide(F.covar_pop(x, y), F.stddev_pop(both_x) * F.stddev_pop(both_y))
-    return F.when(F.stddev_samp(both_x).isNotNull() & ~F.isnan(ratio), ratio)
+    return F.when(~F.isnan(ratio), ratio)
 
 
 def ratio(part: Column, whole: Column) -> Column:

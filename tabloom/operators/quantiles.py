@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from tabloom.operators.lanes import empty, local_table, number_cell, numeric_cells, per_column, union_all
 
-ACCURACY = 100_000
-SEGMENTS = 64
+# A task sends a sketch of a few thousand numbers per column, so that merging the sketches of very
+# many tasks stays cheap; the brackets then hold 0.4 % of the rows each, cut into segments.
+ACCURACY = 1_000
+SEGMENTS = 256
+SMALL_ROWS = 100_000
 
 
 def _sketch(
@@ -47,36 +50,41 @@ def _small(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> Dat
         df, columns, number_cell(df), [F.percentile("value", wanted).alias("q")], "column string, q array<double>")
 
 
-def _placed(k: int) -> tuple[Column, Column, Column]:
-    """(key, gap, segment) of a cell: its value inside a bracket, else the edge below it."""
+def _key(k: int) -> tuple[Column, Column]:
+    """(key, gap) of a cell: its value inside a bracket, else the edge below it and a mark."""
     value = F.col("value")
     inside = F.lit(False)
-    edge, segment = F.col("least"), F.lit(0)
+    edge = F.col("least")
     for j in range(k):
         low, high = F.col(f"low{j}"), F.col(f"high{j}")
         inside = inside | value.between(low, high)
         edge = F.when(value > high, high).otherwise(edge)
-    key = F.when(inside, value).otherwise(edge)
+    return F.when(inside, value).otherwise(edge), F.when(inside, 0).otherwise(1)
+
+
+def _segment(k: int) -> Column:
+    """Segment of a key, ascending with the key; keys under all brackets get 0."""
+    key = F.col("key")
+    segment = F.lit(0)
     for j in reversed(range(k)):
         low, high = F.col(f"low{j}"), F.col(f"high{j}")
         width = high - low
         cut = (width > 0) & (width < F.lit(float("inf")))
         share = F.when(cut & (key >= low), F.least(F.floor((key - low) / width * SEGMENTS), F.lit(SEGMENTS - 1)))
         numbered = F.lit(1 + j * SEGMENTS) + F.coalesce(share, F.lit(0))
-        # the first bracket whose upper edge is not below the key; keys under all brackets get 0
+        # the first bracket whose upper edge is not below the key
         segment = F.when(key <= high, numbered).otherwise(segment)
-    segment = F.when(key < F.col("low0"), F.lit(0)).otherwise(segment)
-    return key, F.when(inside, 0).otherwise(1), segment.cast("int")
+    return F.when(key < F.col("low0"), F.lit(0)).otherwise(segment).cast("int")
 
 
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY,
-    extra: Sequence[Column] = (), extra_schema: str = "",
+    extra: Sequence[Column] = (), extra_schema: str = "", small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """``(column, n, *extra, q)``: linear-interpolation quantiles, ``q[i]`` for ``probs[i]`` (ascending).
 
     ``q`` is NULL for a column without values. ``extra`` adds aggregates to the sketch scan, with
-    ``extra_schema`` as ``", name type"`` pairs. Columns of at most ``accuracy`` values skip the
+    ``extra_schema`` as ``", name type"`` pairs. Columns of at most ``small_rows`` values skip the
     bracket pass.
     """
     probs = [float(p) for p in probs]
@@ -90,8 +98,10 @@ def exact_quantiles(
     nothing = (0, *[None] * len(extra))
     facts = local_table(
         spark, [(name, *known.get(name, nothing)) for name in columns], f"column string, n bigint{extra_schema}")
-    few = [r["column"] for r in rows if 0 < r["n"] <= accuracy]
-    many = [r for r in rows if r["n"] > accuracy]
+    # a bracket must span at least the neighbouring ranks, so it needs more rows than marks
+    limit = max(small_rows, 2 * accuracy)
+    few = [r["column"] for r in rows if 0 < r["n"] <= limit]
+    many = [r for r in rows if r["n"] > limit]
     found = []
     if few:
         found.append(_small(df, few, probs))
@@ -111,14 +121,16 @@ def _bracketed(df: DataFrame, sketched: list[Row], probs: list[float]) -> DataFr
     fences = F.broadcast(local_table(
         df.sparkSession, [(r["column"], r["n"], r["least"], *r["marks"]) for r in sketched],
         f"column string, n bigint, least double{bounds}"))
-    key, gap, segment = _placed(k)
-    counted = (
+    key, gap = _key(k)
+    # keys are counted first; segments are worked out on what is left of the rows
+    keyed = (
         numeric_cells(df, columns)
         .join(fences, "column")
-        .select("column", segment.alias("segment"), key.alias("key"), gap.alias("gap"))
-        .groupBy("column", "segment", "key", "gap")
+        .select("column", key.alias("key"), gap.alias("gap"))
+        .groupBy("column", "key", "gap")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
+    counted = keyed.join(fences, "column").select("column", _segment(k).alias("segment"), "key", "gap", "cnt")
     # at most 1 + SEGMENTS * len(probs) rows per column
     before = Window.partitionBy("column").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -204,7 +204,7 @@ def test_bracket_quantiles_are_exact(spark, kind, n):
     values = _quantile_data(kind, n, random.Random(7))
     df = spark.createDataFrame([(v, None if i % 3 else -v) for i, v in enumerate(values)], "x double, y double").repartition(7)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {r["column"]: r["q"] for r in exact_quantiles(df, ["x", "y"], probs, accuracy=100).collect()}
+    got = {r["column"]: r["q"] for r in exact_quantiles(df, ["x", "y"], probs, accuracy=100, small_rows=0).collect()}
     assert got["x"] == pytest.approx(list(np.quantile(values, probs)))
     assert got["y"] == pytest.approx(list(np.quantile([-v for i, v in enumerate(values) if i % 3 == 0], probs)))
 
@@ -212,7 +212,7 @@ def test_bracket_quantiles_are_exact(spark, kind, n):
 def test_quantiles_with_infinities_and_empty_columns(spark):
     values = [float("inf")] * 3 + [float("-inf")] + [float(i) for i in range(400)] + [NAN]
     df = spark.createDataFrame([(v, None) for v in values], "x double, n double")
-    found = {r["column"]: r for r in exact_quantiles(df, ["x", "n"], [0.5], accuracy=50).collect()}
+    found = {r["column"]: r for r in exact_quantiles(df, ["x", "n"], [0.5], accuracy=50, small_rows=0).collect()}
     assert found["x"]["n"] == 404
     assert found["x"]["q"][0] == pytest.approx(np.median(values[:-1]))
     assert found["n"]["q"] is None
