@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.numbers import ratio
+from tabloom.operators.features import MAX_CLASSES
 from tabloom.operators.lanes import union_all
 
 SCORE_SEGMENTS = 256
@@ -38,8 +39,11 @@ def confusion(predictions: DataFrame, labels: Sequence[str] | None = None) -> Da
     """
     pairs = _pairs(predictions, [])
     if labels is None:
-        names = pairs.select(F.explode(F.array("y_true", "y_pred")).alias("label")).agg(
-            F.array_sort(F.collect_set("label")).alias("labels"))
+        # the grid is quadratic in the labels, so their number is checked before it is laid out
+        seen = pairs.select(F.explode(F.array("y_true", "y_pred")).alias("label")).distinct().limit(MAX_CLASSES + 1)
+        found = seen.agg(F.array_sort(F.collect_set("label")).alias("labels"))
+        refused = F.raise_error(F.lit(f"more than {MAX_CLASSES} labels")).cast("array<string>")
+        names = found.select(F.when(F.size("labels") > MAX_CLASSES, refused).otherwise(F.col("labels")).alias("labels"))
     else:
         names = pairs.agg(F.count(F.lit(1))).select(F.array(*[F.lit(x) for x in labels]).alias("labels"))
     grid = names.select("labels", F.explode("labels").alias("y_true")).select(

@@ -40,7 +40,7 @@ def q_tsv_ingest_missing_tokens(spark, sf_dir):
     header = "o_orderkey\t o_custkey \to_orderpriority"
     lines = orders.select(F.concat_ws("\t", F.col("o_orderkey").cast("string"), cust, priority).alias("value"))
     # text parts end in .txt; a line separator before the first row puts the header into each part
-    parts = lines.repartition(4).mapInPandas(_with_header(header), "value string")
+    parts = lines.mapInPandas(_with_header(header), "value string")
     parts.write.text(folder)
     df, _ = read_table(spark, f"{folder}/*.txt")
     return df
@@ -86,7 +86,7 @@ def _write_npz(folder: str):
 @query("npz_ingest", STATS_SQL)
 def q_npz_ingest(spark, sf_dir):
     folder = scratch_folder(spark, "npz")
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(4, "vec_id")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     rows.mapInPandas(_write_npz(folder), "path string, n bigint").agg(F.sum("n")).first()
     features = feature_table(read_npz(spark, f"{folder}/*.npz"), "X", "y")
     return rounded(features.drop("file", "sample_index").withColumn(
