@@ -94,8 +94,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     missing = lambda pattern: (F.length("body") - F.length(F.regexp_replace("body", pattern, ""))).cast("long")
     lines_like = lambda pattern: F.size(F.filter("lines", lambda line: F.regexp_like(line, F.lit(pattern)))).cast("long")
-    return _repeat_words(split).select(
-        "doc_id",
+    counts = [
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         missing(r"[#*$%&|<>]+").alias("n_symbols"),
@@ -105,8 +104,11 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         lines_like(r"^[\x20\x09]*[-*•]").alias("n_bullet_lines"),
         lines_like(r"(\.\.\.|…)[\x20\x09]*$").alias("n_ellipsis_lines"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        "n_repeat_words",
-    )
+        F.col("n_repeat_words"),
+    ]
+    # Through an array of one row: else a filter on a verdict moves below all of this, with every
+    # step written out again in each place that uses it.
+    return _repeat_words(split).select("doc_id", F.inline(F.array(F.struct(*counts))))
 
 
 def compile_rule(rule: Threshold) -> Column:
