@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, mixing, quality, sharding, simhash
+from tabloom.llm import decontaminate, licenses, lines, mixing, quality, secrets, sharding, simhash
 from tabloom.llm.common import text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,11 +21,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,12 +52,19 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_license_scan": op3_license_scan,
     "op5_simhash": op5_simhash,
+    "op6_line_dedup": op6_line_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_mix": op8_mix,
     "op9_shard": op9_shard,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
@@ -87,6 +103,28 @@ judged AS (
     CASE WHEN 100 * n_ellipsis_lines > 30 * n_lines THEN 'ellipsis_lines' END) AS failed_rules
   FROM counted)
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failed_rules = '' AS kept FROM judged""",
+    "op6_line_dedup": r"""
+WITH split AS (
+  SELECT doc_id, text, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents),
+each AS (SELECT r, doc_id, unnest(all_lines) AS line, unnest(range(len(all_lines))) AS number FROM split),
+counted AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM each WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+placed AS (
+  SELECT *, row_number() OVER o AS spot, sum(n) OVER o AS upto FROM counted WINDOW o AS (PARTITION BY r ORDER BY number)),
+bodies AS (SELECT r, list(line ORDER BY number) AS body FROM placed GROUP BY r),
+runs AS (
+  SELECT a.r, a.doc_id, a.spot, min(b.spot) AS last
+  FROM placed a JOIN placed b ON a.r = b.r AND b.spot >= a.spot AND b.upto - a.upto + a.n >= 50 GROUP BY ALL),
+ranked AS (
+  SELECT r, spot, last,
+         row_number() OVER (PARTITION BY array_to_string(body[spot:last], chr(10)) ORDER BY doc_id NULLS LAST, r, spot) AS copy
+  FROM runs JOIN bodies USING (r)),
+gone AS (SELECT DISTINCT r, spot FROM (SELECT r, unnest(range(spot, last + 1)) AS spot FROM ranked WHERE copy > 1)),
+lost AS (SELECT r, number FROM gone JOIN placed USING (r, spot)),
+cleaned AS (
+  SELECT r, string_agg(line, chr(10) ORDER BY number) AS body FROM each ANTI JOIN lost USING (r, number) GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN md5(coalesce(body, '')) END AS text_md5
+FROM split LEFT JOIN cleaned USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM lost GROUP BY r) USING (r)""",
     "op7_decontaminate": r"""
 WITH docs AS (
   SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
