@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, licenses, lines, mixing, quality, secrets, sharding, simhash
+from tabloom.llm import decontaminate, licenses, lines, lm, mixing, quality, secrets, sharding, simhash
 from tabloom.llm.common import text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.fit(docs))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -59,6 +64,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_license_scan": op3_license_scan,
+    "op4_lm_score": op4_lm_score,
     "op5_simhash": op5_simhash,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontaminate": op7_decontaminate,
