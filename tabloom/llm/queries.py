@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, licenses, lines, lm, mixing, quality, secrets, sharding, simhash
+from tabloom.llm import decontaminate, licenses, lines, lm, mixing, quality, secrets, sharding, simhash, urls
 from tabloom.llm.common import text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+# fixed values: the rules of the contract
+URL_RULES = [
+    urls.Rule("allow", "com/"), urls.Rule("block", "example.com/en/"), urls.Rule("allow", "www.example.com/en/"),
+    urls.Rule("block", "net/es/"), urls.Rule("block", "net/fr/"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(table(spark, sf_dir, "documents"))
 
@@ -63,6 +75,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_url_filter": op2_url_filter,
     "op3_license_scan": op3_license_scan,
     "op4_lm_score": op4_lm_score,
     "op5_simhash": op5_simhash,
