@@ -83,7 +83,7 @@ class Network:
 
     def _members(self, hidden: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Logits inside each position's own group; positions come sorted by group."""
-        out = np.empty((order.size, MEMBERS), np.float32)
+        out = np.empty((order.size, MEMBERS), hidden.dtype)
         for g in range(GROUPS):
             a, b = ends[g], ends[g + 1]
             if a < b:
@@ -107,7 +107,7 @@ class Network:
         context = context[:, order]
         hidden = self._hidden(context)
         rows = np.arange(order.size)
-        slope = Network(np.zeros(self.SIZE, np.float32))
+        slope = Network(np.zeros_like(self.values))
 
         outer = _softmax(hidden @ self.group + self.group_bias)
         outer[rows, group] -= 1
