@@ -58,9 +58,10 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
         .withColumn("ratio", F.col("bound") / F.col("w"))
         .withColumn("level", level)
     )
-    # the level counts from the first source that stays under its limit; if none does, all get theirs
-    stands = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(all_rows)
-    target = F.least(F.col("bound"), F.coalesce(stands.getField("level") * F.col("w"), F.col("bound")))
+    # the level counts from the first source that stays under its limit, of equal limits the one
+    # with the highest level; if none does, all get theirs
+    stands = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", (-F.col("level")).alias("down")))).over(all_rows)
+    target = F.least(F.col("bound"), F.coalesce(-stands.getField("down") * F.col("w"), F.col("bound")))
     return found.withColumn("target", target).select("source", "source_size", "n", "target")
 
 

@@ -176,7 +176,7 @@ levels AS (
          (1.5::DOUBLE * sum(source_size) OVER () - (sum(2.0::DOUBLE * source_size) OVER o - 2.0::DOUBLE * source_size))
            / (sum(weight) OVER () - (sum(weight) OVER o - weight)) AS level
   FROM sources WINDOW o AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
-stands AS (SELECT level AS height FROM levels WHERE level <= ratio ORDER BY ratio, level LIMIT 1),
+stands AS (SELECT level AS height FROM levels WHERE level <= ratio ORDER BY ratio, level DESC LIMIT 1),
 goals AS (
   SELECT source, source_size, least(bound, coalesce(height * weight, bound)) AS target FROM levels LEFT JOIN stands ON true),
 parts AS (
