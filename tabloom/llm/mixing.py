@@ -16,7 +16,7 @@ from tabloom.llm.common import WORD, fresh, keep, text_or_empty, unit_interval
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5  # of all sizes
 MOST = 2.0  # times its source's size
-RANGE_ROWS = 20_000  # rows of a source in one range, about
+RANGE_ROWS = 4_000  # rows of a source in one range, about
 RESULT = ("size", "source_size", "target", "times")
 SMALL_TABLE = 100_000  # rows of at most about 100 bytes that may be broadcast
 
