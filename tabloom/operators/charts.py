@@ -76,7 +76,8 @@ def target_distribution(df: DataFrame, target: str, task: str) -> DataFrame:
     return histogram(df, [target])
 
 
-def correlation_cells(df: DataFrame, columns: Sequence[str], max_columns: int = CORRELATION_COLUMNS) -> DataFrame:
+def correlation_cells(df: DataFrame, columns: Sequence[str], max_columns: int | None = None) -> DataFrame:
+    """Correlations of all given columns, or of the first ``max_columns``."""
     return correlation(df, list(columns)[:max_columns])
 
 

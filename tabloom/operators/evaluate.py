@@ -13,42 +13,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.numbers import ratio
-from tabloom.operators.features import MAX_CLASSES
+from tabloom.operators.features import MISSING_CATEGORY
 from tabloom.operators.lanes import union_all
 
 SCORE_SEGMENTS = 256
 
 
 def _pairs(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
-    return predictions.groupBy(
-        *by, F.col("y_true").cast("string").alias("y_true"), F.col("y_pred").cast("string").alias("y_pred")
-    ).agg(F.count(F.lit(1)).alias("count"))
+    """Counts of (truth, prediction); a missing label is a label of its own, so every row counts."""
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(MISSING_CATEGORY)).alias(c) for c in ("y_true", "y_pred")]
+    return predictions.groupBy(*by, *named).agg(F.count(F.lit(1)).alias("count"))
 
 
 def class_labels(predictions: DataFrame) -> DataFrame:
     """Distinct labels seen as truth or prediction."""
-    pairs = _pairs(predictions, [])
-    return pairs.select(F.explode(F.array("y_true", "y_pred")).alias("label")).where(
-        F.col("label").isNotNull()).distinct()
+    return _pairs(predictions, []).select(F.explode(F.array("y_true", "y_pred")).alias("label")).distinct()
 
 
 def confusion(predictions: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
-    """``(y_true, y_pred, count)`` over all label pairs, absent pairs 0.
+    """``(y_true, y_pred, count)`` of the pairs that occur; with ``labels`` also of theirs that don't, as 0.
 
-    The rows shrink to one count per seen pair first; the grid is laid out from those.
+    The grid of given labels is as large as their number squared; without them nothing is laid out.
+    Pairs with another label, or a missing one, are listed beside the grid, so counts add up to the rows.
     """
     pairs = _pairs(predictions, [])
     if labels is None:
-        # the grid is quadratic in the labels, so their number is checked before it is laid out
-        seen = pairs.select(F.explode(F.array("y_true", "y_pred")).alias("label")).distinct().limit(MAX_CLASSES + 1)
-        found = seen.agg(F.array_sort(F.collect_set("label")).alias("labels"))
-        refused = F.raise_error(F.lit(f"more than {MAX_CLASSES} labels")).cast("array<string>")
-        names = found.select(F.when(F.size("labels") > MAX_CLASSES, refused).otherwise(F.col("labels")).alias("labels"))
-    else:
-        names = pairs.agg(F.count(F.lit(1))).select(F.array(*[F.lit(x) for x in labels]).alias("labels"))
+        return pairs
+    names = pairs.agg(F.count(F.lit(1))).select(F.array(*[F.lit(x) for x in labels]).alias("labels"))
     grid = names.select("labels", F.explode("labels").alias("y_true")).select(
         "y_true", F.explode("labels").alias("y_pred"))
-    return grid.join(pairs, ["y_true", "y_pred"], "left").select(
+    return grid.join(pairs, ["y_true", "y_pred"], "full").select(
         "y_true", "y_pred", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
 
 

@@ -22,7 +22,7 @@ WIDE_TABLE_COLUMNS = 50
 HIGH_MISSING = 0.5
 IQR_FACTOR = 1.5
 
-GATE_SCHEMA = "ok boolean, code string, message string, missing_ratio double, unique_count bigint, usable_rows bigint"
+GATE_SCHEMA = "ok boolean, code string, message string, missing_ratio double, unique_count bigint, usable_rows bigint, n_rows bigint"
 OUTLIER_SCHEMA = "column string, outlier_count bigint, outlier_ratio double, lower_bound double, upper_bound double"
 CARDINALITY_SCHEMA = "column string, unique_count bigint, unique_ratio double, recommended_action string"
 
@@ -34,11 +34,11 @@ def _percent(share) -> F.Column:
 def target_gate(df: DataFrame, target: str) -> DataFrame:
     """One row telling whether ``target`` can be modelled; the first failing rule is named."""
     if target not in df.columns:
-        row = [(False, "no_such_column", f"target column {target} does not exist", None, None, None)]
+        row = [(False, "no_such_column", f"target column {target} does not exist", None, None, None, None)]
         return local_table(df.sparkSession, row, GATE_SCHEMA)
     totals = _value_totals(df, target)
     share = ratio(F.col("n_rows") - F.col("usable_rows"), F.col("n_rows"))
-    facts = totals.select(share.alias("missing_ratio"), "unique_count", "usable_rows")
+    facts = totals.select(share.alias("missing_ratio"), "unique_count", "usable_rows", "n_rows")
     code = (
         F.when(F.col("missing_ratio") > TARGET_MISSING_LIMIT, "too_many_missing")
         .when(F.col("unique_count") < 2, "too_few_values")
@@ -57,7 +57,7 @@ def target_gate(df: DataFrame, target: str) -> DataFrame:
     )
     return facts.withColumn("code", code).select(
         F.col("code").isin("ok", "some_missing").alias("ok"), "code", message.alias("message"),
-        "missing_ratio", "unique_count", "usable_rows",
+        "missing_ratio", "unique_count", "usable_rows", "n_rows",
     )
 
 

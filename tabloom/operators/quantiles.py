@@ -16,13 +16,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tabloom.operators.lanes import empty, local_table, number_cell, numeric_cells, per_column, union_all
+from tabloom.operators.lanes import empty, local_table, number_cell, numeric_cells, per_column
 
 # A task sends a sketch of a few thousand numbers per column, so that merging the sketches of very
 # many tasks stays cheap; the brackets then hold 0.4 % of the rows each, cut into segments.
 ACCURACY = 1_000
 SEGMENTS = 256
-SMALL_ROWS = 100_000
 
 
 def _sketch(
@@ -34,20 +33,13 @@ def _sketch(
     marks = [min(1.0, max(0.0, p + side)) for p in probs for side in (-slack, slack)]
     value = F.col("value")
     measures = [
-        F.count(value).alias("n"), F.min(value).alias("least"),
+        F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"),
         F.percentile_approx(value, F.array(*[F.lit(m) for m in marks]), F.lit(accuracy)).alias("marks"),
         *extra,
     ]
     return per_column(
         df, columns, number_cell(df), measures,
-        f"column string, n bigint, least double, marks array<double>{extra_schema}").collect()
-
-
-def _small(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """``(column, q)`` of columns known to hold few values, which the built-in keeps in memory."""
-    wanted = F.array(*[F.lit(p) for p in probs])
-    return per_column(
-        df, columns, number_cell(df), [F.percentile("value", wanted).alias("q")], "column string, q array<double>")
+        f"column string, n bigint, least double, most double, marks array<double>{extra_schema}").collect()
 
 
 def _key(k: int) -> tuple[Column, Column]:
@@ -79,13 +71,13 @@ def _segment(k: int) -> Column:
 
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY,
-    extra: Sequence[Column] = (), extra_schema: str = "", small_rows: int = SMALL_ROWS,
+    extra: Sequence[Column] = (), extra_schema: str = "",
 ) -> DataFrame:
     """``(column, n, *extra, q)``: linear-interpolation quantiles, ``q[i]`` for ``probs[i]`` (ascending).
 
     ``q`` is NULL for a column without values. ``extra`` adds aggregates to the sketch scan, with
-    ``extra_schema`` as ``", name type"`` pairs. Columns of at most ``small_rows`` values skip the
-    bracket pass.
+    ``extra_schema`` as ``", name type"`` pairs. A column with fewer values than its brackets need
+    has brackets from its least to its largest value.
     """
     probs = [float(p) for p in probs]
     if sorted(probs) != probs:
@@ -94,32 +86,28 @@ def exact_quantiles(
     if not columns:
         return empty(spark, f"column string, n bigint{extra_schema}, q array<double>")
     rows = _sketch(df, columns, probs, accuracy, extra, extra_schema)
-    known = {r["column"]: (r["n"], *r[4:]) for r in rows}
+    known = {r["column"]: (r["n"], *r[5:]) for r in rows}
     nothing = (0, *[None] * len(extra))
     facts = local_table(
         spark, [(name, *known.get(name, nothing)) for name in columns], f"column string, n bigint{extra_schema}")
     # a bracket must span at least the neighbouring ranks, so it needs more rows than marks
-    limit = max(small_rows, 2 * accuracy)
-    few = [r["column"] for r in rows if 0 < r["n"] <= limit]
-    many = [r for r in rows if r["n"] > limit]
-    found = []
-    if few:
-        found.append(_small(df, few, probs))
-    if many:
-        found.append(_bracketed(df, many, probs))
-    answers = union_all(found) if found else empty(spark, "column string, q array<double>")
+    bracketed = [
+        (r["column"], r["n"], r["least"], r["marks"] if r["n"] > 2 * accuracy else [r["least"], r["most"]] * len(probs))
+        for r in rows if r["n"] > 0
+    ]
+    answers = _bracketed(df, bracketed, probs) if bracketed else empty(spark, "column string, q array<double>")
     # one row per column on both sides
     return facts.join(F.broadcast(answers), "column", "left")
 
 
-def _bracketed(df: DataFrame, sketched: list[Row], probs: list[float]) -> DataFrame:
+def _bracketed(df: DataFrame, brackets: list[tuple], probs: list[float]) -> DataFrame:
     """``(column, q)`` from one pass over the columns, guided by their brackets."""
-    columns = [r["column"] for r in sketched]
+    columns = [name for name, *_ in brackets]
     k = len(probs)
     bounds = "".join(f", low{j} double, high{j} double" for j in range(k))
     # one row per column of the schema: safe to broadcast whatever the data size
     fences = F.broadcast(local_table(
-        df.sparkSession, [(r["column"], r["n"], r["least"], *r["marks"]) for r in sketched],
+        df.sparkSession, [(name, n, least, *marks) for name, n, least, marks in brackets],
         f"column string, n bigint, least double{bounds}"))
     key, gap = _key(k)
     # keys are counted first; segments are worked out on what is left of the rows

@@ -29,45 +29,59 @@ def hash_folds(df: DataFrame, key: Column, folds: int, seed: int = 42) -> DataFr
     return df.withColumn("fold", F.pmod(seeded_hash(key, seed), F.lit(folds)).cast("int"))
 
 
-def stratified_rank(df: DataFrame, label: str, key: Column, seed: int = 42) -> DataFrame:
-    """Add ``stratum_rank`` (0-based, hash order) and ``stratum_size`` within each class.
+def _ranked_keys(df: DataFrame, label: str, key: Column, seed: int, slices: int) -> DataFrame:
+    """Rows with ``__key_rank``, ``__before``, ``__copies`` and ``__size`` of their key in its class.
 
-    Rows are ranked inside (class, hash slice) groups, 4096 per class, and shifted by the size of
-    the slices before; so one class holding most rows still spreads over many tasks.
+    Keys are ranked, not rows, so copies of a row stay together; a key seen with several labels
+    belongs to the smallest. Keys of a class are ranked inside ``slices`` slices of their hash and
+    shifted by the slices before, so one class holding most rows still spreads over many tasks.
     """
-    hashed = df.withColumn("__h", seeded_hash(key, seed)).withColumn("__y", value_or_null(df, label)).withColumn(
-        "__slice", F.floor(F.col("__h") / (HASH_RANGE // HASH_SLICES)).cast("int")
-    ).withColumn("__tie", key.cast("string"))
-    sizes = hashed.groupBy("__y", "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    keyed = df.withColumn("__k", key.cast("string"))
+    keys = (
+        keyed.groupBy("__k").agg(F.min(value_or_null(df, label)).alias("__y"), F.count(F.lit(1)).alias("__copies"))
+        .withColumn("__h", seeded_hash(F.col("__k"), seed))
+        .withColumn("__slice", F.floor(F.col("__h") / (HASH_RANGE // slices)).cast("int"))
+    )
+    sizes = keys.groupBy("__y", "__slice").agg(F.count(F.lit(1)).alias("__n"), F.sum("__copies").alias("__rows"))
     before = Window.partitionBy("__y").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("__y")
     offsets = sizes.select(
         F.col("__y").alias("__oy"), F.col("__slice").alias("__oslice"),
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("__size"),
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__keys_before"),
+        F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__rows_before"),
+        F.sum("__rows").over(Window.partitionBy("__y")).alias("__size"),
     )
-    within = Window.partitionBy("__y", "__slice").orderBy("__h", "__tie")
-    ranked = hashed.withColumn("__r", F.row_number().over(within)).join(
+    within = Window.partitionBy("__y", "__slice").orderBy("__h", "__k")
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = keys.withColumn("__r", F.row_number().over(within)).withColumn("__upto", F.sum("__copies").over(upto)).join(
         offsets, F.col("__y").eqNullSafe(F.col("__oy")) & (F.col("__slice") == F.col("__oslice"))
+    ).select(
+        F.col("__k").alias("__ranked"), (F.col("__keys_before") + F.col("__r") - 1).alias("__key_rank"),
+        (F.col("__rows_before") + F.col("__upto") - F.col("__copies")).alias("__before"), "__copies", "__size",
     )
-    return ranked.withColumn("stratum_rank", F.col("__before") + F.col("__r") - 1).withColumn(
-        "stratum_size", F.col("__size")
-    ).drop("__h", "__y", "__slice", "__tie", "__oy", "__oslice", "__before", "__size", "__r")
+    return keyed.join(ranked, F.col("__k").eqNullSafe(F.col("__ranked"))).drop("__k", "__ranked")
 
 
-def stratified_split(df: DataFrame, label: str, key: Column, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``is_test`` so that every class gives its exact rounded share."""
-    share = clipped_test_size(test_size)
-    wanted = F.floor(F.col("stratum_size") * F.lit(share) + F.lit(0.5))
-    ranked = stratified_rank(df, label, key, seed)
-    return ranked.withColumn("is_test", F.col("stratum_rank") < wanted).drop("stratum_rank", "stratum_size")
+SCRATCH = ("__key_rank", "__before", "__copies", "__size")
 
 
-def stratified_folds(df: DataFrame, label: str, key: Column, folds: int, seed: int = 42) -> DataFrame:
-    """Add ``fold`` so that classes are spread evenly over the folds."""
-    ranked = stratified_rank(df, label, key, seed)
-    return ranked.withColumn("fold", F.pmod("stratum_rank", F.lit(folds)).cast("int")).drop(
-        "stratum_rank", "stratum_size"
-    )
+def stratified_split(
+    df: DataFrame, label: str, key: Column, test_size: float = 0.2, seed: int = 42, slices: int = HASH_SLICES
+) -> DataFrame:
+    """Add ``is_test`` so that every class gives its rounded share, exact where keys are unique.
+
+    Copies share a side; the key on the border goes to the side that holds most of its rows.
+    """
+    wanted = F.floor(F.col("__size") * F.lit(clipped_test_size(test_size)) + F.lit(0.5))
+    ranked = _ranked_keys(df, label, key, seed, slices)
+    return ranked.withColumn("is_test", F.col("__before") + F.col("__copies") / 2 <= wanted).drop(*SCRATCH)
+
+
+def stratified_folds(
+    df: DataFrame, label: str, key: Column, folds: int, seed: int = 42, slices: int = HASH_SLICES
+) -> DataFrame:
+    """Add ``fold`` so that the keys of each class are spread evenly over the folds."""
+    ranked = _ranked_keys(df, label, key, seed, slices)
+    return ranked.withColumn("fold", F.pmod("__key_rank", F.lit(folds)).cast("int")).drop(*SCRATCH)
 
 
 def safe_folds(df: DataFrame, label: str, requested: int, task: str) -> DataFrame:

@@ -15,10 +15,11 @@ from tabloom.operators.arrays import subsample
 from tabloom.operators.lanes import local_table
 from tabloom.operators.models import FEATURES, coefficient_rows
 from tabloom.plans.training import KEY, TrainResult
+from tabloom.session import cut_lineage
 
 SHAP_SCHEMA = "feature string, mean_abs_shap double"
-# Rows explained by default and at most, as offered to users.
-DEFAULT_SAMPLES, MAX_SAMPLES = 120, 300
+# Fixed value: rows explained by default.
+DEFAULT_SAMPLES = 120
 PERMUTATIONS = 8
 
 
@@ -50,11 +51,11 @@ def sampled_shapley(
     steps are scored by one ``model.transform``; their number is bounded by the settings:
     ``max_samples * permutations * (features + 1)``.
     """
-    if not 1 <= max_samples <= MAX_SAMPLES:
-        raise ValueError(f"max_samples must be in 1..{MAX_SAMPLES}")
+    if max_samples < 1:
+        raise ValueError("max_samples must be 1 or more")
     width = len(names)
-    drawn = subsample(rows, F.col(KEY), max_samples, seed).select(KEY, vector_to_array(FEATURES).alias("x"))
-    # at most MAX_SAMPLES rows from here
+    drawn = cut_lineage(subsample(rows, F.col(KEY), max_samples, seed).select(KEY, vector_to_array(FEATURES).alias("x")))
+    # max_samples rows from here, the caller's choice
     order = Window.orderBy(F.xxhash64(F.lit(seed), KEY), KEY)
     numbered = drawn.select((F.row_number().over(order) - 1).alias("row"), "x")
     size = numbered.agg(F.count(F.lit(1))).scalar()

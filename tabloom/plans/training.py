@@ -32,13 +32,17 @@ from tabloom.operators.roles import roles_by_kind
 
 SEARCH_SCHEMA = "rank_test_score int, mean_test_score double, std_test_score double, params string"
 SEARCH_TOP = 20
-EXACT_SPLIT_ROWS = 1_000_000
 KEY, TEST, FOLD, STRATUM = "__key", "is_test", "fold", "__stratum"
+# Names that training gives to columns of its own; a column of the table is renamed if it has one.
+OWN_NAMES = frozenset((
+    "features", "label", "weight", "prediction", "probability", "rawprediction", "centred", "candidate", TEST, FOLD,
+    "y_true", "y_pred", "score", "positive_class_probability",
+))
 
 
 @dataclass(frozen=True)
 class ModelConfig:
-    """Settings of one training run."""
+    """Settings of one training run. Field names and defaults, as saved configurations have them."""
 
     target_col: str
     task_type: str
@@ -71,7 +75,11 @@ class ModelConfig:
 
 @dataclass(frozen=True)
 class Prepared:
-    """Rows fit for training, with ``label`` and a row key; ``rows`` is lazy."""
+    """Rows fit for training, with ``label`` and a row key; ``rows`` is lazy.
+
+    Features named like a column of the training's own go by another name here; ``original`` has
+    the table's name for each of those.
+    """
 
     rows: DataFrame
     numeric: list[str]
@@ -79,6 +87,10 @@ class Prepared:
     classes: list[str]
     usable_rows: int
     dropped_rows: int
+    original: dict[str, str] = field(default_factory=dict)
+
+    def name(self, feature: str) -> str:
+        return self.original.get(feature, feature)
 
 
 @dataclass
@@ -99,12 +111,12 @@ class TrainResult:
     cv_summary: DataFrame | None = None
     search_summary: DataFrame | None = None
     best_params: dict[str, Any] | None = None
-    cached: DataFrame | None = None
+    cached: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
-        """Free the cached split; the result's tables stay usable and are computed anew."""
-        if self.cached is not None:
-            self.cached.unpersist()
+        """Free the cached split and scores; the result's tables stay usable and are computed anew."""
+        for table in self.cached:
+            table.unpersist()
 
     @property
     def used_features(self) -> list[str]:
@@ -121,8 +133,10 @@ def prepare(df: DataFrame, config: ModelConfig, key: Column | None = None) -> Pr
     gate = target_gate(df, target).first()
     if not gate["ok"]:
         raise ValueError(gate["message"])
-    keyed = df.withColumn(KEY, (row_key(df) if key is None else key).cast("string"))
-    clean = keyed.where(value_or_null(df, target).isNotNull())
+    renamed = _own_names_avoided(df.columns, target)
+    keyed = df.select(
+        *[column(c).alias(renamed.get(c, c)) for c in df.columns], (row_key(df) if key is None else key).cast("string").alias(KEY))
+    clean = keyed.where(value_or_null(keyed, target).isNotNull())
     kinds = roles_by_kind(clean.drop(target, KEY))
     numeric, categorical = kinds["numeric"], kinds["categorical"]
     if config.exclude_datetime:
@@ -131,7 +145,6 @@ def prepare(df: DataFrame, config: ModelConfig, key: Column | None = None) -> Pr
         categorical = [c for c in categorical if c not in dates]
     classes: list[str] = []
     usable = gate["usable_rows"]
-    total = round(usable / (1 - gate["missing_ratio"])) if usable else 0
     if config.task_type == "classification":
         classes = label_classes(clean, target)
         rows = encode_labels(clean, target, classes, LABEL)
@@ -140,14 +153,28 @@ def prepare(df: DataFrame, config: ModelConfig, key: Column | None = None) -> Pr
         usable = rows.count()
         if usable < MIN_USABLE_ROWS:
             raise ValueError("fewer than 10 rows are left with a numeric target")
-    return Prepared(rows, numeric, categorical, classes, usable, total - usable)
+    return Prepared(rows, numeric, categorical, classes, usable, gate["n_rows"] - usable, {new: old for old, new in renamed.items()})
+
+
+def _own_names_avoided(columns: Sequence[str], target: str) -> dict[str, str]:
+    """New names for columns named like one of the training's own, which it would overwrite."""
+    taken, renamed = {c.lower() for c in columns}, {}
+    for name in columns:
+        if name != target and (name.lower() in OWN_NAMES or name.startswith("__")):
+            new = f"{name.lstrip('_')}_feature"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            renamed[name] = new
+    return renamed
+
 
+def split(prepared: Prepared, config: ModelConfig, exact: bool = False) -> DataFrame:
+    """Rows with ``is_test``, by a hash of their key: without a shuffle, close to the share asked for.
 
-def split(prepared: Prepared, config: ModelConfig, exact: bool | None = None) -> DataFrame:
-    """Rows with ``is_test``. Up to a million rows the split is exact per class; beyond, the
-    shuffle-free hash split is close enough to its share."""
+    ``exact`` gives each class its rounded share, for a shuffle of the rows.
+    """
     rows = prepared.rows
-    exact = prepared.usable_rows <= EXACT_SPLIT_ROWS if exact is None else exact
     if not exact:
         return splits.hash_split(rows, F.col(KEY), config.test_size, config.random_state)
     stratum = F.col(LABEL) if prepared.classes else F.lit(0.0)
@@ -155,8 +182,8 @@ def split(prepared: Prepared, config: ModelConfig, exact: bool | None = None) ->
         rows.withColumn(STRATUM, stratum), STRATUM, F.col(KEY), config.test_size, config.random_state).drop(STRATUM)
 
 
-def with_folds(rows: DataFrame, prepared: Prepared, folds: int, seed: int, exact: bool | None = None) -> DataFrame:
-    exact = prepared.usable_rows <= EXACT_SPLIT_ROWS if exact is None else exact
+def with_folds(rows: DataFrame, prepared: Prepared, folds: int, seed: int, exact: bool = False) -> DataFrame:
+    """Rows with ``fold``, by a hash of their key, or evenly for each class if ``exact``."""
     if not exact:
         return splits.hash_folds(rows, F.col(KEY), folds, seed + 1)
     stratum = F.col(LABEL) if prepared.classes else F.lit(0.0)
@@ -272,11 +299,11 @@ def _fold_count(rows: DataFrame, config: ModelConfig) -> int:
 
 @contextmanager
 def _folded(
-    rows: DataFrame, prepared: Prepared, config: ModelConfig, folds: int, exact: bool | None
+    rows: DataFrame, prepared: Prepared, config: ModelConfig, folds: int, exact: bool, cache: bool
 ) -> Iterator[DataFrame]:
-    """Rows with ``fold``, cached while a small table is worked on."""
+    """Rows with ``fold``, cached while they are worked on."""
     folded = with_folds(rows, prepared, folds, config.random_state, exact)
-    if prepared.usable_rows > EXACT_SPLIT_ROWS:
+    if not cache:
         yield folded
         return
     folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
@@ -287,22 +314,23 @@ def _folded(
 
 
 def train_model(
-    df: DataFrame, config: ModelConfig, key: Column | None = None, exact_split: bool | None = None,
-    parallelism: int = 2,
+    df: DataFrame, config: ModelConfig, key: Column | None = None, exact_split: bool = False,
+    parallelism: int = 2, cache: bool = True,
 ) -> TrainResult:
-    """Prepare, split, fit (with search when asked), score on the test rows, cross-validate."""
+    """Prepare, split, fit (with search when asked), score on the test rows, cross-validate.
+
+    ``cache`` keeps the prepared rows and the scores in memory and on the executors' disks until
+    ``release()``; without it they are computed wherever they are needed.
+    """
     prepared = prepare(df, config, key)
     rows = split(prepared, config, exact_split)
-    small = prepared.usable_rows <= EXACT_SPLIT_ROWS
-    if small:
-        # an exact split has a shuffle behind it; a larger table is simply read again
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK) if cache else rows
     train, test = rows.where(~F.col(TEST)), rows.where(F.col(TEST))
     folds = _fold_count(train, config) if config.use_search or config.use_cv else 0
 
     search_summary, best = None, None
     if config.use_search:
-        with _folded(train, prepared, config, folds, exact_split) as folded:
+        with _folded(train, prepared, config, folds, exact_split, cache) as folded:
             found = search(folded, prepared, config, folds, parallelism)
         if found:
             search_summary, best = found
@@ -310,19 +338,23 @@ def train_model(
 
     cv_summary = None
     if config.use_cv:
-        with _folded(rows, prepared, config, folds, exact_split) as folded:
+        with _folded(rows, prepared, config, folds, exact_split, cache) as folded:
             summary = cross_validate(folded, prepared, config, folds, best or {})
             cv_summary = local_table(df.sparkSession, summary.collect(), "metric string, mean double, std double")
 
     features = prepared.numeric + prepared.categorical
-    scored = model.transform(test)
-    raw = _as_predictions(scored, prepared.classes, [column(c) for c in features])
+    raw = _as_predictions(model.transform(test), prepared.classes, [column(c) for c in features])
+    raw = raw.persist(StorageLevel.MEMORY_AND_DISK) if cache else raw  # metrics, confusion and table share the scores
     named = [c for c in ("y_true", "y_pred", "score") if c in raw.columns]
-    predictions = raw.select(*named, *[column(c) for c in features]).withColumnRenamed(
-        "score", "positive_class_probability")
+    # a feature named like one of the result's columns keeps its other name there
+    shown = [column(c).alias(c if prepared.name(c).lower() in OWN_NAMES else prepared.name(c)) for c in features]
+    predictions = raw.select(*[F.col(c).alias("positive_class_probability" if c == "score" else c) for c in named], *shown)
     compared = raw.select(*named)
     positive = prepared.classes[1] if len(prepared.classes) == 2 else None
-    names = [slot[1] for slot in feature_slots(model.stages[0])]
+    names = [
+        prepared.name(source) if level is None else f"{prepared.name(source)}_{level}"
+        for _, _, source, level in feature_slots(model.stages[0])
+    ]
     fitted: Model = model.stages[-1]
     return TrainResult(
         model=model,
@@ -330,11 +362,11 @@ def train_model(
         predictions=predictions,
         importance=feature_importance(df, fitted, names),
         task_type=config.task_type, model_name=config.model_name,
-        numeric_features=prepared.numeric, categorical_features=prepared.categorical, feature_names=names,
+        numeric_features=[prepared.name(c) for c in prepared.numeric],
+        categorical_features=[prepared.name(c) for c in prepared.categorical], feature_names=names,
         dropped_rows=prepared.dropped_rows,
         test_rows=model.stages[0].transform(test).select(KEY, FEATURES, LABEL),
         label_classes=prepared.classes,
         confusion=evaluate.confusion(compared, prepared.classes) if prepared.classes else None,
-        cv_summary=cv_summary, search_summary=search_summary, best_params=best, cached=rows if small else None,
+        cv_summary=cv_summary, search_summary=search_summary, best_params=best, cached=[rows, raw] if cache else [],
     )
-

@@ -1,7 +1,8 @@
 """Delimited tables: encoding and header checks per file, pandas-like types, then one Spark read.
 
-Only the head of each file is opened to check it, by tasks spread over the files. Data is read by
-Spark's CSV source, split over tasks unless quoted line breaks forbid it.
+One pass over all bytes finds each file's encoding and whether a quoted cell spans lines; it is
+split over tasks like any read. Only the header line is fetched by opening a file. What is known of
+the files stays a table; the driver sees one row for each kind of file.
 """
 
 from __future__ import annotations
@@ -9,8 +10,7 @@ from __future__ import annotations
 import codecs
 import csv
 from collections.abc import Iterator, Sequence
-from pathlib import PurePosixPath
-from urllib.parse import quote
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow.fs
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.names import check_names, clean_column_names, column
-from tabloom.operators.lanes import local_table, per_column, union_all
+from tabloom.operators.lanes import per_column, union_all
 from tabloom.session import cut_lineage
 
 # Encodings in the order they are tried, and what Spark's reader calls them.
@@ -35,12 +35,13 @@ NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-HEAD_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 20
+KINDS_SHOWN = 100
 MIN_ROWS, MIN_COLUMNS = 5, 2
 INTEGER_SHAPE = r"^\s*[+-]?\d+\s*$"
 NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(inf|Inf|INF|infinity|Infinity)\s*$"
-METADATA_SCHEMA = "source string, encoding string, format string, size_bytes bigint, sample_rows bigint"
-HEAD_SCHEMA = "path string, length bigint, encoding string, header string"
+HEAD_SCHEMA = "path string, length bigint, head binary"
+FITS_SCHEMA = "path string, gbk boolean, gb18030 boolean"
 
 
 class TableError(ValueError):
@@ -50,17 +51,23 @@ class TableError(ValueError):
 def list_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``(path, length)`` of the files behind a path, folder or pattern; contents are not read."""
     paths = [path] if isinstance(path, str) else list(path)
-    return spark.read.format("binaryFile").load(paths).select("path", "length")
+    files = spark.read.format("binaryFile").load(paths)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"))
 
 
-def _open_head(path: str, size: int = HEAD_BYTES) -> bytes:
+def _first_line(path: str) -> bytes:
+    """Bytes up to the first line break, however far that is."""
     if path.startswith("file:"):
-        local = "/" + path.removeprefix("file:").lstrip("/")
-        with open(local, "rb") as handle:
-            return handle.read(size)
-    system, inner = pyarrow.fs.FileSystem.from_uri(quote(path, safe=":/@"))
+        system, inner = pyarrow.fs.LocalFileSystem(), "/" + unquote(path).removeprefix("file:").lstrip("/")
+    else:
+        system, inner = pyarrow.fs.FileSystem.from_uri(path)
+    head = b""
     with system.open_input_stream(inner) as handle:
-        return handle.read(size)
+        while chunk := handle.read(CHUNK_BYTES):
+            head += chunk
+            if b"\n" in chunk or b"\r" in chunk:
+                break
+    return head.splitlines()[0] if head else b""
 
 
 def detect_encoding(head: bytes, complete: bool) -> str:
@@ -76,22 +83,56 @@ def detect_encoding(head: bytes, complete: bool) -> str:
 
 def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        encodings, headers = [], []
-        for path, length in zip(batch["path"], batch["length"]):
-            head = _open_head(path)
-            name = detect_encoding(head, complete=length <= len(head))
-            text = head.decode(name, errors="replace").lstrip("﻿")
-            lines = text.splitlines()
-            encodings.append(name if head.strip() else None)
-            headers.append(lines[0] if lines else "")
-        yield batch.assign(encoding=encodings, header=headers)
+        yield batch.assign(head=[_first_line(path) for path in batch["path"]])
+
+
+def _fitting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whether the lines of each file decode, for every batch of them."""
+    for batch in batches:
+        rows = []
+        for path, lines in batch.groupby("path")["value"]:
+            raw = b"\n".join(lines)
+            rows.append((path, *[detect_fit(raw, name) for name in ("gbk", "gb18030")]))
+        yield pd.DataFrame(rows, columns=["path", "gbk", "gb18030"])
 
 
-def file_heads(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """``(path, length, encoding, header)`` per file; ``encoding`` is NULL for an empty file."""
-    files = list_files(spark, path)
-    spread = files.repartition(spark.sparkContext.defaultParallelism, "path")
-    return spread.mapInPandas(_read_heads, HEAD_SCHEMA)
+def detect_fit(raw: bytes, encoding: str) -> bool:
+    try:
+        raw.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def file_facts(spark: SparkSession, path: str | Sequence[str], text: bool = True) -> DataFrame:
+    """``(path, length, encoding, header, open_quotes)`` per file; ``encoding`` is NULL for an empty file.
+
+    All lines are read, so a late character of another encoding counts like an early one. The
+    Python part sees only files that are not UTF-8. ``text=False`` lists the files only.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    files = list_files(spark, paths)
+    if not text:
+        return cut_lineage(files.select("path", "length", F.lit("binary").alias("encoding")))
+    # the text source gives the bytes of a line as they are
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    scanned = lines.groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.bool_or(F.expr("regexp_count(value, '\"') % 2 = 1")).alias("open_quotes"),
+        F.bool_or(F.trim("value") != "").alias("filled"),
+    )
+    heads = files.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(_read_heads, HEAD_SCHEMA)
+    facts = cut_lineage(heads.join(scanned, "path", "left"))
+    others = facts.where(~F.col("utf8")).select("path")
+    if not others.isEmpty():
+        fits = lines.join(others, "path", "left_semi").select("path", F.col("value").cast("binary")).mapInPandas(_fitting, FITS_SCHEMA).groupBy("path").agg(
+            F.bool_and("gbk").alias("gbk"), F.bool_and("gb18030").alias("gb18030"))
+        facts = cut_lineage(facts.join(fits, "path", "left"))
+    else:
+        facts = facts.withColumns({"gbk": F.lit(False), "gb18030": F.lit(False)})
+    encoding = F.when(F.coalesce("filled", F.lit(False)), F.when(F.col("utf8"), "utf-8").when(F.col("gbk"), "gbk").when(
+        F.col("gb18030"), "gb18030").otherwise(ENCODINGS[-1]))
+    return facts.select("path", "length", encoding.alias("encoding"), "head", F.coalesce("open_quotes", F.lit(False)).alias("open_quotes"))
 
 
 def parse_header(line: str, delimiter: str) -> list[str]:
@@ -106,12 +147,6 @@ def parse_header(line: str, delimiter: str) -> list[str]:
     return names
 
 
-def _has_open_quotes(spark: SparkSession, paths: list[str]) -> bool:
-    """Whether any line holds an odd number of quotes, so that a record spans lines."""
-    lines = spark.read.text(paths)
-    return bool(lines.where(F.expr("regexp_count(value, '\"') % 2 = 1")).limit(1).count())
-
-
 def _null_tokens(df: DataFrame, tokens: Sequence[str]) -> DataFrame:
     return df.select(*[
         F.when(~column(name).isin(list(tokens)), column(name)).alias(name) for name in df.columns])
@@ -167,10 +202,6 @@ def validate_table(df: DataFrame, allow_tiny: bool = False) -> None:
         raise TableError("fewer than 5 rows")
 
 
-def _suffix(path: str) -> str:
-    return PurePosixPath(path).suffix.lower()
-
-
 def read_table(
     spark: SparkSession, path: str | Sequence[str], *, schema: T.StructType | str | None = None,
     sample_rows: int | None = None, multi_line: bool | None = None, allow_tiny: bool = False,
@@ -182,29 +213,26 @@ def read_table(
     encoding but not in header. ``schema`` saves the type-inference scan. ``multi_line=None``
     looks for quoted line breaks first; with none found the files stay splittable.
     """
-    heads = file_heads(spark, path).collect()  # one small row per file
-    if not heads:
+    files = list_files(spark, path).select(F.regexp_extract(F.lower("path"), r"\.[^./]*$", 0).alias("suffix"))
+    suffixes = {row["suffix"] for row in files.distinct().limit(KINDS_SHOWN).collect()}
+    if not suffixes:
         raise TableError(f"no files behind {path}")
-    suffixes = {_suffix(row["path"]) for row in heads}
     unknown = suffixes - DELIMITERS.keys() - OTHER_FORMATS.keys()
     if unknown:
         raise TableError(f"unsupported file type: {', '.join(sorted(unknown)) or 'none'}")
     if len(suffixes) > 1:
         raise TableError("files of different types: read them one type at a time")
     suffix = suffixes.pop()
-    paths = [row["path"] for row in heads]
+    facts = file_facts(spark, path, suffix in DELIMITERS)
     if suffix in OTHER_FORMATS:
-        df = spark.read.format(OTHER_FORMATS[suffix]).load(paths)
-        encodings, form = {p: "binary" for p in paths}, OTHER_FORMATS[suffix]
+        df, form = spark.read.format(OTHER_FORMATS[suffix]).load(path), OTHER_FORMATS[suffix]
     else:
-        df = _read_delimited(spark, heads, DELIMITERS[suffix], multi_line)
-        df = _null_tokens(df, na_tokens)
-        encodings = {row["path"]: row["encoding"] for row in heads}
+        df = _null_tokens(_read_delimited(spark, path, facts, DELIMITERS[suffix], multi_line), na_tokens)
         form = "tsv" if DELIMITERS[suffix] == "\t" else "csv"
     df = clean_column_names(df)
     if sample_rows:
-        # which rows a limit returns is not fixed: keep them for all later passes
-        df = cut_lineage(df.limit(sample_rows))
+        # which rows a limit returns is not fixed: keep them for all later passes, spread again
+        df = cut_lineage(df.limit(sample_rows).repartition(spark.sparkContext.defaultParallelism))
     if suffix in DELIMITERS:
         if schema is None:
             df = apply_types(df, infer_types(df))
@@ -212,32 +240,44 @@ def read_table(
             wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
             df = apply_types(df, {f.name: f.dataType.simpleString() for f in wanted.fields})
     validate_table(df, allow_tiny)
-    rows = [(r["path"], encodings[r["path"]], form, r["length"], sample_rows) for r in heads]
-    return df, local_table(spark, rows, METADATA_SCHEMA)
-
-
-def _read_delimited(spark: SparkSession, heads: list, delimiter: str, multi_line: bool | None) -> DataFrame:
-    if any(row["encoding"] is None for row in heads):
-        empty = [row["path"] for row in heads if row["encoding"] is None]
-        raise TableError(f"empty file: {', '.join(empty[:5])}")
-    names = parse_header(heads[0]["header"], delimiter)
-    for row in heads:
-        if parse_header(row["header"], delimiter) != names:
-            raise TableError(f"header of {row['path']} differs from {heads[0]['path']}")
+    return df, facts.select(
+        F.col("path").alias("source"), "encoding", F.lit(form).alias("format"), F.col("length").alias("size_bytes"),
+        F.lit(sample_rows).cast("bigint").alias("sample_rows"))
+
+
+def _read_delimited(
+    spark: SparkSession, path: str | Sequence[str], facts: DataFrame, delimiter: str, multi_line: bool | None
+) -> DataFrame:
+    """One read by the given path for each kind of file: encoding, and whether cells span lines."""
+    empty = facts.where("encoding IS NULL").limit(5).collect()
+    if empty:
+        raise TableError(f"empty file: {', '.join(unquote(row['path']) for row in empty)}")
+    spans = F.col("open_quotes") if multi_line is None else F.lit(multi_line)
+    marked = facts.withColumn("spans", spans)
+    kinds = marked.groupBy("encoding", "spans", "head").agg(F.min("path").alias("path")).orderBy("path").limit(KINDS_SHOWN).collect()
+    headers = [bytes(row["head"]).decode(row["encoding"]).lstrip("\ufeff") for row in kinds]
+    names = parse_header(headers[0], delimiter)
+    for row, header in zip(kinds, headers):
+        if parse_header(header, delimiter) != names:
+            raise TableError(f"header of {unquote(row['path'])} differs from {unquote(kinds[0]['path'])}")
     text = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    groups: dict[str, list[str]] = {}
-    for row in heads:
-        groups.setdefault(SPARK_ENCODINGS[row["encoding"]], []).append(row["path"])
-    if groups.keys() & {"GBK", "GB18030"}:
-        # the reader only knows these names in this mode; it must still hold when the plan runs
+    wanted = sorted({(row["encoding"], row["spans"]) for row in kinds})
+    if {encoding for encoding, _ in wanted} & {"gbk", "gb18030"}:
+        # the reader only knows these names in this mode, and it must still hold when the plan runs
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     frames = []
-    for encoding, paths in groups.items():
-        spans = _has_open_quotes(spark, paths) if multi_line is None else multi_line
-        frames.append(
+    for encoding, over_lines in wanted:
+        frame = (
             spark.read.schema(text)
-            .options(header=True, sep=delimiter, encoding=encoding, multiLine=spans, quote='"', escape='"')
-            .csv(paths))
+            .options(header=True, sep=delimiter, encoding=SPARK_ENCODINGS[encoding], multiLine=over_lines, quote='"', escape='"')
+            .csv(path))
+        if len(wanted) > 1:
+            # files of several kinds are read once for each kind, and rows of the others dropped
+            own = marked.where((F.col("encoding") == encoding) & (F.col("spans") == over_lines)).select(F.col("path").alias("__file"))
+            names_kept = [column(name) for name in names]
+            frame = frame.select(*names_kept, F.col("_metadata.file_path").alias("__path")).join(
+                own, F.col("__path") == F.col("__file"), "left_semi").drop("__path")
+        frames.append(frame)
     return union_all(frames)
 
 

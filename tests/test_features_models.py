@@ -122,6 +122,46 @@ def test_exact_split_sizes_and_hot_class(spark):
     assert spread <= 1
 
 
+@pytest.mark.parametrize("slices", [1, 4096])
+def test_copies_stay_together(spark, slices):
+    df = spark.range(40).crossJoin(spark.range(10).select(F.col("id").alias("copy"))).withColumn("y", (F.col("id") % 2).cast("string"))
+    df = df.union(df.where("id = 3").limit(1).crossJoin(spark.range(150)).select("id", "copy", "y"))
+    for part, name in ((splits.stratified_folds(df, "y", F.col("id"), 5, slices=slices), "fold"),
+                       (splits.stratified_split(df, "y", F.col("id"), 0.25, slices=slices), "is_test")):
+        assert part.count() == df.count() and part.columns == [*df.columns, name]
+        assert part.groupBy("id").agg(F.countDistinct(name).alias("n")).where("n > 1").count() == 0
+
+
+CLASHES = ["label", "features", "fold", "is_test", "score", "y_true", "y_pred", "weight"]
+
+
+def test_names_of_features_do_not_matter(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, len(CLASHES)))
+    target = (x @ np.arange(1, len(CLASHES) + 1) + rng.normal(size=300) * 4 > 0).astype(int)
+    rows = [(i, *map(float, r), f"c{t}") for i, (r, t) in enumerate(zip(x, target))]
+    found = []
+    for names in (CLASHES, [f"n{i}" for i in range(len(CLASHES))]):
+        schema = "id int, " + ", ".join(f"{n} double" for n in names) + ", outcome string"
+        result = train_model(
+            spark.createDataFrame(rows, schema), ModelConfig("outcome", "classification", "Logistic Regression", use_cv=True, cv_folds=2), F.col("id"))
+        metrics = {r["metric"]: round(r["value"], 6) for r in result.metrics.collect()}
+        cv = sorted((r["metric"], round(r["mean"], 6)) for r in result.cv_summary.collect())
+        found.append((metrics, cv, [round(r["importance"], 5) for r in result.importance.collect()]))
+        assert result.numeric_features == ["id", *names]
+        assert set(shapley_importance(result).toPandas()["feature"]) == {"id", *names}
+        result.release()
+    assert found[0] == found[1] and 0.6 < found[0][0]["accuracy"] < 1
+
+
+def test_a_random_feature_called_label_tells_nothing(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, float(a), int(b)) for i, (a, b) in enumerate(zip(rng.normal(size=400), rng.integers(0, 2, 400)))]
+    df = spark.createDataFrame(rows, "id int, label double, outcome int")
+    result = train_model(df, ModelConfig("outcome", "classification", "Logistic Regression"), F.col("id"))
+    assert {r["metric"]: r["value"] for r in result.metrics.collect()}["accuracy"] < 0.75
+
+
 def test_split_does_not_depend_on_partitions(spark, demo):
     config = ModelConfig("outcome", "classification", "Logistic Regression")
     one = split(prepare(demo.repartition(1), config), config).where("is_test").select("id").collect()
@@ -146,7 +186,7 @@ def test_metrics_edges(spark):
     odd = spark.createDataFrame([("a", "b"), ("a", "a"), ("c", "b")], "y_true string, y_pred string")
     got = {r["metric"]: r["value"] for r in evaluate.classification_metrics(odd).collect()}
     assert got["accuracy"] == pytest.approx(1 / 3) and got["precision_weighted"] == pytest.approx(2 / 3)
-    cells = {(r["y_true"], r["y_pred"]): r["count"] for r in evaluate.confusion(odd).collect()}
+    cells = {(r["y_true"], r["y_pred"]): r["count"] for r in evaluate.confusion(odd, ["a", "b", "c"]).collect()}
     assert len(cells) == 9 and cells[("c", "b")] == 1 and cells[("b", "b")] == 0
 
 
@@ -202,6 +242,7 @@ def test_training_flow(spark, demo):
     assert result.numeric_features == ["id", "x", "noise"] and result.categorical_features == ["site"]
     metrics = {r["metric"]: r["value"] for r in result.metrics.collect()}
     assert metrics["accuracy"] > 0.8 and metrics["roc_auc"] > 0.9
+    assert sorted(result.predictions.columns[:3]) == ["positive_class_probability", "y_pred", "y_true"]
     assert result.predictions.columns == ["y_true", "y_pred", "positive_class_probability", "id", "x", "noise", "site"]
     assert result.search_summary.count() == 5 and set(result.best_params) == {"C"}
     assert {r["metric"] for r in result.cv_summary.collect()} == {"accuracy", "f1_weighted"}

@@ -62,6 +62,20 @@ def test_cut_character_is_no_evidence():
     assert detect_encoding(text.encode()[:-1], complete=True) != "utf-8"
 
 
+def test_a_late_character_decides_the_encoding(spark, tmp_path):
+    rows = "".join(f"{i},plain\n" for i in range(200_000)) + "200000,中文数据\n"
+    df, meta = read_table(spark, put(tmp_path, "late file.csv", "k,word\n" + rows, "gbk"))
+    assert meta.first()["encoding"] == "gbk" and df.where("k = 200000").first()["word"] == "中文数据" and df.count() == 200_001
+
+
+def test_a_header_longer_than_a_chunk(spark, tmp_path):
+    names = [f"column_{i:06d}_{'x' * 90}" for i in range(12_000)]
+    path = put(tmp_path, "wide.csv", ",".join(names) + "\n")
+    from tabloom.sources.delimited import _first_line
+
+    assert _first_line(f"file://{path}").decode() == ",".join(names)
+
+
 def test_quoted_line_breaks(spark, tmp_path):
     text = "a,b\n" + "".join(f'{i},"line one\nline ""two"" {i}"\n' for i in range(6))
     df, _ = read_table(spark, put(tmp_path, "t.csv", text))

@@ -37,7 +37,36 @@ SELECT a.v AS y_true, b.v AS y_pred, (SELECT count(*) FROM p WHERE p.y_true = a.
 
 @query("confusion", CONFUSION_SQL)
 def q_confusion(spark, sf_dir):
-    return evaluate.confusion(line_predictions(spark, sf_dir))
+    predictions = line_predictions(spark, sf_dir)
+    labels = sorted(row["label"] for row in evaluate.class_labels(predictions).collect())
+    return evaluate.confusion(predictions, labels)
+
+
+# every seventh truth and every fifth guess is missing
+GAPPY_LINE_SQL = f"""SELECT CASE WHEN k % 7 = 0 THEN NULL ELSE y_true END AS y_true, CASE WHEN k % 5 = 0 THEN NULL ELSE y_pred END AS y_pred
+  FROM (SELECT *, l_orderkey + l_linenumber AS k FROM ({LINE_SQL.replace('SELECT ', 'SELECT l_orderkey, l_linenumber, ', 1)}))"""
+
+
+def gappy_predictions(spark, sf_dir):
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    guess = F.when(F.col("l_extendedprice") > 60000, "A").when(F.col("l_quantity") > 20, "N").otherwise("Z")
+    return table(spark, sf_dir, "lineitem").select(
+        F.when(k % 7 != 0, F.col("l_returnflag")).alias("y_true"), F.when(k % 5 != 0, guess).alias("y_pred"))
+
+
+@query("confusion_missing_labels", f"""WITH p AS ({GAPPY_LINE_SQL})
+SELECT coalesce(y_true, '__MISSING__') AS y_true, coalesce(y_pred, '__MISSING__') AS y_pred, count(*)::BIGINT AS count FROM p GROUP BY 1, 2""")
+def q_confusion_missing_labels(spark, sf_dir):
+    return evaluate.confusion(gappy_predictions(spark, sf_dir))
+
+
+@query("accuracy_missing_labels", f"""WITH p AS ({GAPPY_LINE_SQL})
+SELECT round(avg((y_true IS NOT DISTINCT FROM y_pred)::INTEGER), 9) AS accuracy, count(*)::BIGINT AS n FROM p""")
+def q_accuracy_missing_labels(spark, sf_dir):
+    predictions = gappy_predictions(spark, sf_dir)
+    accuracy = evaluate.classification_metrics(predictions).where("metric = 'accuracy'")
+    total = evaluate.confusion(predictions).agg(F.sum("count").alias("n"))
+    return rounded(accuracy.select(F.col("value").alias("accuracy")).crossJoin(F.broadcast(total)), 9)
 
 
 @query("confusion_wide", RULES + """

@@ -153,6 +153,25 @@ def q_stratified_folds(spark, sf_dir):
     return splits.stratified_folds(orders, "o_orderstatus", F.col("o_orderkey"), 4).select("o_orderkey", "fold")
 
 
+# keys with copies: all lines of a part, which belongs to its smallest return flag
+COPIES = f"""k AS (SELECT l_partkey, min(l_returnflag) AS y, count(*) AS n FROM lineitem GROUP BY 1),
+r AS (SELECT *, sum(n) OVER (PARTITION BY y) AS size, row_number() OVER w - 1 AS r, sum(n) OVER w - n AS before FROM k
+  WINDOW w AS (PARTITION BY y ORDER BY {HASH.format(k='l_partkey')}, l_partkey::VARCHAR ROWS UNBOUNDED PRECEDING))"""
+
+
+@query("stratified_folds_copies", f"WITH {COPIES} SELECT l_orderkey, l_linenumber, (r % 4)::INTEGER AS fold FROM lineitem JOIN r USING (l_partkey)")
+def q_stratified_folds_copies(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return splits.stratified_folds(lines, "l_returnflag", F.col("l_partkey"), 4).select("l_orderkey", "l_linenumber", "fold")
+
+
+@query("stratified_split_copies", f"""WITH {COPIES}
+SELECT l_orderkey, l_linenumber, before + n / 2.0 <= floor(size * 0.25::DOUBLE + 0.5) AS is_test FROM lineitem JOIN r USING (l_partkey)""")
+def q_stratified_split_copies(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return splits.stratified_split(lines, "l_returnflag", F.col("l_partkey"), 0.25).select("l_orderkey", "l_linenumber", "is_test")
+
+
 @query("safe_folds", """
 SELECT 'status' AS target, greatest(2, least(10, min(n)))::INTEGER AS folds FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus)
 UNION ALL SELECT 'region', greatest(2, least(7, min(n)))::INTEGER FROM (SELECT count(*) AS n FROM region GROUP BY r_name)

@@ -130,6 +130,18 @@ def q_prepared_rows(spark, sf_dir):
         "o_orderkey", "label", "is_test", F.lit(prepared.dropped_rows).cast("bigint").alias("dropped_rows")), 4)
 
 
+@query("prepared_clashing_names", """
+SELECT vec_id, label::DOUBLE AS label_value, (vec_id % 10)::DOUBLE AS fold_value, (vec_id % 97)::DOUBLE AS target FROM embeddings""")
+def q_prepared_clashing_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", (F.col("vec_id") % 10).alias("fold"), (F.col("vec_id") % 97).alias("t"))
+    prepared = prepare(rows, ModelConfig("t", "regression", "Linear Regression"), F.col("vec_id"))
+    renamed = {old: new for new, old in prepared.original.items()}
+    return prepared.rows.select(
+        "vec_id", F.col(renamed["label"]).cast("double").alias("label_value"),
+        F.col(renamed["fold"]).cast("double").alias("fold_value"), F.col("label").alias("target"))
+
+
 def _one_feature(spark, sf_dir):
     lineitem = table(spark, sf_dir, "lineitem")
     rows = lineitem.select("l_quantity", F.col("l_extendedprice").alias("label"))

@@ -25,8 +25,11 @@ def _gate_sql(source, column):
    WHEN usable_rows < 10 THEN false ELSE true END AS ok,
   CASE WHEN missing_ratio > 0.5 THEN 'too_many_missing' WHEN unique_count < 2 THEN 'too_few_values'
    WHEN usable_rows < 10 THEN 'too_few_rows' WHEN missing_ratio > 0 THEN 'some_missing' ELSE 'ok' END AS code,
-  round(missing_ratio, 9) AS missing_ratio, unique_count, usable_rows FROM (
-  SELECT (count(*) - count({column}))::DOUBLE / count(*) AS missing_ratio,
+  CASE WHEN missing_ratio > 0.5 THEN 'target is missing in ' || printf('%.1f%%', 100 * missing_ratio) || ' of the rows: clean it first'
+   WHEN unique_count < 2 THEN 'target has fewer than 2 distinct values' WHEN usable_rows < 10 THEN 'fewer than 10 rows are left without missing targets'
+   WHEN missing_ratio > 0 THEN 'target is missing in ' || printf('%.1f%%', 100 * missing_ratio) || ' of the rows: they are dropped' ELSE '' END AS message,
+  round(missing_ratio, 9) AS missing_ratio, unique_count, usable_rows, n_rows FROM (
+  SELECT count(*)::BIGINT AS n_rows, (count(*) - count({column}))::DOUBLE / count(*) AS missing_ratio,
    count(DISTINCT {column})::BIGINT AS unique_count, count({column})::BIGINT AS usable_rows FROM {source})"""
 
 
@@ -43,7 +46,7 @@ def q_target_gate(spark, sf_dir):
     wanted = [(gappy, "o_totalprice"), (gappy, "o_orderstatus"), (hard, "mostly_missing"), (hard, "constant"),
               (table(spark, sf_dir, "region"), "r_name")]
     return rounded(union_all([
-        target_gate(df, name).drop("message").withColumn("target", F.lit(name)) for df, name in wanted]), 9)
+        target_gate(df, name).withColumn("target", F.lit(name)) for df, name in wanted]), 9)
 
 
 @query("dataset_warnings", """
