@@ -123,9 +123,13 @@ class TrainResult:
         return self.numeric_features + self.categorical_features
 
 
-def prepare(df: DataFrame, config: ModelConfig, key: Column | None = None) -> Prepared:
+def prepare(
+    df: DataFrame, config: ModelConfig, key: Column | None = None, features: Sequence[str] | None = None
+) -> Prepared:
     """Check the target, drop rows without it, pick features and encode the label.
 
+    ``features`` narrows the choice to some columns, by default all but the target are considered.
+
     ``key`` identifies a row for splits and folds; by default equal rows share a key, so a copy
     of a training row never lands in the test set.
     """
@@ -143,6 +147,9 @@ def prepare(df: DataFrame, config: ModelConfig, key: Column | None = None) -> Pr
         dates = set(kinds["datetime"])
         numeric = [c for c in numeric if c not in dates]
         categorical = [c for c in categorical if c not in dates]
+    if features is not None:
+        wanted = {renamed.get(c, c) for c in features}
+        numeric, categorical = [c for c in numeric if c in wanted], [c for c in categorical if c in wanted]
     classes: list[str] = []
     usable = gate["usable_rows"]
     if config.task_type == "classification":
@@ -315,14 +322,14 @@ def _folded(
 
 def train_model(
     df: DataFrame, config: ModelConfig, key: Column | None = None, exact_split: bool = False,
-    parallelism: int = 2, cache: bool = True,
+    parallelism: int = 2, cache: bool = True, features: Sequence[str] | None = None,
 ) -> TrainResult:
     """Prepare, split, fit (with search when asked), score on the test rows, cross-validate.
 
     ``cache`` keeps the prepared rows and the scores in memory and on the executors' disks until
     ``release()``; without it they are computed wherever they are needed.
     """
-    prepared = prepare(df, config, key)
+    prepared = prepare(df, config, key, features)
     rows = split(prepared, config, exact_split)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK) if cache else rows
     train, test = rows.where(~F.col(TEST)), rows.where(F.col(TEST))
@@ -342,12 +349,12 @@ def train_model(
             summary = cross_validate(folded, prepared, config, folds, best or {})
             cv_summary = local_table(df.sparkSession, summary.collect(), "metric string, mean double, std double")
 
-    features = prepared.numeric + prepared.categorical
-    raw = _as_predictions(model.transform(test), prepared.classes, [column(c) for c in features])
+    used = prepared.numeric + prepared.categorical
+    raw = _as_predictions(model.transform(test), prepared.classes, [column(c) for c in used])
     raw = raw.persist(StorageLevel.MEMORY_AND_DISK) if cache else raw  # metrics, confusion and table share the scores
     named = [c for c in ("y_true", "y_pred", "score") if c in raw.columns]
     # a feature named like one of the result's columns keeps its other name there
-    shown = [column(c).alias(c if prepared.name(c).lower() in OWN_NAMES else prepared.name(c)) for c in features]
+    shown = [column(c).alias(c if prepared.name(c).lower() in OWN_NAMES else prepared.name(c)) for c in used]
     predictions = raw.select(*[F.col(c).alias("positive_class_probability" if c == "score" else c) for c in named], *shown)
     compared = raw.select(*named)
     positive = prepared.classes[1] if len(prepared.classes) == 2 else None

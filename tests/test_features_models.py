@@ -125,7 +125,7 @@ def test_exact_split_sizes_and_hot_class(spark):
 @pytest.mark.parametrize("slices", [1, 4096])
 def test_copies_stay_together(spark, slices):
     df = spark.range(40).crossJoin(spark.range(10).select(F.col("id").alias("copy"))).withColumn("y", (F.col("id") % 2).cast("string"))
-    df = df.union(df.where("id = 3").limit(1).crossJoin(spark.range(150)).select("id", "copy", "y"))
+    df = df.union(df.where("id = 3").limit(1).crossJoin(spark.range(150).toDF("more")).select("id", "copy", "y"))
     for part, name in ((splits.stratified_folds(df, "y", F.col("id"), 5, slices=slices), "fold"),
                        (splits.stratified_split(df, "y", F.col("id"), 0.25, slices=slices), "is_test")):
         assert part.count() == df.count() and part.columns == [*df.columns, name]
