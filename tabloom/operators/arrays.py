@@ -174,10 +174,11 @@ def array_slice(bundle: DataFrame, name: str, index: int = 0, slice_index: int |
     one item; of a deeper one a single slice of that item.
     """
     chosen = bundle.where(F.col("name") == name)
-    last = chosen.agg(F.max("sample_index")).scalar()
-    item = F.greatest(F.least(F.lit(index), last), F.lit(0))
+    # clipped for each file by its own length; a row per file on that side
+    last = chosen.groupBy("file").agg(F.max("sample_index").alias("__last"))
+    item = F.greatest(F.least(F.lit(index), F.col("__last")), F.lit(0))
     deep = F.size("shape") >= 3
-    picked = chosen.where((F.size("shape") < 2) | (F.col("sample_index") == item))
+    picked = chosen.join(last, "file").where((F.size("shape") < 2) | (F.col("sample_index") == item))
     cut = F.greatest(F.least(F.lit(slice_index or 0), F.get("shape", F.lit(0)) - 1), F.lit(0))
     rest = F.slice("shape", 2, F.greatest(F.size("shape") - 1, F.lit(0)))
     block = F.aggregate(rest, F.lit(1), lambda total, x: total * x)

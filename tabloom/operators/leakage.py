@@ -60,17 +60,20 @@ def class_purity(df: DataFrame, target: str, columns: Sequence[str]) -> DataFram
     """``(column, distinct_values, purity)``: share of values seen with one target value only.
 
     A value is pure when its smallest and largest target agree, so no distinct sets are kept
-    and both merge before the shuffle.
+    and both merge before the shuffle. Targets are compared by a hash of 128 bits in two numbers,
+    which keeps the aggregate in a hash map whatever the target's type.
     """
     schema = "column string, distinct_values bigint, purity double"
     if not columns:
         return empty(df.sparkSession, schema)
     frames = []
-    for lane in typed_lanes(df, columns, carry={"y": value_or_null(df, target)}, identity=True):
-        known = lane.where(F.col("value").isNotNull() & F.col("y").isNotNull())
+    y = value_or_null(df, target)
+    halves = {"y1": F.when(y.isNotNull(), F.xxhash64(y)), "y2": F.when(y.isNotNull(), F.xxhash64(F.lit(1), y))}
+    for lane in typed_lanes(df, columns, carry=halves, identity=True):
+        known = lane.where(F.col("value").isNotNull() & F.col("y1").isNotNull())
         frames.append(
             known.groupBy("column", "value")
-            .agg((F.min("y") == F.max("y")).alias("pure"))
+            .agg(((F.min("y1") == F.max("y1")) & (F.min("y2") == F.max("y2"))).alias("pure"))
             .groupBy("column")
             .agg(F.count(F.lit(1)).alias("distinct_values"), F.avg(F.col("pure").cast("double")).alias("purity"))
         )

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.functions.hashing import compact
 from tabloom.functions.missing import is_missing, normalize_missing
 from tabloom.functions.names import column
 from tabloom.functions.numbers import is_numeric, ratio
@@ -32,8 +31,12 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [field.name for field in df.schema.fields if is_numeric(field.dataType)]
 
 
-def _comparable(df: DataFrame) -> DataFrame:
-    """Columns in a form that can be grouped: maps as sorted entry lists, long text as digests."""
+def _digests(df: DataFrame) -> DataFrame:
+    """``(h1, h2, missing)`` per row: a 128-bit hash of all cells and the number of missing ones.
+
+    Only equality of rows matters to the callers, so nothing else of a wide row is shuffled. Hashes
+    skip missing cells; which those are is hashed beside them.
+    """
     wide = normalize_missing(df)
     refs = []
     for field in wide.schema.fields:
@@ -42,19 +45,23 @@ def _comparable(df: DataFrame) -> DataFrame:
             ref = F.array_sort(F.map_entries(ref))
         elif isinstance(field.dataType, T.VariantType):
             ref = F.to_json(ref)
-        elif isinstance(field.dataType, T.StringType):
-            ref = compact(ref)
-        refs.append(ref.alias(field.name))
-    return wide.select(*refs)
+        refs.append(ref)
+    gaps = [column(c).isNull() for c in wide.columns]
+    missing = sum((gap.cast("bigint") for gap in gaps), F.lit(0).cast("bigint"))
+    return wide.select(
+        F.xxhash64(*refs, *gaps).alias("h1"), F.xxhash64(F.lit(1), *refs, *gaps).alias("h2"), missing.alias("missing"))
+
+
+def _row_groups(df: DataFrame) -> DataFrame:
+    return _digests(df).groupBy("h1", "h2", "missing").agg(F.count(F.lit(1)).alias("__copies"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row ``duplicate_rows``: rows beyond the first of each group of equal rows.
 
-    NULL equals NULL. One shuffle of the distinct rows; copies collapse before it.
+    NULL equals NULL. One shuffle of row digests; copies collapse before it.
     """
-    grouped = _comparable(df).groupBy(*[column(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__copies"))
-    return grouped.agg(
+    return _row_groups(df).agg(
         F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows")
     )
 
@@ -73,13 +80,12 @@ def overview(df: DataFrame) -> DataFrame:
 
     Duplicates and missing cells come from the same grouped rows: one scan, one shuffle.
     """
-    grouped = _comparable(df).groupBy(*[column(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__copies"))
-    missing = sum((column(c).isNull().cast("bigint") for c in df.columns), F.lit(0).cast("bigint"))
+    grouped = _row_groups(df)
     zero = F.lit(0).cast("bigint")
     sums = grouped.agg(
         F.coalesce(F.sum("__copies"), zero).alias("n_rows"),
         F.coalesce(F.sum(F.col("__copies") - 1), zero).alias("duplicate_rows"),
-        F.coalesce(F.sum(F.col("__copies") * missing), zero).alias("total_missing_cells"),
+        F.coalesce(F.sum(F.col("__copies") * F.col("missing")), zero).alias("total_missing_cells"),
     )
     return sums.select(
         "n_rows",

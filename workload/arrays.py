@@ -92,3 +92,19 @@ def q_array_slice(spark, sf_dir):
         "shape", F.when(F.col("name") == "X", F.array(F.lit(8), F.lit(8), F.lit(1))).otherwise(F.col("shape")))
     cut = arrays.array_slice(cubes, "X", index=10**9, slice_index=3)
     return cut.select("sample_index", "slice_index", F.posexplode("values").alias("pos", "value"))
+
+
+@query("array_slice_uneven_files", """
+WITH f AS (SELECT 'part' || (vec_id % 3) AS file, vec_id // 3 AS sample_index, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id % 3 = 0 OR vec_id < 30 * (vec_id % 3)),
+l AS (SELECT *, max(sample_index) OVER (PARTITION BY file) AS last FROM f)
+SELECT file, sample_index, round(list_sum(v), 4) AS total FROM l WHERE sample_index = least(15, last)""")
+def q_array_slice_uneven_files(spark, sf_dir):
+    rows = bundle(spark, sf_dir).where("name = 'X'").withColumn("vec_id", F.col("sample_index"))
+    part = F.col("vec_id") % 3
+    files = rows.where((part == 0) | (F.col("vec_id") < 30 * part)).withColumns({
+        "file": F.concat(F.lit("part"), part.cast("string")), "sample_index": F.floor(F.col("vec_id") / 3).cast("int"),
+        "shape": F.array(F.lit(8), F.lit(8))}).drop("vec_id")
+    cut = arrays.array_slice(files.withColumn("shape", F.array(F.lit(1), F.lit(64), F.lit(1))), "X", index=15)
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return cut.select("file", "sample_index", F.round(total, 4).alias("total"))

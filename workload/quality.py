@@ -244,3 +244,19 @@ def q_leakage_regression(spark, sf_dir):
         (F.col("l_extendedprice") * (1 - F.col("l_discount") / 100)).alias("net"),
         F.col("l_extendedprice").alias("price_copy"), "l_extendedprice")
     return _codes_text(leakage_report(leaky, "l_extendedprice"))
+
+
+# thirty columns made of two, a third of their cells missing
+WIDE = [f"w{i}" for i in range(30)]
+WIDE_SQL = "SELECT " + ", ".join(
+    f"CASE WHEN (l_orderkey + {i}) % 3 = 0 THEN NULL ELSE l_quantity * {i + 1} + l_extendedprice / {i + 7} END AS w{i}" for i in range(30)) + " FROM lineitem"
+
+
+@query("correlation_wide", f"WITH w AS ({WIDE_SQL}) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS corr FROM w" for a in WIDE[:6] for b in WIDE))
+def q_correlation_wide(spark, sf_dir):
+    cells = [
+        F.when((F.col("l_orderkey") + i) % 3 != 0, F.col("l_quantity") * (i + 1) + F.col("l_extendedprice") / (i + 7)).alias(name)
+        for i, name in enumerate(WIDE)]
+    matrix = correlation(table(spark, sf_dir, "lineitem").select(*cells), WIDE)
+    return rounded(matrix.where(F.col("x").isin(WIDE[:6])), 6)
