@@ -33,6 +33,11 @@ def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> D
     return spark.createDataFrame(arrow, struct)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """A result of a few rows per column of a table, computed once and kept as a literal relation."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return local_table(spark, [], schema)
 

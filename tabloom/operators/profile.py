@@ -98,13 +98,15 @@ def overview(df: DataFrame) -> DataFrame:
     )
 
 
-def missing_summary(df: DataFrame, distinct: str = "exact") -> DataFrame:
+def missing_summary(df: DataFrame, distinct: str = "exact", counts: DataFrame | None = None) -> DataFrame:
     """Per column: dtype, missing_count, missing_ratio, unique_count; worst column first.
 
     ``distinct="approx"`` replaces the exact distinct count (one shuffle of the values) by a
-    sketch in the same single scan.
+    sketch in the same single scan. ``counts`` may hand in ``distinct_counts(df)`` if it is there.
     """
-    if distinct == "approx":
+    if counts is not None:
+        pass
+    elif distinct == "approx":
         measures = [
             F.count_if(F.col("value").isNull()).alias("missing_count"),
             F.count("value").alias("present_count"),

@@ -104,13 +104,17 @@ def dataset_warnings(df: DataFrame, roles: DataFrame | None = None) -> DataFrame
     )
 
 
-def high_cardinality_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per categorical column: distinct values and the recommended encoding."""
+def high_cardinality_report(df: DataFrame, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
+    """Per categorical column: distinct values and the recommended encoding.
+
+    ``counts`` may hand in ``distinct_counts(df)`` if it is there.
+    """
     if not columns:
         return empty(df.sparkSession, CARDINALITY_SCHEMA)
     unique, present = F.col("unique_count"), F.col("present_count")
     action = F.when(high_cardinality_rule(unique, present), "Rare category grouping + OneHot").otherwise("OneHot")
-    return distinct_counts(df, columns).select(
+    counts = distinct_counts(df, columns) if counts is None else counts.where(F.col("column").isin(list(columns)))
+    return counts.select(
         "column", "unique_count",
         ratio(unique, F.greatest(present, F.lit(1))).alias("unique_ratio"),
         action.alias("recommended_action"),

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.names import column
 from tabloom.functions.text import format_percent, safe_round
-from tabloom.operators.frequencies import top_k
-from tabloom.operators.lanes import empty, local_table, union_all
+from tabloom.operators.frequencies import distinct_counts, top_k
+from tabloom.operators.lanes import empty, held, local_table, union_all
 from tabloom.operators.leakage import leakage_report
 from tabloom.operators.profile import missing_summary, numeric_summary, overview
 from tabloom.operators.quality import high_cardinality_report, iqr_outliers, needs_grouping
@@ -18,7 +18,7 @@ from tabloom.operators.roles import column_roles, roles_by_kind
 from tabloom.plans.training import ModelConfig, TrainResult
 
 FACT_SCHEMA = "section string, ord int, item string, value string"
-# Rows shown per table, in section order with their headings.
+# Rows shown per table by default, and sections in order with their headings.
 TOP_ROWS, TARGET_VALUES = 10, 20
 SECTIONS = {
     "overview": "1. Overview",
@@ -47,8 +47,8 @@ def _facts(rows: DataFrame, section: str, order: list[Column], item: Column, val
         F.lit(section).alias("section"), "ord", item.alias("item"), value.cast("string").alias("value"))
 
 
-def overview_facts(df: DataFrame) -> DataFrame:
-    facts = overview(df)
+def overview_facts(df: DataFrame, shape: DataFrame | None = None) -> DataFrame:
+    facts = overview(df) if shape is None else shape
     names = ["n_rows", "n_columns", "duplicate_rows", "total_missing_cells"]
     rows = [F.struct(F.lit(i + 1).alias("ord"), F.lit(name).alias("item"), F.col(name).cast("string").alias("value"))
             for i, name in enumerate(names)]
@@ -64,40 +64,42 @@ def role_facts(df: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
         df.sparkSession, [("roles", i + 1, kind, names) for i, (kind, names) in enumerate(shown)], FACT_SCHEMA)
 
 
-def missing_facts(df: DataFrame) -> DataFrame:
+def missing_facts(df: DataFrame, top_rows: int = TOP_ROWS, counts: DataFrame | None = None) -> DataFrame:
     value = F.concat_ws(
         "; ", "dtype", F.col("missing_count").cast("string"), format_percent(F.col("missing_ratio")),
         F.col("unique_count").cast("string"))
     order = [F.desc("missing_ratio"), F.desc("missing_count"), F.asc("column")]
-    return _facts(missing_summary(df), "missing", order, F.col("column"), value, TOP_ROWS)
+    return _facts(missing_summary(df, counts=counts), "missing", order, F.col("column"), value, top_rows)
 
 
-def outlier_facts(df: DataFrame, numeric: list[str]) -> DataFrame:
+def outlier_facts(df: DataFrame, numeric: list[str], top_rows: int = TOP_ROWS) -> DataFrame:
     value = F.concat_ws(
         "; ", F.col("outlier_count").cast("string"), format_percent(F.col("outlier_ratio")),
         F.format_string("%.4f", "lower_bound"), F.format_string("%.4f", "upper_bound"))
     order = [F.desc("outlier_ratio"), F.asc("column")]
-    return _facts(iqr_outliers(df, numeric), "outliers", order, F.col("column"), value, TOP_ROWS)
+    return _facts(iqr_outliers(df, numeric), "outliers", order, F.col("column"), value, top_rows)
 
 
-def leakage_facts(df: DataFrame, target: str) -> DataFrame:
+def leakage_facts(df: DataFrame, target: str, top_rows: int = TOP_ROWS) -> DataFrame:
     value = F.concat_ws("; ", F.col("risk_score").cast("string"), "reasons")
     order = [F.desc("risk_score"), F.asc("column")]
-    return _facts(leakage_report(df, target), "leakage", order, F.col("column"), value, TOP_ROWS)
+    return _facts(leakage_report(df, target), "leakage", order, F.col("column"), value, top_rows)
 
 
-def cardinality_facts(df: DataFrame, categorical: list[str]) -> DataFrame:
+def cardinality_facts(
+    df: DataFrame, categorical: list[str], top_rows: int = TOP_ROWS, counts: DataFrame | None = None
+) -> DataFrame:
     value = F.concat_ws(
         "; ", F.col("unique_count").cast("string"), format_percent(F.col("unique_ratio")), "recommended_action")
     order = [F.desc("unique_count"), F.desc("unique_ratio"), F.asc("column")]
-    report = needs_grouping(high_cardinality_report(df, categorical))
-    return _facts(report, "high_cardinality", order, F.col("column"), value, TOP_ROWS)
+    report = needs_grouping(high_cardinality_report(df, categorical, counts))
+    return _facts(report, "high_cardinality", order, F.col("column"), value, top_rows)
 
 
-def target_summary(df: DataFrame, target: str, task: str) -> DataFrame:
-    """``(ord, item, value)``: the 20 most frequent classes, or the numeric description."""
+def target_summary(df: DataFrame, target: str, task: str, values: int = TARGET_VALUES) -> DataFrame:
+    """``(ord, item, value)``: the ``values`` most frequent classes, or the numeric description."""
     if task == "classification":
-        return top_k(df, [target], TARGET_VALUES).select(
+        return top_k(df, [target], values).select(
             F.col("rank").alias("ord"), F.col("value").alias("item"), F.col("cnt").cast("string").alias("value"))
     names = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
     rows = [F.struct(F.lit(i + 1).alias("ord"), F.lit(name).alias("item"),
@@ -116,9 +118,13 @@ def metric_facts(metrics: DataFrame) -> DataFrame:
 def conclusions(
     df: DataFrame, target: str | None = None, task: str | None = None,
     metrics: DataFrame | None = None, importance: DataFrame | None = None,
+    shape: DataFrame | None = None, missing: DataFrame | None = None,
 ) -> DataFrame:
-    """``(ord, code, sentence)``: each sentence only where it applies."""
-    shape = overview(df).select(F.inline(F.array(
+    """``(ord, code, sentence)``: each sentence only where it applies.
+
+    ``shape`` and ``missing`` may hand in the overview and the missing summary if they are there.
+    """
+    shape = (overview(df) if shape is None else shape).select(F.inline(F.array(
         F.struct(F.lit(1).alias("ord"), F.lit("shape").alias("code"), F.format_string(
             "The table has %d rows and %d columns; %d rows are duplicates.",
             "n_rows", "n_columns", "duplicate_rows").alias("sentence")),
@@ -131,7 +137,7 @@ def conclusions(
     if target:
         parts.append(local_table(
             spark, [(3, "target", f"`{target}` is the target of a {task} task.")], "ord int, code string, sentence string"))
-    worst = missing_summary(df).orderBy(F.desc("missing_ratio"), F.desc("missing_count"), "column").limit(1)
+    worst = (missing_summary(df) if missing is None else missing).orderBy(F.desc("missing_ratio"), F.desc("missing_count"), "column").limit(1)
     parts.append(worst.where(F.col("missing_ratio") > 0).select(
         F.lit(4).alias("ord"), F.lit("worst_column").alias("code"),
         F.concat(F.lit("`"), "column", F.lit("` misses the most cells: "), format_percent(F.col("missing_ratio")), F.lit(".")).alias("sentence")))
@@ -168,21 +174,28 @@ def _model_facts(df: DataFrame, config: ModelConfig, result: TrainResult | None)
 def report_facts(
     df: DataFrame, source: str = "unknown", target: str | None = None, task: str | None = None,
     config: ModelConfig | None = None, result: TrainResult | None = None,
+    top_rows: int = TOP_ROWS, target_values: int = TARGET_VALUES,
 ) -> DataFrame:
-    """``(section, ord, item, value)`` of the whole report. Every section is a small aggregate."""
+    """``(section, ord, item, value)`` of the whole report.
+
+    Row digests, value frequencies and quantiles are one pass each; their results, a few rows per
+    column, are kept and every section that needs them takes them from there. ``top_rows`` and
+    ``target_values`` limit what a section shows.
+    """
     spark = df.sparkSession
     kinds = roles_by_kind(df, column_roles(df))
+    shape, counts = held(overview(df)), held(distinct_counts(df))
     parts = [
-        overview_facts(df), role_facts(df, kinds), missing_facts(df),
-        outlier_facts(df, kinds["numeric"]) if kinds["numeric"] else empty(spark, FACT_SCHEMA),
-        cardinality_facts(df, kinds["categorical"]) if kinds["categorical"] else empty(spark, FACT_SCHEMA),
+        overview_facts(df, shape), role_facts(df, kinds), missing_facts(df, top_rows, counts),
+        outlier_facts(df, kinds["numeric"], top_rows) if kinds["numeric"] else empty(spark, FACT_SCHEMA),
+        cardinality_facts(df, kinds["categorical"], top_rows, counts) if kinds["categorical"] else empty(spark, FACT_SCHEMA),
         local_table(spark, [("target", 1, "source", source), ("target", 2, "column", target or "none"),
                             ("target", 3, "task", task or "none")], FACT_SCHEMA),
     ]
     if target:
-        parts.append(leakage_facts(df, target))
+        parts.append(leakage_facts(df, target, top_rows))
         if task:
-            parts.append(target_summary(df, target, task).select(F.lit("target_summary").alias("section"), "ord", "item", "value"))
+            parts.append(target_summary(df, target, task, target_values).select(F.lit("target_summary").alias("section"), "ord", "item", "value"))
     if config is not None:
         parts.append(_model_facts(df, config, result))
     metrics = result.metrics if result else None
@@ -194,7 +207,7 @@ def report_facts(
         if result.best_params:
             parts.append(local_table(
                 spark, [("best_params", 1, "params", json.dumps(result.best_params, sort_keys=True))], FACT_SCHEMA))
-    closing = conclusions(df, target, task, metrics, result.importance if result else None)
+    closing = conclusions(df, target, task, metrics, result.importance if result else None, shape, missing_summary(df, counts=counts))
     parts.append(closing.select(
         F.lit("conclusions").alias("section"), F.col("ord").cast("int").alias("ord"),
         F.col("code").alias("item"), F.col("sentence").alias("value")))

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import io
+import sys
 
 import numpy as np
 import pyarrow.fs
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tabloom.operators.arrays import feature_table
+from tabloom.operators.lanes import local_table, union_all
 from tabloom.session import scratch_folder
-from tabloom.sources.delimited import read_table
+from tabloom.sources.delimited import TableError, read_table
 from tabloom.sources.npz import read_npz
-from tabloom.sources.run_log import parse_runs, rejected_runs, usable_targets
+from tabloom.sources.run_log import append_run, load_runs, parse_runs, rejected_runs, run_record, usable_targets
+from tabloom.sources.sinks import write_predictions
 from workload.arrays import STATS_SQL
 from workload.registry import query, rounded, table
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
+
 @query("csv_ingest", """
 SELECT l_returnflag, count(*)::BIGINT AS n, sum(l_orderkey)::BIGINT AS keys, round(sum(l_quantity), 2) AS quantity,
   round(avg(l_tax), 6) AS tax FROM lineitem GROUP BY 1""")
@@ -117,3 +123,74 @@ def q_run_log_parse(spark, sf_dir):
 @query("run_log_rejected", f"SELECT value, count(*)::BIGINT AS n FROM ({LINES_SQL}) WHERE p_partkey % 4 <= 1 GROUP BY 1")
 def q_run_log_rejected(spark, sf_dir):
     return rejected_runs(_run_lines(spark, sf_dir), F.col("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("latin1_late_ingest", """
+SELECT doc_id, md5(replace(replace(text, chr(10), ' '), '"', '')) AS digest FROM documents
+WHERE NOT regexp_matches(text, '[^\x01-\xff]')""")
+def q_latin1_late_ingest(spark, sf_dir):
+    # one file, first all rows in ASCII and then the others: only its end tells the encoding
+    folder = scratch_folder(spark, "latin1")
+    documents = table(spark, sf_dir, "documents").where(~F.regexp_like("text", F.lit("[^\\x01-\\xff]")))
+    text = F.translate(F.translate("text", "\n", " "), '"', "")
+    rows = documents.select("doc_id", text.alias("body"), F.regexp_like("text", F.lit("[^\\x01-\\x7f]")).alias("late"))
+    rows.orderBy("late", "doc_id").drop("late").coalesce(1).write.option("header", True).option("encoding", "ISO-8859-1").csv(folder)
+    df, _ = read_table(spark, f"{folder}/*.csv")
+    return df.select("doc_id", F.md5("body").alias("digest"))
+
+
+@query("ingest_metadata", """
+SELECT 'csv' AS format, 'utf-8' AS encoding, 3::BIGINT AS files, true AS sized, count(*)::BIGINT AS n_rows, 100::BIGINT AS sampled FROM orders""")
+def q_ingest_metadata(spark, sf_dir):
+    folder = scratch_folder(spark, "orders")
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").repartition(3).write.option("header", True).csv(folder)
+    df, files = read_table(spark, f"{folder}/*.csv")
+    sample, _ = read_table(spark, f"{folder}/*.csv", sample_rows=100)
+    facts = files.groupBy("format", "encoding").agg(
+        F.count(F.lit(1)).alias("files"), (F.min("size_bytes") > 0).alias("sized"))
+    return facts.withColumns({"n_rows": F.lit(df.count()), "sampled": F.lit(sample.count())})
+
+
+HEADERS = {"good": "a\tb", "twice": "a\ta", "blank": "a\t", "padded": " a \t b ", "empty": " ", "other": "a\tc"}
+
+
+@query("load_checks", """
+SELECT c AS checked, CASE WHEN c IN ('good', 'padded') THEN (SELECT count(*) FROM nation)::VARCHAR ELSE 'refused' END AS outcome
+FROM (SELECT unnest(['good', 'twice', 'blank', 'padded', 'empty', 'other', 'few']) AS c)""")
+def q_load_checks(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.concat_ws("\t", F.col("n_nationkey").cast("string"), "n_name").alias("value"))
+    few = table(spark, sf_dir, "region").limit(3).select(F.concat_ws("\t", F.col("r_regionkey").cast("string"), "r_name").alias("value"))
+    outcomes = []
+    for name, header in {**HEADERS, "few": "a\tb"}.items():
+        folder = scratch_folder(spark, f"load-{name}")
+        body = few if name == "few" else rows
+        body.coalesce(1).mapInPandas(_with_header(header), "value string").write.text(f"{folder}/one")
+        if name == "other":  # files must agree
+            rows.coalesce(1).mapInPandas(_with_header("a\tb"), "value string").write.text(f"{folder}/two")
+        try:
+            found = str(read_table(spark, f"{folder}/*/*.txt")[0].count())
+        except TableError:
+            found = "refused"
+        outcomes.append((name, found))
+    return local_table(spark, outcomes, "checked string, outcome string")
+
+
+@query("predictions_sink", """
+SELECT form, o_orderkey, round(o_totalprice, 4) AS price, o_orderpriority FROM orders, (SELECT unnest(['csv', 'parquet']) AS form)""")
+def q_predictions_sink(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.round("o_totalprice", 4).alias("price"), "o_orderpriority")
+    frames = []
+    for form in ("csv", "parquet"):
+        folder = scratch_folder(spark, f"sink-{form}")
+        write_predictions(rows, folder, form)
+        frames.append(read_table(spark, f"{folder}/*.{form}")[0].withColumn("form", F.lit(form)))
+    return union_all(frames)
+
+
+@query("run_log_append", """
+SELECT r_name AS data_source, '2.0' AS config_version, 'y' AS target_col, 'regression' AS task_type, 'run ' || r_regionkey AS notes FROM region""")
+def q_run_log_append(spark, sf_dir):
+    folder = scratch_folder(spark, "runs")
+    for row in table(spark, sf_dir, "region").collect():  # one run is appended at a time
+        append_run(run_record(spark, data_source=row["r_name"], target_col="y", task_type="regression", notes=f"run {row['r_regionkey']}"), folder)
+    return load_runs(spark, folder).select("data_source", "config_version", "target_col", "task_type", "notes")

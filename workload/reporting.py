@@ -10,9 +10,9 @@ from tabloom.operators.lanes import union_all
 from tabloom.plans.training import ModelConfig, train_model
 from workload.evaluation import LINE_SQL, LONG_CLASS, _weighted_sql, line_predictions
 from workload.fixtures import GAPPY_ORDERS_SQL, gappy_orders
-from workload.modelling import document_quality
+from workload.modelling import FEATURES_OF, document_quality
 from workload.profile import GAPPY_TYPES
-from workload.registry import query, table
+from workload.registry import ORACLES, query
 
 NAMES = [name for name, _ in GAPPY_TYPES]
 OTHERS = [name for name in NAMES if name != "o_orderpriority"]
@@ -70,16 +70,31 @@ def q_report_facts(spark, sf_dir):
     return report_facts(gappy_orders(spark, sf_dir), "orders", "o_orderpriority", "classification")
 
 
-@query("report_lines")
+HEADINGS_SQL = """SELECT * FROM (VALUES (0, 'overview', '1. Overview'), (1, 'roles', '2. Column roles'), (2, 'missing', '3. Missing values'),
+  (3, 'outliers', '4.1 Outliers (IQR)'), (4, 'leakage', '4.2 Leakage risk'), (5, 'high_cardinality', '4.3 High-cardinality categories'),
+  (6, 'target', '5. Target'), (7, 'target_summary', '5.1 Target summary'), (8, 'model', '6. Model settings'), (9, 'metrics', '7. Model metrics'),
+  (10, 'cv', '7.1 Cross-validation'), (11, 'best_params', '7.2 Best parameters'), (12, 'conclusions', '8. Conclusions')) AS h(place, section, title)"""
+
+
+@query("report_lines", f"""WITH facts AS ({ORACLES['report_facts']}), h AS ({HEADINGS_SQL}),
+l AS (SELECT place, ord AS row, CASE WHEN section = 'conclusions' THEN '- ' || value ELSE '| ' || item || ' | ' || coalesce(value, '') || ' |' END AS line
+  FROM facts JOIN h USING (section)
+ UNION ALL SELECT place, unnest(range(len(head))) - 10, unnest(head) FROM (SELECT place,
+  CASE WHEN section = 'conclusions' THEN ['', '## ' || title, ''] ELSE ['', '## ' || title, '', '| item | value |', '|---|---|'] END AS head FROM h))
+SELECT (row_number() OVER (ORDER BY place, row, line))::INTEGER AS ord, line FROM l""")
 def q_report_lines(spark, sf_dir):
-    return report_lines(report_facts(table(spark, sf_dir, "lineitem"), "lineitem", "l_extendedprice", "regression"))
+    return report_lines(report_facts(gappy_orders(spark, sf_dir), "orders", "o_orderpriority", "classification"))
 
 
-@query("report_with_model")
+# facts per section; which columns look like leaks depends on the data and is left out
+@query("report_with_model", """SELECT section, n FROM (VALUES ('overview', 5), ('roles', 4), ('missing', 6), ('outliers', 4), ('target', 3),
+  ('target_summary', 2), ('model', 10), ('metrics', 5), ('cv', 2), ('conclusions', 6)) AS f(section, n)""")
 def q_report_with_model(spark, sf_dir):
     df = document_quality(spark, sf_dir)
-    config = ModelConfig("quality", "classification", "Logistic Regression", use_cv=True, cv_folds=2)
-    return report_facts(df, "documents", "quality", "classification", config, train_model(df, config))
+    config = ModelConfig("quality", "classification", "Logistic Regression", use_cv=True)
+    result = train_model(df, config, F.col("key"), features=FEATURES_OF[document_quality])
+    facts = report_facts(df.drop("key"), "documents", "quality", "classification", config, result)
+    return facts.where("section != 'leakage'").groupBy("section").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 @query("report_metrics", f"""WITH p AS ({LINE_SQL}), {_weighted_sql('p')},
