@@ -75,6 +75,11 @@ def _merged(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[p
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _growing(df: DataFrame) -> DataFrame:
+    """Either side of these joins grows with the corpus: merged at every size, never broadcast."""
+    return df.hint("merge")
+
+
 def _key(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
 
@@ -95,7 +100,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = keep(rows.mapInArrow(lambda it: _merged(_split(it, least_words)), LINES), "lines")
     first = _names(lines.select("id1", "id2", _position()), ["id1", "id2"])
     # lines that stand in one place only are not needed; rows equal in id and text are one document
-    state = lines.join(first, ["id1", "id2"]).select(*PLACE, "line", "need", "rank").distinct()
+    state = lines.join(_growing(first), ["id1", "id2"]).select(*PLACE, "line", "need", "rank").distinct()
     state = keep(state, "level")
     doc = Window.partitionBy("ord", "text_hash").orderBy("spot")
     span, found = 1, []
@@ -104,7 +109,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         due = state.where((F.col("need") >= span) & (F.col("need") < 2 * span) & F.col("rank").isNotNull())
         ends = state.select("ord", "text_hash", F.col("spot").alias("end_spot"), F.col("rank").alias("last"))
         due = due.withColumn("end_spot", F.col("spot") + F.col("need") - span)
-        found.append(due.join(ends.where("last is not null"), ["ord", "text_hash", "end_spot"]).select(*PLACE, "need", "rank", "last"))
+        found.append(due.join(_growing(ends.where("last is not null")), ["ord", "text_hash", "end_spot"]).select(*PLACE, "need", "rank", "last"))
         if state.where((F.col("need") >= 2 * span) & F.col("rank").isNotNull()).isEmpty():
             break
         ahead = F.lead(F.struct("spot", "rank"), span).over(doc)
@@ -113,7 +118,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ).drop("ahead").withColumnRenamed("rank", "first")
         both = paired.where("first is not null and second is not null").select("first", "second", _position())
         ranks = _names(both, ["first", "second"])
-        state = keep(paired.join(ranks, ["first", "second"], "left").select(*PLACE, "line", "need", "rank"), "level")
+        state = keep(paired.join(_growing(ranks), ["first", "second"], "left").select(*PLACE, "line", "need", "rank"), "level")
         span *= 2
     members = found[0]
     for more in found[1:]:
@@ -121,9 +126,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = keep(members, "intervals")
     interval = ["need", "rank", "last"]
     heads = members.groupBy(*interval).agg(F.min(F.struct(*PLACE)).alias("head"), F.count("*").alias("n")).where("n > 1")
-    copies = members.join(heads, interval).where(F.struct(*PLACE) != F.col("head"))
+    copies = members.join(_growing(heads), interval).where(F.struct(*PLACE) != F.col("head"))
     covered = copies.select("ord", "text_hash", F.explode(F.sequence(F.col("spot"), F.col("spot") + F.col("need") - 1)).alias("spot")).distinct()
-    return covered.join(lines.select(*PLACE, "line").distinct(), PLACE)
+    return covered.join(_growing(lines.select(*PLACE, "line").distinct()), PLACE)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +158,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = keep(gone, "deleted").toDF(order, text_hash, lines)
     on = (_key(id_col) == F.col(order)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(text_hash))
     others = [c for c in docs.columns if c != text_col]
-    joined = docs.join(gone, on, "left").select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").cast("string").alias(text_col), lines)
+    joined = docs.join(_growing(gone), on, "left").select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").cast("string").alias(text_col), lines)
     schema = joined.schema[:-1].add("n_removed", "long")
     return joined.mapInArrow(_apply, schema)
