@@ -49,19 +49,32 @@ def q_target_gate(spark, sf_dir):
         target_gate(df, name).withColumn("target", F.lit(name)) for df, name in wanted]), 9)
 
 
-@query("dataset_warnings", """
-SELECT * FROM (
-  SELECT 'orders' AS source, 'high_missing' AS code FROM orders
-   HAVING count(CASE WHEN o_orderstatus = 'P' THEN 1 END) <= count(*) / 2
-  UNION ALL SELECT 'part', 'high_cardinality' FROM part HAVING count(DISTINCT p_name) >= 50
-   OR (count(DISTINCT p_name) >= 15 AND count(DISTINCT p_name) >= 0.5 * count(*))
-  UNION ALL SELECT 'region', 'few_rows' FROM region HAVING count(*) < 30)""")
+def _high_sql(column):
+    share = f"count(DISTINCT {column}) >= 0.5 * count({column})"
+    return f"CASE WHEN count(DISTINCT {column}) >= 50 OR (count(DISTINCT {column}) >= 15 AND {share}) THEN '{column}' END"
+
+
+NATION_COLUMNS = 60
+
+
+@query("dataset_warnings", f"""
+WITH few AS (SELECT 'few_rows' AS code, 'fewer than 30 rows: results only show that the flow works' AS message),
+h AS (SELECT list_filter([{', '.join(_high_sql(c) for c in ('p_name', 'p_brand', 'p_type'))}], lambda x: x IS NOT NULL) AS names FROM part)
+SELECT 'orders' AS source, 'high_missing' AS code, 'some columns miss at least half of their cells: drop or complete them' AS message FROM orders
+ HAVING count(CASE WHEN o_orderstatus = 'P' THEN 1 END) <= count(*) / 2
+UNION ALL SELECT 'part', 'high_cardinality', 'high-cardinality columns: ' || array_to_string(names[1:5], ', ') || '; rare values are grouped before modelling'
+ FROM h WHERE len(names) > 0
+UNION ALL SELECT 'region', code, message FROM few WHERE (SELECT count(*) FROM region) < 30
+UNION ALL SELECT 'nation', code, message FROM few WHERE (SELECT count(*) FROM nation) < 30
+UNION ALL SELECT 'nation', 'many_columns', 'many columns for the number of rows: a baseline model may overfit'
+ WHERE {NATION_COLUMNS} > (SELECT greatest(50, 2 * count(*)) FROM nation)""")
 def q_dataset_warnings(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice")).alias("partial_price"))
-    sources = {"orders": orders, "part": table(spark, sf_dir, "part"), "region": table(spark, sf_dir, "region")}
+    nation = table(spark, sf_dir, "nation").select(*[(F.col("n_nationkey") + i).alias(f"n{i}") for i in range(NATION_COLUMNS)])
+    sources = {"orders": orders, "part": table(spark, sf_dir, "part"), "region": table(spark, sf_dir, "region"), "nation": nation}
     return union_all([
-        dataset_warnings(df).select(F.lit(name).alias("source"), "code") for name, df in sources.items()])
+        dataset_warnings(df).select(F.lit(name).alias("source"), "code", "message") for name, df in sources.items()])
 
 
 @query("high_cardinality", "\nUNION ALL\n".join(
@@ -228,6 +241,25 @@ def q_leakage_classification(spark, sf_dir):
     return _codes_text(leakage_report(leaky_orders(spark, sf_dir), "o_orderstatus"))
 
 
+@query("leakage_reasons", LEAKY + f""", c AS (SELECT o_orderkey, substr(o_orderpriority, 1, 1) AS orderstatus, final_result, o_orderstatus FROM k),
+p AS ({_purity_sql('c', 'o_orderstatus', ['o_orderkey', 'orderstatus', 'final_result'])}),
+e AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, avg(({c}::VARCHAR IS NOT DISTINCT FROM o_orderstatus)::INT) AS eq FROM c" for c in ('o_orderkey', 'orderstatus', 'final_result'))}),
+r AS (SELECT p."column", p."column" = 'orderstatus' AS near, p."column" = 'final_result' AS risky, e.eq > 0.95 AS same, eq,
+  p.distinct_values >= 10 AND p.purity > 0.95 AS pure FROM p JOIN e ON e.col = p."column")
+SELECT "column", (CASE WHEN near THEN 3 ELSE 0 END + CASE WHEN risky THEN 2 ELSE 0 END + CASE WHEN same THEN 5 ELSE 0 END + CASE WHEN pure THEN 3 ELSE 0 END)::INTEGER AS risk_score,
+  concat_ws(',', CASE WHEN near THEN 'name_overlap' END, CASE WHEN risky THEN 'risky_keyword' END, CASE WHEN same THEN 'equal_values' END, CASE WHEN pure THEN 'pure_values' END) AS codes,
+  concat_ws('; ', CASE WHEN near THEN 'column name is very close to the target name' END,
+   CASE WHEN risky THEN 'column name holds a risky word such as label or outcome' END,
+   CASE WHEN same THEN 'equal to the target in ' || printf('%.1f%%', 100 * eq) || ' of the rows' END,
+   CASE WHEN pure THEN 'most values determine the target: an id or a leak' END) AS reasons
+FROM r WHERE near OR risky OR same OR pure""")
+def q_leakage_reasons(spark, sf_dir):
+    leaky = leaky_orders(spark, sf_dir).select(
+        "o_orderkey", F.substring("o_orderpriority", 1, 1).alias("orderstatus"), "final_result", "o_orderstatus")
+    report = leakage_report(leaky, "o_orderstatus")
+    return report.select("column", "risk_score", F.array_join("reason_codes", ",").alias("codes"), "reasons")
+
+
 LEAKY_PRICE_SQL = """SELECT l_quantity, l_tax, l_discount, l_extendedprice * (1 - l_discount / 100) AS net,
   l_extendedprice AS price_copy, l_extendedprice FROM lineitem"""
 
