@@ -313,6 +313,16 @@ def q_prepared_clashing_names(spark, sf_dir):
         F.col(renamed["fold"]).cast("double").alias("fold_value"), F.col("label").alias("target"))
 
 
+@query("used_features", """
+SELECT unnest(['numeric', 'numeric', 'numeric', 'categorical']) AS kind, unnest(['o_orderkey', 'o_custkey', 'o_totalprice', 'o_orderpriority']) AS feature,
+  count(*)::BIGINT AS usable_rows FROM orders""")
+def q_used_features(spark, sf_dir):
+    # o_orderdate is a date, and dates are left out
+    prepared = prepare(gappy_orders(spark, sf_dir), ModelConfig("o_orderstatus", "classification", "Logistic Regression"))
+    rows = [("numeric", name) for name in prepared.numeric] + [("categorical", name) for name in prepared.categorical]
+    return local_table(spark, [(*row, prepared.usable_rows) for row in rows], "kind string, feature string, usable_rows bigint")
+
+
 def _one_feature(spark, sf_dir):
     lineitem = table(spark, sf_dir, "lineitem")
     rows = lineitem.select("l_quantity", F.col("l_extendedprice").alias("label"))

@@ -8,6 +8,8 @@ from tabloom.plans.report import (
 from tabloom.operators import evaluate
 from tabloom.operators.lanes import union_all
 from tabloom.plans.training import ModelConfig, train_model
+from tabloom.session import scratch_folder
+from tabloom.sources.sinks import write_report
 from workload.evaluation import LINE_SQL, LONG_CLASS, _weighted_sql, line_predictions
 from workload.fixtures import GAPPY_ORDERS_SQL, gappy_orders
 from workload.modelling import FEATURES_OF, document_quality
@@ -86,6 +88,14 @@ def q_report_lines(spark, sf_dir):
     return report_lines(report_facts(gappy_orders(spark, sf_dir), "orders", "o_orderpriority", "classification"))
 
 
+@query("report_sink", f"SELECT line, count(*)::BIGINT AS n FROM ({ORACLES['report_lines']}) GROUP BY 1")
+def q_report_sink(spark, sf_dir):
+    folder = scratch_folder(spark, "report")
+    facts = report_facts(gappy_orders(spark, sf_dir), "orders", "o_orderpriority", "classification")
+    write_report(facts, report_lines(facts), folder)
+    return spark.read.text(f"{folder}/report").groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # facts per section; which columns look like leaks depends on the data and is left out
 @query("report_with_model", """SELECT section, n FROM (VALUES ('overview', 5), ('roles', 4), ('missing', 6), ('outliers', 4), ('target', 3),
   ('target_summary', 2), ('model', 10), ('metrics', 5), ('cv', 2), ('conclusions', 6)) AS f(section, n)""")
