@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.numbers import ratio
 from tabloom.operators.frequencies import distinct_counts
-from tabloom.operators.lanes import empty, local_table, numeric_cells
+from tabloom.operators.lanes import empty, local_table
 from tabloom.operators.profile import missing_ratios
-from tabloom.operators.quantiles import ACCURACY, exact_quantiles
+from tabloom.operators.quantiles import ACCURACY, quartile_outliers
 from tabloom.operators.roles import _value_totals, column_roles, high_cardinality_rule
 
 # The thresholds of the rules.
@@ -133,27 +133,5 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], accuracy: int = ACCURACY
     """
     if not columns:
         return empty(df.sparkSession, OUTLIER_SCHEMA)
-    q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(1))
-    spread = F.col("q3") - F.col("q1")
-    flat = (spread == 0) | F.isnan(spread)
-    bounds = (
-        exact_quantiles(df, columns, [0.25, 0.75], accuracy).where(F.col("n") > 0)
-        .select("column", q1.alias("q1"), q3.alias("q3"))
-        .select(
-            "column", flat.alias("flat"),
-            F.when(flat, F.col("q1")).otherwise(F.col("q1") - IQR_FACTOR * spread).alias("lower_bound"),
-            F.when(flat, F.col("q3")).otherwise(F.col("q3") + IQR_FACTOR * spread).alias("upper_bound"),
-        )
-    )
-    outside = ~F.col("flat") & ((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound")))
-    # the bounds hold one row per column
-    return (
-        numeric_cells(df, columns).join(F.broadcast(bounds), "column")
-        .groupBy("column", "lower_bound", "upper_bound")
-        .agg(
-            F.sum(outside.cast("bigint")).alias("outlier_count"),
-            F.avg(outside.cast("double")).alias("outlier_ratio"),
-        )
-        .select("column", "outlier_count", "outlier_ratio", "lower_bound", "upper_bound")
-        .orderBy(F.desc("outlier_ratio"), "column")
-    )
+    return quartile_outliers(df, columns, IQR_FACTOR, accuracy).select(
+        "column", "outlier_count", "outlier_ratio", "lower_bound", "upper_bound").orderBy(F.desc("outlier_ratio"), "column")

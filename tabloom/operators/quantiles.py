@@ -11,9 +11,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.operators.lanes import empty, local_table, number_cell, numeric_cells, per_column
@@ -42,22 +43,21 @@ def _sketch(
         f"column string, n bigint, least double, most double, marks array<double>{extra_schema}").collect()
 
 
-def _key(k: int) -> tuple[Column, Column]:
-    """(key, gap) of a cell: its value inside a bracket, else the edge below it and a mark."""
+def _key(intervals: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
+    """(key, gap) of a cell: its value inside an interval, else the edge below it and a mark."""
     value = F.col("value")
     inside = F.lit(False)
     edge = F.col("least")
-    for j in range(k):
-        low, high = F.col(f"low{j}"), F.col(f"high{j}")
-        inside = inside | value.between(low, high)
-        edge = F.when(value > high, high).otherwise(edge)
+    for low, high in intervals:
+        inside = inside | value.between(F.col(low), F.col(high))
+        edge = F.greatest(edge, F.when(value > F.col(high), F.col(high)))
     return F.when(inside, value).otherwise(edge), F.when(inside, 0).otherwise(1)
 
 
 def _segment(k: int) -> Column:
-    """Segment of a key, ascending with the key; keys under all brackets get 0."""
+    """Segment of a key, ascending with the key; keys under all brackets get 0, keys over all the last."""
     key = F.col("key")
-    segment = F.lit(0)
+    segment = F.lit(1 + k * SEGMENTS)
     for j in reversed(range(k)):
         low, high = F.col(f"low{j}"), F.col(f"high{j}")
         width = high - low
@@ -90,34 +90,54 @@ def exact_quantiles(
     nothing = (0, *[None] * len(extra))
     facts = local_table(
         spark, [(name, *known.get(name, nothing)) for name in columns], f"column string, n bigint{extra_schema}")
-    # a bracket must span at least the neighbouring ranks, so it needs more rows than marks
-    bracketed = [
+    bracketed = _brackets(rows, probs, accuracy)
+    if bracketed:
+        fences = _fences(spark, bracketed, len(probs))
+        answers = _ranked(_counted(df, bracketed, fences, _names("low", "high", len(probs))), fences, probs)
+    else:
+        answers = empty(spark, "column string, q array<double>")
+    # one row per column on both sides
+    return facts.join(F.broadcast(answers), "column", "left")
+
+
+def _brackets(rows: list[Row], probs: Sequence[float], accuracy: int) -> list[tuple]:
+    """``(column, n, least, marks)`` of the columns that have values.
+
+    A bracket must span at least the neighbouring ranks, so it needs more rows than marks; with
+    fewer, it spans all values.
+    """
+    return [
         (r["column"], r["n"], r["least"], r["marks"] if r["n"] > 2 * accuracy else [r["least"], r["most"]] * len(probs))
         for r in rows if r["n"] > 0
     ]
-    answers = _bracketed(df, bracketed, probs) if bracketed else empty(spark, "column string, q array<double>")
-    # one row per column on both sides
-    return facts.join(F.broadcast(answers), "column", "left")
 
 
-def _bracketed(df: DataFrame, brackets: list[tuple], probs: list[float]) -> DataFrame:
-    """``(column, q)`` from one pass over the columns, guided by their brackets."""
-    columns = [name for name, *_ in brackets]
-    k = len(probs)
-    bounds = "".join(f", low{j} double, high{j} double" for j in range(k))
-    # one row per column of the schema: safe to broadcast whatever the data size
-    fences = F.broadcast(local_table(
-        df.sparkSession, [(name, n, least, *marks) for name, n, least, marks in brackets],
-        f"column string, n bigint, least double{bounds}"))
-    key, gap = _key(k)
-    # keys are counted first; segments are worked out on what is left of the rows
-    keyed = (
-        numeric_cells(df, columns)
+def _names(low: str, high: str, k: int) -> list[tuple[str, str]]:
+    return [(f"{low}{j}", f"{high}{j}") for j in range(k)]
+
+
+def _fences(spark: SparkSession, brackets: list[tuple], k: int, extra: int = 0) -> DataFrame:
+    """The intervals of each column: one row per column of the schema, safe to broadcast whatever the data size."""
+    names = [name for pair in _names("low", "high", k) + _names("xlow", "xhigh", extra) for name in pair]
+    rows = [(name, n, least, *marks) for name, n, least, marks in brackets]
+    return F.broadcast(local_table(spark, rows, "column string, n bigint, least double" + "".join(f", {name} double" for name in names)))
+
+
+def _counted(df: DataFrame, brackets: list[tuple], fences: DataFrame, intervals: Sequence[tuple[str, str]]) -> DataFrame:
+    """``(column, key, gap, cnt)``: values inside an interval are counted each, those between as lumps."""
+    key, gap = _key(intervals)
+    return (
+        numeric_cells(df, [name for name, *_ in brackets])
         .join(fences, "column")
         .select("column", key.alias("key"), gap.alias("gap"))
         .groupBy("column", "key", "gap")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
+
+
+def _ranked(keyed: DataFrame, fences: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """``(column, q)`` from the counted keys; segments are worked out on what is left of the rows."""
+    k = len(probs)
     counted = keyed.join(fences, "column").select("column", _segment(k).alias("segment"), "key", "gap", "cnt")
     # at most 1 + SEGMENTS * len(probs) rows per column
     before = Window.partitionBy("column").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
@@ -153,6 +173,48 @@ def _bracketed(df: DataFrame, brackets: list[tuple], probs: list[float]) -> Data
     return found.join(fences.select("column", "n"), "column").select("column", F.array(*values).alias("q"))
 
 
+def quartile_outliers(df: DataFrame, columns: Sequence[str], factor: float, accuracy: int = ACCURACY) -> DataFrame:
+    """``(column, flat, lower_bound, upper_bound, outlier_count, outlier_ratio)`` of columns with values.
+
+    Where the quartiles lie is known from the sketch, and so is where the fences can lie. Values
+    there are counted each in the pass that finds the quartiles; all others are on one side for
+    sure. So the fences cost no scan of their own. ``flat``: no spread between the quartiles, which
+    are the bounds then, and no outliers.
+    """
+    probs = [0.25, 0.75]
+    brackets = []
+    for name, n, least, marks in _brackets(_sketch(df, columns, probs, accuracy, (), ""), probs, accuracy):
+        a, b, c, d = marks
+        around = []
+        for low, high in ((a - factor * (d - a), b - factor * (c - b)), (c + factor * (c - b), d + factor * (d - a))):
+            low, high = min(low, high), max(low, high)
+            slack = 1e-9 * (abs(low) + abs(high) + abs(a) + abs(d))  # the fences are rounded too
+            wild = not math.isfinite(low - slack) or not math.isfinite(high + slack)
+            around += [-math.inf, math.inf] if wild else [low - slack, high + slack]
+        brackets.append((name, n, least, [*marks, *around]))
+    if not brackets:
+        return empty(df.sparkSession, "column string, flat boolean, lower_bound double, upper_bound double, outlier_count bigint, outlier_ratio double")
+    fences = _fences(df.sparkSession, brackets, 2, 2)
+    keyed = _counted(df, brackets, fences, _names("low", "high", 2) + _names("xlow", "xhigh", 2))
+    q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(1))
+    spread = F.col("q3") - F.col("q1")
+    flat = (spread == 0) | F.isnan(spread)
+    bounds = _ranked(keyed, fences, probs).select("column", q1.alias("q1"), q3.alias("q3")).select(
+        "column", flat.alias("flat"),
+        F.when(flat, F.col("q1")).otherwise(F.col("q1") - factor * spread).alias("lower_bound"),
+        F.when(flat, F.col("q3")).otherwise(F.col("q3") + factor * spread).alias("upper_bound"),
+    )
+    single = F.col("gap") == 0
+    below = F.when(single, F.col("key") < F.col("lower_bound")).otherwise(F.col("key") < F.col("xhigh0"))
+    above = F.when(single, F.col("key") > F.col("upper_bound")).otherwise(F.col("key") >= F.col("xhigh1"))
+    outside = F.sum(F.when(~F.col("flat") & (below | above), F.col("cnt")).otherwise(0))
+    return (
+        keyed.join(F.broadcast(bounds), "column").join(fences.select("column", "xhigh0", "xhigh1"), "column")
+        .groupBy("column", "flat", "lower_bound", "upper_bound")
+        .agg(outside.alias("outlier_count"), (outside / F.sum("cnt")).alias("outlier_ratio"))
+    )
+
+
 def approximate_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = 10_000,
     extra: Sequence[Column] = (), extra_schema: str = "",

@@ -255,3 +255,19 @@ def test_text_helpers(spark):
     got = df.select(format_percent(F.col("v")), short_text(F.col("s"), 10), safe_round(F.col("v"), 2)).collect()
     assert tuple(got[0]) == ("12.35%", "x" * 7 + "...", 0.12) or tuple(got[0])[0] in ("12.34%", "12.35%")
     assert tuple(got[1]) == ("-", "short", None)
+
+
+@pytest.mark.parametrize("shape", ["normal", "heavy", "few", "steps", "negative", "constant"])
+def test_outliers_from_the_quartile_pass(spark, shape):
+    rng = np.random.default_rng(17)
+    values = {
+        "normal": rng.normal(size=5000), "heavy": rng.standard_cauchy(5000), "few": rng.normal(size=40), "negative": -np.exp(rng.normal(size=5000) * 2),
+        "steps": np.r_[rng.integers(0, 9, 5000).astype(float), 400.0, -400.0], "constant": np.r_[np.full(3000, 7.0), rng.normal(size=300)],
+    }[shape]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double").repartition(7)
+    q1, q3 = np.percentile(values, [25, 75])
+    low, high = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) if q3 > q1 else (q1, q3)
+    want = int(((values < low) | (values > high)).sum()) if q3 > q1 else 0
+    row = quality.iqr_outliers(df, ["x"], accuracy=100).first()
+    assert row["outlier_count"] == want and row["outlier_ratio"] == pytest.approx(want / len(values))
+    assert row["lower_bound"] == pytest.approx(low) and row["upper_bound"] == pytest.approx(high)
