@@ -125,8 +125,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         members = members.union(more)
     members = keep(members, "intervals")
     interval = ["need", "rank", "last"]
-    heads = members.groupBy(*interval).agg(F.min(F.struct(*PLACE)).alias("head"), F.count("*").alias("n")).where("n > 1")
-    copies = members.join(_growing(heads), interval).where(F.struct(*PLACE) != F.col("head"))
+    heads = members.groupBy(*interval).agg(F.min(F.struct(*PLACE)).alias("head")).select("head.*")
+    # by place, so a run that a third of all documents share is no hot key here
+    copies = members.join(_growing(heads), PLACE, "left_anti")
     covered = copies.select("ord", "text_hash", F.explode(F.sequence(F.col("spot"), F.col("spot") + F.col("need") - 1)).alias("spot")).distinct()
     return covered.join(_growing(lines.select(*PLACE, "line").distinct()), PLACE)
 
