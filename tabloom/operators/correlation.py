@@ -77,7 +77,7 @@ def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     spread = F.sqrt(F.greatest(total("xx", "x", "x"), F.lit(0.0))) * F.sqrt(F.greatest(total("yy", "y", "y"), F.lit(0.0)))
     ratio = F.try_divide(total("xy", "x", "y"), spread)
-    corr = F.when(~F.isnan(ratio), F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0)))
+    corr = F.when(ratio.isNotNull() & ~F.isnan(ratio), F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0)))
     labels = F.array(*[F.lit(name) for name in names])
     numbers = F.sequence(F.lit(0), F.lit(len(names) - 1))
     # pairs that no task has seen together are listed too; the grid has a row for each pair of columns
