@@ -132,11 +132,11 @@ def _regressor_facts(spark, sf_dir, source, target, model):
     result = _train(spark, sf_dir, source, target, "regression", model)
     metrics = _metrics(result)
     seen = result.predictions.agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("y_true"), 1).alias("total"), F.min("y_pred").alias("low"), F.max("y_pred").alias("high")).first()
+        F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("y_true") * 100).cast("bigint")).alias("cents"), F.min("y_pred").alias("low"), F.max("y_pred").alias("high")).first()
     span = table(spark, sf_dir, "part").agg(F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high")).first()
     slack = 0.25 * (span["high"] - span["low"])  # boosting may step a little beyond the targets
     facts = [
-        ("test_rows", seen["n"]), ("test_total", f"{seen['total']:.1f}"), ("mae_under_rmse", metrics["mae"] <= metrics["rmse"] + 1e-9),
+        ("test_rows", seen["n"]), ("test_cents", seen["cents"]), ("mae_under_rmse", metrics["mae"] <= metrics["rmse"] + 1e-9),
         ("importance_holds", _importance_holds(result)),
         ("plausible", -0.1 < metrics["r2"] <= 1 if source is line_price else span["low"] - slack <= seen["low"] and seen["high"] <= span["high"] + slack),
     ]
@@ -147,7 +147,7 @@ def _regressor_facts(spark, sf_dir, source, target, model):
 def _regressor_sql(source):
     return f"""WITH t AS (SELECT y, {TEST_SQL} AS is_test FROM ({TARGETS_SQL[source]}))
 SELECT 'test_rows' AS item, count(*)::VARCHAR AS value FROM t WHERE is_test
-UNION ALL SELECT 'test_total', printf('%.1f', round(sum(y), 1)) FROM t WHERE is_test
+UNION ALL SELECT 'test_cents', sum(round(y * 100)::BIGINT)::VARCHAR FROM t WHERE is_test
 UNION ALL SELECT unnest(['mae_under_rmse', 'importance_holds', 'plausible']), 'true'"""
 
 
