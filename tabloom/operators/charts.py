@@ -20,7 +20,6 @@ HISTOGRAM_BINS = 30
 FREQUENCY_TOP = 20
 TARGET_TOP = 30
 IMPORTANCE_TOP = 25
-CORRELATION_COLUMNS = 12
 
 
 def missing_bar(df: DataFrame) -> DataFrame:
