@@ -7,6 +7,9 @@ most. If it contains four fifths of a template, their Jaccard similarity is at l
 ``0.8 t / (t + 3 c - 0.8 t)``, over 0.129; one of 128 bands of one minimum then agrees with probability
 ``1 - (1 - 0.129) ** 128``, over 0.99999997. Shingles that no template has are left out of the windows
 first, which can only raise the similarity.
+
+A shingle is a run of five words. A template of fewer words is one shingle, its whole word sequence;
+for such templates texts are hashed at that length too, each length with windows of its own.
 """
 
 from __future__ import annotations
@@ -71,14 +74,15 @@ TEMPLATES = {
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0",
     "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
-    "all-rights-reserved": "Unauthorized copying of this file, via any medium, is strictly prohibited",
+    "all-rights-reserved": "All rights reserved",
+    "unauthorized-copying": "Unauthorized copying of this file, via any medium, is strictly prohibited",
 }
 
 
-def _shingle_hashes(ids: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each run of five words, from the words' own hashes."""
-    out = np.zeros(max(0, ids.size - WORDS + 1), np.uint64)
-    for k in range(WORDS):
+def _shingle_hashes(ids: np.ndarray, length: int = WORDS) -> np.ndarray:
+    """A 64-bit hash for each run of ``length`` words, from the words' own hashes."""
+    out = np.zeros(max(0, ids.size - length + 1), np.uint64)
+    for k in range(length):
         out = (out * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + out.size]) ^ (out >> np.uint64(29))
     return out
 
@@ -100,20 +104,21 @@ class Scanner:
         rng = np.random.default_rng(3)
         self.factor = rng.integers(1, 2**63, BANDS, np.uint64) | np.uint64(1)
         self.sets: dict[str, set] = {}
-        self.index: dict[int, dict[tuple[int, int], list[str]]] = defaultdict(lambda: defaultdict(list))
-        known = []
+        self.index: dict[int, dict[int, dict[tuple[int, int], list[str]]]] = {}
+        known = defaultdict(list)
         for name, text in sorted(templates.items()):
             words = _WORD.findall(text.lower())
-            if len(words) < WORDS:
-                raise ValueError(f"template {name} has fewer than {WORDS} words")
-            self.sets[name] = {tuple(words[i : i + WORDS]) for i in range(len(words) - WORDS + 1)}
-            hashes = np.unique(_shingle_hashes(self.ids(words)))
-            known.append(hashes)
+            if not words:
+                raise ValueError(f"template {name} has no words")
+            length = min(WORDS, len(words))
+            self.sets[name] = {tuple(words[i : i + length]) for i in range(len(words) - length + 1)}
+            hashes = np.unique(_shingle_hashes(self.ids(words), length))
+            known[length].append(hashes)
             size = 1 << (len(self.sets[name]) - 1).bit_length()
+            bands = self.index.setdefault(length, {}).setdefault(size, {})
             for band, value in enumerate(self.minima(hashes)):
-                self.index[size][band, int(value)].append(name)
-        self.index = {size: dict(bands) for size, bands in self.index.items()}
-        self.known = np.unique(np.concatenate(known or [np.zeros(0, np.uint64)]))
+                bands.setdefault((band, int(value)), []).append(name)
+        self.known = {length: np.unique(np.concatenate(parts)) for length, parts in known.items()}
 
     def ids(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
@@ -125,15 +130,19 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[str, int, int, int, int]]:
         """``name, shared, shingles, first word, end word`` of each template's best window, the earliest of equals."""
         words = _WORD.findall(text.lower())
-        hashes = _shingle_hashes(self.ids(words))
-        if not self.known.size:
-            return []
-        near = np.searchsorted(self.known, hashes)
-        hits = np.flatnonzero(self.known[np.minimum(near, self.known.size - 1)] == hashes)
+        ids = self.ids(words)
         best: dict[str, tuple[int, int, int, int]] = {}
-        if not hits.size:
-            return []
-        for size, bands in self.index.items():
+        for length, known in self.known.items():
+            hashes = _shingle_hashes(ids, length)
+            near = np.searchsorted(known, hashes)
+            hits = np.flatnonzero(known[np.minimum(near, known.size - 1)] == hashes)
+            if hits.size:
+                self._windows(words, hashes, hits, length, best)
+        return sorted((name, *found) for name, found in best.items())
+
+    def _windows(self, words: list[str], hashes: np.ndarray, hits: np.ndarray, length: int, best: dict) -> None:
+        """Enter the best windows of shingles of one length into ``best``."""
+        for size, bands in self.index[length].items():
             block = hits // size
             for start in np.unique(np.concatenate([block - k for k in range(BLOCKS)])):
                 lo, hi = np.searchsorted(block, [start, start + BLOCKS])
@@ -141,14 +150,13 @@ class Scanner:
                     continue
                 window = hits[lo:hi]
                 candidates = {n for b, v in enumerate(self.minima(hashes[window])) for n in bands.get((b, int(v)), ())}
-                found = {tuple(words[i : i + WORDS]) for i in window} if candidates else set()
+                found = {tuple(words[i : i + length]) for i in window} if candidates else set()
                 for name in candidates:
                     wanted = self.sets[name]
                     shared = len(wanted & found)
                     if shared >= CONTAINMENT * len(wanted) and (name not in best or shared > best[name][0]):
-                        inside = [i for i in window if tuple(words[i : i + WORDS]) in wanted]
-                        best[name] = (shared, len(wanted), int(inside[0]), int(inside[-1]) + WORDS)
-        return sorted((name, *found) for name, found in best.items())
+                        inside = [i for i in window if tuple(words[i : i + length]) in wanted]
+                        best[name] = (shared, len(wanted), int(inside[0]), int(inside[-1]) + length)
 
 
 FIELDS = [("doc_id", pa.int64()), ("license", pa.string()), *[(n, pa.int64()) for n in ("n_shared", "n_shingles", "first_word", "end_word")]]
@@ -166,8 +174,8 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, str]) -> Itera
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each template found in a row of ``docs``, with its best window's counts and place.
 
-    Words are runs of letters, digits and underscores, lower-cased. Null or short texts match
-    nothing; null ids stay null; repeated rows match one by one; other columns don't matter; an
+    Words are runs of letters, digits and underscores, lower-cased. Null texts and those
+    shorter than every template match nothing; null ids stay null; repeated rows match one by one; other columns don't matter; an
     empty table gives an empty result. Texts are scanned whole by the task that reads them and
     nothing is shuffled. Templates are a parameter of bounded size and go to every task.
     """

@@ -109,6 +109,21 @@ def test_license_windows_miss_nothing(prose):
             assert name in {m[0] for m in scanner.scan(f"{prose(shift, shift)} {template} {prose(9, 50)}")}
 
 
+def test_licenses_of_few_words(spark, prose):
+    texts = [
+        (1, prose(1, 40) + "\nCopyright 2020 Someone. All rights reserved.\n" + prose(2, 9)), (2, "All rights reserved."), (3, "all rights are reserved"),
+        (4, "rights reserved"), (5, "Unauthorized copying of this file, via any medium, is strictly prohibited"),
+    ]
+    found = licenses.license_matches(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == [(1, "all-rights-reserved", 1, 1, 43, 46), (2, "all-rights-reserved", 1, 1, 0, 3), (5, "unauthorized-copying", 7, 7, 0, 11)]
+    for short in ("Proprietary", "CC0", "GPL v2", "Public domain", "Do not copy this"):
+        scanner = licenses.Scanner({"short": short, "long": licenses.TEMPLATES["mit-permission"]})
+        for shift in range(9):
+            size = len(short.split())
+            assert scanner.scan(f"{prose(shift, shift)} {short} {prose(9, 20)}") == [("short", 1, 1, shift, shift + size)]
+    assert licenses.Scanner({}).scan("All rights reserved") == []
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, lm.TOKENS, 50).astype(np.int32)
