@@ -1,15 +1,16 @@
 """LM scoring: masked pseudo-likelihood of a bidirectional window network, written in numpy.
 
-A token is the hash of a lower-cased word, one of 4096. For each position the network adds up an
+A token is the hash of a lower-cased word, one of 65,536. For each position the network adds up an
 embedding of each of the four neighbours (two on either side, a table for each place), applies tanh,
-and predicts the token from that in two steps: one of 64 groups, then one of its 64 members. The sum
+and predicts the token from that in two steps: one of 256 groups, then one of its 256 members. The sum
 of the log-probabilities of all tokens, each given its neighbours, is the document's score.
 
 Training is one pass over the whole corpus. As in masked language models, in each document one
-position in sixteen is masked and predicted. Every task trains a copy of the same initial network on
+position in sixteen is masked and predicted, and so by sixteen masks in turn until every position
+has been a target once. Every task trains a copy of the same initial network on
 the documents it reads; the copies are averaged, weighted by the positions they were trained on. So
-what is gathered grows with the input, and what one machine holds does not: copies travel as blocks
-that are summed by many tasks, and the driver gets their averages only.
+what is gathered grows with the input up to four copies a core, and what one machine holds does not
+grow: copies travel as blocks that are summed by many tasks, and the driver gets their averages only.
 """
 
 from __future__ import annotations
@@ -28,16 +29,18 @@ from tabloom.llm.common import keep
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
 
-GROUPS = MEMBERS = 64
+GROUPS = MEMBERS = 256
 TOKENS = GROUPS * MEMBERS
 WIDTH = 16
 PLACES = (-2, -1, 1, 2)
+SIDE = max(abs(p) for p in PLACES)
 EDGE = TOKENS  # stands beyond either end of a text
-MASKED = 16  # one position in so many is trained on
+MASKED = 16  # a mask hides one position in so many; so many masks hide all
 BATCH = 4096
 RATE = 0.2
 CHUNK = 1 << 14
 BLOCK = 1 << 12
+COPIES = 4  # a core: a table of many small parts would send the network once for each
 _CACHED = 1 << 18
 
 
@@ -59,12 +62,13 @@ class Network:
 
     SHAPES = {
         "places": (len(PLACES), TOKENS + 1, WIDTH), "hidden": (WIDTH,),
-        "group": (WIDTH, GROUPS), "group_bias": (GROUPS,), "member": (GROUPS, WIDTH, MEMBERS), "member_bias": (GROUPS, MEMBERS),
+        "group": (GROUPS, WIDTH + 1), "member": (GROUPS, MEMBERS, WIDTH + 1),  # the last weight is the bias
     }
     SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+    HEAD = int(np.prod(SHAPES["places"]))  # where the parameters after the embeddings begin
 
     def __init__(self, values: np.ndarray):
-        self.values = values
+        self.values, self.space = values, np.empty(0, values.dtype)
         at = 0
         for name, shape in self.SHAPES.items():
             size = int(np.prod(shape))
@@ -76,57 +80,75 @@ class Network:
         return cls(np.random.default_rng(seed).normal(0, 0.2, cls.SIZE).astype(np.float32))
 
     def _hidden(self, context: np.ndarray) -> np.ndarray:
+        """The hidden units, and a one for the bias."""
         total = self.places[0][context[0]] + self.hidden
         for k in range(1, len(PLACES)):
             total += self.places[k][context[k]]
-        return np.tanh(total, out=total)
+        hidden = np.ones((total.shape[0], WIDTH + 1), total.dtype)
+        np.tanh(total, out=hidden[:, :WIDTH])
+        return hidden
 
-    def _members(self, hidden: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _room(self, rows: int, columns: int) -> np.ndarray:
+        """The same memory at each call, as fresh pages cost as much as the sums."""
+        if self.space.size < rows * columns:
+            self.space = np.empty(rows * columns, self.values.dtype)
+        return self.space[: rows * columns].reshape(rows, columns)
+
+    def _groups(self, hidden: np.ndarray) -> np.ndarray:
+        return np.dot(hidden, self.group.T, out=self._room(hidden.shape[0], GROUPS))
+
+    def _members(self, hidden: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Logits inside each position's own group; positions come sorted by group."""
-        out = np.empty((order.size, MEMBERS), hidden.dtype)
+        out = self._room(hidden.shape[0], MEMBERS)
         for g in range(GROUPS):
             a, b = ends[g], ends[g + 1]
             if a < b:
-                np.dot(hidden[a:b], self.member[g], out=out[a:b])
-                out[a:b] += self.member_bias[g]
+                np.dot(hidden[a:b], self.member[g].T, out=out[a:b])
         return out
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each position, in the order given. ``context`` has a row for each place."""
-        order, ends, group, member = _by_group(target)
-        hidden = self._hidden(context[:, order])
-        rows = np.arange(order.size)
-        outer, inner = hidden @ self.group + self.group_bias, self._members(hidden, order, ends)
+        order, ends = _by_group(target)
+        token, hidden = target[order], self._hidden(context[:, order])
+        wanted = self.group[token // MEMBERS] + self.member.reshape(TOKENS, -1)[token]
         found = np.empty(order.size)
-        found[order] = outer[rows, group] + inner[rows, member] - _log_sum(outer) - _log_sum(inner)
+        found[order] = (hidden * wanted).sum(axis=1) - _log_sum(self._groups(hidden)) - _log_sum(self._members(hidden, ends))
         return found
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of the batch's negative log-probability, in the layout of the parameters."""
-        order, ends, group, member = _by_group(target)
-        context = context[:, order]
-        hidden = self._hidden(context)
-        rows = np.arange(order.size)
         slope = Network(np.zeros_like(self.values))
+        for k, (rows, sums) in enumerate(self.slopes(context, target, slope)):
+            slope.places[k][rows] = sums
+        return slope.values
 
-        outer = _softmax(hidden @ self.group + self.group_bias)
-        outer[rows, group] -= 1
-        back = outer @ self.group.T
-        slope.group += hidden.T @ outer
-        slope.group_bias += outer.sum(axis=0)
-        inner = _softmax(self._members(hidden, order, ends))
-        inner[rows, member] -= 1
+    def slopes(self, context: np.ndarray, target: np.ndarray, slope: Network) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Overwrites all of ``slope`` but the embeddings; gives the embeddings met, at each place, and their slopes."""
+        order, ends = _by_group(target)
+        context, token = context[:, order], target[order]
+        hidden, member = self._hidden(context), self.member.reshape(TOKENS, -1)
+
+        outer, total, _ = _exponentials(self._groups(hidden))
+        np.dot(outer.T, hidden / total, out=slope.group)
+        back = outer @ self.group / total
+        inner, total, _ = _exponentials(self._members(hidden, ends))
+        share, part = hidden / total, np.empty_like(hidden)
         for g in range(GROUPS):
             a, b = ends[g], ends[g + 1]
             if a < b:
-                back[a:b] += inner[a:b] @ self.member[g].T
-                slope.member[g] += hidden[a:b].T @ inner[a:b]
-                slope.member_bias[g] += inner[a:b].sum(axis=0)
-        back *= 1 - hidden * hidden
-        slope.hidden += back.sum(axis=0)
-        for k in range(len(PLACES)):
-            np.add.at(slope.places[k], context[k], back)
-        return slope.values
+                np.dot(inner[a:b], self.member[g], out=part[a:b])
+                np.dot(inner[a:b].T, share[a:b], out=slope.member[g])
+            else:
+                slope.member[g] = 0
+        back += part / total
+        back -= self.group[token // MEMBERS] + member[token]
+        for view, ids in ((slope.group, token // MEMBERS), (slope.member.reshape(TOKENS, -1), token)):
+            rows, sums = _sums(ids, hidden)
+            view[rows] -= sums
+        back = back[:, :WIDTH] * (1 - hidden[:, :WIDTH] ** 2)
+        back.sum(axis=0, out=slope.hidden)
+        orders = [np.argsort(ids) for ids in context]
+        return [_sums(ids[at], back[at]) for ids, at in zip(context, orders)]
 
 
 class Trainer:
@@ -134,45 +156,73 @@ class Trainer:
 
     def __init__(self, seed: int, rate: float):
         self.network, self.rate, self.seen = Network.initial(seed), np.float32(rate), 0
-        self.squares = np.full(Network.SIZE, 1e-3, np.float32)
+        self.squares, self.slope = Network(np.full(Network.SIZE, 1e-3, np.float32)), Network(np.zeros(Network.SIZE, np.float32))
+        self.room = np.empty(CHUNK, np.float32)
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        slope = self.network.gradient(context, target)
-        slope /= np.sqrt(np.float32(target.size))
-        self.squares += slope * slope
-        self.network.values -= self.rate * slope / np.sqrt(self.squares)
+        """Embeddings that the batch doesn't hold have no slope and stay as they are."""
+        met, scale = self.network.slopes(context, target, self.slope), np.sqrt(np.float32(target.size))
+        for k, (rows, sums) in enumerate(met):
+            sums /= scale
+            squares = self.squares.places[k][rows] + sums * sums
+            self.squares.places[k][rows] = squares
+            self.network.places[k][rows] -= self.rate * sums / np.sqrt(squares)
+        for at in range(Network.HEAD, Network.SIZE, CHUNK):  # piece by piece, as each stays in the cache
+            part = slice(at, at + CHUNK)
+            slope, squares = self.slope.values[part], self.squares.values[part]
+            slope /= scale
+            room = self.room[: slope.size]
+            squares += np.multiply(slope, slope, out=room)
+            slope *= self.rate
+            slope /= np.sqrt(squares, out=room)
+            self.network.values[part] -= slope
         self.seen += target.size
 
 
-def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by token, and where each group begins in it."""
     order = np.argsort(target, kind="stable")
-    group, member = np.divmod(target[order], MEMBERS)
-    return order, np.searchsorted(group, np.arange(GROUPS + 1)), group, member
+    return order, np.searchsorted(target[order], np.arange(GROUPS + 1) * MEMBERS)
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    most = logits.max(axis=1, keepdims=True)
-    return np.log(np.exp(logits - most).sum(axis=1)) + most[:, 0]
+def _sums(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, which come sorted, and the sum of the rows of each."""
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[starts], np.add.reduceat(rows, starts, axis=0)
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row in proportion, in place; their sum; and the logarithm of the true sum."""
+    most = 0
+    if not -50 < logits.min() <= logits.max() < 50:  # else no sum leaves the range of a float
+        most = logits.max(axis=1, keepdims=True)
+        logits -= most
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+    total = logits @ np.ones((logits.shape[1], 1), logits.dtype)
+    return logits, total, (np.log(total) + most)[:, 0]
+
+
+def _log_sum(logits: np.ndarray) -> np.ndarray:
+    step = 1 << 10  # as much as stays in the cache
+    return np.concatenate([_exponentials(logits[a : a + step])[2] for a in range(0, logits.shape[0], step)])
 
 
 def _contexts(ids: np.ndarray, where: np.ndarray | slice) -> np.ndarray:
     """The neighbours of the given positions, a row for each place."""
-    side = max(abs(p) for p in PLACES)
-    padded = np.full(ids.size + 2 * side, EDGE, np.int32)
-    padded[side : side + ids.size] = ids
-    return np.stack([padded[side + p : side + p + ids.size][where] for p in PLACES])
+    padded = _padded(ids)
+    return np.stack([padded[SIDE + p : SIDE + p + ids.size][where] for p in PLACES])
+
+
+def _padded(ids: np.ndarray) -> np.ndarray:
+    padded = np.full(ids.size + 2 * SIDE, EDGE, np.int32)
+    padded[SIDE : SIDE + ids.size] = ids
+    return padded
 
 
 def masked(ids: np.ndarray) -> np.ndarray:
-    """One position in ``MASKED``, from one that depends on the text."""
-    return np.arange(int(ids[: MASKED * 2].sum()) % MASKED, ids.size, MASKED) if ids.size else np.zeros(0, np.int64)
+    """Every position once, mask after mask: each hides one in ``MASKED``, the first from one that depends on the text."""
+    first = int(ids[: MASKED * 2].sum())
+    return np.concatenate([np.arange((first + k) % MASKED, ids.size, MASKED) for k in range(MASKED)])
 
 
 def _train(batches: Iterator[pa.RecordBatch], seed: int, rate: float) -> Iterator[pa.RecordBatch]:
@@ -181,10 +231,10 @@ def _train(batches: Iterator[pa.RecordBatch], seed: int, rate: float) -> Iterato
     for batch in batches:
         for text in batch.column(0):
             ids = tokens(text.as_py(), hashes)
-            where = masked(ids)
+            where, padded = masked(ids), _padded(ids)
             for at in range(0, where.size, BATCH):
                 part = where[at : at + BATCH]
-                contexts.append(_contexts(ids, part))
+                contexts.append(np.stack([padded[part + (SIDE + p)] for p in PLACES]))
                 targets.append(ids[part])
                 held += part.size
                 if held >= BATCH:
@@ -226,10 +276,10 @@ SCHEMA = "block int, weight double, part array<float>"
 def fit(docs: DataFrame, text_col: str = "text", seed: int = 4, rate: float = RATE) -> np.ndarray:
     """The averaged parameters, a fixed number of them; of a corpus without a word, the initial ones."""
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
-    copies = texts.mapInArrow(lambda it: _train(it, seed, rate), SCHEMA)
+    copies = texts.coalesce(COPIES * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(lambda it: _train(it, seed, rate), SCHEMA)
     mean = keep(copies.repartition("block").mapInArrow(_sum, SCHEMA), "network")
-    rows = mean.orderBy("block").collect()
-    return np.concatenate([np.array(r["part"], np.float32) for r in rows]) if rows else Network.initial(seed).values
+    parts = mean.orderBy("block").select("part").toArrow().column(0)
+    return np.concatenate([c.flatten().to_numpy() for c in parts.chunks]) if len(parts) else Network.initial(seed).values
 
 
 def _log_sums(network: Network, texts: list[np.ndarray]) -> np.ndarray:

@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,43 @@ def test_scores(spark, odd, nothing):
     assert lm.fit(nothing).shape == values.shape
 
 
+def test_every_position_is_a_target_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm.Trainer, "step", lambda self, context, target: seen.append((context, target)))
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 900, n)) for n in (0, 1, 7, 15, 16, 17, 500, 3 * lm.BATCH + 5)]
+    list(lm._train(iter([pa.RecordBatch.from_pydict({"text": [t.encode() for t in texts]})]), 4, lm.RATE))
+    ids = [lm.tokens(t.encode(), lm._Hashes()) for t in texts]
+    want = np.concatenate([np.vstack([lm._contexts(x, slice(None)), x]) for x in ids], axis=1)
+    got = np.vstack([np.concatenate([c for c, _ in seen], axis=1), np.concatenate([t for _, t in seen])])
+    assert sorted(map(tuple, got.T)) == sorted(map(tuple, want.T))
+
+
+def test_words_rarely_share_a_token():
+    words = {int(t) for t in lm.tokens(" ".join(f"word{i}" for i in range(2000)).encode(), lm._Hashes())}
+    assert len(words) > 0.95 * 2000
+
+
+def test_steps_are_those_of_the_whole_gradient():
+    rng, trainer = np.random.default_rng(2), lm.Trainer(1, lm.RATE)
+    values, squares = trainer.network.values.copy(), np.full(lm.Network.SIZE, 1e-3, np.float32)
+    for _ in range(3):
+        ids = rng.integers(0, lm.TOKENS, 300).astype(np.int32)
+        context = lm._contexts(ids, slice(None))
+        slope = lm.Network(values).gradient(context, ids) / np.sqrt(np.float32(ids.size))
+        squares += slope * slope
+        values = values - np.float32(lm.RATE) * slope / np.sqrt(squares)
+        trainer.step(context, ids)
+    assert np.abs(trainer.network.values - values).max() < 1e-4 and trainer.seen == 900
+
+
+def test_large_weights_keep_probabilities():
+    network = lm.Network(lm.Network.initial(3).values * 500)
+    context = np.tile(np.array([[1], [2], [3], [lm.EDGE]], np.int32), lm.TOKENS)
+    found = network.log_probabilities(context, np.arange(lm.TOKENS, dtype=np.int32))
+    assert np.isfinite(found).all() and abs(np.exp(found).sum() - 1) < 1e-2
+
+
 def test_long_texts_are_scored_by_pieces():
     network, ids = lm.Network.initial(1), np.random.default_rng(0).integers(0, lm.TOKENS, 3 * lm.CHUNK + 5).astype(np.int32)
     whole = network.log_probabilities(lm._contexts(ids, slice(None)), ids).sum()
