@@ -143,7 +143,7 @@ def parse_header(line: str, delimiter: str) -> list[str]:
     """Column names of a header line, stripped; refuses blank, empty and duplicate names."""
     if not line.strip():
         raise TableError("no header: the first line must hold the column names")
-    names = [name.strip() for name in next(csv.reader([line], delimiter=delimiter))]
+    names = _split_header(line, delimiter)
     try:
         check_names(names)
     except ValueError as error:
@@ -151,6 +151,21 @@ def parse_header(line: str, delimiter: str) -> list[str]:
     return names
 
 
+def _split_header(line: str, delimiter: str) -> list[str]:
+    return [name.strip() for name in next(csv.reader([line], delimiter=delimiter))]
+
+
+def _header(encoding: str, head: bytes) -> str:
+    return bytes(head).decode(encoding).lstrip("\ufeff")
+
+
+def _other_headers(batches: Iterator[pd.DataFrame], names: list[str], delimiter: str) -> Iterator[pd.DataFrame]:
+    """Paths of the files that have other names."""
+    for batch in batches:
+        rows = zip(batch["path"], batch["encoding"], batch["head"])
+        yield pd.DataFrame({"path": [p for p, encoding, head in rows if _split_header(_header(encoding, head), delimiter) != names]}, dtype=object)
+
+
 def _null_tokens(df: DataFrame, tokens: Sequence[str]) -> DataFrame:
     return df.select(*[
         F.when(~column(name).isin(list(tokens)), column(name)).alias(name) for name in df.columns])
@@ -258,14 +273,15 @@ def _read_delimited(
         raise TableError(f"empty file: {', '.join(unquote(row['path']) for row in empty)}")
     spans = F.col("open_quotes") if multi_line is None else F.lit(multi_line)
     marked = facts.withColumn("spans", spans)
-    kinds = marked.groupBy("encoding", "spans", "head").agg(F.min("path").alias("path")).orderBy("path").limit(KINDS_SHOWN).collect()
-    headers = [bytes(row["head"]).decode(row["encoding"]).lstrip("\ufeff") for row in kinds]
-    names = parse_header(headers[0], delimiter)
-    for row, header in zip(kinds, headers):
-        if parse_header(header, delimiter) != names:
-            raise TableError(f"header of {unquote(row['path'])} differs from {unquote(kinds[0]['path'])}")
+    first = marked.orderBy("path").select("path", "encoding", "head").first()
+    names = parse_header(_header(first["encoding"], first["head"]), delimiter)
+    headers = marked.groupBy("encoding", "head").agg(F.min("path").alias("path")).select("path", "encoding", "head")
+    others = headers.mapInPandas(lambda it: _other_headers(it, names, delimiter), "path string").orderBy("path").first()
+    if others:
+        raise TableError(f"header of {unquote(others['path'])} differs from {unquote(first['path'])}")
     text = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    wanted = sorted({(row["encoding"], row["spans"]) for row in kinds})
+    # of these there are two for each encoding at most
+    wanted = sorted((row["encoding"], row["spans"]) for row in marked.select("encoding", "spans").distinct().collect())
     if {encoding for encoding, _ in wanted} & {"gbk", "gb18030"}:
         # the reader only knows these names in this mode, and it must still hold when the plan runs
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")

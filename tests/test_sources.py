@@ -92,6 +92,18 @@ def test_many_files_must_agree(spark, tmp_path):
         read_table(spark, str(tmp_path / "*.csv"))
 
 
+def test_many_header_spellings(spark, tmp_path):
+    for i in range(103):
+        put(tmp_path, f"a{i:03}.csv", f"a{' ' * i},b\n{i},x\n")
+    put(tmp_path, "z.csv", "a,b  \n200,caf\u00e9\n201,\u00e9 \n", "latin1")
+    df, meta = read_table(spark, str(tmp_path))
+    rows = {r["a"]: r["b"] for r in df.collect()}
+    assert len(rows) == df.count() == 105 and rows[200] == "caf\u00e9" and meta.where("encoding = 'latin1'").count() == 1
+    put(tmp_path, "zz.csv", "a,c\n1,x\n")
+    with pytest.raises(TableError, match=r"zz\.csv differs"):
+        read_table(spark, str(tmp_path))
+
+
 def test_parquet_is_read_as_it_is(spark, tmp_path):
     spark.range(9).select("id", (F.col("id") * 2).alias("b")).write.parquet(str(tmp_path / "p"))
     df, meta = read_table(spark, str(tmp_path / "p/*.parquet"))
