@@ -30,7 +30,11 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 # kinds in the order in which spans of equal start are listed
 KINDS = ("assign", "access", "hex", "pem", "der", "hexder", "ssh", "jwt")
 
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]|-(?!----))++)-----END \1-----")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----(?:[^-]|-(?!----))++-----END \1-----")
+_ESCAPED = re.compile(r"\\+(?:[rnt]|$)", re.M)  # line ends of JSON, env files and source code
+_HEADER = re.compile(r"^[ \t]*([A-Za-z][A-Za-z0-9-]*):.*$", re.M)
+_NEXT = re.compile(r"(?:\\+r|\r)?(?:\\+n|\n)[ \t]*([A-Za-z0-9+/]+)(?![^\s\\=\"'])")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
@@ -39,6 +43,9 @@ _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za
 _SSH_NAMES = (b"ssh-", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
 _OPENSSH = b"openssh-key-v1\x00"
 _DEPTH = 16
+
+# fixed values: what keys begin with in base64, in a run that begins earlier or ends in a later line
+_PREFIX = re.compile(r"MI[GHI]|MHcCAQ|MC4CAQ|AAAA|b3BlbnNzaC1rZXk")
 _NESTED = (0x30, 0x31, 0xA0, 0xA1)
 
 
@@ -105,6 +112,85 @@ def is_ssh(data: bytes | None) -> bool:
     return len(fields) > 1 and fields[0].startswith(_SSH_NAMES)
 
 
+def _is_pem(body: str) -> bool:
+    """A key of DER or OpenSSH; an encrypted one can only be told by its header and whole cipher blocks."""
+    body = _ESCAPED.sub("\n", body).replace("\\/", "/")
+    headers = {m[1].lower() for m in _HEADER.finditer(body)}
+    data = _decode(_HEADER.sub("", body))
+    if data is None:
+        return False
+    if {"proc-type", "dek-info"} <= headers:
+        return len(data) >= 32 and len(data) % 8 == 0
+    return is_der(data) or data.startswith(_OPENSSH)
+
+
+def _wrapped(text: str, start: int, end: int) -> tuple[str, list[tuple[int, int]]]:
+    """The run and the lines that go on with it, joined; and where each line ends, in the joined run and in the text.
+
+    Lines have the width of the second one, and a shorter one is the last.
+    """
+    parts, size, ends, width = [text[start:end]], end - start, [(end - start, end)], 0
+    while m := _NEXT.match(text, end):
+        if width and len(m[1]) > width:
+            break
+        parts.append(m[1])
+        size, end = size + len(m[1]), m.end()
+        ends.append((size, end))
+        if len(m[1]) < max(width, 40):
+            break
+        width = width or len(m[1])
+    return "".join(parts), ends
+
+
+def _field_ends(joined: str, at: int) -> set[int]:
+    """How many bytes the first fields fill, each read in place; SSH certificates have 14 fields."""
+    size, found = 0, set()
+    while len(found) < 32:
+        head = _decode(joined[at + size // 3 * 4 : at + size // 3 * 4 + 8]) or b""
+        head = head[size % 3 : size % 3 + 4]
+        if len(head) < 4:
+            break
+        size += 4 + int.from_bytes(head, "big")
+        if size > (len(joined) - at) * 3 // 4:
+            break
+        found.add(size)
+    return found
+
+
+def _within(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
+    """Keys that begin inside a run or go on in the lines after it."""
+    first, done, joined = text[start:end], 0, None
+    for m in _PREFIX.finditer(first):
+        at = m.start()
+        if at < done:
+            continue
+        if joined is None:
+            joined, ends = _wrapped(text, start, end)
+        head = _decode(joined[at : at + 32]) or b""
+        if head[:1] == b"0":
+            width = head[1] & 0x7F if head[1] & 0x80 else 0
+            size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+            stops = [at + (size * 4 + 2) // 3]
+        elif head.startswith(_OPENSSH):
+            stops = [stop for stop, _ in reversed(ends) if stop > at]  # its first fields don't tell its end
+        elif head[4:].startswith(_SSH_NAMES):
+            sizes = _field_ends(joined, at)
+            stops = [stop for stop, _ in ends if (stop - at) * 3 // 4 in sizes]
+        else:
+            continue
+        for stop in stops:
+            data = _decode(joined[at:stop]) if stop <= len(joined) else None
+            kind = "ssh" if is_ssh(data) else "der" if is_der(data) else None
+            if kind:
+                upto, place = next(e for e in ends if e[0] >= stop)
+                last = place - (upto - stop)
+                while stop == upto and last < len(text) and text[last] == "=" and last < place + 2:
+                    last += 1
+                yield start + at, last, kind
+                done = stop
+                break
+
+
 def is_signed_token(token: str) -> bool:
     """Header and payload are JSON objects, the header names an algorithm, and unless that is none there is a signature."""
     head, body, signature = token.split(".")
@@ -123,15 +209,21 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     for m in _PEM.finditer(text):
-        data = _decode(m[2])
-        if is_der(data) or data is not None and data.startswith(_OPENSSH):
+        if _is_pem(m[2]):
             found.append((m.start(), m.end(), "pem"))
+    armoured = [m.span() for m in _ARMOUR.finditer(text)]  # what is in one is judged as a whole
+    upto = 0
     for m in _BASE64.finditer(text):
         data = _decode(m[0])
-        if is_ssh(data):
+        armour = any(a <= m.start() < b for a, b in armoured)
+        if is_ssh(data) and (armour or not data.startswith(_OPENSSH)):
             found.append((m.start(), m.end(), "ssh"))
         elif is_der(data):
             found.append((m.start(), m.end(), "der"))
+        elif m.start() >= upto and not armour:
+            more = list(_within(text, m.start(), m.start() + len(m[0].rstrip("="))))
+            found += more
+            upto = max([upto, *[end for _, end, _ in more]])
     for m in _LONG_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_der(bytes.fromhex(m[0])):
             found.append((m.start(), m.end(), "hexder"))

@@ -237,6 +237,47 @@ def test_secrets(text, kinds):
     assert [k for _, _, k in found if not (k == "der" and "-----" in text)] == wanted
 
 
+LONG = _der((2, b"\x00"), (2, bytes(i * 7 % 251 for i in range(600))), (0x30, b"\x02\x01\x05"))
+SSH = _field(b"ssh-rsa", b"\x01\x00\x01", bytes(i * 11 % 253 for i in range(256)))
+
+
+def _lines(data, end="\n", width=64):
+    text = base64.b64encode(data).decode()
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def _armour(body, end="\n", label="RSA PRIVATE KEY"):
+    return f"-----BEGIN {label}-----{end}{body}{end}-----END {label}-----"
+
+
+@pytest.mark.parametrize("secret, kind", [
+    (_armour(_lines(LONG)), "pem"), (_armour(_lines(LONG, "\\n"), "\\n"), "pem"), (_armour(_lines(LONG, "\\r\\n"), "\\r\\n"), "pem"),
+    (_armour(_lines(LONG, "\\\\n").replace("/", "\\/"), "\\\\n"), "pem"),
+    (_armour("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D4E5F60718293A4B5C6D7E8F9\n\n" + _lines(LONG[:608])), "pem"),
+    (_armour("Comment: mine\n\n" + _lines(LONG)), "pem"),
+    (_lines(LONG), "der"), (_lines(LONG, "\\n"), "der"), (_lines(LONG, "\r\n  "), "der"), (_lines(SSH, width=70), "ssh"),
+    (_lines(b"openssh-key-v1\x00" + LONG, width=70), "ssh"),
+])
+def test_secrets_in_other_line_ends(secret, kind):
+    for before, after in (("", ""), ("key: ", "\n"), ("x\n", "\n\nsome words after it"), ('{"k": "', '"}')):
+        found = [s for s in secrets.spans(before + secret + after) if s[2] in ("pem", "der", "ssh")]
+        assert found == [(len(before), len(before) + len(secret), kind)]
+
+
+@pytest.mark.parametrize("data, kind", [(LONG, "der"), (KEY, "der"), (SSH, "ssh"), (b"openssh-key-v1\x00" + LONG, "ssh")])
+def test_secrets_after_a_glued_start(data, kind):
+    key = base64.b64encode(data).decode()
+    for glue in ("/", "\\n", "home/keys/", "ab+"):
+        found = [s for s in secrets.spans(f"see {glue}{key} end") if s[2] == kind]
+        assert found == [(4 + len(glue), 4 + len(glue) + len(key), kind)]
+
+
+def test_what_is_no_secret_in_lines():
+    noise = np.random.default_rng(1).bytes(3000)
+    for text in (_armour(_lines(LONG), label="CERTIFICATE"), _armour(_lines(noise)), _lines(noise), "A" * 20_000, "MII" * 5000, _armour("Proc-Type: 4\n\n" + _lines(noise)), "-----BEGIN RSA PRIVATE KEY-----\n" * 500):
+        assert [s for s in secrets.spans(text) if s[2] in ("pem", "der", "ssh")] == []
+
+
 def test_secret_digest(spark, odd, nothing):
     text = "É token = \"" + "0a" * 20 + "\" AKIA" + "Z" * 16
     row = secrets.digest(secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
