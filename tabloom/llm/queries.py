@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, licenses, lines, lm, mixing, quality, secrets, sharding, simhash, urls
+from tabloom.llm import (
+    collocations, decontaminate, licenses, lines, lm, mixing, packing, quality, retrieval, secrets, sharding, simhash, urls,
+)
 from tabloom.llm.common import text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +75,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieval.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filter": op2_url_filter,
@@ -84,6 +103,9 @@ QUERIES: dict[str, Query] = {
     "op8_mix": op8_mix,
     "op9_shard": op9_shard,
     "op10_secret_scan": op10_secret_scan,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_packing": op12_packing,
+    "op13_collocations": op13_collocations,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
@@ -189,4 +211,56 @@ summed AS (
 SELECT doc_id, size, source_size, round(target, 6) AS target,
        size * (epochs + CASE WHEN rest > 0 AND (upto <= rest OR (upto - size < rest AND upto - rest < rest - (upto - size))) THEN 1 ELSE 0 END) AS taken
 FROM summed""",
+    "op11_lexical_search": r"""
+WITH lowered AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+items AS (
+  SELECT item_id, row_number() OVER () AS k,
+         unnest(list_distinct(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+totals AS (SELECT count(*) FILTER (len(t) > 0)::BIGINT AS docs, sum(len(t))::BIGINT AS terms FROM lowered),
+held AS (
+  SELECT doc_id, r, n, term, count(*) AS tf FROM (SELECT doc_id, r, len(t)::BIGINT AS n, unnest(t) AS term FROM lowered)
+  WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000::DOUBLE * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM held, totals GROUP BY term, docs),
+parts AS (
+  SELECT item_id, k, doc_id, r, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) AS s
+  FROM held JOIN weights USING (term) JOIN items USING (term), totals),
+scores AS (SELECT item_id, k, doc_id, sum(s)::BIGINT AS score FROM parts GROUP BY item_id, k, doc_id, r),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+grams AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM spots, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE i + size - 1 <= len(w)),
+f AS (SELECT lang, size, phrase, count(*)::BIGINT AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+found AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM found),
+scored AS (
+  SELECT c.lang, c.size, c.phrase, c.a,
+         min({'score': ((2000000::HUGEINT * c.a) // (x.a::HUGEINT + y.a))::BIGINT, 'k': c.k, 'l': x.a, 'r': y.a}) AS cut
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.size], ' ') GROUP BY ALL),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM found)) GROUP BY ALL),
+ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY cut.score DESC, a DESC, phrase) AS rank, phrase, a,
+         cut.l AS l, cut.r AS r, n, cut.score AS score
+  FROM scored s LEFT JOIN inside USING (lang, phrase) JOIN totals USING (lang)
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT * FROM ranked WHERE rank <= 2000""",
 }
