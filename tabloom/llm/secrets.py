@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 import sys
@@ -43,6 +44,7 @@ _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za
 _SSH_NAMES = (b"ssh-", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
 _OPENSSH = b"openssh-key-v1\x00"
 _DEPTH = 16
+_MOST_ELEMENTS = 64
 
 # fixed values: what keys begin with in base64, in a run that begins earlier or ends in a later line
 _PREFIX = re.compile(r"MI[GHI]|MHcCAQ|MC4CAQ|AAAA|b3BlbnNzaC1rZXk")
@@ -124,22 +126,22 @@ def _is_pem(body: str) -> bool:
     return is_der(data) or data.startswith(_OPENSSH)
 
 
-def _wrapped(text: str, start: int, end: int) -> tuple[str, list[tuple[int, int]]]:
-    """The run and the lines that go on with it, joined; and where each line ends, in the joined run and in the text.
+def _wrapped(text: str, start: int, end: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """The run and the lines that go on with it, joined; and where each line ends in the joined run, and begins and ends in the text.
 
     Lines have the width of the second one, and a shorter one is the last.
     """
-    parts, size, ends, width = [text[start:end]], end - start, [(end - start, end)], 0
+    parts, size, lines, width = [text[start:end]], end - start, [(end - start, start, end)], 0
     while m := _NEXT.match(text, end):
         if width and len(m[1]) > width:
             break
         parts.append(m[1])
         size, end = size + len(m[1]), m.end()
-        ends.append((size, end))
+        lines.append((size, m.start(1), end))
         if len(m[1]) < max(width, 40):
             break
         width = width or len(m[1])
-    return "".join(parts), ends
+    return "".join(parts), lines
 
 
 def _field_ends(joined: str, at: int) -> set[int]:
@@ -157,38 +159,71 @@ def _field_ends(joined: str, at: int) -> set[int]:
     return found
 
 
-def _within(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
-    """Keys that begin inside a run or go on in the lines after it."""
-    first, done, joined = text[start:end], 0, None
-    for m in _PREFIX.finditer(first):
+def _may_be_der(joined: str, at: int, header: int, size: int) -> bool:
+    """Whether the elements inside a sequence fill it, read by their lengths alone; only a few bytes of each are decoded."""
+    place, end = header, header + size
+    for n in range(_MOST_ELEMENTS):
+        if place == end:
+            return n > 1
+        group = at + place // 3 * 4
+        head = (_decode(joined[group : group + 12]) or b"")[place % 3 :]
+        if len(head) < 2 or n == 0 and head[0] not in (0x02, 0x30):
+            return False
+        width = head[1] & 0x7F if head[1] & 0x80 else 0
+        if width > 4 or len(head) < 2 + width:
+            return False
+        place += 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+        if place > end:
+            return False
+    return True
+
+
+def _within(text: str, start: int, end: int) -> tuple[list[tuple[int, int, str]], int]:
+    """Keys that begin inside a run, or inside the lines that go on with it; and from where lines are yet to be looked at.
+
+    The last two lines may go on otherwise when seen from there, so they are left for later.
+    """
+    if not _PREFIX.search(text, start, end) and not _NEXT.match(text, end):
+        return [], end
+    found, done = [], 0
+    joined, lines = _wrapped(text, start, end)
+    later = lines[max(1, len(lines) - 2)][1] if len(lines) > 1 else end
+    ends = [line[0] for line in lines]
+    for m in _PREFIX.finditer(joined):
         at = m.start()
-        if at < done:
+        line = bisect.bisect_right(ends, at)
+        before = ends[line - 1] if line else 0
+        if at < done or m.end() > ends[line] or line and lines[line][1] >= later:
             continue
-        if joined is None:
-            joined, ends = _wrapped(text, start, end)
         head = _decode(joined[at : at + 32]) or b""
         if head[:1] == b"0":
             width = head[1] & 0x7F if head[1] & 0x80 else 0
-            size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
-            stops = [at + (size * 4 + 2) // 3]
+            size = int.from_bytes(head[2 : 2 + width], "big") if width else head[1]
+            if not _may_be_der(joined, at, 2 + width, size):
+                continue
+            stops = [at + ((2 + width + size) * 4 + 2) // 3]
         elif head.startswith(_OPENSSH):
-            stops = [stop for stop, _ in reversed(ends) if stop > at]  # its first fields don't tell its end
+            stops = [ends[-1]]  # its first fields don't tell its end
         elif head[4:].startswith(_SSH_NAMES):
             sizes = _field_ends(joined, at)
-            stops = [stop for stop, _ in ends if (stop - at) * 3 // 4 in sizes]
+            reached = {at + (size * 4 + 2) // 3: size for size in sizes}
+            stops = [stop for stop in sorted(reached) if ends[bisect.bisect_left(ends, stop)] - stop < 3]
+            stops = [ends[bisect.bisect_left(ends, stop)] for stop in stops]
+            stops = [stop for stop in stops if (stop - at) * 3 // 4 in sizes]
         else:
             continue
         for stop in stops:
             data = _decode(joined[at:stop]) if stop <= len(joined) else None
             kind = "ssh" if is_ssh(data) else "der" if is_der(data) else None
             if kind:
-                upto, place = next(e for e in ends if e[0] >= stop)
+                upto, _, place = lines[bisect.bisect_left(ends, stop)]
                 last = place - (upto - stop)
                 while stop == upto and last < len(text) and text[last] == "=" and last < place + 2:
                     last += 1
-                yield start + at, last, kind
+                found.append((lines[line][1] + at - before, last, kind))
                 done = stop
                 break
+    return found, later
 
 
 def is_signed_token(token: str) -> bool:
@@ -196,7 +231,7 @@ def is_signed_token(token: str) -> bool:
     head, body, signature = token.split(".")
     try:
         header, payload = (json.loads(_decode(part, b"-_") or b"") for part in (head, body))
-    except ValueError:
+    except (ValueError, RecursionError):  # not JSON, or nested too deeply to be a token's
         return False
     if not isinstance(header, dict) or not isinstance(payload, dict) or not isinstance(header.get("alg"), str):
         return False
@@ -212,18 +247,22 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         if _is_pem(m[2]):
             found.append((m.start(), m.end(), "pem"))
     armoured = [m.span() for m in _ARMOUR.finditer(text)]  # what is in one is judged as a whole
-    upto = 0
+    armour_ends = [end for _, end in armoured]
+    keys: set[tuple[int, int, str]] = set()
+    upto = looked = 0
     for m in _BASE64.finditer(text):
         data = _decode(m[0])
-        armour = any(a <= m.start() < b for a, b in armoured)
+        at = bisect.bisect_right(armour_ends, m.start())
+        armour = at < len(armoured) and armoured[at][0] <= m.start()
         if is_ssh(data) and (armour or not data.startswith(_OPENSSH)):
-            found.append((m.start(), m.end(), "ssh"))
+            keys.add((m.start(), m.end(), "ssh"))
         elif is_der(data):
-            found.append((m.start(), m.end(), "der"))
-        elif m.start() >= upto and not armour:
-            more = list(_within(text, m.start(), m.start() + len(m[0].rstrip("="))))
-            found += more
+            keys.add((m.start(), m.end(), "der"))
+        elif m.start() >= max(upto, looked) and not armour:
+            more, looked = _within(text, m.start(), m.start() + len(m[0].rstrip("=")))
+            keys.update(more)
             upto = max([upto, *[end for _, end, _ in more]])
+    found += keys
     for m in _LONG_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_der(bytes.fromhex(m[0])):
             found.append((m.start(), m.end(), "hexder"))
@@ -231,7 +270,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-SCHEMA = "doc_id long, spans array<struct<start: long, `end`: long, kind: string>>"
+SPANS = "spans array<struct<start: long, `end`: long, kind: string>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +285,10 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Whole texts are scanned, each by the task that reads it; nothing is shuffled. Null ids stay
     null, repeated rows are scanned one by one, other columns don't matter, and an empty table
-    gives an empty result.
+    gives an empty result. The id keeps its type.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scan, SCHEMA)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SPANS}")
 
 
 def digest(found: DataFrame) -> DataFrame:
