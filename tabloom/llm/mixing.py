@@ -100,12 +100,13 @@ def _plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: float
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None, seed: int, names: list[str]) -> DataFrame:
-    """Adds size, place and ranked. The key is a function of id, source and text, so reruns agree."""
+    """Adds size, place and ranked. The key is a function of id and text, so reruns agree."""
     size, place, ranked = names
     w = quality_weight(text_col) if weight is None else weight
     # one minus the key: the largest key first
-    value = F.lit(1.0) - F.pow(unit_interval(F.col(id_col), F.lit(seed)), F.lit(1.0) / w)
-    order = F.struct(F.col(place).alias("place"), F.col(id_col).cast("string").alias("id"), F.col(size).alias("size"), F.md5(F.col(text_col).cast("binary")).alias("md5"))
+    digest = F.md5(F.col(text_col).cast("binary"))
+    value = F.lit(1.0) - F.pow(unit_interval(F.col(id_col), digest, F.lit(seed)), F.lit(1.0) / w)
+    order = F.struct(F.col(place).alias("place"), F.col(id_col).cast("string").alias("id"), F.col(size).alias("size"), digest.alias("md5"))
     return docs.withColumn(size, word_count(text_col)).withColumn(place, value).withColumn(ranked, order)
 
 
@@ -118,8 +119,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     document is taken for the complete epochs its source's target holds; the rest of the target is
     filled in order of the keys, and the document in which it ends is taken if that comes nearer.
     ``weight``: a quality weight above zero, by default ``quality_weight``. Null sources are one
-    source, the last; null texts have size zero; null ids share one random number; rows equal in
-    id, size and text that tie at the cut are taken together. An empty table gives none.
+    source, the last; null texts have size zero; rows without an id differ by their text; rows
+    equal in id and text share one random number and are taken together. An empty table gives none.
     """
     carried = [c for c in (docs.columns if columns is None else columns) if c not in RESULT]
     own = docs.drop(*RESULT)

@@ -185,7 +185,7 @@ SELECT doc_id, item_id, b.s AS n_shared, b.n AS n_shingles, b.c AS containment F
     "op8_mix": r"""
 WITH sized AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|8'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u,
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(md5(text), 'null') || '|8'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u,
          1.0::DOUBLE - (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[0-9#*$%&|<>!]', '', 'g')))::DOUBLE
            / (2.0::DOUBLE * greatest(length(coalesce(text, '')), 1)) AS w
   FROM documents),
