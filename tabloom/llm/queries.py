@@ -160,7 +160,12 @@ ranked AS (
   SELECT r, spot, last,
          row_number() OVER (PARTITION BY array_to_string(body[spot:last], chr(10)) ORDER BY doc_id NULLS LAST, r, spot) AS copy
   FROM runs JOIN bodies USING (r)),
-gone AS (SELECT DISTINCT r, spot FROM (SELECT r, unnest(range(spot, last + 1)) AS spot FROM ranked WHERE copy > 1)),
+frequent AS (
+  SELECT r, spot, row_number() OVER (PARTITION BY line ORDER BY doc_id NULLS LAST, r, spot) AS copy, count(*) OVER (PARTITION BY line) AS places
+  FROM placed WHERE n >= 8),
+gone AS (
+  SELECT DISTINCT r, spot FROM (SELECT r, unnest(range(spot, last + 1)) AS spot FROM ranked WHERE copy > 1)
+  UNION SELECT r, spot FROM frequent WHERE places >= 20 AND copy > 1),
 lost AS (SELECT r, number FROM gone JOIN placed USING (r, spot)),
 cleaned AS (
   SELECT r, string_agg(line, chr(10) ORDER BY number) AS body FROM each ANTI JOIN lost USING (r, number) GROUP BY r)

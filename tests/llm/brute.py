@@ -74,7 +74,7 @@ def contained(docs, items, share=0.8):
     return found
 
 
-def dedup_lines(docs, least=50):
+def dedup_lines(docs, least=50, line_words=8, many=20):
     """Cleaned texts of ``[(id, text)]`` in the given order, which is that of the ids."""
     placed, seen, gone = [], set(), defaultdict(set)
     for d, (_, text) in enumerate(docs):
@@ -91,6 +91,15 @@ def dedup_lines(docs, least=50):
                         gone[d].update(i for i, _ in lines[a : b + 1])
                     seen.add(run)
                     break
+    places = defaultdict(list)
+    for d, lines in enumerate(placed):
+        for i, line in lines:
+            if len(line.encode().split()) >= line_words:
+                places[line].append((d, i))
+    for found in places.values():
+        if len(found) >= many:
+            for d, i in found[1:]:
+                gone[d].add(i)
     return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, (_, t) in enumerate(docs)]
 
 
