@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.missing import value_or_null
 from tabloom.functions.names import column
 from tabloom.functions.text import as_text
+from tabloom.operators.fold_stats import complement_categories, complement_quantiles
 from tabloom.operators.frequencies import column_counts, frequencies, most_frequent, top_values
 from tabloom.operators.lanes import local_table
 from tabloom.operators.quantiles import exact_quantiles
@@ -69,9 +70,12 @@ class NumericEncoder(Estimator, _NumericParams):
         medians = exact_quantiles(
             df, names, [0.5], extra=moments, extra_schema=", n_rows bigint, mean double, variance double")
         found = {r["column"]: r for r in medians.withColumn("median", F.get("q", F.lit(0))).collect()}
+        return self.model_of([found[name] for name in names])
+
+    def model_of(self, rows: Sequence) -> "NumericEncoderModel":
+        """The model for known ``n, n_rows, mean, variance, median`` of each input column."""
         fills, means, deviations = [], [], []
-        for name in names:
-            row = found[name]
+        for row in rows:
             fill = row["median"] if row["n"] else 0.0
             n_rows = row["n_rows"] or 0
             gaps, total = n_rows - row["n"], max(n_rows, 1)
@@ -231,10 +235,14 @@ class CategoryEncoder(Estimator, _GroupingParams):
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "CategoryEncoderModel":
-        names = self.getInputCols()
+        entries = _category_counts(df, self.getInputCols(), max(self.getOrDefault(self.maxCategories), 1))
+        return self.model_of(list(entries.values()))
+
+    def model_of(self, entries: Sequence[dict]) -> "CategoryEncoderModel":
+        """The model for known ``missing`` and ``present`` counts and ``top`` values of each input column."""
         limit = self.getOrDefault(self.maxCategories)
         modes, keeps, levels = [], [], []
-        for entry in _category_counts(df, names, max(limit, 1)).values():
+        for entry in entries:
             n_rows = entry["missing"] + entry["present"]
             top = entry["top"] or [(MISSING_CATEGORY, 0)]
             mode, present = top[0]
@@ -320,23 +328,50 @@ class TablePreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> PipelineModel:
+        numbers, texts = self._encoders()
+        return self._assembled(df, numbers.fit(df) if numbers else None, texts.fit(df) if texts else None)
+
+    def fit_folds(self, df: DataFrame, fold: str, folds: int) -> list[PipelineModel]:
+        """For each of the folds 0, 1, ... the preprocessor that ``fit`` gives for all rows outside of it.
+
+        Numbers take two passes over the table and categories one, however many folds there are.
+        """
+        numbers, texts = self._encoders()
+        numeric: list = [None] * folds
+        categorical: list = [None] * folds
+        if numbers:
+            names = numbers.getInputCols()
+            found = complement_quantiles(df, names, fold, folds).withColumnRenamed("q", "median").collect()
+            rows = {(r["held"], r["column"]): r for r in found}
+            numeric = [numbers.model_of([rows[held, name] for name in names]) for held in range(folds)]
+        if texts:
+            names, limit = texts.getInputCols(), max(self.getOrDefault(self.maxCategories), 1)
+            cells = df.select(*[_category(df, name).alias(name) for name in names], column(fold).alias("__fold"))
+            counted = complement_categories(cells, names, F.col("__fold"), folds, limit)
+            categorical = [texts.model_of([entries[name] for name in names]) for entries in counted]
+        return [self._assembled(df, n, t) for n, t in zip(numeric, categorical)]
+
+    def _encoders(self) -> tuple["NumericEncoder | None", "CategoryEncoder | None"]:
         numeric, categorical = self.getOrDefault(self.numeric), self.getOrDefault(self.categorical)
         if not numeric and not categorical:
             raise ValueError("no feature columns: keep at least one numeric or categorical column")
+        numbers = NumericEncoder(
+            inputCols=numeric, outputCols=[f"__num_{i}" for i in range(len(numeric))], scale=self.getOrDefault(self.scale))
+        texts = CategoryEncoder(
+            inputCols=categorical, outputCols=[f"__cat_{i}" for i in range(len(categorical))],
+            minFrequency=self.getOrDefault(self.minFrequency), maxCategories=self.getOrDefault(self.maxCategories))
+        return numbers if numeric else None, texts if categorical else None
+
+    def _assembled(self, df: DataFrame, numbers: Model | None, texts: Model | None) -> PipelineModel:
         stages, parts, scratch = [], [], []
-        if numeric:
-            outputs = [f"__num_{i}" for i in range(len(numeric))]
-            stages.append(NumericEncoder(
-                inputCols=numeric, outputCols=outputs, scale=self.getOrDefault(self.scale)).fit(df))
-            parts += outputs
-        if categorical:
-            grouped = [f"__cat_{i}" for i in range(len(categorical))]
-            encoder = CategoryEncoder(
-                inputCols=categorical, outputCols=grouped, minFrequency=self.getOrDefault(self.minFrequency),
-                maxCategories=self.getOrDefault(self.maxCategories)).fit(df)
-            hot = [f"__hot_{i}" for i in range(len(categorical))]
-            one_hot = CategoryOneHot(inputCols=grouped, outputCols=hot, levels=encoder.getLevels())
-            stages += [encoder, one_hot.fit(encoder.transform(df))]
+        if numbers is not None:
+            stages.append(numbers)
+            parts += numbers.getOutputCols()
+        if texts is not None:
+            grouped = texts.getOutputCols()
+            hot = [f"__hot_{i}" for i in range(len(grouped))]
+            one_hot = CategoryOneHot(inputCols=grouped, outputCols=hot, levels=texts.getLevels())
+            stages += [texts, one_hot.fit(texts.transform(df))]
             parts += hot
             scratch += grouped
         # names without dots or blanks, so the assembler takes any table

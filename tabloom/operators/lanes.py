@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +35,12 @@ def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> D
     return spark.createDataFrame(arrow, struct)
 
 
+def together(*jobs: Callable[[], Any]) -> list[Any]:
+    """Results of jobs that don't need each other, run side by side so that one fills the cores another leaves idle."""
+    with ThreadPool(len(jobs)) as pool:
+        return pool.map(lambda job: job(), jobs)
+
+
 def held(df: DataFrame) -> DataFrame:
     """A result of a few rows per column of a table, computed once and kept as a literal relation."""
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)

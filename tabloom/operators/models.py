@@ -3,23 +3,21 @@
 from __future__ import annotations
 
 import itertools
-import math
 import random
 from collections.abc import Sequence
 from typing import Any
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasSeed
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators.boosting import HistogramBoosting
 from tabloom.operators.lanes import empty, local_table
 
 # Model names per task, their settings and their search grids.
@@ -30,8 +28,11 @@ REGRESSORS = (
 )
 FOREST = {"n_estimators": 80, "max_depth": None, "min_samples_leaf": 1}
 BOOSTING = {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3}
-XGBOOST = {"n_estimators": 80, "max_depth": 3, "learning_rate": 0.08, "subsample": 0.9, "colsample": 0.9}
-LIGHTGBM = {"n_estimators": 140, "learning_rate": 0.06, "num_leaves": 31}
+XGBOOST = {
+    "n_estimators": 80, "max_depth": 3, "learning_rate": 0.08, "subsample": 0.9, "colsample": 0.9, "l2": 1.0,
+    "min_child_weight": 1.0,
+}
+LIGHTGBM = {"n_estimators": 140, "learning_rate": 0.06, "num_leaves": 31, "min_child_samples": 20, "min_child_weight": 1e-3}
 LOGISTIC = {"C": 1.0, "max_iter": 1000}
 RIDGE = {"alpha": 1.0}
 
@@ -46,6 +47,7 @@ LOGISTIC_GRID = {"C": [0.1, 0.5, 1.0, 2.0, 5.0]}
 RIDGE_GRID = {"alpha": [0.1, 1.0, 5.0, 10.0]}
 
 SPARK_MAX_DEPTH = 30
+MOST_LEVELS = 64  # of trees whose leaves are counted
 MAX_BINS = 256
 NODE_MEMORY_MB = 512
 NORMAL_SOLVER_FEATURES = 4096
@@ -141,24 +143,11 @@ def _depth(max_depth: int | None) -> int:
     return SPARK_MAX_DEPTH if max_depth is None else max_depth
 
 
-def _leaves_depth(num_leaves: int) -> int:
-    """Level-wise depth with as many leaves: 15 -> 4, 31 -> 5, 63 -> 6."""
-    return math.ceil(math.log2(num_leaves + 1))
-
-
-def _boosting(task: str, n_classes: int, seed: int, settings: dict[str, Any]) -> Estimator:
-    common = dict(
-        featuresCol=FEATURES, labelCol=LABEL, maxIter=settings["n_estimators"], stepSize=settings["learning_rate"],
-        maxDepth=settings["max_depth"], subsamplingRate=settings.get("subsample", 1.0),
-        featureSubsetStrategy=str(settings.get("colsample", "all")), seed=seed, maxBins=MAX_BINS,
-        maxMemoryInMB=NODE_MEMORY_MB,
-    )
-    if task == "regression":
-        return GBTRegressor(**common)
-    booster = GBTClassifier(**common)
-    if n_classes <= 2:
-        return booster
-    return OneVsRest(classifier=booster, featuresCol=FEATURES, labelCol=LABEL)
+def _boosting(task: str, n_classes: int, seed: int, settings: dict[str, Any], **growth: Any) -> Estimator:
+    objective = "squared" if task == "regression" else "logistic" if n_classes <= 2 else "softmax"
+    return HistogramBoosting(
+        objective=objective, classes=max(n_classes, 2), rounds=settings["n_estimators"], rate=settings["learning_rate"],
+        seed=seed, **growth)
 
 
 def make_model(task: str, name: str, seed: int = 42, n_classes: int = 2, **overrides: Any) -> Estimator:
@@ -183,12 +172,22 @@ def make_model(task: str, name: str, seed: int = 42, n_classes: int = 2, **overr
             featuresCol=FEATURES, labelCol=LABEL, numTrees=settings["n_estimators"],
             maxDepth=_depth(settings["max_depth"]), minInstancesPerNode=settings["min_samples_leaf"],
             featureSubsetStrategy="all", seed=seed, maxBins=MAX_BINS, maxMemoryInMB=NODE_MEMORY_MB)
+    many = task == "classification" and n_classes > 2
     if name.startswith("Gradient Boosting"):
-        return _boosting(task, n_classes, seed, {**BOOSTING, **overrides})
+        settings = {**BOOSTING, **overrides}
+        # splits by squared error on the gradients, leaf values by one Newton step
+        return _boosting(
+            task, n_classes, seed, settings, maxDepth=settings["max_depth"], unitGain=True,
+            leafScale=(n_classes - 1) / n_classes if many else 1.0)
     if name.startswith("XGBoost"):
-        return _boosting(task, n_classes, seed, {**XGBOOST, **overrides})
+        settings = {**XGBOOST, **overrides}
+        return _boosting(
+            task, n_classes, seed, settings, maxDepth=settings["max_depth"], l2=settings["l2"], minWeight=settings["min_child_weight"],
+            hessianScale=2.0 if many else 1.0, rowShare=settings["subsample"], featureShare=settings["colsample"])
     settings = {**LIGHTGBM, **overrides}
-    return _boosting(task, n_classes, seed, {**settings, "max_depth": _leaves_depth(settings["num_leaves"])})
+    return _boosting(
+        task, n_classes, seed, settings, maxLeaves=settings["num_leaves"], maxDepth=MOST_LEVELS, minRows=settings["min_child_samples"],
+        minWeight=settings["min_child_weight"], hessianScale=n_classes / (n_classes - 1) if many else 1.0)
 
 
 def param_grid(name: str) -> dict[str, list[Any]]:
@@ -217,11 +216,6 @@ def candidates(name: str, search_type: str, n_iter: int, seed: int) -> list[dict
 
 def importance_values(model: Model) -> list[float] | None:
     """Per-slot importance: tree importances, or mean absolute coefficient over classes."""
-    if isinstance(model, OneVsRestModel):
-        parts = [importance_values(member) for member in model.models]
-        if not parts or any(part is None for part in parts):
-            return None
-        return [sum(column) / len(parts) for column in zip(*parts)]
     if hasattr(model, "featureImportances"):
         return [float(v) for v in model.featureImportances.toArray()]
     rows = coefficient_rows(model)

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.operators.arrays import subsample
-from tabloom.operators.lanes import local_table
+from tabloom.operators.lanes import empty, local_table
 from tabloom.operators.models import FEATURES, coefficient_rows
+from tabloom.operators.trees import FlatTree, explain, flat_trees
 from tabloom.plans.training import KEY, TrainResult
 from tabloom.session import cut_lineage
 
@@ -94,10 +95,32 @@ def sampled_shapley(
         feature.alias("feature"), "mean_abs_shap").orderBy(F.desc("mean_abs_shap"), "feature")
 
 
+def tree_shapley(
+    rows: DataFrame, trees: Sequence[FlatTree], names: Sequence[str], max_samples: int = DEFAULT_SAMPLES, seed: int = 42,
+) -> DataFrame:
+    """Exact values of a model of trees on ``max_samples`` rows ``(key, features)``, averaged over rows and outputs."""
+    if max_samples < 1:
+        raise ValueError("max_samples must be 1 or more")
+    if not trees:
+        return empty(rows.sparkSession, SHAP_SCHEMA)
+    width, parallel = len(names), rows.sparkSession.sparkContext.defaultParallelism
+    drawn = subsample(rows, F.col(KEY), max_samples, seed).select(KEY, FEATURES).repartition(parallel, KEY)
+    values = explain(drawn, trees, KEY, FEATURES, width).select(F.posexplode("shap").alias("place", "value"))
+    feature = F.get(F.array(*[F.lit(name) for name in names]), F.col("slot"))
+    return values.groupBy((F.col("place") % width).alias("slot")).agg(F.avg(F.abs("value")).alias("mean_abs_shap")).select(
+        feature.alias("feature"), "mean_abs_shap").orderBy(F.desc("mean_abs_shap"), "feature")
+
+
 def shapley_importance(result: TrainResult, max_samples: int = DEFAULT_SAMPLES, seed: int = 42) -> DataFrame:
-    """``(feature, mean_abs_shap)`` of a training result, on its test rows."""
+    """``(feature, mean_abs_shap)`` of a training result, on its test rows.
+
+    Exact for linear models on all rows and for trees on ``max_samples`` rows; sampled for others.
+    """
     model = result.model.stages[-1]
     coefficients = coefficient_rows(model)
     if coefficients is not None:
         return linear_shapley(result.test_rows, coefficients, result.feature_names)
+    trees = flat_trees(model)
+    if trees is not None:
+        return tree_shapley(result.test_rows, trees, result.feature_names, max_samples, seed)
     return sampled_shapley(result.test_rows, model, result.feature_names, max_samples, seed=seed)

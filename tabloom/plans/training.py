@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from multiprocessing.pool import ThreadPool
 from typing import Any
@@ -18,21 +17,22 @@ from pyspark.sql import functions as F
 from tabloom.functions.hashing import row_key
 from tabloom.functions.missing import value_or_null
 from tabloom.functions.names import column
-from tabloom.functions.numbers import to_number
-from tabloom.operators import evaluate, splits
+from tabloom.functions.numbers import is_numeric, to_number
+from tabloom.operators import evaluate, gram, splits
 from tabloom.operators.features import (
     MAX_CATEGORIES, MIN_FREQUENCY, TablePreprocessor, encode_labels, feature_slots, label_classes,
 )
-from tabloom.operators.lanes import local_table, union_all
+from tabloom.operators.lanes import local_table, together, union_all
 from tabloom.operators.models import (
-    FEATURES, LABEL, available_models, candidates, feature_importance, make_model,
+    FEATURES, LABEL, RIDGE, available_models, candidates, feature_importance, make_model,
 )
 from tabloom.operators.quality import MIN_USABLE_ROWS, target_gate
 from tabloom.operators.roles import roles_by_kind
 
 SEARCH_SCHEMA = "rank_test_score int, mean_test_score double, std_test_score double, params string"
 SEARCH_TOP = 20
-KEY, TEST, FOLD, STRATUM = "__key", "is_test", "fold", "__stratum"
+LINEAR_REGRESSORS = ("Linear Regression", "Ridge Regression")
+KEY, TEST, FOLD, STRATUM, SHARES = "__key", "is_test", "fold", "__stratum", "__shares"
 # Names that training gives to columns of its own; a column of the table is renamed if it has one.
 OWN_NAMES = frozenset((
     "features", "label", "weight", "prediction", "probability", "rawprediction", "centred", "candidate", TEST, FOLD,
@@ -141,15 +141,16 @@ def prepare(
     keyed = df.select(
         *[column(c).alias(renamed.get(c, c)) for c in df.columns], (row_key(df) if key is None else key).cast("string").alias(KEY))
     clean = keyed.where(value_or_null(keyed, target).isNotNull())
-    kinds = roles_by_kind(clean.drop(target, KEY))
+    offered = [c for c in clean.columns if c not in (target, KEY)]
+    if features is not None:
+        wanted = {renamed.get(c, c) for c in features}
+        offered = [c for c in offered if c in wanted]
+    kinds = roles_by_kind(clean.select(*[column(c) for c in offered]))
     numeric, categorical = kinds["numeric"], kinds["categorical"]
     if config.exclude_datetime:
         dates = set(kinds["datetime"])
         numeric = [c for c in numeric if c not in dates]
         categorical = [c for c in categorical if c not in dates]
-    if features is not None:
-        wanted = {renamed.get(c, c) for c in features}
-        numeric, categorical = [c for c in numeric if c in wanted], [c for c in categorical if c in wanted]
     classes: list[str] = []
     usable = gate["usable_rows"]
     if config.task_type == "classification":
@@ -157,7 +158,8 @@ def prepare(
         rows = encode_labels(clean, target, classes, LABEL)
     else:
         rows = clean.withColumn(LABEL, to_number(column(target))).where(F.col(LABEL).isNotNull())
-        usable = rows.count()
+        if not is_numeric(df.schema[target].dataType):  # a number that isn't missing is one
+            usable = rows.count()
         if usable < MIN_USABLE_ROWS:
             raise ValueError("fewer than 10 rows are left with a numeric target")
     return Prepared(rows, numeric, categorical, classes, usable, gate["n_rows"] - usable, {new: old for old, new in renamed.items()})
@@ -208,8 +210,11 @@ def _estimator(config: ModelConfig, classes: Sequence[str], params: dict[str, An
     return make_model(config.task_type, config.model_name, config.random_state, len(classes), **params)
 
 
-def _as_predictions(scored: DataFrame, classes: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """``(y_true, y_pred [, score])`` as text for classes, as numbers otherwise."""
+def _as_predictions(scored: DataFrame, classes: Sequence[str], extra: Sequence[str] = (), with_shares: bool = False) -> DataFrame:
+    """``(y_true, y_pred [, score])`` as text for classes, as numbers otherwise.
+
+    ``with_shares`` adds the probabilities of several classes as an array.
+    """
     if not classes:
         return scored.select(*extra, F.col(LABEL).alias("y_true"), F.col("prediction").alias("y_pred"))
     names = F.array(*[F.lit(name) for name in classes])
@@ -219,6 +224,8 @@ def _as_predictions(scored: DataFrame, classes: Sequence[str], extra: Sequence[s
     ]
     if len(classes) == 2 and "probability" in scored.columns:
         columns.append(F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+    elif with_shares and "probability" in scored.columns:
+        columns.append(vector_to_array("probability").alias(SHARES))
     return scored.select(*extra, *columns)
 
 
@@ -236,16 +243,37 @@ def search(
 ) -> tuple[DataFrame, dict[str, Any]] | None:
     """Rank the candidate settings by their mean score over the folds.
 
-    The preprocessor is fitted once per fold, on its training part, and shared by all candidates;
-    only models are fitted per candidate. Prepared folds stay cached for the time of the search.
+    The preprocessors of all folds are fitted in shared passes. A linear regression needs one more
+    pass for all folds and penalties; other models are fitted per fold and candidate, on prepared
+    rows that stay cached for that time.
     """
     settings = candidates(config.model_name, config.search_type, config.n_iter, config.random_state)
     if not settings:
         return None
+    if config.model_name in LINEAR_REGRESSORS:
+        linear = LinearFolds(train, prepared, config, folds)
+        scores = [linear.r_squared(params) for params in settings]
+    else:
+        scores = _fold_scores(train, prepared, config, folds, settings, parallelism)
+    means = [sum(values) / len(values) for values in scores]
+    deviations = [
+        (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5 for values, mean in zip(scores, means)]
+    ranks = [1 + sum(other > mean for other in means) for mean in means]
+    rows = sorted(
+        (rank, mean, deviation, json.dumps(params, sort_keys=True))
+        for rank, mean, deviation, params in zip(ranks, means, deviations, settings))
+    best = settings[ranks.index(1)]
+    table = local_table(train.sparkSession, rows[:SEARCH_TOP], SEARCH_SCHEMA).orderBy("rank_test_score", "params")
+    return table, best
+
+
+def _fold_scores(
+    train: DataFrame, prepared: Prepared, config: ModelConfig, folds: int, settings: list[dict[str, Any]], parallelism: int
+) -> list[list[float]]:
+    """Each candidate's score on each fold: a fit per fold and candidate, one scoring job per fold."""
     scores: list[list[float]] = [[] for _ in settings]
-    for number in range(folds):
+    for number, fitted in enumerate(preprocessor(prepared, config).fit_folds(train, FOLD, folds)):
         fitting, holding = train.where(F.col(FOLD) != number), train.where(F.col(FOLD) == number)
-        fitted = preprocessor(prepared, config).fit(fitting)
         inside = fitted.transform(fitting).select(FEATURES, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
         outside = fitted.transform(holding).select(FEATURES, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -262,27 +290,56 @@ def search(
             scores[i].append(found[i])
         inside.unpersist()
         outside.unpersist()
-    means = [sum(values) / len(values) for values in scores]
-    deviations = [
-        (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5 for values, mean in zip(scores, means)]
-    ranks = [1 + sum(other > mean for other in means) for mean in means]
-    rows = sorted(
-        (rank, mean, deviation, json.dumps(params, sort_keys=True))
-        for rank, mean, deviation, params in zip(ranks, means, deviations, settings))
-    best = settings[ranks.index(1)]
-    table = local_table(train.sparkSession, rows[:SEARCH_TOP], SEARCH_SCHEMA).orderBy("rank_test_score", "params")
-    return table, best
+    return scores
+
+
+class LinearFolds:
+    """Linear regressions on the complements of all folds, from one matrix of products per fold."""
+
+    def __init__(self, rows: DataFrame, prepared: Prepared, config: ModelConfig, folds: int) -> None:
+        self.rows, self.ridge = rows, config.model_name == "Ridge Regression"
+        fitted = preprocessor(prepared, config).fit_folds(rows, FOLD, folds)
+        label = rows.agg(F.avg(LABEL).alias("mean"), F.stddev_pop(LABEL).alias("spread")).first()
+        self.base = gram.common_base(fitted, (label["mean"], label["spread"]))
+        self.maps = [gram.feature_map(self.base, model) for model in fitted]
+        self.products = gram.fold_products(rows, self.base, FOLD)
+
+    def models(self, params: dict[str, Any]) -> dict[int, gram.Linear]:
+        """By fold, the model of all other folds; folds without rows have none."""
+        alpha = {**RIDGE, **params}["alpha"] if self.ridge else 0.0
+        total = sum(self.products.values())
+        return {
+            f: gram.solve(total - own, self.base, self.maps[f], alpha)
+            for f, own in sorted(self.products.items()) if total[0, 0] > own[0, 0]
+        }
+
+    def r_squared(self, params: dict[str, Any]) -> list[float]:
+        return [gram.r_squared(self.products[f], model) for f, model in self.models(params).items()]
+
+    def mean_absolute_errors(self, params: dict[str, Any]) -> list[float]:
+        models = self.models(params)
+        errors = gram.absolute_errors(self.rows, self.base, FOLD, models)
+        return [errors[f] / self.products[f][0, 0] for f in models]
 
 
 def cross_validate(
     rows: DataFrame, prepared: Prepared, config: ModelConfig, folds: int, params: dict[str, Any]
 ) -> DataFrame:
-    """``(metric, mean, std)`` over the folds of ``rows``; one fit per fold, one job for all metrics."""
+    """``(metric, mean, std)`` over the folds of ``rows``.
+
+    The preprocessors of all folds share their passes, and linear regressions share theirs too;
+    other models are fitted fold by fold, with one job for all metrics.
+    """
+    if config.model_name in LINEAR_REGRESSORS:
+        linear = LinearFolds(rows, prepared, config, folds)
+        values = [("r2", v) for v in linear.r_squared(params)]
+        values += [("mean_absolute_error", v) for v in linear.mean_absolute_errors(params)]
+        return evaluate.summarize_folds(local_table(rows.sparkSession, values, "metric string, value double"))
     held = []
-    for number in range(folds):
+    for number, fitted in enumerate(preprocessor(prepared, config).fit_folds(rows, FOLD, folds)):
         fitting, holding = rows.where(F.col(FOLD) != number), rows.where(F.col(FOLD) == number)
-        model = _fit(fitting, prepared, config, params)
-        held.append(_as_predictions(model.transform(holding), prepared.classes, [FOLD]))
+        model = _estimator(config, prepared.classes, params).fit(fitted.transform(fitting).select(FEATURES, LABEL))
+        held.append(_as_predictions(model.transform(fitted.transform(holding)), prepared.classes, [FOLD]))
     everything = union_all(held)
     if config.task_type == "classification":
         metrics = evaluate.classification_metrics(everything, [FOLD]).where(
@@ -304,22 +361,6 @@ def _fold_count(rows: DataFrame, config: ModelConfig) -> int:
     return splits.safe_folds(rows, LABEL, config.cv_folds, config.task_type).first()["folds"]
 
 
-@contextmanager
-def _folded(
-    rows: DataFrame, prepared: Prepared, config: ModelConfig, folds: int, exact: bool, cache: bool
-) -> Iterator[DataFrame]:
-    """Rows with ``fold``, cached while they are worked on."""
-    folded = with_folds(rows, prepared, folds, config.random_state, exact)
-    if not cache:
-        yield folded
-        return
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield folded
-    finally:
-        folded.unpersist()
-
-
 def train_model(
     df: DataFrame, config: ModelConfig, key: Column | None = None, exact_split: bool = False,
     parallelism: int = 2, cache: bool = True, features: Sequence[str] | None = None,
@@ -337,25 +378,30 @@ def train_model(
 
     search_summary, best = None, None
     if config.use_search:
-        with _folded(train, prepared, config, folds, exact_split, cache) as folded:
-            found = search(folded, prepared, config, folds, parallelism)
+        found = search(
+            with_folds(train, prepared, folds, config.random_state, exact_split), prepared, config, folds, parallelism)
         if found:
             search_summary, best = found
-    model = _fit(train, prepared, config, best or {})
 
-    cv_summary = None
-    if config.use_cv:
-        with _folded(rows, prepared, config, folds, exact_split, cache) as folded:
-            summary = cross_validate(folded, prepared, config, folds, best or {})
-            cv_summary = local_table(df.sparkSession, summary.collect(), "metric string, mean double, std double")
+    def validated() -> DataFrame | None:
+        if not config.use_cv:
+            return None
+        folded = with_folds(rows, prepared, folds, config.random_state, exact_split)
+        summary = cross_validate(folded, prepared, config, folds, best or {})
+        return local_table(df.sparkSession, summary.collect(), "metric string, mean double, std double")
+
+    model, cv_summary = together(lambda: _fit(train, prepared, config, best or {}), validated)
 
     used = prepared.numeric + prepared.categorical
-    raw = _as_predictions(model.transform(test), prepared.classes, [column(c) for c in used])
+    raw = _as_predictions(model.transform(test), prepared.classes, [column(c) for c in used], with_shares=True)
     raw = raw.persist(StorageLevel.MEMORY_AND_DISK) if cache else raw  # metrics, confusion and table share the scores
     named = [c for c in ("y_true", "y_pred", "score") if c in raw.columns]
     # a feature named like one of the result's columns keeps its other name there
     shown = [column(c).alias(c if prepared.name(c).lower() in OWN_NAMES else prepared.name(c)) for c in used]
-    predictions = raw.select(*[F.col(c).alias("positive_class_probability" if c == "score" else c) for c in named], *shown)
+    shares = [
+        F.get(SHARES, F.lit(i)).alias(f"probability_{name}") for i, name in enumerate(prepared.classes)] if SHARES in raw.columns else []
+    predictions = raw.select(
+        *[F.col(c).alias("positive_class_probability" if c == "score" else c) for c in named], *shares, *shown)
     compared = raw.select(*named)
     positive = prepared.classes[1] if len(prepared.classes) == 2 else None
     names = [

@@ -7,7 +7,8 @@ from tabloom.operators.features import (
     CategoryEncoder, ModeImputer, NumericEncoder, RareCategoryGrouper, TablePreprocessor, class_weights,
     encode_labels, feature_names, label_classes, one_hot_long,
 )
-from tabloom.operators.lanes import union_all
+from tabloom.operators.fold_stats import complement_categories, complement_quantiles
+from tabloom.operators.lanes import local_table, union_all
 from workload.fixtures import GAPPY_ORDERS_SQL, gappy_orders
 from workload.registry import query, rounded, table
 
@@ -23,6 +24,40 @@ def q_median_impute(spark, sf_dir):
     return rounded(model.transform(df).select("o_orderkey", "price"), 4)
 
 
+FOLDED = GAPPY + """,
+b AS (SELECT *, (('0x' || substr(md5('43:' || o_orderkey::VARCHAR), 1, 8))::BIGINT % 5)::INTEGER AS fold FROM d),
+h AS (SELECT * FROM b JOIN (SELECT unnest(range(5))::INTEGER AS held) ON fold <> held)"""
+
+
+def _folded(spark, sf_dir):
+    return splits.hash_folds(gappy_orders(spark, sf_dir), F.col("o_orderkey"), 5, 43)
+
+
+@query("median_impute_by_fold", FOLDED + """
+SELECT held, 'o_totalprice' AS "column", count(o_totalprice)::BIGINT AS n, count(*)::BIGINT AS n_rows, round(avg(o_totalprice), 4) AS mean,
+  round(sqrt(var_pop(o_totalprice)), 4) AS deviation, round(quantile_cont(o_totalprice, 0.5), 4) AS median FROM h GROUP BY held
+UNION ALL SELECT held, 'o_custkey', count(o_custkey), count(*), round(avg(o_custkey), 4), round(sqrt(var_pop(o_custkey)), 4),
+  round(quantile_cont(o_custkey::DOUBLE, 0.5), 4) FROM h GROUP BY held""")
+def q_median_impute_by_fold(spark, sf_dir):
+    found = complement_quantiles(_folded(spark, sf_dir), ["o_totalprice", "o_custkey"], "fold", 5)
+    return rounded(found.select(
+        "held", "column", "n", "n_rows", "mean", F.sqrt("variance").alias("deviation"), F.col("q").alias("median")), 4)
+
+
+@query("categories_by_fold", FOLDED + """,
+c AS (SELECT held, o_orderpriority AS value, count(*) AS cnt FROM h WHERE o_orderpriority IS NOT NULL GROUP BY ALL),
+m AS (SELECT held, count(*) FILTER (o_orderpriority IS NULL) AS missing FROM h GROUP BY held)
+SELECT held, value, cnt::BIGINT AS cnt, row_number() OVER (PARTITION BY held ORDER BY cnt DESC, value)::INTEGER AS rank, missing::BIGINT AS missing
+FROM c JOIN m USING (held) QUALIFY rank <= 3""")
+def q_categories_by_fold(spark, sf_dir):
+    found = complement_categories(_folded(spark, sf_dir), ["o_orderpriority"], F.col("fold"), 5, 3)
+    rows = [
+        (held, value, cnt, rank + 1, entry["o_orderpriority"]["missing"])
+        for held, entry in enumerate(found) for rank, (value, cnt) in enumerate(entry["o_orderpriority"]["top"])
+    ]
+    return local_table(spark, rows, "held int, value string, cnt bigint, rank int, missing bigint")
+
+
 @query("scale", GAPPY + """,
 i AS (SELECT o_orderkey, coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM d)) AS price, o_custkey FROM d)
 SELECT o_orderkey, round((price - (SELECT avg(price) FROM i)) / (SELECT stddev_pop(price) FROM i), 6) AS price,

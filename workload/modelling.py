@@ -7,13 +7,17 @@ guess was learned.
 """
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabloom.operators.charts import importance_bar
-from tabloom.operators.models import make_model
+from tabloom.operators.models import feature_importance, make_model
+from tabloom.operators.features import encode_labels, label_classes
 from tabloom.operators.lanes import local_table
+from tabloom.operators.arrays import subsample
+from tabloom.operators.trees import expected, explain, flat_trees
 from tabloom.plans.explanation import linear_shapley, shapley_importance
-from tabloom.plans.training import ModelConfig, prepare, split, train_model
+from tabloom.plans.training import KEY, ModelConfig, prepare, split, train_model
 from workload.fixtures import GAPPY_ORDERS_SQL, gappy_orders
 from workload.registry import query, rounded, table
 
@@ -262,23 +266,99 @@ def q_search_logistic(spark, sf_dir):
         "params", F.col("mean_test_score").between(0, 1).alias("in_range"), F.col("rank_test_score").between(1, 5).alias("ranked"))
 
 
-@query("importance", "SELECT true AS descending, true AS of_one, true AS bounded")
+@query("shap_sampled", """
+SELECT 'additive' AS item, 'true' AS value UNION ALL SELECT 'same_as_forest', 'true' UNION ALL SELECT 'descending', 'true'
+UNION ALL SELECT 'features', (count(DISTINCT lang) + count(DISTINCT source))::VARCHAR FROM labels JOIN documents USING (doc_id)
+UNION ALL SELECT 'rows', least(120, count(*))::VARCHAR FROM (
+  SELECT doc_id AS key FROM labels JOIN documents USING (doc_id)) WHERE """ + TEST_SQL)
+def q_shap_sampled(spark, sf_dir):
+    """A forest's values: with the forest's mean they add up to its own probabilities, row by row."""
+    result = _train(
+        spark, sf_dir, document_quality, "quality", "classification", "Random Forest", ["lang", "source"], rare_min_frequency=0.0)
+    forest = result.model.stages[-1]
+    trees, width = flat_trees(forest), len(result.feature_names)
+    rows = subsample(result.test_rows, F.col(KEY), 120, 42)
+    mean = expected(trees)
+    added = [F.aggregate(F.slice("shap", k * width + 1, width), F.lit(float(mean[k])), lambda a, b: a + b) for k in (0, 1)]
+    own = vector_to_array("probability")
+    off = explain(rows, trees, KEY, "features", width).join(forest.transform(rows), F.col("key") == F.col(KEY)).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.abs(added[0] + added[1] - 1)).alias("total"),
+        F.max(F.abs(added[1] - F.get(own, F.lit(1)))).alias("off")).first()
+    bar = [row["mean_abs_shap"] for row in shapley_importance(result).collect()]
+    result.release()
+    return _facts(spark, [
+        ("additive", off["total"] < 1e-6), ("same_as_forest", off["off"] < 1e-6), ("descending", bar == sorted(bar, reverse=True)),
+        ("features", width), ("rows", off["n"])])
+
+
+def _shap_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), "l_quantity", "l_tax", F.col("l_extendedprice").alias("label"))
+    return VectorAssembler(inputCols=["l_quantity", "l_tax"], outputCol="features").transform(rows)
+
+
+# one tree of two levels on two features: its splits, its leaves, and the expectation for each set of known features
+TREE_SQL = """b AS (SELECT row_number() OVER () AS r, l_orderkey * 10 + l_linenumber AS key, l_quantity AS x0, l_tax AS x1,
+  (SELECT avg(l_extendedprice) FROM lineitem) - l_extendedprice AS g FROM lineitem),
+long AS (SELECT key, g, 0 AS f, x0 AS x FROM b UNION ALL SELECT key, g, 1, x1 FROM b),
+root AS (SELECT f AS rf, x AS rc, gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) AS rate FROM (
+  SELECT f, x, sum(sum(g)) OVER w AS gl, sum(count(*)) OVER w AS hl, sum(sum(g)) OVER p AS gt, sum(count(*)) OVER p AS ht
+  FROM long GROUP BY f, x WINDOW w AS (PARTITION BY f ORDER BY x), p AS (PARTITION BY f))
+  WHERE hl < ht ORDER BY gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) DESC, f, x LIMIT 1),
+sided AS (SELECT b.*, rf, rc, CASE WHEN CASE rf WHEN 0 THEN x0 ELSE x1 END <= rc THEN 0 ELSE 1 END AS side FROM b, root),
+slong AS (SELECT side, g, 0 AS f, x0 AS x FROM sided UNION ALL SELECT side, g, 1, x1 FROM sided),
+child AS (SELECT side, f AS cf, x AS cc, gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) AS rate FROM (
+  SELECT side, f, x, sum(sum(g)) OVER w AS gl, sum(count(*)) OVER w AS hl, sum(sum(g)) OVER p AS gt, sum(count(*)) OVER p AS ht
+  FROM slong GROUP BY side, f, x WINDOW w AS (PARTITION BY side, f ORDER BY x), p AS (PARTITION BY side, f))
+  WHERE hl < ht QUALIFY row_number() OVER (PARTITION BY side ORDER BY gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) DESC, f, x) = 1)"""
+SHAP_SQL = f"""WITH {TREE_SQL},
+leaves AS (
+  SELECT side, CASE WHEN CASE cf WHEN 0 THEN x0 ELSE x1 END <= cc THEN 0 ELSE 1 END AS leaf, -0.5::DOUBLE * sum(g) / (count(*) + 1) AS v, count(*) AS n
+  FROM sided JOIN child USING (side) GROUP BY ALL),
+tree AS (
+  SELECT max(rf) AS rf, max(rc) AS rc,
+    max(cf) FILTER (child.side = 0) AS cf0, max(cc) FILTER (child.side = 0) AS cc0, max(cf) FILTER (child.side = 1) AS cf1, max(cc) FILTER (child.side = 1) AS cc1,
+    max(v) FILTER (leaves.side = 0 AND leaf = 0) AS v00, max(v) FILTER (leaves.side = 0 AND leaf = 1) AS v01,
+    max(v) FILTER (leaves.side = 1 AND leaf = 0) AS v10, max(v) FILTER (leaves.side = 1 AND leaf = 1) AS v11,
+    max(n) FILTER (leaves.side = 0 AND leaf = 0) AS n00, max(n) FILTER (leaves.side = 0 AND leaf = 1) AS n01,
+    max(n) FILTER (leaves.side = 1 AND leaf = 0) AS n10, max(n) FILTER (leaves.side = 1 AND leaf = 1) AS n11
+  FROM root, child, leaves),
+cases AS (SELECT r, key, x0, x1, s0, s1, tree.* FROM b, tree, (SELECT unnest([false, true]) AS s0), (SELECT unnest([false, true]) AS s1)),
+ways AS (
+  SELECT r, key, s0, s1, v00, v01, v10, v11,
+    CASE WHEN CASE rf WHEN 0 THEN s0 ELSE s1 END THEN (CASE rf WHEN 0 THEN x0 ELSE x1 END <= rc)::INT ELSE (n00 + n01) / (n00 + n01 + n10 + n11)::DOUBLE END AS pl,
+    CASE WHEN CASE cf0 WHEN 0 THEN s0 ELSE s1 END THEN (CASE cf0 WHEN 0 THEN x0 ELSE x1 END <= cc0)::INT ELSE n00 / (n00 + n01)::DOUBLE END AS p0,
+    CASE WHEN CASE cf1 WHEN 0 THEN s0 ELSE s1 END THEN (CASE cf1 WHEN 0 THEN x0 ELSE x1 END <= cc1)::INT ELSE n10 / (n10 + n11)::DOUBLE END AS p1
+  FROM cases),
+games AS (SELECT r, key, s0, s1, pl * (p0 * v00 + (1 - p0) * v01) + (1 - pl) * (p1 * v10 + (1 - p1) * v11) AS v FROM ways),
+sums AS (
+  SELECT key, max(v) FILTER (NOT s0 AND NOT s1) AS v, max(v) FILTER (s0 AND NOT s1) AS va, max(v) FILTER (NOT s0 AND s1) AS vb, max(v) FILTER (s0 AND s1) AS vab
+  FROM games GROUP BY r, key)
+SELECT key, round((va - v + vab - vb) / 2, 3) AS quantity, round((vb - v + vab - va) / 2, 3) AS tax, round(vab - v, 3) AS together FROM sums"""
+
+
+def _two_levels(rows):
+    return make_model(
+        "regression", "XGBoost Regressor", n_estimators=1, max_depth=2, learning_rate=0.5, subsample=1.0, colsample=1.0).fit(rows)
+
+
+@query("importance", f"""WITH {TREE_SQL},
+gains AS (SELECT rf AS f, rate FROM root UNION ALL SELECT cf, rate FROM child)
+SELECT CASE f WHEN 0 THEN 'l_quantity' ELSE 'l_tax' END AS feature, round(coalesce(sum(rate), 0) / (SELECT sum(rate) FROM gains), 6) AS importance
+FROM (SELECT unnest([0, 1]) AS f) LEFT JOIN gains USING (f) GROUP BY f""")
 def q_importance(spark, sf_dir):
-    bar = importance_bar(_train(spark, sf_dir, document_quality, "quality", "classification", "Random Forest").importance)
-    values = [row["importance"] for row in bar.collect()]
-    return local_table(
-        spark, [(values == sorted(values, reverse=True), 0 < sum(values) <= 1 + 1e-9, len(values) <= 25)],
-        "descending boolean, of_one boolean, bounded boolean")
+    rows = _shap_rows(spark, sf_dir)
+    return rounded(importance_bar(feature_importance(rows, _two_levels(rows), ["l_quantity", "l_tax"])), 6)
 
 
-@query("shap_sampled", "SELECT true AS descending, true AS known, true AS positive")
-def q_shap_sampled(spark, sf_dir):
-    result = _train(spark, sf_dir, document_quality, "quality", "classification", "Random Forest")
-    rows = [(row["feature"], row["mean_abs_shap"]) for row in shapley_importance(result).collect()]
-    values = [v for _, v in rows]
-    return local_table(
-        spark, [(values == sorted(values, reverse=True), {n for n, _ in rows} <= set(result.feature_names), min(values) >= 0 and max(values) > 0)],
-        "descending boolean, known boolean, positive boolean")
+@query("shap_two_levels", SHAP_SQL)
+def q_shap_two_levels(spark, sf_dir):
+    rows = _shap_rows(spark, sf_dir)
+    model = _two_levels(rows)
+    values = explain(rows, model.flatTrees(), "key", "features", 2)
+    quantity, tax = F.get("shap", F.lit(0)), F.get("shap", F.lit(1))
+    return rounded(values.select("key", quantity.alias("quantity"), tax.alias("tax"), (quantity + tax).alias("together")), 3)
 
 
 @query("shap_linear_model", f"""WITH {ONE_SQL}, f AS ({_fit_sql('d WHERE NOT is_test', '0')}),
@@ -344,3 +424,76 @@ def q_linear_shap(spark, sf_dir):
     rows = _one_feature(spark, sf_dir)
     model = make_model("regression", "Linear Regression").fit(rows)
     return rounded(linear_shapley(rows, [list(model.coefficients)], ["l_quantity"]), 4)
+
+
+# ---------------------------------------------------------------- boosting on one feature: every round in SQL
+
+
+def _rated(g, h):
+    return f"{g} * {g} / ({h})"
+
+
+def _cuts_sql(rows, by, g, h, l2, least=1):
+    """The best cut of ``x`` in each group ``by``: one row each with the sums of both sides."""
+    part = f"PARTITION BY {by}" if by else ""
+    return f"""SELECT {by + ', ' if by else ''}x AS cut, gl, hl, gt - gl AS gr, ht - hl AS hr, rate FROM (
+  SELECT *, {_rated('gl', f'hl + {l2}')} + {_rated('(gt - gl)', f'ht - hl + {l2}')} - {_rated('gt', f'ht + {l2}')} AS rate FROM (
+    SELECT {by + ', ' if by else ''}x, sum(sum({g})) OVER w AS gl, sum(sum({h})) OVER w AS hl, sum(sum({g})) OVER p AS gt, sum(sum({h})) OVER p AS ht,
+      sum(count(*)) OVER w AS nl, sum(count(*)) OVER p AS nt
+    FROM {rows} GROUP BY {by + ', ' if by else ''}x WINDOW w AS ({part} ORDER BY x), p AS ({part}))
+  WHERE nl >= {least} AND nt - nl >= {least}) QUALIFY row_number() OVER ({part} ORDER BY rate DESC, x) = 1"""
+
+
+def _boosted(spark, sf_dir, name, **settings):
+    rows = _one_feature(spark, sf_dir)
+    model = make_model("regression", name, **settings).fit(rows)
+    scored = model.transform(rows).groupBy("l_quantity").agg(F.min("prediction").alias("prediction"), F.count(F.lit(1)).alias("n"))
+    return model, scored
+
+
+QUANTITIES = "b AS (SELECT l_quantity AS x, l_extendedprice AS y, (SELECT avg(l_extendedprice) FROM lineitem) AS p FROM lineitem)"
+
+
+@query("boost_second_order", f"""WITH {QUANTITIES},
+s1 AS ({_cuts_sql('b', '', '(p - y)', '1', '1')}),
+r1 AS (SELECT b.x, y, p - 0.3::DOUBLE * CASE WHEN b.x <= cut THEN gl / (hl + 1) ELSE gr / (hr + 1) END AS p FROM b, s1),
+s2 AS ({_cuts_sql('r1', '', '(p - y)', '1', '1')}),
+r2 AS (SELECT r1.x, y, p - 0.3::DOUBLE * CASE WHEN r1.x <= cut THEN gl / (hl + 1) ELSE gr / (hr + 1) END AS p FROM r1, s2)
+SELECT x AS l_quantity, round(min(p), 4) AS prediction, count(*)::BIGINT AS n FROM r2 GROUP BY x""")
+def q_boost_second_order(spark, sf_dir):
+    _, scored = _boosted(
+        spark, sf_dir, "XGBoost Regressor", n_estimators=2, max_depth=1, learning_rate=0.3, subsample=1.0, colsample=1.0)
+    return rounded(scored, 4)
+
+
+@query("boost_three_leaves", f"""WITH {QUANTITIES},
+s1 AS ({_cuts_sql('b', '', '(p - y)', '1', '0', 20)}),
+r1 AS (SELECT b.x, y, p, CASE WHEN b.x <= cut THEN 0 ELSE 1 END AS side FROM b, s1),
+s2 AS ({_cuts_sql('r1', 'side', '(p - y)', '1', '0', 20)}),
+best AS (SELECT * FROM s2 ORDER BY rate DESC, side LIMIT 1),
+leaves AS (SELECT r1.*, CASE WHEN r1.side <> best.side THEN 0 WHEN r1.x <= best.cut THEN 1 ELSE 2 END AS leaf FROM r1, best),
+v AS (SELECT leaf, -0.5::DOUBLE * sum(p - y) / count(*) AS v FROM leaves GROUP BY leaf)
+SELECT x AS l_quantity, round(min(p + v), 4) AS prediction, count(*)::BIGINT AS n, (SELECT count(*) FROM v)::INTEGER AS leaves
+FROM leaves JOIN v USING (leaf) GROUP BY x""")
+def q_boost_three_leaves(spark, sf_dir):
+    model, scored = _boosted(spark, sf_dir, "LightGBM Regressor", n_estimators=1, num_leaves=3, learning_rate=0.5)
+    return rounded(scored, 4).withColumn("leaves", F.lit(max(model.leafCounts)))
+
+
+@query("boost_softmax", f"""WITH b AS (SELECT l_linenumber::DOUBLE AS x, l_returnflag AS y FROM lineitem),
+priors AS (SELECT y AS k, count(*) / (SELECT count(*) FROM b)::DOUBLE AS p FROM b GROUP BY y),
+g AS (SELECT b.x, k, p - (y = k)::INT AS g, p * (1 - p) AS h, p FROM b, priors),
+s AS ({_cuts_sql('g', 'k', 'g', '1', '0')}),
+v AS (SELECT g.x, g.k, min(ln(p)) AS start, any_value(CASE WHEN g.x <= cut THEN gl / (hl * p * (1 - p)) ELSE gr / (hr * p * (1 - p)) END) AS step
+  FROM g JOIN s USING (k) GROUP BY ALL),
+e AS (SELECT x, k, exp(start - 0.5::DOUBLE * 2 / 3 * step) AS e FROM v)
+SELECT x::INT AS l_linenumber, k AS class, round(e / sum(e) OVER (PARTITION BY x), 6) AS probability FROM e""")
+def q_boost_softmax(spark, sf_dir):
+    lineitem = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_returnflag")
+    classes = label_classes(lineitem, "l_returnflag")
+    rows = VectorAssembler(inputCols=["l_linenumber"], outputCol="features").transform(encode_labels(lineitem, "l_returnflag", classes))
+    model = make_model(
+        "classification", "Gradient Boosting", n_classes=len(classes), n_estimators=1, max_depth=1, learning_rate=0.5).fit(rows)
+    scored = model.transform(rows).select("l_linenumber", F.posexplode(vector_to_array("probability")).alias("k", "p"))
+    name = F.get(F.array(*[F.lit(c) for c in classes]), F.col("k"))
+    return rounded(scored.groupBy("l_linenumber", name.alias("class")).agg(F.min("p").alias("probability")), 6)
