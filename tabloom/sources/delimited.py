@@ -7,7 +7,6 @@ the files stays a table; the driver sees one row for each kind of file.
 
 from __future__ import annotations
 
-import codecs
 import csv
 import sys
 from collections.abc import Iterator, Sequence
@@ -21,16 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.names import check_names, clean_column_names, column
-from tabloom.operators.lanes import per_column, union_all
+from tabloom.operators.lanes import local_table, per_column, union_all
 from tabloom.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
 
 # Encodings in the order they are tried, and what Spark's reader calls them.
 ENCODINGS = ("utf-8", "utf-8-sig", "gbk", "gb18030", "latin1")
-SPARK_ENCODINGS = {
-    "utf-8": "UTF-8", "utf-8-sig": "UTF-8", "gbk": "GBK", "gb18030": "GB18030", "latin1": "ISO-8859-1",
-}
+SPARK_ENCODINGS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "latin1": "ISO-8859-1"}
+PYTHON_ENCODINGS = {"gbk", "gb18030"}
 # Delimiter by file suffix, and other formats read as they are.
 DELIMITERS = {".csv": ",", ".tsv": "\t", ".txt": "\t"}
 OTHER_FORMATS = {".parquet": "parquet", ".json": "json", ".orc": "orc"}
@@ -74,17 +72,6 @@ def _first_line(path: str) -> bytes:
     return head.splitlines()[0] if head else b""
 
 
-def detect_encoding(head: bytes, complete: bool) -> str:
-    """First encoding that decodes the head; a character cut at its end does not count against it."""
-    for name in ENCODINGS:
-        try:
-            codecs.getincrementaldecoder(name)("strict").decode(head, final=complete)
-        except UnicodeDecodeError:
-            continue
-        return name
-    return ENCODINGS[-1]
-
-
 def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield batch.assign(head=[_first_line(path) for path in batch["path"]])
@@ -221,6 +208,28 @@ def validate_table(df: DataFrame, allow_tiny: bool = False) -> None:
         raise TableError("fewer than 5 rows")
 
 
+def first_rows(df: DataFrame, size: int) -> DataFrame:
+    """The first ``size`` rows in the order of the parts that ``df`` is read in, kept for all later passes.
+
+    The parts are counted first, one row for each of them; so every task knows how many rows to keep
+    and none gets the rows of others.
+    """
+    number, part, row = "__number", "__part", "__row"
+    shift = 33  # the number of a row is that of its part, then 33 bits for its place there
+    numbered = df.withColumn(number, F.monotonically_increasing_id())
+    placed = numbered.withColumns({part: F.shiftright(number, shift), row: F.col(number).bitwiseAND((1 << shift) - 1)})
+    # the first column is read too, as a reader that needs no cell might count lines otherwise
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.count(column(df.columns[0])).alias("cells")).collect()
+    taken, left = [], size
+    for found in sorted(counts, key=lambda r: r[part]):
+        if left > 0:
+            taken.append((found[part], min(found["n"], left)))
+            left -= found["n"]
+    limits = local_table(df.sparkSession, taken, "__of bigint, __upto bigint")
+    kept = placed.join(F.broadcast(limits), F.col(part) == F.col("__of")).where(F.col(row) < F.col("__upto"))
+    return cut_lineage(kept.select(*[column(c) for c in df.columns]))
+
+
 def read_table(
     spark: SparkSession, path: str | Sequence[str], *, schema: T.StructType | str | None = None,
     sample_rows: int | None = None, multi_line: bool | None = None, allow_tiny: bool = False,
@@ -250,8 +259,7 @@ def read_table(
         form = "tsv" if DELIMITERS[suffix] == "\t" else "csv"
     df = clean_column_names(df)
     if sample_rows:
-        # which rows a limit returns is not fixed: keep them for all later passes, spread again
-        df = cut_lineage(df.limit(sample_rows).repartition(spark.sparkContext.defaultParallelism))
+        df = first_rows(df, sample_rows)
     if suffix in DELIMITERS:
         if schema is None:
             df = apply_types(df, infer_types(df))
@@ -267,7 +275,7 @@ def read_table(
 def _read_delimited(
     spark: SparkSession, path: str | Sequence[str], facts: DataFrame, delimiter: str, multi_line: bool | None
 ) -> DataFrame:
-    """One read by the given path for each kind of file: encoding, and whether cells span lines."""
+    """One read by the given path for all encodings, and another if in some files cells span lines."""
     empty = facts.where("encoding IS NULL").limit(5).collect()
     if empty:
         raise TableError(f"empty file: {', '.join(unquote(row['path']) for row in empty)}")
@@ -282,24 +290,41 @@ def _read_delimited(
     text = T.StructType([T.StructField(name, T.StringType()) for name in names])
     # of these there are two for each encoding at most
     wanted = sorted((row["encoding"], row["spans"]) for row in marked.select("encoding", "spans").distinct().collect())
-    if {encoding for encoding, _ in wanted} & {"gbk", "gb18030"}:
-        # the reader only knows these names in this mode, and it must still hold when the plan runs
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    encodings = {encoding for encoding, _ in wanted}
+    # bytes come through as they are in Latin-1, so one read serves files of all encodings
+    single = len(encodings) == 1 and not encodings & PYTHON_ENCODINGS
+    read_as = SPARK_ENCODINGS[wanted[0][0]] if single else SPARK_ENCODINGS["latin1"]
+    kinds = sorted({over_lines for _, over_lines in wanted})
     frames = []
-    for encoding, over_lines in wanted:
+    for over_lines in kinds:
         frame = (
             spark.read.schema(text)
-            .options(header=True, sep=delimiter, encoding=SPARK_ENCODINGS[encoding], multiLine=over_lines, quote='"', escape='"')
+            .options(header=True, sep=delimiter, encoding=read_as, multiLine=over_lines, quote='"', escape='"')
             .csv(path))
-        if len(wanted) > 1:
-            # files of several kinds are read once for each kind, and rows of the others dropped
-            own = marked.where((F.col("encoding") == encoding) & (F.col("spans") == over_lines)).select(F.col("path").alias("__file"))
-            names_kept = [column(name) for name in names]
-            frame = frame.select(*names_kept, F.col("_metadata.file_path").alias("__path")).join(
-                own, F.col("__path") == F.col("__file"), "left_semi").drop("__path")
+        if not single or len(kinds) > 1:
+            # files whose cells span lines can't be split, so the others are read without them
+            own = marked.where(F.col("spans") == over_lines).select(F.col("path").alias("__file"), F.col("encoding").alias("__encoding"))
+            frame = frame.select(*[column(name) for name in names], F.col("_metadata.file_path").alias("__path")).join(
+                own, F.col("__path") == F.col("__file"))
+            cells = [column(name) if single else _decoded(column(name), F.col("__encoding"), encodings).alias(name) for name in names]
+            frame = frame.select(*cells)
         frames.append(frame)
     return union_all(frames)
 
 
+def _decoded(cell: Column, encoding: Column, encodings: set[str]) -> Column:
+    """A cell read as Latin-1 in the encoding of its file. Only files that Spark can't decode go through Python."""
+    raw = F.encode(cell, "ISO-8859-1")
+    text = F.when(encoding.isin("utf-8", "utf-8-sig"), F.decode(raw, "UTF-8")).when(encoding == "latin1", cell)
+    if encodings & PYTHON_ENCODINGS:
+        odd = encoding.isin(*sorted(PYTHON_ENCODINGS))
+        text = text.otherwise(F.pandas_udf(_decode_cells, "string")(F.when(odd, raw), F.when(odd, encoding)))
+    return text
+
+
+def _decode_cells(raw: pd.Series, encoding: pd.Series) -> pd.Series:
+    return pd.Series([None if r is None else bytes(r).decode(e) for r, e in zip(raw, encoding)], dtype=object)
+
+
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return read_table(spark, path)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tabloom.operators.arrays import array_slice, array_summary, feature_table, guess_arrays, sample_features
 from tabloom.plans.report import report_facts, report_lines
 from tabloom.plans.training import ModelConfig
-from tabloom.sources.delimited import TableError, detect_encoding, read_csv, read_table
+from tabloom.sources.delimited import TableError, first_rows, read_csv, read_table
 from tabloom.sources.npz import read_npz
 from tabloom.sources.run_log import append_run, load_runs, parse_runs, run_record, usable_targets
 from tabloom.sources.sinks import write_predictions, write_report
@@ -56,12 +56,6 @@ def test_encodings(spark, tmp_path, encoding, word):
     assert df.columns == ["name", word] and df.first()["name"] == word
 
 
-def test_cut_character_is_no_evidence():
-    text = "é" * 10
-    assert detect_encoding(text.encode()[:-1], complete=False) == "utf-8"
-    assert detect_encoding(text.encode()[:-1], complete=True) != "utf-8"
-
-
 def test_a_late_character_decides_the_encoding(spark, tmp_path):
     rows = "".join(f"{i},plain\n" for i in range(200_000)) + "200000,中文数据\n"
     df, meta = read_table(spark, put(tmp_path, "late file.csv", "k,word\n" + rows, "gbk"))
@@ -166,3 +160,29 @@ def test_sinks(spark, tmp_path):
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "out/report")).collect()]
     assert "## 1. Overview" in lines and "| n_rows | 40 |" in lines
     assert any(line.startswith("- `y` is the target") for line in lines)
+
+
+def test_files_of_many_encodings_are_read_once(spark, tmp_path):
+    before = spark.conf.get("spark.sql.legacy.javaCharsets", None)
+    words = {"utf-8": "中文é", "utf-8-sig": "中é", "gbk": "数据文", "gb18030": "𠀀数", "latin1": "na\xefve\xff"}
+    for encoding, word in words.items():
+        put(tmp_path, f"{encoding}.csv", "name,n\n" + "".join(f"{word},{i}\n" for i in range(7)), encoding)
+    df, files = read_table(spark, str(tmp_path / "*.csv"))
+    assert {r["name"] for r in df.collect()} == set(words.values()) and df.count() == 35 and df.where("n = 3").count() == 5
+    assert {r["encoding"] for r in files.collect()} == {"utf-8", "gbk", "gb18030", "latin1"}
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", None) == before
+    assert df._jdf.queryExecution().sparkPlan().toString().count("FileScan csv") == 1
+
+
+def test_files_of_many_encodings_with_cells_over_lines(spark, tmp_path):
+    put(tmp_path, "a.csv", "name,n\n" + "".join(f'"中\n文",{i}\n' for i in range(6)), "gbk")
+    put(tmp_path, "b.csv", "name,n\n" + "".join(f"é,{i}\n" for i in range(6)), "utf-8")
+    df, _ = read_table(spark, str(tmp_path / "*.csv"))
+    assert sorted(r["name"] for r in df.collect()) == ["中\n文"] * 6 + ["é"] * 6 or sorted(r["name"] for r in df.collect()) == ["é"] * 6 + ["中\n文"] * 6
+
+
+@pytest.mark.parametrize("size", [1, 30, 31, 99, 100, 1000])
+def test_first_rows(spark, size):
+    df = spark.range(0, 100, 1, 7).selectExpr("id", "id * 2 AS x")
+    assert [r["id"] for r in first_rows(df, size).orderBy("id").collect()] == list(range(min(size, 100)))
+    assert first_rows(df.where("id < 0"), size).count() == 0

@@ -6,6 +6,7 @@ import io
 import sys
 
 import numpy as np
+import pandas as pd
 import pyarrow.fs
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -62,6 +63,13 @@ def _with_header(header: str):
     return prepend
 
 
+def _encoder(encoding: str):
+    def encode(text: pd.Series) -> pd.Series:
+        return text.map(lambda value: value.encode(encoding))
+
+    return encode
+
+
 @query("multiline_ingest", "SELECT doc_id, md5(text) AS digest, n_chars FROM documents")
 def q_multiline_ingest(spark, sf_dir):
     folder = scratch_folder(spark, "documents")
@@ -129,12 +137,12 @@ def q_run_log_rejected(spark, sf_dir):
 SELECT doc_id, md5(replace(replace(text, chr(10), ' '), '"', '')) AS digest FROM documents
 WHERE NOT regexp_matches(text, '[^\x01-\xff]')""")
 def q_latin1_late_ingest(spark, sf_dir):
-    # one file, first all rows in ASCII and then the others: only its end tells the encoding
+    # in each file first the rows in ASCII and then the others: only its end tells the encoding
     folder = scratch_folder(spark, "latin1")
     documents = table(spark, sf_dir, "documents").where(~F.regexp_like("text", F.lit("[^\\x01-\\xff]")))
     text = F.translate(F.translate("text", "\n", " "), '"', "")
     rows = documents.select("doc_id", text.alias("body"), F.regexp_like("text", F.lit("[^\\x01-\\x7f]")).alias("late"))
-    rows.orderBy("late", "doc_id").drop("late").coalesce(1).write.option("header", True).option("encoding", "ISO-8859-1").csv(folder)
+    rows.repartitionByRange(4, "doc_id").sortWithinPartitions("late", "doc_id").drop("late").write.option("header", True).option("encoding", "ISO-8859-1").csv(folder)
     df, _ = read_table(spark, f"{folder}/*.csv")
     return df.select("doc_id", F.md5("body").alias("digest"))
 
@@ -154,19 +162,39 @@ def q_ingest_metadata(spark, sf_dir):
 HEADERS = {"good": "a\tb", "twice": "a\ta", "blank": "a\t", "padded": " a \t b ", "empty": " ", "other": "a\tc"}
 
 
+@query("mixed_encodings_ingest", """
+SELECT o_orderkey, translate(o_orderkey::VARCHAR, '0123456789', CASE WHEN o_orderkey % 3 = 2 THEN 'àáâãäåæçèé' ELSE '零一二三四五六七八九' END) AS word, o_totalprice AS price
+FROM orders""")
+def q_mixed_encodings_ingest(spark, sf_dir):
+    # a folder with files in UTF-8, GBK and Latin-1
+    folder = scratch_folder(spark, "encodings")
+    kind = F.col("o_orderkey") % 3
+    key = F.col("o_orderkey").cast("string")
+    word = F.when(kind == 2, F.translate(key, "0123456789", "àáâãäåæçèé")).otherwise(F.translate(key, "0123456789", "零一二三四五六七八九"))
+    rows = table(spark, sf_dir, "orders").select(kind.alias("kind"), F.concat_ws("\t", key, word, F.col("o_totalprice").cast("string")).alias("value"))
+    for number, encoding in enumerate(("utf-8", "gbk", "latin1")):
+        body = rows.where(F.col("kind") == number).select("value").mapInPandas(_with_header("o_orderkey\tword\tprice"), "value string")
+        raw = F.pandas_udf(_encoder(encoding), "binary")("value")
+        # text is written as the bytes that it has
+        body.select(raw.cast("string").alias("value")).write.text(f"{folder}/{encoding}")
+    return read_table(spark, f"{folder}/*/*.txt")[0]
+
+
 @query("load_checks", """
-SELECT c AS checked, CASE WHEN c IN ('good', 'padded') THEN (SELECT count(*) FROM nation)::VARCHAR ELSE 'refused' END AS outcome
+SELECT c AS checked, CASE WHEN c IN ('good', 'padded') THEN (SELECT count(*) FROM orders)::VARCHAR ELSE 'refused' END AS outcome
 FROM (SELECT unnest(['good', 'twice', 'blank', 'padded', 'empty', 'other', 'few']) AS c)""")
 def q_load_checks(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select(F.concat_ws("\t", F.col("n_nationkey").cast("string"), "n_name").alias("value"))
-    few = table(spark, sf_dir, "region").limit(3).select(F.concat_ws("\t", F.col("r_regionkey").cast("string"), "r_name").alias("value"))
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.select(F.concat_ws("\t", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value"))
+    # a row for each of three states
+    few = orders.groupBy("o_orderstatus").count().select(F.concat_ws("\t", "o_orderstatus", F.col("count").cast("string")).alias("value")).coalesce(1)
     outcomes = []
     for name, header in {**HEADERS, "few": "a\tb"}.items():
         folder = scratch_folder(spark, f"load-{name}")
         body = few if name == "few" else rows
-        body.coalesce(1).mapInPandas(_with_header(header), "value string").write.text(f"{folder}/one")
+        body.mapInPandas(_with_header(header), "value string").write.text(f"{folder}/one")
         if name == "other":  # files must agree
-            rows.coalesce(1).mapInPandas(_with_header("a\tb"), "value string").write.text(f"{folder}/two")
+            rows.mapInPandas(_with_header("a\tb"), "value string").write.text(f"{folder}/two")
         try:
             found = str(read_table(spark, f"{folder}/*/*.txt")[0].count())
         except TableError:
