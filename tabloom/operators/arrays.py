@@ -7,11 +7,19 @@ row per sample: ``shape`` is the shape of a single sample, ``values`` its flatte
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import seeded_hash
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
+
 BUNDLE_SCHEMA = (
     "file string, position int, name string, sample_index bigint, shape array<int>, dtype string, "
     "values array<double>, text string"
@@ -131,12 +139,40 @@ def feature_table(bundle: DataFrame, x_name: str, y_name: str | None = None) ->
     return features.join(bundle.where(is_y).select(*keys, target.alias("target")), keys)
 
 
+def merged(n: int, mean: float, squares: float, more: np.ndarray) -> tuple[int, float, float]:
+    """Count, mean and sum of squared distances from the mean, with more numbers added, by Chan's rule."""
+    if not more.size:
+        return n, mean, squares
+    own = float(more.mean())
+    together, step = n + more.size, own - mean
+    squares += float(((more - own) ** 2).sum()) + step * step * n * more.size / together
+    return together, mean + step * more.size / together, squares
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each task that has numbers."""
+    n, mean, squares = 0, 0.0, 0.0
+    for batch in batches:
+        numbers = batch.column(0).flatten().drop_null().to_numpy(zero_copy_only=False)
+        n, mean, squares = merged(n, mean, squares, numbers[~np.isnan(numbers)])
+    if n:
+        yield pa.RecordBatch.from_pydict({"n": [n], "mean": [mean], "squares": [squares]})
+
+
 def global_moments(df: DataFrame, values: str = "values") -> DataFrame:
-    """One row ``(mean, std)`` over every number of the column; NaN left out, std with ddof 0."""
-    numbers = df.select(F.explode(F.col(values).cast("array<double>")).alias("x"))
-    return numbers.where(F.col("x").isNotNull() & ~F.isnan("x")).agg(
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")
-    )
+    """One row ``(mean, std)`` over every number of the column; NaN left out, std with ddof 0.
+
+    A task's numbers become one row, and these are merged around the common mean.
+    """
+    parts = df.select(F.col(values).cast("array<double>").alias("values")).mapInArrow(_moments, "n bigint, mean double, squares double")
+    # a row for each task
+    everything = Window.partitionBy(F.lit(1))
+    common = F.sum(F.col("n") * F.col("mean")).over(everything) / F.sum("n").over(everything)
+    return parts.withColumn("common", common).agg(
+        F.first("common").alias("mean"),
+        F.sqrt(F.try_divide(
+            F.sum(F.col("squares") + F.col("n") * (F.col("mean") - F.col("common")) * (F.col("mean") - F.col("common"))),
+            F.sum("n").cast("double"))).alias("std"))
 
 
 def standardize(df: DataFrame, values: str = "values", output: str = "standardized") -> DataFrame:

@@ -11,12 +11,17 @@ from tabloom.functions.hashing import seeded_hash
 from tabloom.operators.correlation import correlation
 from tabloom.operators.frequencies import top_k
 from tabloom.operators.lanes import empty, number_cell, numeric_cells, per_column
-from tabloom.operators.profile import missing_ratios, numeric_summary
-from tabloom.operators.quality import iqr_outliers
+from tabloom.operators.profile import missing_ratios
+from tabloom.operators.quality import IQR_FACTOR, iqr_outliers
+from tabloom.operators.quantiles import quartile_outliers
 
 HISTOGRAM_SCHEMA = "column string, bucket int, lo double, hi double, count bigint"
 # How much each chart shows.
 HISTOGRAM_BINS = 30
+BOX_SCHEMA = (
+    "column string, min double, p25 double, p50 double, p75 double, max double, lower_bound double, upper_bound double, "
+    "outlier_count bigint"
+)
 FREQUENCY_TOP = 20
 TARGET_TOP = 30
 IMPORTANCE_TOP = 25
@@ -58,10 +63,11 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = HISTOGRAM_BINS)
 
 
 def box_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Five numbers plus the outlier fences of the box beside a histogram."""
-    five = numeric_summary(df, columns).select("column", "min", "p25", "p50", "p75", "max")
-    fences = iqr_outliers(df, columns).select("column", "lower_bound", "upper_bound", "outlier_count")
-    return five.join(F.broadcast(fences), "column").orderBy("column")
+    """Five numbers plus the outlier fences of the box beside a histogram, from the same two passes."""
+    if not columns:
+        return empty(df.sparkSession, BOX_SCHEMA)
+    return quartile_outliers(df, columns, IQR_FACTOR, five=True).select(
+        "column", "min", "p25", "p50", "p75", "max", "lower_bound", "upper_bound", "outlier_count").orderBy("column")
 
 
 def category_frequency(df: DataFrame, name: str, top_n: int = FREQUENCY_TOP) -> DataFrame:

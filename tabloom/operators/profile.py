@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,8 @@ from tabloom.operators.lanes import empty, per_column, typed_lanes, union_all
 from tabloom.operators.quantiles import ACCURACY, approximate_quantiles, exact_quantiles
 from tabloom.operators.roles import high_cardinality_rule
 
+# bytes of a cell by type; others have 8
+WIDTHS = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "float": 4, "date": 4}
 NUMERIC_SCHEMA = (
     "column string, count bigint, mean double, std double, min double, "
     "p25 double, p50 double, p75 double, max double"
@@ -48,12 +50,27 @@ def _digests(df: DataFrame) -> DataFrame:
         refs.append(ref)
     gaps = [column(c).isNull() for c in wide.columns]
     missing = sum((gap.cast("bigint") for gap in gaps), F.lit(0).cast("bigint"))
+    size = sum((cell_size(f) for f in wide.schema.fields), F.lit(0).cast("bigint"))
     return wide.select(
-        F.xxhash64(*refs, *gaps).alias("h1"), F.xxhash64(F.lit(1), *refs, *gaps).alias("h2"), missing.alias("missing"))
+        F.xxhash64(*refs, *gaps).alias("h1"), F.xxhash64(F.lit(1), *refs, *gaps).alias("h2"), missing.alias("missing"), size.alias("size"))
+
+
+def cell_size(field: T.StructField) -> Column:
+    """Bytes of a cell: the width of a number, the UTF-8 bytes of a text, of a nested value as JSON; a missing cell has none."""
+    ref, kind = column(field.name), field.dataType
+    if isinstance(kind, (T.StringType, T.VarcharType, T.CharType, T.BinaryType)):
+        size = F.octet_length(ref)
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        size = F.octet_length(F.to_json(ref))
+    else:
+        width = WIDTHS.get(kind.typeName(), 8)
+        size = F.lit(16 if isinstance(kind, T.DecimalType) and kind.precision > 18 else width)
+    return F.coalesce(F.when(ref.isNotNull(), size), F.lit(0)).cast("bigint")
 
 
 def _row_groups(df: DataFrame) -> DataFrame:
-    return _digests(df).groupBy("h1", "h2", "missing").agg(F.count(F.lit(1)).alias("__copies"))
+    # equal rows have as many missing cells and bytes, so these only ride along
+    return _digests(df).groupBy("h1", "h2", "missing", "size").agg(F.count(F.lit(1)).alias("__copies"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -76,9 +93,9 @@ def missing_cells(df: DataFrame) -> DataFrame:
 
 
 def overview(df: DataFrame) -> DataFrame:
-    """One row: n_rows, n_columns, duplicate_rows, total_missing_cells, missing_cell_ratio.
+    """One row: n_rows, n_columns, duplicate_rows, total_missing_cells, missing_cell_ratio, size_bytes.
 
-    Duplicates and missing cells come from the same grouped rows: one scan, one shuffle.
+    Duplicates, missing cells and bytes come from the same grouped rows: one scan, one shuffle.
     """
     grouped = _row_groups(df)
     zero = F.lit(0).cast("bigint")
@@ -86,6 +103,7 @@ def overview(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum("__copies"), zero).alias("n_rows"),
         F.coalesce(F.sum(F.col("__copies") - 1), zero).alias("duplicate_rows"),
         F.coalesce(F.sum(F.col("__copies") * F.col("missing")), zero).alias("total_missing_cells"),
+        F.coalesce(F.sum(F.col("__copies") * F.col("size")), zero).alias("size_bytes"),
     )
     return sums.select(
         "n_rows",
@@ -95,6 +113,7 @@ def overview(df: DataFrame) -> DataFrame:
         ratio(F.col("total_missing_cells"), F.greatest(F.col("n_rows") * len(df.columns), F.lit(1))).alias(
             "missing_cell_ratio"
         ),
+        "size_bytes",
     )
 
 

@@ -5,8 +5,8 @@
    lost executor sees the very same brackets.
 2. One more pass counts values: those inside a bracket by value, those between brackets as one
    lump per gap. Only about ``4 / accuracy`` of the rows per bracket keep their own value.
-3. Brackets are cut into narrow segments; segment totals give offsets and a running sum inside
-   each segment finds the wanted rank.
+3. What was counted is cut into segments of like size; segment totals give offsets and a running
+   sum inside each segment finds the wanted rank.
 """
 
 from __future__ import annotations
@@ -54,19 +54,17 @@ def _key(intervals: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     return F.when(inside, value).otherwise(edge), F.when(inside, 0).otherwise(1)
 
 
-def _segment(k: int) -> Column:
-    """Segment of a key, ascending with the key; keys under all brackets get 0, keys over all the last."""
-    key = F.col("key")
-    segment = F.lit(1 + k * SEGMENTS)
-    for j in reversed(range(k)):
-        low, high = F.col(f"low{j}"), F.col(f"high{j}")
-        width = high - low
-        cut = (width > 0) & (width < F.lit(float("inf")))
-        share = F.when(cut & (key >= low), F.least(F.floor((key - low) / width * SEGMENTS), F.lit(SEGMENTS - 1)))
-        numbered = F.lit(1 + j * SEGMENTS) + F.coalesce(share, F.lit(0))
-        # the first bracket whose upper edge is not below the key
-        segment = F.when(key <= high, numbered).otherwise(segment)
-    return F.when(key < F.col("low0"), F.lit(0)).otherwise(segment).cast("int")
+def _placed(keyed: DataFrame) -> DataFrame:
+    """The counted keys with their ``segment``, which ascends with the key.
+
+    Segments are cut at quantiles of the keys themselves, so each holds a like number of keys
+    however the values are spread. The cuts are one array per column; Spark reuses the exchange of
+    the counted keys for them, so nothing is read twice.
+    """
+    marks = F.array(*[F.lit(i / SEGMENTS) for i in range(1, SEGMENTS)])
+    cuts = keyed.groupBy("column").agg(F.array_distinct(F.percentile_approx("key", marks, F.lit(4 * SEGMENTS))).alias("cuts"))
+    segment = F.size(F.filter("cuts", lambda cut: cut < F.col("key")))
+    return keyed.join(F.broadcast(cuts), "column").select("column", segment.alias("segment"), "key", "gap", "cnt")
 
 
 def exact_quantiles(
@@ -137,9 +135,8 @@ def _counted(df: DataFrame, brackets: list[tuple], fences: DataFrame, intervals:
 
 def _ranked(keyed: DataFrame, fences: DataFrame, probs: Sequence[float]) -> DataFrame:
     """``(column, q)`` from the counted keys; segments are worked out on what is left of the rows."""
-    k = len(probs)
-    counted = keyed.join(fences, "column").select("column", _segment(k).alias("segment"), "key", "gap", "cnt")
-    # at most 1 + SEGMENTS * len(probs) rows per column
+    counted = _placed(keyed)
+    # at most SEGMENTS rows per column
     before = Window.partitionBy("column").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         counted.groupBy("column", "segment").agg(F.sum("cnt").alias("total"))
@@ -173,18 +170,22 @@ def _ranked(keyed: DataFrame, fences: DataFrame, probs: Sequence[float]) -> Data
     return found.join(fences.select("column", "n"), "column").select("column", F.array(*values).alias("q"))
 
 
-def quartile_outliers(df: DataFrame, columns: Sequence[str], factor: float, accuracy: int = ACCURACY) -> DataFrame:
+def quartile_outliers(
+    df: DataFrame, columns: Sequence[str], factor: float, accuracy: int = ACCURACY, five: bool = False
+) -> DataFrame:
     """``(column, flat, lower_bound, upper_bound, outlier_count, outlier_ratio)`` of columns with values.
 
     Where the quartiles lie is known from the sketch, and so is where the fences can lie. Values
     there are counted each in the pass that finds the quartiles; all others are on one side for
     sure. So the fences cost no scan of their own. ``flat``: no spread between the quartiles, which
-    are the bounds then, and no outliers.
+    are the bounds then, and no outliers. ``five`` adds ``min, p25, p50, p75, max`` from the same passes.
     """
-    probs = [0.25, 0.75]
-    brackets = []
-    for name, n, least, marks in _brackets(_sketch(df, columns, probs, accuracy, (), ""), probs, accuracy):
-        a, b, c, d = marks
+    probs = [0.25, 0.5, 0.75] if five else [0.25, 0.75]
+    brackets, ranges = [], []
+    sketched = _sketch(df, columns, probs, accuracy, (), "")
+    most = {r["column"]: r["most"] for r in sketched}
+    for name, n, least, marks in _brackets(sketched, probs, accuracy):
+        a, b, c, d = marks[0], marks[1], marks[-2], marks[-1]
         around = []
         for low, high in ((a - factor * (d - a), b - factor * (c - b)), (c + factor * (c - b), d + factor * (d - a))):
             low, high = min(low, high), max(low, high)
@@ -192,17 +193,23 @@ def quartile_outliers(df: DataFrame, columns: Sequence[str], factor: float, accu
             wild = not math.isfinite(low - slack) or not math.isfinite(high + slack)
             around += [-math.inf, math.inf] if wild else [low - slack, high + slack]
         brackets.append((name, n, least, [*marks, *around]))
+        ranges.append((name, least, most[name]))
+    shown = ["min", "p25", "p50", "p75", "max"] if five else []
     if not brackets:
-        return empty(df.sparkSession, "column string, flat boolean, lower_bound double, upper_bound double, outlier_count bigint, outlier_ratio double")
-    fences = _fences(df.sparkSession, brackets, 2, 2)
-    keyed = _counted(df, brackets, fences, _names("low", "high", 2) + _names("xlow", "xhigh", 2))
-    q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(1))
+        extra = "".join(f", {name} double" for name in shown)
+        return empty(df.sparkSession, f"column string, flat boolean, lower_bound double, upper_bound double{extra}, outlier_count bigint, outlier_ratio double")
+    k = len(probs)
+    fences = _fences(df.sparkSession, brackets, k, 2)
+    keyed = _counted(df, brackets, fences, _names("low", "high", k) + _names("xlow", "xhigh", 2))
+    q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(k - 1))
     spread = F.col("q3") - F.col("q1")
     flat = (spread == 0) | F.isnan(spread)
-    bounds = _ranked(keyed, fences, probs).select("column", q1.alias("q1"), q3.alias("q3")).select(
+    limits = F.broadcast(local_table(df.sparkSession, ranges, "column string, min double, max double"))  # a row per column
+    bounds = _ranked(keyed, fences, probs).select("column", q1.alias("q1"), q3.alias("q3"), F.get("q", F.lit(1)).alias("p50")).join(limits, "column").select(
         "column", flat.alias("flat"),
         F.when(flat, F.col("q1")).otherwise(F.col("q1") - factor * spread).alias("lower_bound"),
         F.when(flat, F.col("q3")).otherwise(F.col("q3") + factor * spread).alias("upper_bound"),
+        *[F.col({"p25": "q1", "p75": "q3"}.get(name, name)).alias(name) for name in shown],
     )
     single = F.col("gap") == 0
     below = F.when(single, F.col("key") < F.col("lower_bound")).otherwise(F.col("key") < F.col("xhigh0"))
@@ -210,7 +217,7 @@ def quartile_outliers(df: DataFrame, columns: Sequence[str], factor: float, accu
     outside = F.sum(F.when(~F.col("flat") & (below | above), F.col("cnt")).otherwise(0))
     return (
         keyed.join(F.broadcast(bounds), "column").join(fences.select("column", "xhigh0", "xhigh1"), "column")
-        .groupBy("column", "flat", "lower_bound", "upper_bound")
+        .groupBy("column", "flat", "lower_bound", "upper_bound", *shown)
         .agg(outside.alias("outlier_count"), (outside / F.sum("cnt")).alias("outlier_ratio"))
     )
 

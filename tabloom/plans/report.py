@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.names import column
 from tabloom.functions.text import format_percent, safe_round
 from tabloom.operators.frequencies import distinct_counts, top_k
-from tabloom.operators.lanes import empty, held, local_table, union_all
+from tabloom.operators.lanes import empty, held, local_table, together, union_all
 from tabloom.operators.leakage import leakage_report
 from tabloom.operators.profile import missing_summary, numeric_summary, overview
 from tabloom.operators.quality import high_cardinality_report, iqr_outliers, needs_grouping
@@ -178,24 +178,26 @@ def report_facts(
 ) -> DataFrame:
     """``(section, ord, item, value)`` of the whole report.
 
-    Row digests, value frequencies and quantiles are one pass each; their results, a few rows per
-    column, are kept and every section that needs them takes them from there. ``top_rows`` and
+    Row digests, value frequencies and quantiles are one pass each, run side by side; their results, a
+    few rows per column, are kept and every section that needs them takes them from there. ``top_rows`` and
     ``target_values`` limit what a section shows.
     """
     spark = df.sparkSession
-    kinds = roles_by_kind(df, column_roles(df))
-    shape, counts = held(overview(df)), held(distinct_counts(df))
+    kinds, shape, counts, *leaks = together(
+        lambda: roles_by_kind(df, column_roles(df)), lambda: held(overview(df)), lambda: held(distinct_counts(df)),
+        *([lambda: held(leakage_facts(df, target, top_rows))] if target else []))
+    jobs = [lambda: held(outlier_facts(df, kinds["numeric"], top_rows)) if kinds["numeric"] else empty(spark, FACT_SCHEMA)]
+    if target and task:
+        jobs.append(lambda: held(target_summary(df, target, task, target_values).select(
+            F.lit("target_summary").alias("section"), "ord", "item", "value")))
+    outliers, *summary = together(*jobs)
     parts = [
-        overview_facts(df, shape), role_facts(df, kinds), missing_facts(df, top_rows, counts),
-        outlier_facts(df, kinds["numeric"], top_rows) if kinds["numeric"] else empty(spark, FACT_SCHEMA),
+        overview_facts(df, shape), role_facts(df, kinds), missing_facts(df, top_rows, counts), outliers,
         cardinality_facts(df, kinds["categorical"], top_rows, counts) if kinds["categorical"] else empty(spark, FACT_SCHEMA),
         local_table(spark, [("target", 1, "source", source), ("target", 2, "column", target or "none"),
                             ("target", 3, "task", task or "none")], FACT_SCHEMA),
     ]
-    if target:
-        parts.append(leakage_facts(df, target, top_rows))
-        if task:
-            parts.append(target_summary(df, target, task, target_values).select(F.lit("target_summary").alias("section"), "ord", "item", "value"))
+    parts += [*leaks, *summary]
     if config is not None:
         parts.append(_model_facts(df, config, result))
     metrics = result.metrics if result else None

@@ -73,7 +73,7 @@ def test_empty_input_keeps_the_schema(spark, call):
 
 def test_empty_table_values(spark):
     hollow = empty(spark, "x double, s string")
-    assert rows(profile.overview(hollow)) == [(0, 2, 0, 0, 0.0)]
+    assert rows(profile.overview(hollow)) == [(0, 2, 0, 0, 0.0, 0)]
     assert [r["missing_ratio"] for r in profile.missing_summary(hollow).collect()] == [0.0, 0.0]
     assert profile.numeric_summary(hollow, ["x"]).first()["count"] == 0
 
@@ -271,3 +271,16 @@ def test_outliers_from_the_quartile_pass(spark, shape):
     row = quality.iqr_outliers(df, ["x"], accuracy=100).first()
     assert row["outlier_count"] == want and row["outlier_ratio"] == pytest.approx(want / len(values))
     assert row["lower_bound"] == pytest.approx(low) and row["upper_bound"] == pytest.approx(high)
+
+
+@pytest.mark.parametrize("tail", ["pareto", "spike", "plain"])
+def test_segments_hold_alike_however_values_spread(spark, tail):
+    from tabloom.operators import quantiles
+
+    value = {"pareto": "pow(rand(3), -3)", "spike": "if(id % 3 = 0, 7, pow(10, rand(3) * 12))", "plain": "rand(3)"}[tail]
+    keyed = spark.range(20_000).selectExpr("'x' AS column", f"cast({value} AS double) AS key", "0 AS gap").groupBy(
+        "column", "key", "gap").agg(F.count(F.lit(1)).alias("cnt"))
+    placed = quantiles._placed(keyed)
+    sizes = [r["count"] for r in placed.groupBy("segment").count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    assert placed.groupBy("segment").agg(F.min("key").alias("a"), F.max("key").alias("b")).orderBy("segment").where("a > b").isEmpty()

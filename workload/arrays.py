@@ -94,17 +94,23 @@ def q_array_slice(spark, sf_dir):
     return cut.select("sample_index", "slice_index", F.posexplode("values").alias("pos", "value"))
 
 
-@query("array_slice_uneven_files", """
-WITH f AS (SELECT 'part' || (vec_id % 3) AS file, vec_id // 3 AS sample_index, vec_id, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE vec_id % 3 = 0 OR vec_id < 30 * (vec_id % 3)),
-l AS (SELECT *, max(sample_index) OVER (PARTITION BY file) AS last FROM f)
-SELECT file, sample_index, round(list_sum(v), 4) AS total FROM l WHERE sample_index = least(15, last)""")
+# two short files and a long one that has all other rows
+UNEVEN_SQL = "CASE WHEN vec_id < 30 THEN 1 WHEN vec_id < 70 THEN 2 ELSE 0 END"
+
+
+@query("array_slice_uneven_files", f"""
+WITH f AS (SELECT {UNEVEN_SQL} AS part, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT *, vec_id - min(vec_id) OVER (PARTITION BY part) AS sample_index FROM f),
+l AS (SELECT *, max(sample_index) OVER (PARTITION BY part) AS last FROM p)
+SELECT 'part' || part AS file, sample_index::INTEGER AS sample_index, round(list_sum(v), 4) AS total FROM l WHERE sample_index = least(35, last)""")
 def q_array_slice_uneven_files(spark, sf_dir):
-    rows = bundle(spark, sf_dir).where("name = 'X'").withColumn("vec_id", F.col("sample_index"))
-    part = F.col("vec_id") % 3
-    files = rows.where((part == 0) | (F.col("vec_id") < 30 * part)).withColumns({
-        "file": F.concat(F.lit("part"), part.cast("string")), "sample_index": F.floor(F.col("vec_id") / 3).cast("int"),
-        "shape": F.array(F.lit(8), F.lit(8))}).drop("vec_id")
-    cut = arrays.array_slice(files.withColumn("shape", F.array(F.lit(1), F.lit(64), F.lit(1))), "X", index=15)
+    rows = bundle(spark, sf_dir).where("name = 'X'")
+    vec_id = F.col("sample_index")
+    part = F.when(vec_id < 30, 1).when(vec_id < 70, 2).otherwise(0)
+    start = F.when(vec_id < 30, 0).when(vec_id < 70, 30).otherwise(70)
+    files = rows.withColumns({
+        "file": F.concat(F.lit("part"), part.cast("string")), "sample_index": (vec_id - start).cast("int"),
+        "shape": F.array(F.lit(1), F.lit(64), F.lit(1))})
+    cut = arrays.array_slice(files, "X", index=35)
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
     return cut.select("file", "sample_index", F.round(total, 4).alias("total"))

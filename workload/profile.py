@@ -45,7 +45,8 @@ def q_missing_summary(spark, sf_dir):
 SELECT count(*)::BIGINT AS n_rows, 6::BIGINT AS n_columns,
        (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d)))::BIGINT AS duplicate_rows,
        (2 * count(*) - count(o_totalprice) - count(o_orderpriority))::BIGINT AS total_missing_cells,
-       round((2 * count(*) - count(o_totalprice) - count(o_orderpriority))::DOUBLE / (6 * count(*)), 9) AS missing_cell_ratio
+       round((2 * count(*) - count(o_totalprice) - count(o_orderpriority))::DOUBLE / (6 * count(*)), 9) AS missing_cell_ratio,
+       (24 * count(*) + 8 * count(o_totalprice) + sum(strlen(o_orderstatus)) + sum(coalesce(strlen(o_orderpriority), 0)))::BIGINT AS size_bytes
 FROM d""")
 def q_overview(spark, sf_dir):
     return rounded(overview(gappy_orders(spark, sf_dir)), 9)
