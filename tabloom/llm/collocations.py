@@ -80,18 +80,35 @@ def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return found
 
 
-Counter = Callable[[str, int, list[bytes], np.ndarray], Iterator[pa.RecordBatch]]
+class _Lot:
+    """The distinct words that a task holds, with what is worked out for them once."""
 
+    def __init__(self, words: list[bytes], bits: np.ndarray | None) -> None:
+        self.words, self.bits, self._frequent = words, bits, {}
+        self.own = _hashes(words) if bits is not None else None
 
-def _mined(batches: Iterator[pa.RecordBatch], count: Counter) -> Iterator[pa.RecordBatch]:
+    def start(self, lang: str) -> np.ndarray:
+        return _mix(np.zeros(1, np.uint64), _hashes([lang.encode()]))
+
+    def frequent(self, lang: str) -> np.ndarray:
+        """Which words may be frequent in a language."""
+        if lang not in self._frequent:
+            self._frequent[lang] = _holds(self.bits, _mix(self.start(lang), self.own))
+            self._frequent[lang][0] = False
+        return self._frequent[lang]
+
+
+Groups = dict[tuple[str, int], np.ndarray]
+Counter = Callable[[_Lot, Groups], Iterator[pa.RecordBatch]]
+
+
+def _mined(batches: Iterator[pa.RecordBatch], count: Counter, bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """What ``count`` makes of the numbered words of each language and shard, a bounded lot at a time."""
     held: dict[tuple[str, int], list[np.ndarray]] = {}
     ids, size = _Ids(), 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        words = list(ids)
-        for (lang, shard), parts in held.items():
-            yield from count(lang, shard, words, np.concatenate(parts))
+        yield from count(_Lot(list(ids), bits), {group: np.concatenate(parts) for group, parts in held.items()})
 
     for batch in batches:
         waiting: dict[tuple[str, int], list[bytes]] = {}
@@ -123,31 +140,35 @@ def _mined(batches: Iterator[pa.RecordBatch], count: Counter) -> Iterator[pa.Rec
         yield from flush()
 
 
-def _count_words(lang: str, shard: int, words: list[bytes], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Words with their counts, and a row without word for the size of the shard."""
-    counts = np.bincount(ids, minlength=len(words))
-    counts[0] = 0
-    seen = np.flatnonzero(counts)
-    names = pa.array([None, *[words[i].decode() for i in seen]], pa.string())
-    yield pa.RecordBatch.from_arrays([
-        pa.array([lang] * len(names), pa.string()), pa.array([shard] + [-1] * len(seen), pa.int32()), names,
-        pa.array(np.concatenate([[counts.sum()], counts[seen]]).astype(np.int64)),
-    ], names=["lang", "shard", "phrase", "n"])
+def _count_words(lot: _Lot, groups: Groups) -> Iterator[pa.RecordBatch]:
+    """Words with their counts in each language, and a row without word for the size of each shard."""
+
+    def rows(lang, shard, names, counts):
+        n = len(counts)
+        return pa.RecordBatch.from_arrays([
+            _repeated(lang, n), pa.array(np.full(n, shard, np.int32)), pa.array(names, pa.string()), pa.array(counts.astype(np.int64)),
+        ], names=["lang", "shard", "phrase", "n"])
+
+    by_lang: dict[str, list[np.ndarray]] = {}
+    for (lang, shard), ids in groups.items():
+        by_lang.setdefault(lang, []).append(ids)
+        yield rows(lang, shard, [None], np.array([np.count_nonzero(ids)]))
+    for lang, parts in by_lang.items():
+        counts = np.bincount(np.concatenate(parts), minlength=1)
+        counts[0] = 0
+        seen = np.flatnonzero(counts)
+        yield rows(lang, -1, [lot.words[i].decode() for i in seen.tolist()], counts[seen])
 
 
-def _starts(ids: np.ndarray, bits: np.ndarray, lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, of the language, and which places hold a word that may be frequent."""
-    own = _hashes(words)
-    start = _mix(np.zeros(1, np.uint64), _hashes([lang.encode()]))
-    frequent = _holds(bits, _mix(start, own))
-    frequent[0] = False
-    return own, start, frequent[ids]
+def _repeated(text: str, n: int) -> pa.Array:
+    return pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([text])).cast(pa.string())
 
 
-def _pairs(ids: np.ndarray, own: np.ndarray, start: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(lot: _Lot, lang: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places where two frequent words follow each other, and the hashes of those pairs."""
+    frequent = lot.frequent(lang)[ids]
     at = np.flatnonzero(frequent[:-1] & frequent[1:])
-    return at, _mix(_mix(start, own[ids[at]]), own[ids[at + 1]])
+    return at, _mix(_mix(lot.start(lang), lot.own[ids[at]]), lot.own[ids[at + 1]])
 
 
 def _longer(ids: np.ndarray, own: np.ndarray, at: np.ndarray, h: np.ndarray, known: np.ndarray, longest: int):
@@ -168,58 +189,54 @@ def _longer(ids: np.ndarray, own: np.ndarray, at: np.ndarray, h: np.ndarray, kno
 def _local_counts(lang: str, shard: int, h: np.ndarray) -> pa.RecordBatch:
     keys, counts = np.unique(h, return_counts=True)
     return pa.RecordBatch.from_arrays([
-        pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(keys), np.int32)), pa.array([lang])).cast(pa.string()),
-        pa.array(np.full(len(keys), shard, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int32)),
+        _repeated(lang, len(keys)), pa.array(np.full(len(keys), shard, np.int32)), pa.array(keys.view(np.int64)),
+        pa.array(counts.astype(np.int32)),
     ], names=["lang", "shard", "h", "n"])
 
 
-def _mine_pairs(bits: np.ndarray) -> Counter:
-    def count(lang, shard, words, ids):
-        own, start, frequent = _starts(ids, bits, lang, words)
-        yield _local_counts(lang, shard, _pairs(ids, own, start, frequent)[1])
+def _mine_pairs(lot: _Lot, groups: Groups) -> Iterator[pa.RecordBatch]:
+    for (lang, shard), ids in groups.items():
+        yield _local_counts(lang, shard, _pairs(lot, lang, ids)[1])
 
-    return count
 
-
-def _mine_longer(bits: np.ndarray, longest: int) -> Counter:
-    def count(lang, shard, words, ids):
-        own, start, frequent = _starts(ids, bits, lang, words)
-        at, h = _pairs(ids, own, start, frequent)
-        for _, _, hashes in _longer(ids, own, at, h, _holds(bits, h), longest):
+def _mine_longer(lot: _Lot, groups: Groups, longest: int) -> Iterator[pa.RecordBatch]:
+    for (lang, shard), ids in groups.items():
+        at, h = _pairs(lot, lang, ids)
+        for _, _, hashes in _longer(ids, lot.own, at, h, _holds(lot.bits, h), longest):
             yield _local_counts(lang, shard, hashes)
 
-    return count
-
 
-def _count_exactly(bits: np.ndarray, longest: int) -> Counter:
+def _count_exactly(lot: _Lot, groups: Groups, longest: int) -> Iterator[pa.RecordBatch]:
     """Candidates as text with their counts; the numbers of their words, not hashes, tell them apart."""
+    words = lot.words
+    by_lang: dict[str, list[np.ndarray]] = {}
+    for (lang, _), ids in groups.items():  # shards don't matter any more; each group ends with the end of a piece
+        by_lang.setdefault(lang, []).append(ids)
 
-    def rows(lang, words, ids, at, keys, size):
+    def rows(lang, ids, at, keys, size):
         _, first, counts = np.unique(keys, return_index=True, return_counts=True)
         lots = ids[at[first][:, None] + np.arange(size)]
         phrases = [b" ".join([words[i] for i in lot]).decode() for lot in lots.tolist()]
         return pa.RecordBatch.from_arrays([
-            pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), size, np.int32)),
+            _repeated(lang, len(phrases)), pa.array(np.full(len(phrases), size, np.int32)),
             pa.array(phrases, pa.string()), pa.array(counts.astype(np.int64)),
         ], names=["lang", "size", "phrase", "n"])
 
-    def count(lang, shard, words, ids):
-        own, start, frequent = _starts(ids, bits, lang, words)
-        at, h = _pairs(ids, own, start, frequent)
-        known = _holds(bits, h)
+    for lang, parts in by_lang.items():
+        ids = np.concatenate(parts)
+        at, h = _pairs(lot, lang, ids)
+        known = _holds(lot.bits, h)
         distinct, code = np.unique(ids[at[known]] * len(words) + ids[at[known] + 1], return_inverse=True)
         key = np.zeros(len(ids) + 1, np.int64)  # of the phrase that begins in each place
         key[at[known]] = code
-        yield rows(lang, words, ids, at[known], code, 2)
-        for size, places, hashes in _longer(ids, own, at, h, known, longest):
+        yield rows(lang, ids, at[known], code, 2)
+        for size, places, hashes in _longer(ids, lot.own, at, h, known, longest):
             # a phrase is its first words and its last two; all first words are still numbered in key
             longer = key[places] * np.int64(len(distinct) + 1) + _code_of(distinct, ids, places + size - 2, len(words))
-            numbers, code = np.unique(longer, return_inverse=True)
+            _, code = np.unique(longer, return_inverse=True)
             key[places] = code
-            on = _holds(bits, hashes)
-            yield rows(lang, words, ids, places[on], code[on], size)
-
-    return count
+            on = _holds(lot.bits, hashes)
+            yield rows(lang, ids, places[on], code[on], size)
 
 
 def _code_of(distinct: np.ndarray, ids: np.ndarray, at: np.ndarray, n_words: int) -> np.ndarray:
@@ -235,6 +252,17 @@ def _add_bits(found: DataFrame, bits: np.ndarray) -> None:
     bits[merged["word"].to_numpy()] |= merged["bits"].to_numpy().view(np.uint64)
 
 
+def _union(local: DataFrame, lower: DataFrame, support: int) -> DataFrame:
+    """Hashes of the phrases that are frequent in some shard.
+
+    All counts of a hash meet in one partition, so their sum over the shards is there too. It is never
+    below the phrase's own count, and phrases that it rules out needn't be counted again.
+    """
+    shards = local.repartition("h").groupBy("lang", "shard", "h").agg(F.sum("n").alias("n")).join(lower, ["lang", "shard"])
+    phrases = shards.groupBy("lang", "h").agg(F.sum("n").alias("total"), F.bool_or(F.col("n") >= F.col("least")).alias("frequent"))
+    return phrases.where(F.col("frequent") & (F.col("total") >= support)).select("h")
+
+
 def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = _hashes([w.as_py().encode() for w in batch.column(1)])
@@ -263,15 +291,15 @@ def phrase_counts(
 
     bits = np.zeros(1 << BITS - 6, np.uint64)
     _add_bits(frequent.select("lang", "phrase").mapInArrow(_word_hashes, "h long"), bits)
-    for mine in (_mine_pairs, lambda b: _mine_longer(b, longest)):
+    for mine in (_mine_pairs, lambda lot, groups: _mine_longer(lot, groups, longest)):
         sent = context.broadcast(bits)
-        local = rows.mapInArrow(lambda it, s=sent, m=mine: _mined(it, m(s.value)), "lang string, shard int, h long, n int")
-        local = local.groupBy("lang", "shard", "h").agg(F.sum("n").alias("n")).join(lower, ["lang", "shard"])
-        _add_bits(local.where("n >= least").select("h"), bits)
+        local = rows.mapInArrow(lambda it, s=sent, m=mine: _mined(it, m, s.value), "lang string, shard int, h long, n int")
+        _add_bits(_union(local, lower, support), bits)
         sent.unpersist()
     sent = context.broadcast(bits)
     exact = rows.mapInArrow(
-        lambda it, s=sent: _mined(it, _count_exactly(s.value, longest)), "lang string, size int, phrase string, n long")
+        lambda it, s=sent: _mined(it, lambda lot, groups: _count_exactly(lot, groups, longest), s.value),
+        "lang string, size int, phrase string, n long")
     exact = exact.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
     return keep(exact.unionByName(frequent), "phrases"), totals
 
