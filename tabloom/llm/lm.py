@@ -1,20 +1,23 @@
 """LM scoring: masked pseudo-likelihood of a bidirectional window network, written in numpy.
 
-A token is the hash of a lower-cased word, one of 65,536. For each position the network adds up an
+A token is the hash of a lower-cased word, one of 64,000. For each position the network adds up an
 embedding of each of the four neighbours (two on either side, a table for each place), applies tanh,
-and predicts the token from that in two steps: one of 256 groups, then one of its 256 members. The sum
-of the log-probabilities of all tokens, each given its neighbours, is the document's score.
+and predicts the token from that in three steps: one of 20 groups, one of the group's 40 parts, and
+one of the part's 80 tokens. The sum of the log-probabilities of all tokens, each given its
+neighbours, is the document's score.
 
 Training is one pass over the whole corpus. As in masked language models, in each document one
 position in sixteen is masked and predicted, and so by sixteen masks in turn until every position
-has been a target once. Every task trains a copy of the same initial network on
-the documents it reads; the copies are averaged, weighted by the positions they were trained on. So
-what is gathered grows with the input up to four copies a core, and what one machine holds does not
-grow: copies travel as blocks that are summed by many tasks, and the driver gets their averages only.
+has been a target once. Texts are dealt by hash to copies of the same initial network, so many that
+each reads about as many bytes; the copies are averaged, weighted by the positions they were trained
+on. So what is gathered grows with the input, scores don't depend on the number of cores, and what
+one machine holds doesn't grow: copies travel as blocks that are summed by many tasks, and the
+driver gets their averages only.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 import zlib
 from collections.abc import Iterator
@@ -29,19 +32,19 @@ from tabloom.llm.common import keep
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
 
-GROUPS = MEMBERS = 256
-TOKENS = GROUPS * MEMBERS
+LEVELS = {"first": 20, "second": 40, "third": 80}  # choices of a step
+TOKENS = math.prod(LEVELS.values())
 WIDTH = 16
 PLACES = (-2, -1, 1, 2)
 SIDE = max(abs(p) for p in PLACES)
 EDGE = TOKENS  # stands beyond either end of a text
 MASKED = 16  # a mask hides one position in so many; so many masks hide all
-BATCH = 4096
+BATCH = 1 << 14
 RATE = 0.2
-CHUNK = 1 << 14
+CHUNK = 1 << 16
 BLOCK = 1 << 12
-COPIES = 4  # a core: a table of many small parts would send the network once for each
-_CACHED = 1 << 18
+COPY_BYTES = 24 << 20  # of text that a copy is trained on, about
+_CACHED = 1 << 19
 
 
 class _Hashes(dict):
@@ -62,10 +65,10 @@ class Network:
 
     SHAPES = {
         "places": (len(PLACES), TOKENS + 1, WIDTH), "hidden": (WIDTH,),
-        "group": (GROUPS, WIDTH + 1), "member": (GROUPS, MEMBERS, WIDTH + 1),  # the last weight is the bias
+        # a node for each choice before; the last weight is the bias
+        "first": (1, 20, WIDTH + 1), "second": (20, 40, WIDTH + 1), "third": (800, 80, WIDTH + 1),
     }
     SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
-    HEAD = int(np.prod(SHAPES["places"]))  # where the parameters after the embeddings begin
 
     def __init__(self, values: np.ndarray):
         self.values, self.space = values, np.empty(0, values.dtype)
@@ -94,61 +97,58 @@ class Network:
             self.space = np.empty(rows * columns, self.values.dtype)
         return self.space[: rows * columns].reshape(rows, columns)
 
-    def _groups(self, hidden: np.ndarray) -> np.ndarray:
-        return np.dot(hidden, self.group.T, out=self._room(hidden.shape[0], GROUPS))
-
-    def _members(self, hidden: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Logits inside each position's own group; positions come sorted by group."""
-        out = self._room(hidden.shape[0], MEMBERS)
-        for g in range(GROUPS):
-            a, b = ends[g], ends[g + 1]
-            if a < b:
-                np.dot(hidden[a:b], self.member[g].T, out=out[a:b])
+    def _logits(self, weights: np.ndarray, spans: list[tuple[int, int, int]], hidden: np.ndarray) -> np.ndarray:
+        """Of each position's choices at one step; positions come sorted by node."""
+        out = self._room(hidden.shape[0], weights.shape[1])
+        for node, a, b in spans:
+            np.dot(hidden[a:b], weights[node].T, out=out[a:b])
         return out
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each position, in the order given. ``context`` has a row for each place."""
-        order, ends = _by_group(target)
+        order = np.argsort(target, kind="stable")
         token, hidden = target[order], self._hidden(context[:, order])
-        wanted = self.group[token // MEMBERS] + self.member.reshape(TOKENS, -1)[token]
+        rows, total = np.arange(order.size), np.zeros(order.size)
+        for name, node, choice in _steps(token):
+            logits = self._logits(getattr(self, name), _spans(node), hidden)
+            total += logits[rows, choice]
+            total -= _exponentials(logits)[2]
         found = np.empty(order.size)
-        found[order] = (hidden * wanted).sum(axis=1) - _log_sum(self._groups(hidden)) - _log_sum(self._members(hidden, ends))
+        found[order] = total
         return found
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of the batch's negative log-probability, in the layout of the parameters."""
         slope = Network(np.zeros_like(self.values))
-        for k, (rows, sums) in enumerate(self.slopes(context, target, slope)):
-            slope.places[k][rows] = sums
+        for view, (rows, sums) in self.slopes(context, target):
+            (slope.places[view] if isinstance(view, int) else getattr(slope, view))[rows] = sums
         return slope.values
 
-    def slopes(self, context: np.ndarray, target: np.ndarray, slope: Network) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Overwrites all of ``slope`` but the embeddings; gives the embeddings met, at each place, and their slopes."""
-        order, ends = _by_group(target)
+    def slopes(self, context: np.ndarray, target: np.ndarray) -> list[tuple[str | int, tuple[np.ndarray, np.ndarray]]]:
+        """By name, or number of a place: the parts that the batch meets, and their slopes."""
+        order = np.argsort(target, kind="stable")
         context, token = context[:, order], target[order]
-        hidden, member = self._hidden(context), self.member.reshape(TOKENS, -1)
-
-        outer, total, _ = _exponentials(self._groups(hidden))
-        np.dot(outer.T, hidden / total, out=slope.group)
-        back = outer @ self.group / total
-        inner, total, _ = _exponentials(self._members(hidden, ends))
-        share, part = hidden / total, np.empty_like(hidden)
-        for g in range(GROUPS):
-            a, b = ends[g], ends[g + 1]
-            if a < b:
-                np.dot(inner[a:b], self.member[g], out=part[a:b])
-                np.dot(inner[a:b].T, share[a:b], out=slope.member[g])
-            else:
-                slope.member[g] = 0
-        back += part / total
-        back -= self.group[token // MEMBERS] + member[token]
-        for view, ids in ((slope.group, token // MEMBERS), (slope.member.reshape(TOKENS, -1), token)):
-            rows, sums = _sums(ids, hidden)
-            view[rows] -= sums
+        hidden, rows = self._hidden(context), np.arange(order.size)
+        back, found = np.zeros_like(hidden), []
+        for name, node, choice in _steps(token):
+            weights, spans = getattr(self, name), _spans(node)
+            logits = self._logits(weights, spans, hidden)
+            _, total, _ = _exponentials(logits)
+            logits /= total
+            logits[rows, choice] -= 1
+            sums = np.empty((len(spans), *weights.shape[1:]), hidden.dtype)
+            part = np.empty_like(hidden)
+            for i, (at, a, b) in enumerate(spans):
+                np.dot(logits[a:b].T, hidden[a:b], out=sums[i])
+                np.dot(logits[a:b], weights[at], out=part[a:b])
+            back += part
+            found.append((name, (np.array([at for at, _, _ in spans]), sums)))
         back = back[:, :WIDTH] * (1 - hidden[:, :WIDTH] ** 2)
-        back.sum(axis=0, out=slope.hidden)
-        orders = [np.argsort(ids) for ids in context]
-        return [_sums(ids[at], back[at]) for ids, at in zip(context, orders)]
+        found.append(("hidden", (np.arange(WIDTH), back.sum(axis=0))))
+        for k, ids in enumerate(context):
+            at = np.argsort(ids, kind="stable")
+            found.append((k, _sums(ids[at], back[at])))
+        return found
 
 
 class Trainer:
@@ -156,33 +156,39 @@ class Trainer:
 
     def __init__(self, seed: int, rate: float):
         self.network, self.rate, self.seen = Network.initial(seed), np.float32(rate), 0
-        self.squares, self.slope = Network(np.full(Network.SIZE, 1e-3, np.float32)), Network(np.zeros(Network.SIZE, np.float32))
-        self.room = np.empty(CHUNK, np.float32)
+        self.squares = Network(np.full(Network.SIZE, 1e-3, np.float32))
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        """Embeddings that the batch doesn't hold have no slope and stay as they are."""
-        met, scale = self.network.slopes(context, target, self.slope), np.sqrt(np.float32(target.size))
-        for k, (rows, sums) in enumerate(met):
+        """What the batch doesn't meet has no slope and stays as it is."""
+        scale = np.sqrt(np.float32(target.size))
+        for name, (rows, sums) in self.network.slopes(context, target):
+            values, seen = ((n.places[name] if isinstance(name, int) else getattr(n, name)) for n in (self.network, self.squares))
             sums /= scale
-            squares = self.squares.places[k][rows] + sums * sums
-            self.squares.places[k][rows] = squares
-            self.network.places[k][rows] -= self.rate * sums / np.sqrt(squares)
-        for at in range(Network.HEAD, Network.SIZE, CHUNK):  # piece by piece, as each stays in the cache
-            part = slice(at, at + CHUNK)
-            slope, squares = self.slope.values[part], self.squares.values[part]
-            slope /= scale
-            room = self.room[: slope.size]
-            squares += np.multiply(slope, slope, out=room)
-            slope *= self.rate
-            slope /= np.sqrt(squares, out=room)
-            self.network.values[part] -= slope
+            if len(rows) == len(values):  # all are met, in order
+                seen += sums * sums
+                values -= self.rate * sums / np.sqrt(seen)
+                continue
+            squares = seen[rows] + sums * sums
+            seen[rows] = squares
+            sums *= self.rate
+            sums /= np.sqrt(squares, out=squares)
+            values[rows] -= sums
         self.seen += target.size
 
 
-def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by token, and where each group begins in it."""
-    order = np.argsort(target, kind="stable")
-    return order, np.searchsorted(target[order], np.arange(GROUPS + 1) * MEMBERS)
+def _steps(token: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """For each step its name, and each token's node and choice there."""
+    rest = TOKENS
+    for name, fan in LEVELS.items():
+        rest //= fan
+        prefix = token // rest
+        yield name, prefix // fan, prefix % fan
+
+
+def _spans(node: np.ndarray) -> list[tuple[int, int, int]]:
+    """The nodes, which come sorted, and where the positions of each begin and end."""
+    starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if node.size else np.zeros(0, np.int64)
+    return list(zip(node[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), node.size]))
 
 
 def _sums(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,11 +208,6 @@ def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return logits, total, (np.log(total) + most)[:, 0]
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    step = 1 << 10  # as much as stays in the cache
-    return np.concatenate([_exponentials(logits[a : a + step])[2] for a in range(0, logits.shape[0], step)])
-
-
 def _contexts(ids: np.ndarray, where: np.ndarray | slice) -> np.ndarray:
     """The neighbours of the given positions, a row for each place."""
     padded = _padded(ids)
@@ -225,27 +226,33 @@ def masked(ids: np.ndarray) -> np.ndarray:
     return np.concatenate([np.arange((first + k) % MASKED, ids.size, MASKED) for k in range(MASKED)])
 
 
-def _train(batches: Iterator[pa.RecordBatch], seed: int, rate: float) -> Iterator[pa.RecordBatch]:
+def _train(texts: Iterator[bytes], seed: int, rate: float) -> Iterator[pa.RecordBatch]:
     trainer, hashes = Trainer(seed, rate), _Hashes()
     contexts, targets, held = [], [], 0
-    for batch in batches:
-        for text in batch.column(0):
-            ids = tokens(text.as_py(), hashes)
-            where, padded = masked(ids), _padded(ids)
-            for at in range(0, where.size, BATCH):
-                part = where[at : at + BATCH]
-                contexts.append(np.stack([padded[part + (SIDE + p)] for p in PLACES]))
-                targets.append(ids[part])
-                held += part.size
-                if held >= BATCH:
-                    trainer.step(np.concatenate(contexts, axis=1), np.concatenate(targets))
-                    contexts, targets, held = [], [], 0
+    for text in texts:
+        ids = tokens(text, hashes)
+        where, padded = masked(ids), _padded(ids)
+        for at in range(0, where.size, BATCH):
+            part = where[at : at + BATCH]
+            contexts.append(np.stack([padded[part + (SIDE + p)] for p in PLACES]))
+            targets.append(ids[part])
+            held += part.size
+            if held >= BATCH:
+                trainer.step(np.concatenate(contexts, axis=1), np.concatenate(targets))
+                contexts, targets, held = [], [], 0
     if held:
         trainer.step(np.concatenate(contexts, axis=1), np.concatenate(targets))
     if trainer.seen:
         yield from _blocks(trainer.network.values.astype(np.float64) * trainer.seen, trainer.seen)
 
 
+def _train_copy(table: pa.Table, seed: int, rate: float) -> pa.Table:
+    """One copy, on its texts in an order of their own."""
+    table = table.sort_by([("place", "ascending"), ("text", "ascending")])
+    done = list(_train((text.as_py() for text in table["text"]), seed, rate))
+    return pa.Table.from_batches(done, schema=EMPTY)
+
+
 def _blocks(values: np.ndarray, weight: float) -> Iterator[pa.RecordBatch]:
     starts = range(0, values.size, BLOCK)
     parts = pa.array([values[a : a + BLOCK].astype(np.float32) for a in starts], pa.list_(pa.float32()))
@@ -271,13 +278,18 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 SCHEMA = "block int, weight double, part array<float>"
+EMPTY = pa.schema([("block", pa.int32()), ("weight", pa.float64()), ("part", pa.list_(pa.float32()))])
 
 
-def fit(docs: DataFrame, text_col: str = "text", seed: int = 4, rate: float = RATE) -> np.ndarray:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 4, rate: float = RATE, copy_bytes: int = COPY_BYTES) -> np.ndarray:
     """The averaged parameters, a fixed number of them; of a corpus without a word, the initial ones."""
-    texts = docs.select(F.col(text_col).cast("binary").alias("text"))
-    copies = texts.coalesce(COPIES * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(lambda it: _train(it, seed, rate), SCHEMA)
-    mean = keep(copies.repartition("block").mapInArrow(_sum, SCHEMA), "network")
+    body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(body)), F.lit(0))).first()[0]
+    copies = max(1, math.ceil(size / copy_bytes))
+    place = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    texts = docs.select(F.pmod(F.shiftright(place, 8), F.lit(copies)).cast("int").alias("copy"), place.alias("place"), body.alias("text"))
+    trained = texts.groupBy("copy").applyInArrow(lambda table: _train_copy(table, seed, rate), SCHEMA)
+    mean = keep(trained.repartition("block").mapInArrow(_sum, SCHEMA), "network")
     parts = mean.orderBy("block").select("part").toArrow().column(0)
     return np.concatenate([c.flatten().to_numpy() for c in parts.chunks]) if len(parts) else Network.initial(seed).values
 
@@ -307,8 +319,8 @@ def _summed(network: Network, contexts: list, targets: list, owners: list, n: in
 def _score(batches: Iterator[pa.RecordBatch], values: np.ndarray) -> Iterator[pa.RecordBatch]:
     network, hashes = Network(values), _Hashes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
             texts = [tokens(text.as_py(), hashes) for text in part.column(1)]
             sizes = pa.array([ids.size for ids in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(_log_sums(network, texts))], names=["doc_id", "n_tokens", "log_prob"])
@@ -323,6 +335,7 @@ def score(docs: DataFrame, values: np.ndarray, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(values)  # Network.SIZE numbers, whatever the corpus
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    scored = rows.mapInArrow(lambda it: _score(it, shared.value), "doc_id long, n_tokens long, log_prob double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    scored = rows.mapInArrow(lambda it: _score(it, shared.value), f"doc_id {kind}, n_tokens long, log_prob double")
     return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

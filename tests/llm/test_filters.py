@@ -166,7 +166,7 @@ def test_every_position_is_a_target_once(monkeypatch):
     monkeypatch.setattr(lm.Trainer, "step", lambda self, context, target: seen.append((context, target)))
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 900, n)) for n in (0, 1, 7, 15, 16, 17, 500, 3 * lm.BATCH + 5)]
-    list(lm._train(iter([pa.RecordBatch.from_pydict({"text": [t.encode() for t in texts]})]), 4, lm.RATE))
+    list(lm._train((t.encode() for t in texts), 4, lm.RATE))
     ids = [lm.tokens(t.encode(), lm._Hashes()) for t in texts]
     want = np.concatenate([np.vstack([lm._contexts(x, slice(None)), x]) for x in ids], axis=1)
     got = np.vstack([np.concatenate([c for c, _ in seen], axis=1), np.concatenate([t for _, t in seen])])
