@@ -1,9 +1,11 @@
 """Model queries.
 
 Linear models on one feature have a closed form, so their metrics, predictions, cross-validation and
-search are recomputed in SQL on the same md5 split. Of other models the SQL checks what must hold
-whatever the fit: the rows tested of each class, totals, ranges, and that a better than constant
-guess was learned.
+search are recomputed in SQL on the same md5 split. Boosting on one or two features is recomputed
+round by round: second-order trees, a tree of three leaves, softmax, and the Shapley values and
+importances of a tree of two levels. Of whole training runs of other models the SQL checks what must
+hold whatever the fit: the rows tested of each class, totals and ranges. That forests' Shapley values
+add up to the forest's own probabilities is checked row by row.
 """
 
 from pyspark.ml.feature import VectorAssembler
