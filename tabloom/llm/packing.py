@@ -35,7 +35,7 @@ WINDOW, END = 2048, 1
 SHARD_BYTES = 8 << 20  # text of a shard, on average
 NEIGHBOURS = 32  # unused documents asked for at a time
 QUERY_TOKENS = 32  # a seed's weightiest tokens, which the index is asked with
-MOST_KNOWN = 600_000  # words whose ids a worker remembers
+MOST_KNOWN, MOST_PIECES = 900_000, 300_000  # words and pieces whose ids a worker remembers
 # fixed values: how the tokenizer cuts words into pieces
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 TOGETHER = 256  # texts whose words are encoded together
@@ -133,7 +133,7 @@ class Tokens:
     def _learn(self, fresh: set[bytes]) -> None:
         if len(self.known) + len(fresh) > MOST_KNOWN:
             self.known.clear()
-        if len(self.pieces) > MOST_KNOWN:
+        if len(self.pieces) > MOST_PIECES:
             self.pieces.clear()
             self.unsafe.clear()
         words = list(fresh)
@@ -232,11 +232,12 @@ class Index:
             return []
         rows = np.concatenate([self.rows[at] for at in lists])
         impact = np.concatenate([self.impact[at] for at in lists])
-        on = unused[rows]
-        rows, where = np.unique(rows[on], return_inverse=True)
-        scores = np.bincount(where, weights=impact[on], minlength=len(rows))
-        order = np.lexsort((rows, -scores))[:k]
-        return rows[order].tolist()
+        scores = np.bincount(rows, weights=impact, minlength=len(unused))
+        scores[~unused] = 0
+        found = np.flatnonzero(scores)
+        if len(found) > k:
+            found = found[scores[found] >= np.partition(scores[found], -k)[-k]]
+        return found[np.argsort(-scores[found], kind="stable")][:k].tolist()
 
 
 def plan(docs: list[np.ndarray], window: int = WINDOW, neighbours: int = NEIGHBOURS) -> list[list[tuple[int, int, int]]]:
