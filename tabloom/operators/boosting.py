@@ -2,8 +2,10 @@
 
 Features are binned once, at quantiles, and kept as blocks of bytes. For each level of a round the
 tasks sum gradient, second derivative and count by node, feature and bin; these sums, whose size
-depends on the features alone, are added up on the way to the driver, which picks the splits. Several
-classes are boosted together: one tree per class and round, on the same passes.
+depends on the features alone, are added up by node, and the task that has a node's sums picks its
+split: the driver gets one split per node. A feature has as many sums as it has bins. Of features with
+two bins, like those of one-hot levels, only the rows in the second are visited; the first has the rest.
+Several classes are boosted together: one tree per class and round, on the same passes.
 
 Growth by leaf always splits the leaf that gains most until the leaves are used up. Which leaves that
 will be isn't known in advance, but what a split would give is the same whenever it is made; so the
@@ -23,7 +25,7 @@ import math
 import sys
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
@@ -47,7 +49,9 @@ BINS = 256
 SKETCH_ACCURACY = 10_000
 SLOTS_PER_SCAN = 120  # above 128 groups Spark sorts where a sketch is aggregated
 CELLS_PER_TASK = 1 << 23
-REFRESH = 10  # rounds after which the blocks' scores are brought up to date and kept
+BLOCK_ROWS = 1 << 16  # small blocks of a task are joined up to this
+# rounds after which the blocks' scores are brought up to date and kept; trees grown by leaf take more passes
+REFRESH, REFRESH_LEAVES = 10, 4
 # Fixed value: hessians never fall below this.
 LEAST_HESSIAN = 1e-16
 
@@ -66,14 +70,65 @@ class Rules:
 # ---------------------------------------------------------------- in tasks
 
 
+class Layout:
+    """Where the bins of some features lie among a node's sums, side by side.
+
+    ``sizes`` are the bins of all features. ``cuts`` are the places of all bins but each feature's last.
+    """
+
+    def __init__(self, features: list[int], sizes: np.ndarray) -> None:
+        own = sizes[features]
+        self.features = features
+        self.first = np.concatenate([[0], np.cumsum(own)])
+        self.width = int(self.first[-1])
+        self.many = np.flatnonzero(own > 2)
+        self.few = np.flatnonzero(own <= 2)
+        self.pairs = np.flatnonzero(own == 2)
+        self.pair_of = np.full(len(sizes), -1)
+        self.pair_of[np.asarray(features)[self.pairs]] = np.arange(len(self.pairs))
+        is_cut = np.ones(self.width, bool)
+        is_cut[self.first[1:] - 1] = False
+        self.cuts = np.flatnonzero(is_cut)
+        self.place = np.repeat(np.arange(len(features)), own)[self.cuts]
+
+    def bins(self, j: int) -> slice:
+        return slice(self.first[j], self.first[j + 1])
+
+
 @dataclass
 class Block:
-    """Some rows: bins (features x rows), labels, scores (classes x rows) and a number that is theirs."""
+    """Some rows: bins (features x rows), labels, scores (classes x rows) and the pieces it was joined from.
+
+    A piece has a number that is its own, and its rows. ``ones`` are the features and rows of the cells
+    in the second of two bins.
+    """
 
     bins: np.ndarray
     labels: np.ndarray
     scores: np.ndarray
-    number: int
+    pieces: list[tuple[int, int]]
+    ones: tuple[np.ndarray, np.ndarray]
+
+
+def _joined(pieces: Iterator[tuple[np.ndarray, np.ndarray, int]], start: np.ndarray, sizes: np.ndarray) -> Iterator[Block]:
+    """Blocks of the pieces (bins, labels, number) of a task, which may be many and small."""
+    pairs = np.flatnonzero(sizes == 2)
+
+    def block(some):
+        bins, labels = np.concatenate([b for b, _, _ in some], axis=1), np.concatenate([y for _, y, _ in some])
+        feature, row = np.nonzero(bins[pairs])
+        ones = (pairs[feature].astype(np.int32), row.astype(np.int32))
+        return Block(bins, labels, np.repeat(start[:, None], len(labels), axis=1), [(number, len(y)) for _, y, number in some], ones)
+
+    some, rows = [], 0
+    for piece in pieces:
+        if some and rows + len(piece[1]) > BLOCK_ROWS:
+            yield block(some)
+            some, rows = [], 0
+        some.append(piece)
+        rows += len(piece[1])
+    if some:
+        yield block(some)
 
 
 @dataclass
@@ -97,15 +152,17 @@ class BinnedTree:
         self.feature[node], self.cut[node], self.left[node], self.right[node] = feature, cut, left, left + 1
         return left, left + 1
 
-    def node_of(self, bins: np.ndarray) -> np.ndarray:
+    def node_of(self, bins: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
+        """The leaf of each row; ``node`` are nodes above them that are known already."""
         feature, cut, left, right = (np.array(a) for a in (self.feature, self.cut, self.left, self.right))
-        node, rows = np.zeros(bins.shape[1], np.int64), np.arange(bins.shape[1])
-        while True:
-            inside = feature[node] != LEAF
-            if not inside.any():
-                return node
-            goes_left = bins[np.maximum(feature[node], 0), rows] <= cut[node]
-            node = np.where(inside, np.where(goes_left, left[node], right[node]), node)
+        node = np.zeros(bins.shape[1], np.int32) if node is None else node.copy()
+        rows = np.flatnonzero(feature[node] != LEAF)
+        while len(rows):  # only rows that aren't in a leaf yet go on
+            at = node[rows]
+            at = np.where(bins[feature[at], rows] <= cut[at], left[at], right[at])
+            node[rows] = at
+            rows = rows[feature[at] != LEAF]
+        return node
 
 
 def derivatives(objective: str, labels: np.ndarray, scores: np.ndarray, hessian_scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -139,35 +196,59 @@ def _brought_up(block: Block, rounds: list[list[BinnedTree]]) -> np.ndarray:
 
 def _histograms(
     blocks: Iterator[Block], objective: str, hessian_scale: float, rounds: list[list[BinnedTree]],
-    growing: list[BinnedTree], wanted: list[tuple[int, int]], features: list[int], sample: float, seed: int, number: int,
-) -> Iterator[np.ndarray]:
-    """``wanted nodes x features x bins x 3``: sums of gradient, second derivative and rows."""
-    total = np.zeros((len(wanted), len(features), BINS, 3))
-    for block in blocks:
-        g, h = derivatives(objective, block.labels, _brought_up(block, rounds), hessian_scale)
-        n = block.bins.shape[1]
-        drawn = np.ones(n, bool)
-        if sample < 1:
-            drawn = np.random.default_rng([seed, number, block.number]).random(n) < sample
+    growing: list[BinnedTree], wanted: list[tuple[int, int]], layout: Layout, sample: float, seed: int, number: int, seen: dict | None = None,
+) -> np.ndarray:
+    """``wanted nodes x bins of the layout x 3``: sums of gradient, second derivative and rows.
+
+    ``seen`` keeps what doesn't change within a round, and the rows' nodes, for its next pass.
+    """
+    total = np.zeros((len(wanted), layout.width, 3))
+    for place_of, block in enumerate(blocks):
+        state = seen.get(place_of) if seen is not None else None
+        if state is None:
+            drawn = np.ones(len(block.labels), bool)
+            if sample < 1:
+                drawn = np.concatenate([np.random.default_rng([seed, number, own]).random(n) < sample for own, n in block.pieces])
+            state = (*derivatives(objective, block.labels, _brought_up(block, rounds), hessian_scale), drawn, {})
+            if seen is not None:
+                seen[place_of] = state
+        g, h, drawn, nodes = state
+        pair, row = layout.pair_of[block.ones[0]], block.ones[1]
         for k, tree in enumerate(growing):
             mine = [(i, node) for i, (of, node) in enumerate(wanted) if of == k]
             if not mine:
                 continue
             place = np.full(len(tree.feature), -1)
             place[[node for _, node in mine]] = range(len(mine))
-            at = place[tree.node_of(block.bins)]
-            rows = np.flatnonzero((at >= 0) & drawn)
-            at, bins = at[rows] * BINS, block.bins[:, rows]
-            slots = [i for i, _ in mine]
-            for j, f in enumerate(features):
-                code = at + bins[f]
-                for s, weights in enumerate((g[k, rows], h[k, rows], None)):
-                    total[slots, j, :, s] += np.bincount(code, weights, len(mine) * BINS).reshape(len(mine), BINS)
-    yield total
+            nodes[k] = tree.node_of(block.bins, nodes.get(k))
+            node = np.where(drawn, place[nodes[k]], -1)
+            rows = np.flatnonzero(node >= 0)
+            at, slots = node[rows], [i for i, _ in mine]
+            weights = (g[k, rows], h[k, rows], None)
+            for j in layout.many:
+                bins = layout.bins(j)
+                size = bins.stop - bins.start
+                code = at * size + block.bins[layout.features[j], rows]
+                for s, weight in enumerate(weights):
+                    total[slots, bins, s] += np.bincount(code, weight, len(mine) * size).reshape(len(mine), size)
+            if not len(layout.few):
+                continue
+            inside = (pair >= 0) & (node[row] >= 0)
+            n_pairs, visited = len(layout.pairs), row[inside]
+            code = node[visited] * n_pairs + pair[inside]
+            first = layout.first[layout.few]
+            second = layout.first[layout.pairs] + 1
+            for s, (weight, every) in enumerate(zip(weights, (g[k], h[k], None))):
+                total[np.ix_(slots, first, [s])] += np.bincount(at, weight, len(mine))[:, None, None]
+                if n_pairs:
+                    ones = np.bincount(code, None if every is None else every[visited], len(mine) * n_pairs).reshape(len(mine), n_pairs, 1)
+                    total[np.ix_(slots, second, [s])] += ones
+                    total[np.ix_(slots, second - 1, [s])] -= ones
+    return total
 
 
 def _refreshed(block: Block, rounds: list[list[BinnedTree]]) -> Block:
-    return Block(block.bins, block.labels, _brought_up(block, rounds), block.number)
+    return replace(block, scores=_brought_up(block, rounds))
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -193,25 +274,33 @@ def _binned(batches: Iterator[pa.RecordBatch], edges: list[np.ndarray]) -> Itera
                 [pa.array([bins.tobytes()], pa.binary()), pa.array([labels.tobytes()], pa.binary())], names=["bins", "labels"])
 
 
-# ---------------------------------------------------------------- splits, on the driver
+# ---------------------------------------------------------------- splits
 
 
 @dataclass
 class Split:
+    """``left``: the sums of the rows that go there."""
+
     gain: float
     feature: int
     cut: int
+    left: np.ndarray
 
 
-def best_split(sums: np.ndarray, features: list[int], rules: Rules) -> Split | None:
-    """The split that gains most from a node's ``features x bins x 3``; on ties the first feature and cut.
+def best_split(sums: np.ndarray, layout: Layout, rules: Rules) -> tuple[np.ndarray, Split | None]:
+    """The total of a node's ``bins x 3`` and the split that gains most; on ties the first feature and cut.
 
     Sums differ in their last bits with the order of the tasks, so gains that come as near as that
     count as equal, and a rerun picks the same split.
     """
-    left = np.cumsum(sums, axis=1)[:, :-1]
-    right = sums.sum(axis=1, keepdims=True) - left
-    total = sums[0].sum(axis=0)
+    total = sums[layout.bins(0)].sum(axis=0)
+    if not len(layout.cuts):
+        return total, None
+    left = sums.copy()
+    for j in layout.many:
+        np.cumsum(sums[layout.bins(j)], axis=0, out=left[layout.bins(j)])
+    left = left[layout.cuts]
+    right = total - left
 
     def rated(part):
         weight = part[..., 2] if rules.unit_gain else part[..., 1]
@@ -225,9 +314,10 @@ def best_split(sums: np.ndarray, features: list[int], rules: Rules) -> Split | N
     most = float(gain.max())
     # below this share of the node's own rating a gain is rounding
     if not most > 1e-12 * max(float(rated(total)), 1e-300):
-        return None
-    j, cut = np.unravel_index(np.argmax(gain >= most * (1 - 1e-9)), gain.shape)
-    return Split(float(gain[j, cut]), features[j], int(cut))
+        return total, None
+    at = int(np.argmax(gain >= most * (1 - 1e-9)))
+    j = layout.place[at]
+    return total, Split(float(gain[at]), layout.features[j], int(layout.cuts[at] - layout.first[j]), left[at])
 
 
 class Growing:
@@ -281,17 +371,13 @@ class Growing:
                 push(child)
         return []
 
-    def take(self, node: int, sums: np.ndarray, features: list[int]) -> None:
-        self.sums[node] = sums[0].sum(axis=0)
-        self.splits[node] = best_split(sums, features, self.rules)
-        split = self.splits[node]
-        if split:
-            self.sums[node, "left"] = sums[features.index(split.feature), : split.cut + 1].sum(axis=0)
+    def take(self, node: int, total: np.ndarray, split: Split | None) -> None:
+        self.sums[node], self.splits[node] = total, split
 
     def _total(self, node: int, parent: int | None, side: str) -> np.ndarray:
         if node in self.sums:
             return self.sums[node]
-        left = self.sums[parent, "left"]
+        left = self.splits[parent].left
         return left if side == "left" else self.sums[parent] - left
 
     def finish(self) -> tuple[BinnedTree, np.ndarray, np.ndarray]:
@@ -333,39 +419,60 @@ class Plan:
     rules: Rules
     row_share: float
     feature_share: float
-    width: int
+    sizes: np.ndarray  # bins of each feature
     outputs: int
     seed: int
 
+    @property
+    def width(self) -> int:
+        return len(self.sizes)
+
 
 class Spread:
-    """Blocks of many tasks: sums are added up among them, and scores are kept by the executors."""
+    """Blocks of many tasks: sums are added up and split among them, and scores are kept by the executors."""
 
     def __init__(self, blocks: RDD) -> None:
-        self.blocks = blocks
+        self.blocks, self.older = blocks, None
 
-    def sums(self, *args: Any) -> np.ndarray:
-        return self.blocks.mapPartitions(lambda it: _histograms(it, *args)).treeReduce(np.add)
+    def splits(self, wanted: list, layout: Layout, rules: Rules, *args: Any) -> list[tuple[np.ndarray, Split | None]]:
+        sums = self.blocks.mapPartitions(lambda it: enumerate(_histograms(it, *args)))
+        parts = min(len(wanted), self.blocks.getNumPartitions())
+        best = dict(sums.reduceByKey(np.add, parts).mapValues(lambda one: best_split(one, layout, rules)).collect())
+        if self.older is not None:  # this pass has filled the newer one
+            self.older.unpersist()
+            self.older = None
+        return [best[i] for i in range(len(wanted))]
 
     def refresh(self, rounds: list[list[BinnedTree]]) -> None:
-        older = self.blocks
-        self.blocks = older.map(lambda b: _refreshed(b, rounds)).persist(StorageLevel.MEMORY_AND_DISK)
-        self.blocks.count()
-        older.unpersist()
+        self.older = self.blocks
+        self.blocks = self.older.map(lambda b: _refreshed(b, rounds)).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def refresh_after(self, plan: Plan) -> int:
+        return REFRESH if plan.leaves is None else REFRESH_LEAVES
+
+    def release(self) -> None:
+        for blocks in (self.blocks, self.older):
+            if blocks is not None:
+                blocks.unpersist()
 
 
 class Local:
     """Blocks of one task."""
 
     def __init__(self, blocks: list[Block]) -> None:
-        self.blocks = blocks
+        self.blocks, self.round, self.seen = blocks, None, {}
 
-    def sums(self, *args: Any) -> np.ndarray:
-        return next(_histograms(iter(self.blocks), *args))
+    def splits(self, wanted: list, layout: Layout, rules: Rules, *args: Any) -> list[tuple[np.ndarray, Split | None]]:
+        if args[-1] != self.round:
+            self.round, self.seen = args[-1], {}
+        return [best_split(one, layout, rules) for one in _histograms(iter(self.blocks), *args, self.seen)]
 
     def refresh(self, rounds: list[list[BinnedTree]]) -> None:
         self.blocks = [_refreshed(b, rounds) for b in self.blocks]
 
+    def refresh_after(self, plan: Plan) -> int:
+        return 1
+
 
 def grow(data: Spread | Local, plan: Plan) -> list[list[tuple[BinnedTree, np.ndarray, np.ndarray]]]:
     """For each round the trees of all classes, with the rows and gain of each node."""
@@ -376,17 +483,19 @@ def grow(data: Spread | Local, plan: Plan) -> list[list[tuple[BinnedTree, np.nda
         features = everything
         if plan.feature_share < 1:
             features = sorted(draw.choice(plan.width, max(1, int(plan.feature_share * plan.width)), replace=False).tolist())
+        layout = Layout(features, plan.sizes)
         trees = [Growing(plan.rules, plan.rate, plan.depth, plan.leaves) for _ in range(plan.outputs)]
         recent = [[tree for tree, _, _ in done] for done in grown[fresh:]]
         while wanted := [(k, node) for k, tree in enumerate(trees) for node in tree.wanted()]:
-            sums = data.sums(
-                plan.objective, plan.hessian_scale, recent, [t.tree for t in trees], wanted, features, plan.row_share, plan.seed, number)
-            for (k, node), one in zip(wanted, sums):
-                trees[k].take(node, one, features)
+            found = data.splits(
+                wanted, layout, plan.rules, plan.objective, plan.hessian_scale, recent, [t.tree for t in trees], wanted, layout,
+                plan.row_share, plan.seed, number)
+            for (k, node), (total, split) in zip(wanted, found):
+                trees[k].take(node, total, split)
         grown.append([tree.finish() for tree in trees])
         if plan.row_share == 1 and len(features) == plan.width and all(len(tree.feature) == 1 for tree, _, _ in grown[-1]):
             break  # no split helps, now or later
-        if len(grown) - fresh == REFRESH and number + 1 < plan.rounds:
+        if len(grown) - fresh == data.refresh_after(plan) and number + 1 < plan.rounds:
             data.refresh([[tree for tree, _, _ in done] for done in grown[fresh:]])
             fresh = len(grown)
     return grown
@@ -446,13 +555,14 @@ class HistogramBoosting(Estimator, _BoostingParams):
         plan = Plan(
             objective, get("hessianScale"), get("rounds"), get("rate"), get("maxDepth"), get("maxLeaves") or None,
             Rules(get("l2"), get("minWeight"), get("minRows"), get("unitGain"), get("leafScale")),
-            get("rowShare"), get("featureShare"), width, outputs, self.getSeed())
+            get("rowShare"), get("featureShare"), _sizes(edges), outputs, self.getSeed())
         if blocks.getNumPartitions() == 1:
             # what a single task holds is grown inside it, by the same steps: a job for all rounds
             grown = blocks.mapPartitions(lambda it, p=plan: [grow(Local(list(it)), p)]).collect()[0]
         else:
-            grown = grow(Spread(blocks), plan)
-        blocks.unpersist()
+            data = Spread(blocks)
+            grown = grow(data, plan)
+            data.release()
         model = HistogramBoostingModel()
         self._copyValues(model)
         flat = [
@@ -479,17 +589,23 @@ class HistogramBoosting(Estimator, _BoostingParams):
         """The binned rows, kept on the executors; what is lost is computed anew from the table."""
         width, outputs = len(edges), len(start)
 
-        def load(row) -> Block:
+        sizes = _sizes(edges)
+
+        def load(row) -> tuple[np.ndarray, np.ndarray, int]:
             labels = np.frombuffer(row["labels"])
             bins = np.frombuffer(row["bins"], np.uint8).reshape(width, len(labels))
-            return Block(bins, labels, np.repeat(start[:, None], len(labels), axis=1), zlib.crc32(row["labels"], zlib.crc32(row["bins"])))
+            return bins, labels, zlib.crc32(row["labels"], zlib.crc32(row["bins"]))
 
         binned = rows.mapInArrow(lambda it: _binned(it, edges), "bins binary, labels binary")
         parts = math.ceil(n_rows * (width + 8 * outputs) / CELLS_PER_TASK)
-        loaded = binned.rdd.map(load).coalesce(max(1, parts))
+        loaded = binned.rdd.map(load).coalesce(max(1, parts)).mapPartitions(lambda it: _joined(it, start, sizes))
         return loaded.persist(StorageLevel.MEMORY_AND_DISK) if parts > 1 else loaded
 
 
+def _sizes(edges: list[np.ndarray]) -> np.ndarray:
+    return np.array([len(e) + 1 for e in edges], np.int64)
+
+
 def bin_edges(rows: DataFrame, width: int) -> list[np.ndarray]:
     """Upper edges of all bins but the last of each slot of ``x``: one half for 0/1, else quantiles."""
     binary = dict(rows.select("x").mapInArrow(lambda it: _ranges(it, width), "slot int, binary boolean").groupBy("slot").agg(

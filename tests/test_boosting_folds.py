@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import pickle
 
 import numpy as np
 import pytest
@@ -149,6 +150,38 @@ def test_many_tasks_give_the_trees_of_one(spark, monkeypatch, name):
         assert np.allclose(one["value"], other["value"]) and one["cover"] == other["cover"]
 
 
+def one_hot(seed, n=300):
+    rng = np.random.default_rng(seed)
+    level = rng.integers(0, 6, n)
+    x = np.column_stack([rng.integers(0, 30, n), *[level == i for i in range(6)]]).astype(float)
+    return x, x[:, 0] / 10 + 2.0 * (level == 3) - (level == 5) + rng.normal(size=n) * 0.1
+
+
+def test_one_hot_levels_in_many_small_pieces_equal_plain(spark):
+    x, y = one_hot(11)
+    frame = vectors(spark, x, y).repartition(12)
+    model = make_model("regression", "LightGBM Regressor", n_estimators=3, num_leaves=6).fit(frame)
+    want = plain_boosting(x, squared(y), 1, [y.mean()], 3, 0.06, ("leaves", 6), 0.0, 1e-3, 20, False)
+    assert np.allclose(fitted_scores(spark, model, x, y), want)
+
+
+def test_sums_take_only_the_bins_there_are_and_stay_in_the_tasks(spark):
+    x, y = one_hot(12)
+    bins, sizes = x.astype(np.uint8).T.copy(), np.array([30] + [2] * 6)
+    layout = boosting.Layout(list(range(7)), sizes)
+    assert layout.width == 30 + 2 * 6
+    pieces = [(bins[:, i : i + 25], y[i : i + 25], i) for i in range(0, 300, 25)]
+    blocks = list(boosting._joined(iter(pieces), np.zeros(1), sizes))
+    assert len(blocks) == 1 and len(blocks[0].pieces) == 12
+    args = ([(0, 0)], layout, boosting.Rules(), "squared", 1.0, [], [boosting.BinnedTree.stump()], [(0, 0)], layout, 1.0, 1, 0)
+    alone = boosting.Local(blocks).splits(*args)
+    parts = [b for i in range(0, 12, 4) for b in boosting._joined(iter(pieces[i : i + 4]), np.zeros(1), sizes)]
+    many = boosting.Spread(spark.sparkContext.parallelize(parts, 3)).splits(*args)
+    for (total, split), (other, same) in zip(alone, many, strict=True):
+        assert np.allclose(total, other) and total[2] == 300 and (split.feature, split.cut) == (same.feature, same.cut)
+        assert np.allclose(split.left, same.left) and len(pickle.dumps((other, same))) < 1000
+
+
 def test_scores_are_kept_across_refreshes(spark):
     x, y = some_data(3, 120)
     model = make_model("regression", "Gradient Boosting Regressor", n_estimators=23, max_depth=2).fit(vectors(spark, x, y))
