@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from tabloom.sources.delimited import TableError, first_rows, read_csv, read_tab
 from tabloom.sources.npz import read_npz
 from tabloom.sources.run_log import append_run, load_runs, parse_runs, run_record, usable_targets
 from tabloom.sources.sinks import write_predictions, write_report
+from workload import ingest
 
 ROWS = "\n".join(f"{i},{i / 2},n{i}" for i in range(8))
 
@@ -186,3 +189,13 @@ def test_first_rows(spark, size):
     df = spark.range(0, 100, 1, 7).selectExpr("id", "id * 2 AS x")
     assert [r["id"] for r in first_rows(df, size).orderBy("id").collect()] == list(range(min(size, 100)))
     assert first_rows(df.where("id < 0"), size).count() == 0
+
+
+def test_latin1_files_grow_in_number_with_the_text(spark, tmp_path, monkeypatch):
+    rows = [(i, f"row {i} " + ("caf\u00e9 " if i % 2 else "") + "x" * 100) for i in range(400)] + [(400, None), (401, "\u4e2d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(ingest, "LATIN1_FILE_BYTES", 5000)
+    found = ingest.q_latin1_late_ingest(spark, str(tmp_path))
+    assert len(found.inputFiles()) >= 8
+    want = {(i, hashlib.md5(text.encode()).hexdigest()) for i, text in rows[:400]}
+    assert {tuple(r) for r in found.collect()} == want

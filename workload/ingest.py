@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import sys
 
 import numpy as np
@@ -133,16 +134,21 @@ def q_run_log_rejected(spark, sf_dir):
     return rejected_runs(_run_lines(spark, sf_dir), F.col("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
+LATIN1_FILE_BYTES = 1 << 26
+
+
 @query("latin1_late_ingest", """
 SELECT doc_id, md5(replace(replace(text, chr(10), ' '), '"', '')) AS digest FROM documents
 WHERE NOT regexp_matches(text, '[^\x01-\xff]')""")
 def q_latin1_late_ingest(spark, sf_dir):
-    # in each file first the rows in ASCII and then the others: only its end tells the encoding
+    # in each file first the rows in ASCII and then the others: only its end tells the encoding. The files
+    # grow in number with the text, four at least
     folder = scratch_folder(spark, "latin1")
     documents = table(spark, sf_dir, "documents").where(~F.regexp_like("text", F.lit("[^\\x01-\\xff]")))
     text = F.translate(F.translate("text", "\n", " "), '"', "")
     rows = documents.select("doc_id", text.alias("body"), F.regexp_like("text", F.lit("[^\\x01-\\x7f]")).alias("late"))
-    rows.repartitionByRange(4, "doc_id").sortWithinPartitions("late", "doc_id").drop("late").write.option("header", True).option("encoding", "ISO-8859-1").csv(folder)
+    size = rows.agg(F.sum(F.octet_length("body")).alias("size")).first()["size"] or 0
+    rows.repartitionByRange(max(4, math.ceil(size / LATIN1_FILE_BYTES)), "doc_id").sortWithinPartitions("late", "doc_id").drop("late").write.option("header", True).option("encoding", "ISO-8859-1").csv(folder)
     df, _ = read_table(spark, f"{folder}/*.csv")
     return df.select("doc_id", F.md5("body").alias("digest"))
 
