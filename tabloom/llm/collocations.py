@@ -36,6 +36,7 @@ SHARDS = 8
 CHUNK_WORDS = 1 << 22  # words held by a task before it sends its counts
 TEXT_BYTES = 1 << 20  # texts are cut into words together up to this size
 BITS = 27  # the set of candidates has 2^BITS bits, 16 MB
+SLICE = 1 << 18  # hashes looked up at once
 PROBES = (0, 21, 37)  # each candidate sets one bit for each: its hash, shifted right
 SALTS = 64  # parts in which the best of a language are found first
 BREAK = b"\xff"  # in no UTF-8 text
@@ -63,8 +64,10 @@ class _Ids(dict):
 
 def _mix(h: np.ndarray, more: np.ndarray) -> np.ndarray:
     """Hash of a phrase from that of its beginning and of its next word."""
-    h = (h ^ more) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
+    h = h ^ more
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -74,9 +77,11 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which hashes may be in the set."""
     found = np.ones(len(h), bool)
-    for shift in PROBES:
-        at = (h >> np.uint64(shift)) & np.uint64((1 << BITS) - 1)
-        found &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    for begin in range(0, len(h), SLICE):
+        some = slice(begin, begin + SLICE)
+        for shift in PROBES:
+            at = (h[some] >> np.uint64(shift)) & np.uint64((1 << BITS) - 1)
+            found[some] &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
     return found
 
 
@@ -108,7 +113,8 @@ def _mined(batches: Iterator[pa.RecordBatch], count: Counter, bits: np.ndarray |
     ids, size = _Ids(), 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        yield from count(_Lot(list(ids), bits), {group: np.concatenate(parts) for group, parts in held.items()})
+        groups = {group: np.concatenate(held.pop(group)) for group in list(held)}
+        yield from count(_Lot(list(ids), bits), groups)
 
     for batch in batches:
         waiting: dict[tuple[str, int], list[bytes]] = {}
@@ -119,7 +125,7 @@ def _mined(batches: Iterator[pa.RecordBatch], count: Counter, bits: np.ndarray |
             for group, texts in waiting.items():
                 body = BREAK.join([*texts, b""]).translate(_TABLE).replace(BREAK, b" \xff ")
                 words = body.split()
-                held.setdefault(group, []).append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+                held.setdefault(group, []).append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
                 read += len(words)
             waiting.clear()
             return read
@@ -223,7 +229,7 @@ def _count_exactly(lot: _Lot, groups: Groups, longest: int) -> Iterator[pa.Recor
         ], names=["lang", "size", "phrase", "n"])
 
     for lang, parts in by_lang.items():
-        ids = np.concatenate(parts)
+        ids = np.concatenate(parts).astype(np.int64)  # products of them pass 32 bits
         at, h = _pairs(lot, lang, ids)
         known = _holds(lot.bits, h)
         distinct, code = np.unique(ids[at[known]] * len(words) + ids[at[known] + 1], return_inverse=True)

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -249,3 +250,23 @@ def test_collocations_of_lots(spark, prose, monkeypatch):
 
 def test_collocations_of_nothing(nothing):
     assert collocations.collocations(nothing.withColumn("lang", F.lit("en"))).count() == 0
+
+
+def test_lots_are_held_in_small_numbers_and_looked_up_in_slices(monkeypatch):
+    seen = []
+
+    def count(lot, groups):
+        seen.append(({group: ids.dtype for group, ids in groups.items()}, len(lot.words)))
+        yield from ()
+
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de"], "shard": [0, 1], "text": [b"a b. a c", b"b"]})
+    list(collocations._mined(iter([batch]), count))
+    assert seen == [({("en", 0): np.int32, ("de", 1): np.int32}, 4)]
+    bits = np.zeros(1 << collocations.BITS - 6, np.uint64)
+    some = np.random.default_rng(1).integers(0, 1 << 63, 2000).astype(np.uint64)
+    for shift in collocations.PROBES:
+        at = (some[:700] >> np.uint64(shift)) & np.uint64((1 << collocations.BITS) - 1)
+        np.bitwise_or.at(bits, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+    whole = collocations._holds(bits, some)
+    monkeypatch.setattr(collocations, "SLICE", 33)
+    assert whole[:700].all() and not whole[700:].all() and (collocations._holds(bits, some) == whole).all()
