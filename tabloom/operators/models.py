@@ -9,15 +9,15 @@ from typing import Any
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasSeed
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.operators.boosting import HistogramBoosting
+from tabloom.operators.forest import GrownForest
 from tabloom.operators.lanes import empty, local_table
 
 # Model names per task, their settings and their search grids.
@@ -46,12 +46,10 @@ LIGHTGBM_GRID = {"n_estimators": [80, 140, 200], "num_leaves": [15, 31, 63], "le
 LOGISTIC_GRID = {"C": [0.1, 0.5, 1.0, 2.0, 5.0]}
 RIDGE_GRID = {"alpha": [0.1, 1.0, 5.0, 10.0]}
 
-SPARK_MAX_DEPTH = 30
+MOST_DEPTH = 30
 MOST_LEVELS = 64  # of trees whose leaves are counted
-MAX_BINS = 256
-NODE_MEMORY_MB = 512
 NORMAL_SOLVER_FEATURES = 4096
-FEATURES, LABEL, WEIGHT = "features", "label", "weight"
+FEATURES, LABEL = "features", "label"
 
 
 def available_models(task: str) -> tuple[str, ...]:
@@ -107,40 +105,11 @@ class Ridge(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         ).fit(df)
 
 
-class BalancedForest(Estimator, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
-    """Random forest whose classes weigh ``rows / (classes * rows of the class)``."""
-
-    numTrees = Param(Params._dummy(), "numTrees", "trees", TypeConverters.toInt)
-    maxDepth = Param(Params._dummy(), "maxDepth", "depth", TypeConverters.toInt)
-    minInstances = Param(Params._dummy(), "minInstances", "rows per leaf", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, numTrees=80, maxDepth=SPARK_MAX_DEPTH, minInstances=1, seed=42):
-        super().__init__()
-        self._setDefault(numTrees=80, maxDepth=SPARK_MAX_DEPTH, minInstances=1)
-        self._set(**self._input_kwargs)
-
-    def _fit(self, df: DataFrame) -> Model:
-        # label indexes: their number was checked when the classes were listed
-        counts = {int(r[LABEL]): r["count"] for r in df.groupBy(LABEL).count().collect()}
-        total = sum(counts.values())
-        weights = [
-            total / (len(counts) * counts[i]) if i in counts else 0.0 for i in range(max(counts) + 1)
-        ]
-        by_label = F.array(*[F.lit(w) for w in weights])
-        weighted = df.withColumn(WEIGHT, F.get(by_label, F.col(LABEL).cast("int")))
-        return RandomForestClassifier(
-            featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, numTrees=self.getOrDefault(self.numTrees),
-            maxDepth=self.getOrDefault(self.maxDepth), minInstancesPerNode=self.getOrDefault(self.minInstances),
-            featureSubsetStrategy="sqrt", seed=self.getSeed(), maxBins=MAX_BINS, maxMemoryInMB=NODE_MEMORY_MB,
-        ).fit(weighted)
-
-
 # ---------------------------------------------------------------- factory
 
 
 def _depth(max_depth: int | None) -> int:
-    return SPARK_MAX_DEPTH if max_depth is None else max_depth
+    return MOST_DEPTH if max_depth is None else max_depth
 
 
 def _boosting(task: str, n_classes: int, seed: int, settings: dict[str, Any], **growth: Any) -> Estimator:
@@ -163,15 +132,14 @@ def make_model(task: str, name: str, seed: int = 42, n_classes: int = 2, **overr
         return Ridge(alpha={**RIDGE, **overrides}["alpha"])
     if name == "Random Forest":
         settings = {**FOREST, **overrides}
-        return BalancedForest(
+        return GrownForest(
             numTrees=settings["n_estimators"], maxDepth=_depth(settings["max_depth"]),
-            minInstances=settings["min_samples_leaf"], seed=seed)
+            minInstances=settings["min_samples_leaf"], balanced=True, seed=seed)
     if name == "Random Forest Regressor":
         settings = {**FOREST, **overrides}
-        return RandomForestRegressor(
-            featuresCol=FEATURES, labelCol=LABEL, numTrees=settings["n_estimators"],
-            maxDepth=_depth(settings["max_depth"]), minInstancesPerNode=settings["min_samples_leaf"],
-            featureSubsetStrategy="all", seed=seed, maxBins=MAX_BINS, maxMemoryInMB=NODE_MEMORY_MB)
+        return GrownForest(
+            numTrees=settings["n_estimators"], maxDepth=_depth(settings["max_depth"]),
+            minInstances=settings["min_samples_leaf"], seed=seed)
     many = task == "classification" and n_classes > 2
     if name.startswith("Gradient Boosting"):
         settings = {**BOOSTING, **overrides}
