@@ -43,6 +43,7 @@ BATCH = 1 << 14
 RATE = 0.2
 CHUNK = 1 << 16
 BLOCK = 1 << 12
+NEAR, NODES = 1 << 10, 32  # positions and nodes worked on together, so that the cache holds them
 COPY_BYTES = 24 << 20  # of text that a copy is trained on, about
 _CACHED = 1 << 19
 
@@ -84,9 +85,10 @@ class Network:
 
     def _hidden(self, context: np.ndarray) -> np.ndarray:
         """The hidden units, and a one for the bias."""
-        total = self.places[0][context[0]] + self.hidden
+        total = self.places[0].take(context[0], axis=0)
+        total += self.hidden
         for k in range(1, len(PLACES)):
-            total += self.places[k][context[k]]
+            total += self.places[k].take(context[k], axis=0)
         hidden = np.ones((total.shape[0], WIDTH + 1), total.dtype)
         np.tanh(total, out=hidden[:, :WIDTH])
         return hidden
@@ -98,21 +100,25 @@ class Network:
         return self.space[: rows * columns].reshape(rows, columns)
 
     def _logits(self, weights: np.ndarray, spans: list[tuple[int, int, int]], hidden: np.ndarray) -> np.ndarray:
-        """Of each position's choices at one step; positions come sorted by node."""
-        out = self._room(hidden.shape[0], weights.shape[1])
+        """Of each position's choices at one step; positions come sorted by node, only those of the spans are met."""
+        begin, end = spans[0][1], spans[-1][2]
+        out = self._room(end - begin, weights.shape[1])
         for node, a, b in spans:
-            np.dot(hidden[a:b], weights[node].T, out=out[a:b])
+            np.dot(hidden[a:b], weights[node].T, out=out[a - begin : b - begin])
         return out
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each position, in the order given. ``context`` has a row for each place."""
-        order = np.argsort(target, kind="stable")
+        order = _order(target)
         token, hidden = target[order], self._hidden(context[:, order])
-        rows, total = np.arange(order.size), np.zeros(order.size)
+        total = np.zeros(order.size)
         for name, node, choice in _steps(token):
-            logits = self._logits(getattr(self, name), _spans(node), hidden)
-            total += logits[rows, choice]
-            total -= _exponentials(logits)[2]
+            pieces = [(at, x, min(x + NEAR, b)) for at, a, b in _spans(node) for x in range(a, b, NEAR)]
+            for spans in _near(pieces):
+                some = slice(spans[0][1], spans[-1][2])
+                logits = self._logits(getattr(self, name), spans, hidden)
+                total[some] += logits.reshape(-1).take(_flat(logits, choice[some]))
+                total[some] -= _exponentials(logits)[2]
         found = np.empty(order.size)
         found[order] = total
         return found
@@ -120,35 +126,41 @@ class Network:
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of the batch's negative log-probability, in the layout of the parameters."""
         slope = Network(np.zeros_like(self.values))
-        for view, (rows, sums) in self.slopes(context, target):
+        for view, rows, sums in self.slopes(context, target):
             (slope.places[view] if isinstance(view, int) else getattr(slope, view))[rows] = sums
         return slope.values
 
-    def slopes(self, context: np.ndarray, target: np.ndarray) -> list[tuple[str | int, tuple[np.ndarray, np.ndarray]]]:
-        """By name, or number of a place: the parts that the batch meets, and their slopes."""
-        order = np.argsort(target, kind="stable")
+    def slopes(self, context: np.ndarray, target: np.ndarray) -> Iterator[tuple[str | int, slice | np.ndarray, np.ndarray]]:
+        """By name, or number of a place: parameters that the batch meets, and their slopes.
+
+        They come a few nodes at a time, which stay in the cache, and aren't read again: they may be changed at once.
+        """
+        order = _order(target)
         context, token = context[:, order], target[order]
-        hidden, rows = self._hidden(context), np.arange(order.size)
-        back, found = np.zeros_like(hidden), []
+        hidden = self._hidden(context)
+        back = np.zeros_like(hidden)
         for name, node, choice in _steps(token):
-            weights, spans = getattr(self, name), _spans(node)
-            logits = self._logits(weights, spans, hidden)
-            _, total, _ = _exponentials(logits)
-            logits /= total
-            logits[rows, choice] -= 1
-            sums = np.empty((len(spans), *weights.shape[1:]), hidden.dtype)
-            part = np.empty_like(hidden)
-            for i, (at, a, b) in enumerate(spans):
-                np.dot(logits[a:b].T, hidden[a:b], out=sums[i])
-                np.dot(logits[a:b], weights[at], out=part[a:b])
-            back += part
-            found.append((name, (np.array([at for at, _, _ in spans]), sums)))
+            weights = getattr(self, name)
+            for spans in _near(_spans(node)):
+                begin, end = spans[0][1], spans[-1][2]
+                logits = self._logits(weights, spans, hidden)
+                _, total, _ = _exponentials(logits, log=False)
+                logits /= total
+                logits.reshape(-1)[_flat(logits, choice[begin:end])] -= 1
+                sums = np.empty((len(spans), *weights.shape[1:]), hidden.dtype)
+                part = np.empty((end - begin, hidden.shape[1]), hidden.dtype)
+                for i, (at, a, b) in enumerate(spans):
+                    own = logits[a - begin : b - begin]
+                    np.dot(own.T, hidden[a:b], out=sums[i])
+                    np.dot(own, weights[at], out=part[a - begin : b - begin])
+                back[begin:end] += part
+                first, last = spans[0][0], spans[-1][0] + 1
+                yield name, slice(first, last) if last - first == len(spans) else np.array([at for at, _, _ in spans]), sums
         back = back[:, :WIDTH] * (1 - hidden[:, :WIDTH] ** 2)
-        found.append(("hidden", (np.arange(WIDTH), back.sum(axis=0))))
+        yield "hidden", slice(0, WIDTH), back.sum(axis=0)
         for k, ids in enumerate(context):
-            at = np.argsort(ids, kind="stable")
-            found.append((k, _sums(ids[at], back[at])))
-        return found
+            at = _order(ids)
+            yield k, *_sums(ids[at], back.take(at, axis=0))
 
 
 class Trainer:
@@ -161,18 +173,24 @@ class Trainer:
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         """What the batch doesn't meet has no slope and stays as it is."""
         scale = np.sqrt(np.float32(target.size))
-        for name, (rows, sums) in self.network.slopes(context, target):
+        for name, rows, sums in self.network.slopes(context, target):
             values, seen = ((n.places[name] if isinstance(name, int) else getattr(n, name)) for n in (self.network, self.squares))
             sums /= scale
-            if len(rows) == len(values):  # all are met, in order
-                seen += sums * sums
-                values -= self.rate * sums / np.sqrt(seen)
-                continue
-            squares = seen[rows] + sums * sums
-            seen[rows] = squares
+            squares = sums * sums
+            if isinstance(rows, slice):  # no copies
+                seen = seen[rows]
+                seen += squares
+                np.sqrt(seen, out=squares)
+            else:
+                squares += seen.take(rows, axis=0)
+                seen[rows] = squares
+                np.sqrt(squares, out=squares)
             sums *= self.rate
-            sums /= np.sqrt(squares, out=squares)
-            values[rows] -= sums
+            sums /= squares
+            if isinstance(rows, slice):
+                values[rows] -= sums
+            else:
+                values[rows] = values.take(rows, axis=0) - sums
         self.seen += target.size
 
 
@@ -185,27 +203,46 @@ def _steps(token: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         yield name, prefix // fan, prefix % fan
 
 
+def _order(ids: np.ndarray) -> np.ndarray:
+    """Places of the ids in ascending order, equal ones as they come; short numbers are sorted by their digits."""
+    return np.argsort(ids.astype(np.uint16), kind="stable")
+
+
+def _near(spans: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """Lots of spans with at most ``NEAR`` positions, or one span with more, and at most ``NODES`` spans."""
+    begin = 0
+    for i in range(1, len(spans) + 1):
+        if i == len(spans) or spans[i][2] - spans[begin][1] > NEAR or i - begin == NODES:
+            yield spans[begin:i]
+            begin = i
+
+
 def _spans(node: np.ndarray) -> list[tuple[int, int, int]]:
     """The nodes, which come sorted, and where the positions of each begin and end."""
     starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if node.size else np.zeros(0, np.int64)
     return list(zip(node[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), node.size]))
 
 
+def _flat(logits: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """Where each row's choice stands among all numbers."""
+    return np.arange(0, logits.size, logits.shape[1]) + choice
+
+
 def _sums(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids, which come sorted, and the sum of the rows of each."""
     starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     return ids[starts], np.add.reduceat(rows, starts, axis=0)
 
 
-def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row in proportion, in place; their sum; and the logarithm of the true sum."""
+def _exponentials(logits: np.ndarray, log: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Of each row in proportion, in place; their sum; and, if asked for, the logarithm of the true sum."""
     most = 0
     if not -50 < logits.min() <= logits.max() < 50:  # else no sum leaves the range of a float
         most = logits.max(axis=1, keepdims=True)
         logits -= most
     np.exp(logits, out=logits)
     total = logits @ np.ones((logits.shape[1], 1), logits.dtype)
-    return logits, total, (np.log(total) + most)[:, 0]
+    return logits, total, (np.log(total) + most)[:, 0] if log else None
 
 
 def _contexts(ids: np.ndarray, where: np.ndarray | slice) -> np.ndarray:

@@ -204,6 +204,24 @@ def test_long_texts_are_scored_by_pieces():
     assert abs(lm._log_sums(network, [ids[:3], ids, ids[:0]])[1] - whole) < 1e-3 * abs(whole)
 
 
+def test_network_works_on_lots_that_a_cache_holds():
+    rng, network = np.random.default_rng(6), lm.Network.initial(1)
+    ids = rng.integers(0, lm.TOKENS, 1 << 14).astype(np.int32)
+    context = lm._contexts(ids, slice(None))
+    found = network.log_probabilities(context, ids)
+    assert network.space.size <= lm.NEAR * max(lm.LEVELS.values())  # not every choice of every position
+    for at in range(0, ids.size, 1000):
+        some = slice(at, at + 1000)
+        assert np.abs(network.log_probabilities(context[:, some], ids[some]) - found[some]).max() < 1e-4
+    parts = [(name, rows, len(sums)) for name, rows, sums in network.slopes(context, ids) if name in lm.LEVELS]
+    met = {name: np.concatenate([np.r_[rows] for n, rows, _ in parts if n == name]) for name in lm.LEVELS}
+    assert max(n for _, _, n in parts) <= lm.NODES
+    rest = lm.TOKENS
+    for name, fan in lm.LEVELS.items():  # every node of the batch once
+        rest //= fan
+        assert (met[name] == np.unique(ids // rest // fan)).all()
+
+
 def _der(*parts):
     size = lambda n: bytes([n]) if n < 128 else (b"\x81" if n < 256 else b"\x82") + n.to_bytes(1 + (n > 255), "big")
     body = b"".join(bytes([tag]) + size(len(v)) + v for tag, v in parts)
