@@ -7,6 +7,10 @@ them over all texts. Inside a shard a phrase is tried only if its shorter parts
 set of bits of fixed size remembers: it may say yes too often, never no, so it costs exactness
 nothing and memory doesn't grow with the corpus.
 
+Counts travel as blocks: a lot's counts of one bucket of hashes are one row, packed as sorted
+differences. Buckets are as many as the corpus has millions of words, so a block stays small, and a
+task that merges a bucket holds about as much whatever the corpus.
+
 Null texts are empty, a null language is ``und``, texts without words give nothing, repeated rows
 count as often as they stand there, equal scores are ordered by count and phrase, and an empty table
 gives no rows. Other columns are ignored.
@@ -16,9 +20,11 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
@@ -37,7 +43,9 @@ CHUNK_WORDS = 1 << 22  # words held by a task before it sends its counts
 TEXT_BYTES = 1 << 20  # texts are cut into words together up to this size
 BITS = 27  # the set of candidates has 2^BITS bits, 16 MB
 SLICE = 1 << 18  # hashes looked up at once
-PROBES = (0, 21, 37)  # each candidate sets one bit for each: its hash, shifted right
+KEY = 40  # leading bits of a hash that are counted; where two phrases share them both may seem frequent
+PROBES = (24, 31, 37)  # each candidate sets one bit for each: its hash, shifted right; all within its key
+BUCKET_WORDS = 1 << 20  # words of the corpus for each bucket, about
 SALTS = 64  # parts in which the best of a language are found first
 BREAK = b"\xff"  # in no UTF-8 text
 
@@ -192,41 +200,114 @@ def _longer(ids: np.ndarray, own: np.ndarray, at: np.ndarray, h: np.ndarray, kno
         yield size, at, h
 
 
-def _local_counts(lang: str, shard: int, h: np.ndarray) -> pa.RecordBatch:
-    keys, counts = np.unique(h, return_counts=True)
-    return pa.RecordBatch.from_arrays([
-        _repeated(lang, len(keys)), pa.array(np.full(len(keys), shard, np.int32)), pa.array(keys.view(np.int64)),
-        pa.array(counts.astype(np.int32)),
-    ], names=["lang", "shard", "h", "n"])
-
-
-def _mine_pairs(lot: _Lot, groups: Groups) -> Iterator[pa.RecordBatch]:
-    for (lang, shard), ids in groups.items():
-        yield _local_counts(lang, shard, _pairs(lot, lang, ids)[1])
-
-
-def _mine_longer(lot: _Lot, groups: Groups, longest: int) -> Iterator[pa.RecordBatch]:
+def _buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by bucket, else as they come, and each bucket met with where it begins and ends."""
+    bucket = (keys * np.uint64(buckets)) >> np.uint64(KEY)
+    order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
+    ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
+    starts = [0, *ends[:-1].tolist()]
+    return order, [(b, x, y) for b, (x, y) in enumerate(zip(starts, ends.tolist())) if y > x]
+
+
+def _pack(code: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending numbers as differences, and counts, each byte's place by itself."""
+    step = code.copy()
+    step[1:] -= code[:-1]
+    planes = [a.view(np.uint8).reshape(len(a), -1).T.ravel() for a in (step, n.astype(np.uint32))]
+    return pa.Codec("zstd", 1).compress(np.concatenate(planes).tobytes(), asbytes=True)
+
+
+def _unpack(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 12 * size, asbytes=True), np.uint8)
+    step = np.ascontiguousarray(planes[: 8 * size].reshape(8, size).T).view(np.uint64)[:, 0]
+    return np.cumsum(step, dtype=np.uint64), np.ascontiguousarray(planes[8 * size :].reshape(4, size).T).view(np.uint32)[:, 0]
+
+
+def _local_counts(hashes: dict[tuple[str, int], np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of the counts of each language and shard, one for each bucket."""
+    names, parts = list(hashes), [np.unique(h >> np.uint64(64 - KEY), return_counts=True) for h in hashes.values()]
+    key, n = (np.concatenate([part[i] for part in parts]) for i in range(2))
+    order, spans = _buckets(key, buckets)
+    group = np.repeat(np.arange(len(parts), dtype=np.uint64), [len(keys) for keys, _ in parts])[order]
+    key, n, rows = key[order], n[order], []
+    for bucket, a, b in spans:
+        met, own = np.unique(group[a:b], return_inverse=True)
+        some = [names[i] for i in met.tolist()]
+        data = _pack(own.astype(np.uint64) << np.uint64(KEY) | key[a:b], n[a:b])
+        rows.append((bucket, [lang for lang, _ in some], [shard for _, shard in some], b - a, data))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows), BLOCK)], schema=BLOCK)
+
+
+BLOCK = pa.schema([
+    ("bucket", pa.int32()), ("langs", pa.list_(pa.string())), ("shards", pa.list_(pa.int32())), ("size", pa.int32()), ("data", pa.binary())])
+BLOCK_COLUMNS = "bucket int, langs array<string>, shards array<int>, size int, data binary"
+MERGED = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("shards", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+MERGED_COLUMNS = "lang string, h long, shards array<int>, counts array<long>"
+
+
+def _merge(table: pa.Table, support: int) -> pa.Table:
+    """Of a bucket: the hashes with ``support`` occurrences, and their counts in each shard."""
+    langs: dict[str, int] = {}
+    codes, shards, counts = [], [], []
+    for row in table.select(BLOCK.names[1:]).to_pylist():
+        code, n = _unpack(row["data"], row["size"])
+        group = (code >> np.uint64(KEY)).astype(np.int64)
+        lang = np.array([langs.setdefault(x, len(langs)) for x in row["langs"]], np.uint64)
+        codes.append(lang[group] << np.uint64(KEY) | code & np.uint64((1 << KEY) - 1))
+        shards.append(np.array(row["shards"], np.int32)[group])
+        counts.append(n)
+    code, shard, n = np.concatenate(codes), np.concatenate(shards), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(code, kind="stable")
+    code, shard, n = code[order], shard[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    many = np.repeat(np.add.reduceat(n, first) >= support, np.diff(np.append(first, len(code))))
+    code, shard, n = code[many], shard[many], n[many]
+    if not len(code):
+        return MERGED.empty_table()
+    order = np.lexsort((shard, code))
+    code, shard, n = code[order], shard[order], n[order]
+    each = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (shard[1:] != shard[:-1])]))
+    code, shard, n = code[each], shard[each], np.add.reduceat(n, each)
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    offsets = pa.array(np.append(first, len(code)).astype(np.int32))
+    names = pa.array(list(langs)).take(pa.array((code[first] >> np.uint64(KEY)).astype(np.int64)))
+    h = (code[first] << np.uint64(64 - KEY)).view(np.int64)
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(values)) for values in (shard, n)]
+    return pa.Table.from_arrays([names, pa.array(h), *lists], schema=MERGED)
+
+
+def _mine_pairs(lot: _Lot, groups: Groups, buckets: int) -> Iterator[pa.RecordBatch]:
+    yield from _local_counts({group: _pairs(lot, group[0], ids)[1] for group, ids in groups.items()}, buckets)
+
+
+def _mine_longer(lot: _Lot, groups: Groups, longest: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    found = {}
     for (lang, shard), ids in groups.items():
         at, h = _pairs(lot, lang, ids)
-        for _, _, hashes in _longer(ids, lot.own, at, h, _holds(lot.bits, h), longest):
-            yield _local_counts(lang, shard, hashes)
+        sizes = [hashes for _, _, hashes in _longer(ids, lot.own, at, h, _holds(lot.bits, h), longest)]
+        found[lang, shard] = np.concatenate([h[:0], *sizes])
+    yield from _local_counts(found, buckets)
 
 
-def _count_exactly(lot: _Lot, groups: Groups, longest: int) -> Iterator[pa.RecordBatch]:
-    """Candidates as text with their counts; the numbers of their words, not hashes, tell them apart."""
+def _count_exactly(lot: _Lot, groups: Groups, longest: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Candidates as text with their counts, in blocks; the numbers of their words, not hashes, tell them apart."""
     words = lot.words
     by_lang: dict[str, list[np.ndarray]] = {}
     for (lang, _), ids in groups.items():  # shards don't matter any more; each group ends with the end of a piece
         by_lang.setdefault(lang, []).append(ids)
 
-    def rows(lang, ids, at, keys, size):
+    def rows(lang, ids, at, keys, hashes, size):
         _, first, counts = np.unique(keys, return_index=True, return_counts=True)
-        lots = ids[at[first][:, None] + np.arange(size)]
-        phrases = [b" ".join([words[i] for i in lot]).decode() for lot in lots.tolist()]
+        order, spans = _buckets(hashes[first] >> np.uint64(64 - KEY), buckets)
+        lots = ids[at[first[order]][:, None] + np.arange(size)]
+        phrases, counts = [b" ".join([words[i] for i in lot]) for lot in lots.tolist()], counts[order].astype(np.int32)
+        n = len(spans)
+        texts = [b"\n".join(phrases[a:b]) for _, a, b in spans]  # no word has a line end
         return pa.RecordBatch.from_arrays([
-            _repeated(lang, len(phrases)), pa.array(np.full(len(phrases), size, np.int32)),
-            pa.array(phrases, pa.string()), pa.array(counts.astype(np.int64)),
-        ], names=["lang", "size", "phrase", "n"])
+            pa.array([b for b, _, _ in spans], pa.int32()), _repeated(lang, n), pa.array(np.full(n, size, np.int32)),
+            pa.array(texts, pa.binary()), pa.array([counts[a:b].tobytes() for _, a, b in spans], pa.binary()),
+        ], names=["bucket", "lang", "size", "phrases", "counts"])
 
     for lang, parts in by_lang.items():
         ids = np.concatenate(parts).astype(np.int64)  # products of them pass 32 bits
@@ -235,14 +316,28 @@ def _count_exactly(lot: _Lot, groups: Groups, longest: int) -> Iterator[pa.Recor
         distinct, code = np.unique(ids[at[known]] * len(words) + ids[at[known] + 1], return_inverse=True)
         key = np.zeros(len(ids) + 1, np.int64)  # of the phrase that begins in each place
         key[at[known]] = code
-        yield rows(lang, ids, at[known], code, 2)
+        yield rows(lang, ids, at[known], code, h[known], 2)
         for size, places, hashes in _longer(ids, lot.own, at, h, known, longest):
             # a phrase is its first words and its last two; all first words are still numbered in key
             longer = key[places] * np.int64(len(distinct) + 1) + _code_of(distinct, ids, places + size - 2, len(words))
             _, code = np.unique(longer, return_inverse=True)
             key[places] = code
             on = _holds(lot.bits, hashes)
-            yield rows(lang, ids, places[on], code[on], size)
+            yield rows(lang, ids, places[on], code[on], hashes[on], size)
+
+
+def _merge_exactly(table: pa.Table, support: int) -> pa.Table:
+    """Of a bucket: the phrases with ``support`` occurrences."""
+    parts = []
+    for row in table.select(["lang", "size", "phrases", "counts"]).to_pylist():
+        phrases = row["phrases"].split(b"\n")
+        parts.append(pa.Table.from_arrays([
+            _repeated(row["lang"], len(phrases)), pa.array(np.full(len(phrases), row["size"], np.int32)),
+            pa.array(phrases, pa.binary()), pa.array(np.frombuffer(row["counts"], np.int32).astype(np.int64)),
+        ], names=["lang", "size", "phrase", "f"]))
+    sums = pa.concat_tables(parts).group_by(["lang", "size", "phrase"]).aggregate([("f", "sum")])
+    sums = sums.filter(pc.greater_equal(sums["f_sum"], support))
+    return pa.table({"lang": sums["lang"], "size": sums["size"], "phrase": sums["phrase"].cast(pa.string()), "f": sums["f_sum"]})
 
 
 def _code_of(distinct: np.ndarray, ids: np.ndarray, at: np.ndarray, n_words: int) -> np.ndarray:
@@ -261,12 +356,14 @@ def _add_bits(found: DataFrame, bits: np.ndarray) -> None:
 def _union(local: DataFrame, lower: DataFrame, support: int) -> DataFrame:
     """Hashes of the phrases that are frequent in some shard.
 
-    All counts of a hash meet in one partition, so their sum over the shards is there too. It is never
+    All counts of a hash meet in one task, so their sum over the shards is there too. It is never
     below the phrase's own count, and phrases that it rules out needn't be counted again.
     """
-    shards = local.repartition("h").groupBy("lang", "shard", "h").agg(F.sum("n").alias("n")).join(lower, ["lang", "shard"])
-    phrases = shards.groupBy("lang", "h").agg(F.sum("n").alias("total"), F.bool_or(F.col("n") >= F.col("least")).alias("frequent"))
-    return phrases.where(F.col("frequent") & (F.col("total") >= support)).select("h")
+    sums = local.groupBy("bucket").applyInArrow(lambda table: _merge(table, support), MERGED_COLUMNS)
+    least = lower.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("shard", "least"))).alias("least"))
+    counts = F.arrays_zip("shards", "counts")
+    frequent = F.exists(counts, lambda x: x["counts"] >= F.try_element_at("least", x["shards"]))
+    return sums.join(least, "lang").where(frequent).select("h")
 
 
 def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,18 +392,20 @@ def phrase_counts(
     frequent = words.where("phrase IS NOT NULL").where(F.col("n") >= support).select(
         "lang", F.lit(1).alias("size"), "phrase", F.col("n").alias("f"))
 
+    buckets = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
     bits = np.zeros(1 << BITS - 6, np.uint64)
     _add_bits(frequent.select("lang", "phrase").mapInArrow(_word_hashes, "h long"), bits)
-    for mine in (_mine_pairs, lambda lot, groups: _mine_longer(lot, groups, longest)):
+    for mine in (partial(_mine_pairs, buckets=buckets), partial(_mine_longer, longest=longest, buckets=buckets)):
         sent = context.broadcast(bits)
-        local = rows.mapInArrow(lambda it, s=sent, m=mine: _mined(it, m, s.value), "lang string, shard int, h long, n int")
+        local = rows.mapInArrow(lambda it, s=sent, m=mine: _mined(it, m, s.value), BLOCK_COLUMNS)
         _add_bits(_union(local, lower, support), bits)
         sent.unpersist()
     sent = context.broadcast(bits)
     exact = rows.mapInArrow(
-        lambda it, s=sent: _mined(it, lambda lot, groups: _count_exactly(lot, groups, longest), s.value),
-        "lang string, size int, phrase string, n long")
-    exact = exact.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
+        lambda it, s=sent: _mined(it, partial(_count_exactly, longest=longest, buckets=buckets), s.value),
+        "bucket int, lang string, size int, phrases binary, counts binary")
+    exact = exact.groupBy("bucket").applyInArrow(
+        lambda table: _merge_exactly(table, support), "lang string, size int, phrase string, f long")
     return keep(exact.unionByName(frequent), "phrases"), totals
 
 

@@ -270,3 +270,28 @@ def test_lots_are_held_in_small_numbers_and_looked_up_in_slices(monkeypatch):
     whole = collocations._holds(bits, some)
     monkeypatch.setattr(collocations, "SLICE", 33)
     assert whole[:700].all() and not whole[700:].all() and (collocations._holds(bits, some) == whole).all()
+
+
+def test_counts_travel_as_blocks():
+    """A lot sends a row for each bucket, not for each phrase, and merged blocks lose no count."""
+    rng, want, tables = np.random.default_rng(3), Counter(), []
+    for lot in range(3):
+        hashes = {}
+        for group in (("en", 0), ("en", 5), (f"x{lot}", 1)):
+            hashes[group] = (rng.zipf(1.3, 3000) % 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for h in hashes[group].tolist():
+                want[group[0], h >> 64 - collocations.KEY, group[1]] += 1
+        (block,) = collocations._local_counts(hashes, 4)
+        assert block.num_rows <= 4
+        tables.append(pa.Table.from_batches([block]))
+    totals = Counter()
+    for (lang, key, _), n in want.items():
+        totals[lang, key] += n
+    whole, got = pa.concat_tables(tables), {}
+    for bucket in range(4):
+        mine = whole.filter(pa.array([b == bucket for b in whole["bucket"].to_pylist()]))
+        for row in collocations._merge(mine, 7).to_pylist():
+            key = row["h"] % (1 << 64) >> 64 - collocations.KEY
+            got |= {(row["lang"], key, shard): n for shard, n in zip(row["shards"], row["counts"])}
+    assert got == {k: n for k, n in want.items() if totals[k[:2]] >= 7}
+    assert list(collocations._local_counts({("en", 0): np.zeros(0, np.uint64)}, 4)) == []
