@@ -4,7 +4,7 @@ Features are binned once, at quantiles, and kept as blocks of bytes. For each le
 tasks sum gradient, second derivative and count by node, feature and bin; these sums, whose size
 depends on the features alone, are added up by node, and the task that has a node's sums picks its
 split: the driver gets one split per node. A feature has as many sums as it has bins. Of features with
-two bins, like those of one-hot levels, only the rows in the second are visited; the first has the rest.
+two bins, like those of one-hot levels, only the cells in the second are visited; the first has the rest.
 Several classes are boosted together: one tree per class and round, on the same passes.
 
 Growth by leaf always splits the leaf that gains most until the leaves are used up. Which leaves that
@@ -12,7 +12,7 @@ will be isn't known in advance, but what a split would give is the same whenever
 children of all promising leaves are summed in one pass and the order is played through afterwards.
 
 A table that a single task can hold is boosted inside that task by the same steps, so that it needs no
-job for each level; the trees are the same.
+job for each level; the trees are the same. That task keeps its rows sorted by node while a tree grows.
 
 Row samples are drawn by block, round and seed, so a task that runs again draws the same rows.
 """
@@ -49,6 +49,9 @@ BINS = 256
 SKETCH_ACCURACY = 10_000
 SLOTS_PER_SCAN = 120  # above 128 groups Spark sorts where a sketch is aggregated
 CELLS_PER_TASK = 1 << 23
+MOST_KEPT = 1 << 24  # numbers in the sums that a task keeps of a round's nodes
+LEAST_REST = 1e-3  # share of the sums it was taken from that a rest has at least
+TASKS_IN_ONE = 8  # as many tasks' cells are boosted by a single one, which is faster than a job for each pass
 BLOCK_ROWS = 1 << 16  # small blocks of a task are joined up to this
 # rounds after which the blocks' scores are brought up to date and kept; trees grown by leaf take more passes
 REFRESH, REFRESH_LEAVES = 10, 4
@@ -84,7 +87,7 @@ class Layout:
         self.many = np.flatnonzero(own > 2)
         self.few = np.flatnonzero(own <= 2)
         self.pairs = np.flatnonzero(own == 2)
-        self.pair_of = np.full(len(sizes), -1)
+        self.pair_of = np.full(len(sizes), len(self.pairs))  # of features that are no pair here: one more
         self.pair_of[np.asarray(features)[self.pairs]] = np.arange(len(self.pairs))
         is_cut = np.ones(self.width, bool)
         is_cut[self.first[1:] - 1] = False
@@ -99,8 +102,8 @@ class Layout:
 class Block:
     """Some rows: bins (features x rows), labels, scores (classes x rows) and the pieces it was joined from.
 
-    A piece has a number that is its own, and its rows. ``ones`` are the features and rows of the cells
-    in the second of two bins.
+    A piece has a number that is its own, and its rows. ``ones`` are the features of the cells in the
+    second of two bins, row by row, and where each row's begin.
     """
 
     bins: np.ndarray
@@ -109,6 +112,41 @@ class Block:
     pieces: list[tuple[int, int]]
     ones: tuple[np.ndarray, np.ndarray]
 
+    def ones_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features of the rows' cells in the second of two bins, and how many each row has."""
+        feature, first = self.ones
+        same = len(feature) // (len(first) - 1)
+        if same and (np.diff(first) == same).all():  # as with one-hot levels
+            return feature.reshape(-1, same).take(rows, axis=0).ravel(), np.array([same])
+        start = first[rows]
+        n = first[rows + 1] - start
+        before = np.cumsum(n) - n
+        return feature[np.repeat(start - before, n) + np.arange(n.sum())], n
+
+
+class Parted:
+    """Rows of a block sorted by the nodes of a tree that grows; a node's rows lie side by side."""
+
+    def __init__(self, rows: np.ndarray) -> None:
+        self.rows, self.span = rows, {0: (0, len(rows))}
+
+    def follow(self, tree: "BinnedTree", bins: np.ndarray) -> None:
+        """Part the rows of all nodes that were split since the last call."""
+        for node, feature in enumerate(tree.feature):  # children come after their parents
+            if feature != LEAF and tree.left[node] not in self.span:
+                start, stop = self.span[node]
+                rows = self.rows[start:stop]
+                goes_left = bins[feature].take(rows) <= tree.cut[node]
+                left, right = rows[goes_left], rows[~goes_left]
+                middle = start + len(left)
+                self.rows[start:middle], self.rows[middle:stop] = left, right
+                self.span[tree.left[node]], self.span[tree.right[node]] = (start, middle), (middle, stop)
+
+    def of(self, nodes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of some nodes, and each row's place among the nodes."""
+        spans = [self.span[node] for node in nodes]
+        return np.concatenate([self.rows[a:b] for a, b in spans]), np.repeat(np.arange(len(nodes)), [b - a for a, b in spans])
+
 
 def _joined(pieces: Iterator[tuple[np.ndarray, np.ndarray, int]], start: np.ndarray, sizes: np.ndarray) -> Iterator[Block]:
     """Blocks of the pieces (bins, labels, number) of a task, which may be many and small."""
@@ -117,7 +155,9 @@ def _joined(pieces: Iterator[tuple[np.ndarray, np.ndarray, int]], start: np.ndar
     def block(some):
         bins, labels = np.concatenate([b for b, _, _ in some], axis=1), np.concatenate([y for _, y, _ in some])
         feature, row = np.nonzero(bins[pairs])
-        ones = (pairs[feature].astype(np.int32), row.astype(np.int32))
+        ones = (
+            pairs[feature].astype(np.int32)[np.argsort(row, kind="stable")],
+            np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(labels)))]))
         return Block(bins, labels, np.repeat(start[:, None], len(labels), axis=1), [(number, len(y)) for _, y, number in some], ones)
 
     some, rows = [], 0
@@ -152,17 +192,15 @@ class BinnedTree:
         self.feature[node], self.cut[node], self.left[node], self.right[node] = feature, cut, left, left + 1
         return left, left + 1
 
-    def node_of(self, bins: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
-        """The leaf of each row; ``node`` are nodes above them that are known already."""
-        feature, cut, left, right = (np.array(a) for a in (self.feature, self.cut, self.left, self.right))
-        node = np.zeros(bins.shape[1], np.int32) if node is None else node.copy()
-        rows = np.flatnonzero(feature[node] != LEAF)
-        while len(rows):  # only rows that aren't in a leaf yet go on
-            at = node[rows]
-            at = np.where(bins[feature[at], rows] <= cut[at], left[at], right[at])
-            node[rows] = at
-            rows = rows[feature[at] != LEAF]
-        return node
+    def values_of(self, bins: np.ndarray) -> np.ndarray:
+        """The value of each row's leaf."""
+        parted, values = Parted(np.arange(bins.shape[1])), np.empty(bins.shape[1])
+        parted.follow(self, bins)
+        for node, feature in enumerate(self.feature):
+            if feature == LEAF:
+                start, stop = parted.span[node]
+                values[parted.rows[start:stop]] = self.value[node]
+        return values
 
 
 def derivatives(objective: str, labels: np.ndarray, scores: np.ndarray, hessian_scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +228,7 @@ def _brought_up(block: Block, rounds: list[list[BinnedTree]]) -> np.ndarray:
     scores = block.scores.copy()
     for trees in rounds:
         for k, tree in enumerate(trees):
-            scores[k] += np.array(tree.value)[tree.node_of(block.bins)]
+            scores[k] += tree.values_of(block.bins)
     return scores
 
 
@@ -200,51 +238,52 @@ def _histograms(
 ) -> np.ndarray:
     """``wanted nodes x bins of the layout x 3``: sums of gradient, second derivative and rows.
 
-    ``seen`` keeps what doesn't change within a round, and the rows' nodes, for its next pass.
+    ``seen`` keeps what doesn't change within a round, and the rows by node, for its next pass.
     """
-    total = np.zeros((len(wanted), layout.width, 3))
+    total = np.zeros((3, len(wanted), layout.width))
+    unit = objective == "squared"  # second derivatives are counts
     for place_of, block in enumerate(blocks):
         state = seen.get(place_of) if seen is not None else None
         if state is None:
-            drawn = np.ones(len(block.labels), bool)
+            drawn = np.arange(len(block.labels))
             if sample < 1:
-                drawn = np.concatenate([np.random.default_rng([seed, number, own]).random(n) < sample for own, n in block.pieces])
-            state = (*derivatives(objective, block.labels, _brought_up(block, rounds), hessian_scale), drawn, {})
+                drawn = np.flatnonzero(np.concatenate([np.random.default_rng([seed, number, own]).random(n) < sample for own, n in block.pieces]))
+            g, h = derivatives(objective, block.labels, _brought_up(block, rounds), hessian_scale)
+            state = g, h, [Parted(drawn.copy()) for _ in growing]
             if seen is not None:
                 seen[place_of] = state
-        g, h, drawn, nodes = state
-        pair, row = layout.pair_of[block.ones[0]], block.ones[1]
+        g, h, parted = state
         for k, tree in enumerate(growing):
             mine = [(i, node) for i, (of, node) in enumerate(wanted) if of == k]
             if not mine:
                 continue
-            place = np.full(len(tree.feature), -1)
-            place[[node for _, node in mine]] = range(len(mine))
-            nodes[k] = tree.node_of(block.bins, nodes.get(k))
-            node = np.where(drawn, place[nodes[k]], -1)
-            rows = np.flatnonzero(node >= 0)
-            at, slots = node[rows], [i for i, _ in mine]
-            weights = (g[k, rows], h[k, rows], None)
+            parted[k].follow(tree, block.bins)
+            rows, at = parted[k].of([node for _, node in mine])
+            slots, size, base = [i for i, _ in mine], len(mine), at * BINS
+            weights = [(0, g[k].take(rows)), (2, None)] + ([] if unit else [(1, h[k].take(rows))])
             for j in layout.many:
                 bins = layout.bins(j)
-                size = bins.stop - bins.start
-                code = at * size + block.bins[layout.features[j], rows]
-                for s, weight in enumerate(weights):
-                    total[slots, bins, s] += np.bincount(code, weight, len(mine) * size).reshape(len(mine), size)
+                code = base + block.bins[layout.features[j]].take(rows)
+                for s, weight in weights:
+                    total[s, slots, bins] += np.bincount(code, weight, size * BINS).reshape(size, BINS)[:, : bins.stop - bins.start]
             if not len(layout.few):
                 continue
-            inside = (pair >= 0) & (node[row] >= 0)
-            n_pairs, visited = len(layout.pairs), row[inside]
-            code = node[visited] * n_pairs + pair[inside]
-            first = layout.first[layout.few]
-            second = layout.first[layout.pairs] + 1
-            for s, (weight, every) in enumerate(zip(weights, (g[k], h[k], None))):
-                total[np.ix_(slots, first, [s])] += np.bincount(at, weight, len(mine))[:, None, None]
+            n_pairs = len(layout.pairs)
+            if n_pairs:
+                feature, n = block.ones_of(rows)
+                code = np.repeat(at * (n_pairs + 1), n) + layout.pair_of[feature]  # the last is of features left out
+            for s, weight in weights:
+                few = np.zeros((size, layout.width))
+                few[:, layout.first[layout.few]] = np.bincount(at, weight, size)[:, None]
                 if n_pairs:
-                    ones = np.bincount(code, None if every is None else every[visited], len(mine) * n_pairs).reshape(len(mine), n_pairs, 1)
-                    total[np.ix_(slots, second, [s])] += ones
-                    total[np.ix_(slots, second - 1, [s])] -= ones
-    return total
+                    ones = np.bincount(code, weight if weight is None else np.repeat(weight, n), size * (n_pairs + 1)).reshape(size, n_pairs + 1)[:, :-1]
+                    second = layout.first[layout.pairs] + 1
+                    few[:, second] = ones
+                    few[:, second - 1] -= ones
+                total[s, slots] += few
+    if unit:
+        total[1] = total[2]
+    return np.ascontiguousarray(total.transpose(1, 2, 0))
 
 
 def _refreshed(block: Block, rounds: list[list[BinnedTree]]) -> Block:
@@ -457,15 +496,58 @@ class Spread:
 
 
 class Local:
-    """Blocks of one task."""
+    """Blocks of one task.
+
+    Of two children only the one with fewer rows is summed, the other has the rest of its parent's sums.
+    """
 
     def __init__(self, blocks: list[Block]) -> None:
         self.blocks, self.round, self.seen = blocks, None, {}
+        self.sums: dict[tuple[int, int], np.ndarray] = {}  # of nodes whose children may be wanted
+        self.most: dict[tuple[int, int], np.ndarray] = {}  # the largest sums that theirs were taken from
 
     def splits(self, wanted: list, layout: Layout, rules: Rules, *args: Any) -> list[tuple[np.ndarray, Split | None]]:
         if args[-1] != self.round:
-            self.round, self.seen = args[-1], {}
-        return [best_split(one, layout, rules) for one in _histograms(iter(self.blocks), *args, self.seen)]
+            self.round, self.seen, self.sums, self.most = args[-1], {}, {}, {}
+        found = self._sums(wanted, layout, *args)
+        return [best_split(found[one], layout, rules) for one in wanted]
+
+    def _sums(self, wanted: list, layout: Layout, objective: str, scale: float, rounds: list, growing: list[BinnedTree], _: list, *args: Any) -> dict:
+        found = {}
+
+        def summed(some: list) -> None:
+            if some:
+                found.update(zip(some, _histograms(iter(self.blocks), objective, scale, rounds, growing, some, *args, self.seen)))
+                self.most.update((one, np.abs(found[one][:, :2]).max(axis=0)) for one in some)
+
+        rest = self._larger(wanted, layout, growing)
+        summed([one for one in wanted if one not in rest])
+        for one, (parent, other) in rest.items():
+            left = self.sums[parent] - found[other]
+            left[left[:, 2] == 0] = 0
+            # what is far smaller than the sums it was taken from would be rounding for the most part
+            if (np.abs(left[:, :2]).max(axis=0) >= LEAST_REST * self.most[parent]).all():
+                found[one], self.most[one] = left, self.most[parent]
+        summed([one for one in rest if one not in found])
+        for parent, _other in rest.values():
+            del self.sums[parent]
+        for one in wanted:
+            if (len(self.sums) + 1) * found[one].size <= MOST_KEPT:
+                self.sums[one] = found[one]
+        return found
+
+    def _larger(self, wanted: list, layout: Layout, growing: list[BinnedTree]) -> dict:
+        """Of children whose parent's sums are known the larger ones, with the parent and the other child."""
+        larger, among = {}, set(wanted)
+        for k, tree in enumerate(growing):
+            for node, feature in enumerate(tree.feature):
+                if feature == LEAF or (k, node) not in self.sums or not {(k, tree.left[node]), (k, tree.right[node])} <= among:
+                    continue
+                rows = self.sums[k, node][layout.bins(layout.features.index(feature)), 2]
+                pair = (k, tree.left[node]), (k, tree.right[node])
+                small, large = pair if 2 * rows[: tree.cut[node] + 1].sum() <= rows.sum() else pair[::-1]
+                larger[large] = (k, node), small
+        return larger
 
     def refresh(self, rounds: list[list[BinnedTree]]) -> None:
         self.blocks = [_refreshed(b, rounds) for b in self.blocks]
@@ -598,7 +680,11 @@ class HistogramBoosting(Estimator, _BoostingParams):
 
         binned = rows.mapInArrow(lambda it: _binned(it, edges), "bins binary, labels binary")
         parts = math.ceil(n_rows * (width + 8 * outputs) / CELLS_PER_TASK)
-        loaded = binned.rdd.map(load).coalesce(max(1, parts)).mapPartitions(lambda it: _joined(it, start, sizes))
+        pieces = binned.rdd.map(load)
+        if 1 < parts <= TASKS_IN_ONE:
+            # binned by many tasks; pieces come in any order, but are taken in the same
+            return pieces.coalesce(1, shuffle=True).mapPartitions(lambda it: _joined(iter(sorted(it, key=lambda p: p[2])), start, sizes))
+        loaded = pieces.coalesce(max(1, parts)).mapPartitions(lambda it: _joined(it, start, sizes))
         return loaded.persist(StorageLevel.MEMORY_AND_DISK) if parts > 1 else loaded
 
 

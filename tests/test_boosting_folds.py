@@ -150,6 +150,38 @@ def test_many_tasks_give_the_trees_of_one(spark, monkeypatch, name):
         assert np.allclose(one["value"], other["value"]) and one["cover"] == other["cover"]
 
 
+def test_cells_of_some_tasks_are_grown_in_a_single_job(spark, monkeypatch):
+    x, y = some_data(13)
+    frame = vectors(spark, x, y).repartition(6).sortWithinPartitions("key")
+    alone = make_model("regression", "LightGBM Regressor", n_estimators=12).fit(frame)
+    monkeypatch.setattr(boosting, "CELLS_PER_TASK", 1600)  # three tasks' cells
+    monkeypatch.setattr(boosting, "Spread", None)  # which takes a job for each pass
+    many = make_model("regression", "LightGBM Regressor", n_estimators=12).fit(frame)
+    for one, other in zip(alone._stored(), many._stored(), strict=True):
+        assert one["feature"] == other["feature"] and one["threshold"] == other["threshold"]
+        assert np.allclose(one["value"], other["value"]) and one["cover"] == other["cover"]
+
+
+def test_the_rest_of_a_parents_sums_is_what_the_larger_child_has(monkeypatch):
+    rng = np.random.default_rng(14)
+    x, y = one_hot(14, 900)
+    y = np.where(rng.random(900) < 0.05, 1e9, 1e-3 * y)  # beside such targets the rest would be rounding
+    bins, sizes = x.astype(np.uint8).T.copy(), np.array([30] + [2] * 6)
+    plan = boosting.Plan("squared", 1.0, 6, 0.06, 64, 12, boosting.Rules(min_rows=20, min_weight=1e-3), 1.0, 1.0, sizes, 1, 42)
+    summed, grown = [], []
+    of = boosting.Parted.of
+    monkeypatch.setattr(boosting.Parted, "of", lambda self, nodes: summed.append(nodes) or of(self, nodes))
+    for kept in (1 << 24, 0):  # none kept: all children are summed
+        monkeypatch.setattr(boosting, "MOST_KEPT", kept)
+        blocks = list(boosting._joined(iter([(bins, y, 0)]), np.array([y.mean()]), sizes))
+        grown.append([tree for done in boosting.grow(boosting.Local(blocks), plan) for tree, _, _ in done])
+        summed.append(None)
+    first = summed.index(None)
+    assert sum(map(len, summed[:first])) < 0.8 * sum(map(len, summed[first + 1 : -1]))
+    for one, other in zip(*grown, strict=True):
+        assert one.feature == other.feature and one.cut == other.cut and np.allclose(one.value, other.value, rtol=1e-9)
+
+
 def one_hot(seed, n=300):
     rng = np.random.default_rng(seed)
     level = rng.integers(0, 6, n)
