@@ -681,11 +681,12 @@ class HistogramBoosting(Estimator, _BoostingParams):
         binned = rows.mapInArrow(lambda it: _binned(it, edges), "bins binary, labels binary")
         parts = math.ceil(n_rows * (width + 8 * outputs) / CELLS_PER_TASK)
         pieces = binned.rdd.map(load)
-        if 1 < parts <= TASKS_IN_ONE:
+        tasks = 1 if parts <= TASKS_IN_ONE else parts
+        if parts > 1 and (tasks == 1 or tasks > pieces.getNumPartitions()):
             # binned by many tasks; pieces come in any order, but are taken in the same
-            return pieces.coalesce(1, shuffle=True).mapPartitions(lambda it: _joined(iter(sorted(it, key=lambda p: p[2])), start, sizes))
-        loaded = pieces.coalesce(max(1, parts)).mapPartitions(lambda it: _joined(it, start, sizes))
-        return loaded.persist(StorageLevel.MEMORY_AND_DISK) if parts > 1 else loaded
+            pieces = pieces.coalesce(tasks, shuffle=True).mapPartitions(lambda it: sorted(it, key=lambda piece: piece[2]))
+        loaded = pieces.coalesce(max(1, tasks)).mapPartitions(lambda it: _joined(iter(it), start, sizes))
+        return loaded.persist(StorageLevel.MEMORY_AND_DISK) if tasks > 1 else loaded
 
 
 def _sizes(edges: list[np.ndarray]) -> np.ndarray:

@@ -162,6 +162,31 @@ def test_cells_of_some_tasks_are_grown_in_a_single_job(spark, monkeypatch):
         assert np.allclose(one["value"], other["value"]) and one["cover"] == other["cover"]
 
 
+def test_few_input_partitions_are_dealt_to_more_tasks(spark, monkeypatch):
+    x, y = some_data(15)
+    frame = vectors(spark, x, y).coalesce(1).sortWithinPartitions("key")
+    alone = make_model("regression", "LightGBM Regressor", n_estimators=2).fit(frame)
+    tasks = []
+
+    class Seen(boosting.Spread):
+        def __init__(self, blocks):
+            tasks.append(blocks.getNumPartitions())
+            super().__init__(blocks)
+
+    monkeypatch.setattr(boosting, "Spread", Seen)
+    monkeypatch.setattr(boosting, "CELLS_PER_TASK", 1600)
+    monkeypatch.setattr(boosting, "TASKS_IN_ONE", 1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        many = make_model("regression", "LightGBM Regressor", n_estimators=2).fit(frame)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert tasks == [3]
+    for one, other in zip(alone._stored(), many._stored(), strict=True):
+        assert one["feature"] == other["feature"] and one["threshold"] == other["threshold"] and one["cover"] == other["cover"]
+
+
 def test_the_rest_of_a_parents_sums_is_what_the_larger_child_has(monkeypatch):
     rng = np.random.default_rng(14)
     x, y = one_hot(14, 900)
