@@ -192,6 +192,18 @@ class BinnedTree:
         self.feature[node], self.cut[node], self.left[node], self.right[node] = feature, cut, left, left + 1
         return left, left + 1
 
+    def node_of(self, bins: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
+        feature, cut, left, right = (np.array(a) for a in (self.feature, self.cut, self.left, self.right))
+        node = np.zeros(bins.shape[1], np.int32)
+        rows = np.flatnonzero(feature[node] != LEAF)
+        while len(rows):  # only rows that aren't in a leaf yet go on
+            at = node[rows]
+            at = np.where(bins[feature[at], rows] <= cut[at], left[at], right[at])
+            node[rows] = at
+            rows = rows[feature[at] != LEAF]
+        return node
+
     def values_of(self, bins: np.ndarray) -> np.ndarray:
         """The value of each row's leaf."""
         parted, values = Parted(np.arange(bins.shape[1])), np.empty(bins.shape[1])
